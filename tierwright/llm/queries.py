@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate
+from . import bpe, common, decontaminate, exact_dedup, pii, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -18,10 +18,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_exact_dedup": exact_dedup.query,
+        "op3_pii": pii.query,
+        "op7_toxicity": toxicity.query,
         "op8_bpe": op8_bpe,
         "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op10_decontaminate": decontaminate.SQL,
+    }
