@@ -59,3 +59,10 @@ def ascii_lower(c: Column) -> Column:
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint where a count proves that it has at most ``rows`` rows; as it is beyond."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def words_of(text: str) -> list[str]:
+    """The words between runs of ASCII white space, with A-Z in lower case."""
+    # on bytes, lower() and split() know ASCII only
+    words = text.encode("utf-8", "replace").lower().split()
+    return b" ".join(words).decode().split(" ") if words else []
