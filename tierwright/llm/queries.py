@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, pii, pitman_yor, toxicity
+from . import bpe, common, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op3_pii": pii.query,
+        "op4_jaccard_join": jaccard_join.query,
         "op6_pitman_yor": pitman_yor.query,
         "op7_toxicity": toxicity.query,
         "op8_bpe": op8_bpe,
