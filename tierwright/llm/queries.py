@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, toxicity
+from . import bpe, common, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op3_pii": pii.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op5_warc": warc.query,
         "op6_pitman_yor": pitman_yor.query,
         "op7_toxicity": toxicity.query,
         "op8_bpe": op8_bpe,
@@ -31,5 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.SQL,
+        "op5_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
