@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, toxicity, warc
+from . import bpe, common, cotraining, decontaminate, exact_dedup, jaccard_join, language, pii, pitman_yor, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -18,6 +18,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cotraining": cotraining.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_pii": pii.query,
         "op4_jaccard_join": jaccard_join.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pitman_yor": pitman_yor.query,
         "op7_toxicity": toxicity.query,
         "op8_bpe": op8_bpe,
+        "op9_language": language.query,
         "op10_decontaminate": decontaminate.query,
     }
 
