@@ -2,10 +2,505 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tierwright import oracle as o
+from tierwright.functions import assumptions as given
+from tierwright.functions import charts, stats, text, vectors
+from tierwright.operators import baselines, failures, inventory, measure, routing, sensitivity
+from tierwright.plans import state
+from tierwright.sources import corpus
+from tierwright.sources.tables import FIELDS, LANGUAGES, TIERS, dimension, frozen_classification, frozen_extraction, table
+from tierwright.streaming import rates
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+N = len(LANGUAGES)
+BUDGETS = [50.0, 200.0, 1_000.0, 4_000.0, 10_000.0, 100_000.0, 1_000_000.0]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def registered(sql: str) -> Callable[[Query], Query]:
+    """Registers a query under its name with its SQL."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def joined_names(c: str) -> Column:
+    return F.array_join(F.col(c), ",")
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    return measure.language_profile(table(spark, d, "documents"))
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return measure.quality_profile(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+# measuring
+
+
+@registered(f"WITH {o.MEASURED} SELECT tier, field, round(accuracy, 6) AS accuracy, items FROM profile")
+def tier_profile(spark, d):
+    return rounded(measured(spark, d).select("tier", "field", "accuracy", "items"), "accuracy")
+
+
+@registered(f"WITH {o.LADDER} SELECT doc_id, truth, rules, small, large FROM ladder")
+def language_answers(spark, d):
+    return measure.language_ladder(table(spark, d, "documents"))
+
+
+@registered(f"WITH {o.JUDGED} SELECT tier_idx, tier, {o.rate('floor(accuracy * items + 0.5)::BIGINT', 'items')} FROM single WHERE tier <> 'human'")
+def classifier_profile(spark, d):
+    block = state.classification_block(judged(spark, d).withColumn("latency", F.lit(0.0))).drop("latency")
+    return rounded(block, "rate", "low", "high", "precision")
+
+
+@registered(f"WITH {o.MEASURED}, shown AS (SELECT field_idx, field, tier, CASE tier WHEN 'human' THEN 0.85::DOUBLE ELSE accuracy END AS a FROM profile) SELECT field_idx, field, {', '.join(f'''round(max(a) FILTER (tier = '{t}'), 6) AS {t}''' for t in TIERS)} FROM shown GROUP BY ALL")
+def profile_pivot(spark, d):
+    return rounded(state.pivoted(measured(spark, d), given.as_row(spark)), *TIERS)
+
+
+@registered(f"WITH {o.CENTRES} SELECT name AS label, place, round(x, 6) AS x FROM (SELECT name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
+def mean_pool(spark, d):
+    rows = table(spark, d, "embeddings").where("vec_id % 2 = 0")
+    return vectors.mean_pool(rows, "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+@registered(f"WITH {o.CLASSED} SELECT vec_id, split, label, got FROM classed")
+def centroid_classifier(spark, d):
+    return measure.centroid_classes(table(spark, d, "embeddings"))
+
+
+@registered(f"""WITH {o.CLASSED}, acc AS (SELECT split, sum((label = got)::INT)::DOUBLE / count(*) AS m, count(*)::DOUBLE AS n FROM classed GROUP BY 1),
+base AS (SELECT max(c)::DOUBLE / sum(c) AS b FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))
+SELECT split, round(m, 6) AS accuracy, n::BIGINT AS items, round(b, 6) AS baseline, round((m - b) * 100, 6) AS points, {o.VERDICT} AS verdict FROM acc, base""")
+def centroid_verdict(spark, d):
+    rows = measure.centroid_classes(table(spark, d, "embeddings"))
+    acc = rows.groupBy("split").agg(F.avg((F.col("label") == F.col("got")).cast("double")).alias("accuracy"), F.count("*").alias("items"))
+    return rounded(baselines.verdicts(acc, baselines.majority(table(spark, d, "embeddings"), "label", "vec_id")), "accuracy", "baseline", "points")
+
+
+# routing
+
+
+@registered(o.routing_sql(o.MEASURED, N))
+def optimal_routing(spark, d):
+    return rounded(state.routing_block(measured(spark, d), given.as_row(spark), N), "accuracy", "cost")
+
+
+@registered(o.frontier_sql(o.MEASURED, N, BUDGETS))
+def routing_frontier(spark, d):
+    found = routing.frontier(measured(spark, d), given.as_row(spark), BUDGETS, N)
+    return found.select("budget", F.array_join(routing.names(F.col("tiers")), ",").alias("routing"), F.round("accuracy", 6).alias("accuracy"), F.round("cost", 6).alias("cost"), "monotone")
+
+
+@registered(f"WITH {o.JUDGED}, {o.SINGLE_CHOICE}")
+def single_choice(spark, d):
+    return rounded(routing.single_choice(judged(spark, d), given.as_row(spark)), "accuracy", "cost")
+
+
+@registered(o.uniform_sql(o.MEASURED, N))
+def uniform_routings(spark, d):
+    rows = routing.uniform(routing.evaluated(measured(spark, d), given.as_row(spark), N))
+    return rounded(rows.select("tier", "accuracy", "cost"), "accuracy", "cost")
+
+
+@registered(o.uniform_sql(o.MEASURED, N, "ORDER BY rows_.accuracy DESC, rows_.cost, t0 LIMIT 1"))
+def best_uniform(spark, d):
+    rows = routing.uniform(routing.evaluated(measured(spark, d), given.as_row(spark), N))
+    return rounded(rows.orderBy(F.desc("accuracy"), "cost", "ord").limit(1).select("tier", "accuracy", "cost"), "accuracy", "cost")
+
+
+def shown_step(step: DataFrame) -> DataFrame:
+    step = rounded(step, "current_accuracy", "current_cost", "budget_needed", "extra", "gain_points", "points_per_thousand")
+    return step.withColumn("routing", joined_names("routing")).withColumn("step_routing", F.array_join("step_routing", ","))
+
+
+@registered(o.shadow_sql(o.MEASURED, N))
+def shadow_price(spark, d):
+    return shown_step(routing.shadow_price(measured(spark, d), given.as_row(spark), N))
+
+
+@registered(o.changed_sql(o.MEASURED, LANGUAGES))
+def routing_diff(spark, d):
+    return state.shadow_block(measured(spark, d), given.as_row(spark), LANGUAGES)[1]
+
+
+@registered(f"WITH {o.MEASURED}, {o.GIVEN}, {o.assigned(N)}, mine AS (SELECT * FROM rows_ WHERE {' AND '.join(f't{i} = 2' for i in range(N))}) SELECT round(m.accuracy, 6) AS own_accuracy, round(m.cost, 6) AS own_cost, round(b.accuracy, 6) AS best_accuracy, round(b.cost, 6) AS best_cost, round((b.accuracy - m.accuracy) * 100, 6) AS points, round(CASE WHEN b.cost > 0 THEN m.cost / b.cost WHEN m.cost > 0 THEN 'inf'::DOUBLE ELSE 1 END, 6) AS factor FROM mine m, best b")
+def own_routing(spark, d):
+    own = spark.createDataFrame([(i, "large") for i in range(N)], "field_idx int, tier string")
+    return rounded(state.state(measured(spark, d), given.as_row(spark), own, LANGUAGES)["compared"], "own_accuracy", "own_cost", "best_accuracy", "best_cost", "points", "factor")
+
+
+@registered(f"WITH {o.MEASURED}, {o.GIVEN}, {o.assigned(N)} SELECT {o.listed(TIERS)}[r.t0 + 1] AS tier, floor(r.accuracy * 1000 + 0.5) = floor(b.accuracy * 1000 + 0.5) AND floor(r.cost + 0.5) = floor(b.cost + 0.5) AS same FROM rows_ r, best b WHERE {' AND '.join(f'r.t0 = r.t{i}' for i in range(1, N))}")
+def displayed_equal(spark, d):
+    profile, scenario = measured(spark, d), given.as_row(spark)
+    best = routing.optimum(profile, scenario, N).select(F.lit(1).alias("s"), F.col("accuracy").alias("a"), F.col("cost").alias("c"))
+    rows = routing.uniform(routing.evaluated(profile, scenario, N)).withColumn("s", F.lit(1)).join(F.broadcast(best), "s")
+    shown = lambda x, k: F.floor(F.col(x) * k + 0.5)
+    return rows.select("tier", ((shown("accuracy", 1000) == shown("a", 1000)) & (shown("cost", 1) == shown("c", 1))).alias("same"))
+
+
+@registered(f"WITH {o.MEASURED}, {o.GIVEN}, {o.assigned(N)} SELECT round(accuracy, 6) AS accuracy, round(cost, 6) AS cost, {' + '.join(f'(t{i} = 0)::INT' for i in range(N))} AS free_fields, len(list_distinct([{', '.join(f't{i}' for i in range(N))}])) AS tiers_used, round(cost / budget, 6) AS budget_share FROM best")
+def finding(spark, d):
+    return rounded(state.finding_block(measured(spark, d), given.as_row(spark), N), "accuracy", "cost", "budget_share")
+
+
+@registered(o.bands_sql(o.MEASURED, f"judged_ladder AS (SELECT * FROM ({'WITH ' + o.JUDGED + ' SELECT * FROM single'})), single AS (SELECT * FROM judged_ladder)", N))
+def sensitivity_bands(spark, d):
+    return rounded(sensitivity.bands(measured(spark, d), judged(spark, d), N), "stable_from", "stable_to")
+
+
+@registered(f"SELECT assumption, reason FROM ({o.bands_sql(o.MEASURED, f'judged_ladder AS (SELECT * FROM (WITH {o.JUDGED} SELECT * FROM single)), single AS (SELECT * FROM judged_ladder)', N)}) WHERE NOT decides")
+def undecided_assumptions(spark, d):
+    return sensitivity.bands(measured(spark, d), judged(spark, d), N).where("NOT decides").select("assumption", "reason")
+
+
+# the published profile
+
+
+@registered(o.routing_sql(o.FROZEN, 5))
+def frozen_routing(spark, d):
+    return rounded(state.routing_block(frozen_extraction(spark), given.as_row(spark), 5), "accuracy", "cost")
+
+
+@registered(o.shadow_sql(o.FROZEN, 5))
+def frozen_shadow_price(spark, d):
+    return shown_step(routing.shadow_price(frozen_extraction(spark), given.as_row(spark), 5))
+
+
+@registered(o.uniform_sql(o.FROZEN, 5))
+def frozen_uniform(spark, d):
+    return rounded(routing.uniform(routing.evaluated(frozen_extraction(spark), given.as_row(spark), 5)).select("tier", "accuracy", "cost"), "accuracy", "cost")
+
+
+@registered(f"WITH {o.FROZEN_SINGLE}, {o.SINGLE_CHOICE}")
+def frozen_single_choice(spark, d):
+    return rounded(routing.single_choice(frozen_classification(spark), given.as_row(spark)), "accuracy", "cost")
+
+
+@registered(o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5))
+def frozen_bands(spark, d):
+    return rounded(sensitivity.bands(frozen_extraction(spark), frozen_classification(spark), 5), "stable_from", "stable_to")
+
+
+@registered(f"WITH {o.FROZEN} SELECT tier_idx, tier, {', '.join(f'''round(max(accuracy) FILTER (field = '{f}'), 6) AS {f}''' for f in FIELDS)}, round(avg(latency), 6) AS mean_latency FROM profile WHERE tier <> 'human' GROUP BY ALL")
+def frozen_extraction_block(spark, d):
+    return rounded(state.extraction_block(frozen_extraction(spark)), *FIELDS, "mean_latency")
+
+
+@registered(f"WITH {o.FROZEN_SINGLE} SELECT tier_idx, tier, round(latency, 6) AS latency, {o.rate('floor(accuracy * items + 0.5)::BIGINT', 'items')} FROM single WHERE tier <> 'human'")
+def frozen_classification_block(spark, d):
+    return rounded(state.classification_block(frozen_classification(spark)), "latency", "rate", "low", "high", "precision")
+
+
+# statistics
+
+
+def by_type(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("k"), F.count("*").alias("all"))
+    return counts.select("event_type", *stats.rate(F.col("k"), F.col("all")))
+
+
+@registered(f"WITH {o.BY_TYPE} SELECT * FROM by_type")
+def wilson_by_type(spark, d):
+    return rounded(by_type(spark, d), "rate", "low", "high", "precision")
+
+
+@registered(f"SELECT user_id, {o.rate('k', 'm')} FROM (SELECT user_id, count(*) FILTER (value > 50) AS k, count(*) AS m FROM events GROUP BY 1)")
+def rate_reportable(spark, d):
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("k"), F.count("*").alias("all"))
+    return rounded(counts.select("user_id", *stats.rate(F.col("k"), F.col("all"))), "rate", "low", "high", "precision")
+
+
+@registered(f"SELECT date_trunc('day', ts) AS start, event_type, {o.rate('count(*) FILTER (value > 50)', 'count(*)')} FROM events GROUP BY 1, 2")
+def windowed_rates(spark, d):
+    return rounded(rates.windowed_rates(table(spark, d, "events"), 50.0), "rate", "low", "high", "precision")
+
+
+@registered(f"WITH {o.BY_TYPE} SELECT a.event_type AS first, b.event_type AS second, a.high < b.low OR b.high < a.low AS apart FROM by_type a JOIN by_type b ON a.event_type < b.event_type")
+def pairwise_distinguishable(spark, d):
+    a, b = by_type(spark, d).alias("a"), by_type(spark, d).alias("b")
+    return a.join(b, F.col("a.event_type") < F.col("b.event_type")).select(F.col("a.event_type").alias("first"), F.col("b.event_type").alias("second"), stats.distinguishable("a", "b").alias("apart"))
+
+
+@registered(f"""WITH {o.LADDER}, c AS (SELECT count(*) FILTER (large = truth AND small <> truth) AS gains, count(*) FILTER (small = truth AND large <> truth) AS regressions FROM ladder),
+p AS (SELECT *, gains + regressions AS discordant, (SELECT least(1, 2 * sum(exp(lgamma(gains + regressions + 1) - lgamma(i + 1) - lgamma(gains + regressions - i + 1) - (gains + regressions) * ln(2)))) FROM range(0, 100000) t(i) WHERE i <= least(gains, regressions)) AS p_ FROM c)
+SELECT gains, regressions, discordant, CASE WHEN discordant > 0 THEN round(p_, 6) END AS p, discordant > 0 AND p_ < 0.05 AS decidable FROM p""")
+def paired_verdict(spark, d):
+    right = lambda t: F.col(t) == F.col("truth")
+    c = measure.language_ladder(table(spark, d, "documents")).agg(F.count_if(right("large") & ~right("small")).alias("gains"), F.count_if(right("small") & ~right("large")).alias("regressions"))
+    p = stats.paired_p(F.col("gains"), F.col("regressions"))
+    return c.select("gains", "regressions", (F.col("gains") + F.col("regressions")).alias("discordant"), F.round(p, 6).alias("p"), F.coalesce(p < 0.05, F.lit(False)).alias("decidable"))
+
+
+@registered("SELECT quality AS label, n, total, round(n::DOUBLE / total, 6) AS accuracy FROM (SELECT quality, count(*) AS n, min(doc_id) AS f, sum(count(*)) OVER () AS total FROM labels GROUP BY 1) ORDER BY n DESC, f LIMIT 1")
+def majority_baseline(spark, d):
+    return rounded(baselines.majority(table(spark, d, "labels"), "quality", "doc_id"), "accuracy")
+
+
+@registered("SELECT count(DISTINCT event_type) AS classes, round(1.0::DOUBLE / count(DISTINCT event_type), 6) AS accuracy FROM events")
+def uniform_baseline(spark, d):
+    return rounded(baselines.uniform_guess(table(spark, d, "events"), "event_type"), "accuracy")
+
+
+@registered("SELECT count(*) AS n, round(avg((toxic = 0)::INT), 6) AS accuracy FROM labels")
+def constant_decision(spark, d):
+    return rounded(baselines.constant(table(spark, d, "labels"), "toxic", 0), "accuracy")
+
+
+@registered(f"""WITH {o.JUDGED}, base AS (SELECT max(c)::DOUBLE / sum(c) AS b FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
+SELECT tier, round(m, 6) AS accuracy, items, round(b, 6) AS baseline, round((m - b) * 100, 6) AS points, {o.VERDICT} AS verdict FROM (SELECT tier, accuracy AS m, items, items::DOUBLE AS n FROM single WHERE tier <> 'human'), base""")
+def baseline_verdict(spark, d):
+    measured_ = judged(spark, d).where("tier <> 'human'").select("tier", "accuracy", "items")
+    return rounded(state.baselines_block(measured_, table(spark, d, "labels"), "quality", "doc_id"), "accuracy", "baseline", "points")
+
+
+# the generated corpora
+
+
+def both_splits(spark: SparkSession) -> DataFrame:
+    return corpus.records(spark, 120, "training").unionByName(corpus.records(spark, 120, "heldout"))
+
+
+@registered(f"WITH RECURSIVE {o.BOTH} SELECT * FROM records")
+def record_generator(spark, d):
+    return both_splits(spark)
+
+
+@registered(o.alerts_sql("heldout") + " SELECT * FROM alerts")
+def alert_generator(spark, d):
+    return corpus.alerts(spark, 120, "heldout")
+
+
+@registered(o.alerts_sql("training") + f" SELECT id, truth, {o.KEYWORD} AS got FROM alerts")
+def alert_classes(spark, d):
+    return corpus.alerts(spark, 120, "training").select("id", "truth", text.keyword_class(F.col("narrative")).alias("got"))
+
+
+@registered(f"WITH RECURSIVE {o.BOTH} SELECT 'text' AS kind, count(*) AS shared FROM (SELECT text FROM records_training INTERSECT SELECT text FROM records_heldout) UNION ALL SELECT 'shape', count(*) FROM (SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_training INTERSECT SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_heldout)")
+def split_leakage(spark, d):
+    a, b = corpus.records(spark, 120, "training"), corpus.records(spark, 120, "heldout")
+    count = lambda kind, rows: rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("shared"))
+    return count("text", corpus.shared_texts(a, b)).unionByName(count("shape", corpus.shared_texts(a, b, text.text_shape(F.col("text")))))
+
+
+@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT id, split, field_idx, field, expected, got FROM extracted")
+def extract_fields(spark, d):
+    return measure.extraction(both_splits(spark)).drop("text")
+
+
+@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT split, field, round(avg({o.CORRECT}::INT), 6) AS accuracy, count(*) AS items FROM extracted GROUP BY ALL")
+def score_extraction(spark, d):
+    rows = measure.extraction(both_splits(spark))
+    right = text.correct(F.col("got"), F.col("expected")).cast("double")
+    return rounded(rows.groupBy("split", "field").agg(F.avg(right).alias("accuracy"), F.count("*").alias("items")), "accuracy")
+
+
+def wrong_answers(spark: SparkSession) -> DataFrame:
+    rows = measure.extraction(corpus.records(spark, 120, "heldout"))
+    return failures.collect(rows.withColumn("tier_idx", F.lit(0)).withColumn("tier", F.lit("rules")))
+
+
+@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM failed")
+def failure_list(spark, d):
+    return wrong_answers(spark).drop("tier_idx", "field_idx")
+
+
+@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, mode, count(*) AS n FROM failed GROUP BY ALL ORDER BY n DESC, min(field_idx * 1000 + substr(id, 3)::INT) LIMIT 12")
+def failure_shape(spark, d):
+    return failures.top_shapes(wrong_answers(spark), 12)
+
+
+@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM (SELECT *, row_number() OVER (PARTITION BY tier, field ORDER BY id) AS rn FROM failed) WHERE rn = 1 ORDER BY field_idx LIMIT 6")
+def failure_gallery(spark, d):
+    return failures.gallery(wrong_answers(spark), 6).drop("tier_idx", "field_idx")
+
+
+@registered("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS declared, regexp_extract(url, '//[^/]+/([a-z][a-z])/', 1) AS segment, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) = regexp_extract(url, '//[^/]+/([a-z][a-z])/', 1) AS same FROM pages")
+def page_lang_check(spark, d):
+    declared, segment = F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.regexp_extract("url", "//[^/]+/([a-z][a-z])/", 1)
+    return table(spark, d, "pages").select("page_id", declared.alias("declared"), segment.alias("segment"), (declared == segment).alias("same"))
+
+
+# chart kernels
+
+
+@registered(f"""WITH {o.LADDER}, {o.LONG}, v AS (SELECT doc_id, tier_idx, got = truth AS v, lag(got = truth) OVER (PARTITION BY doc_id ORDER BY tier_idx) AS b FROM long WHERE tier <> 'human')
+SELECT doc_id, tier_idx, v AS correct, CASE WHEN v AND NOT b THEN 'repaired' WHEN NOT v AND b THEN 'broken' WHEN v THEN 'ok' ELSE 'ko' END AS state FROM v""")
+def case_grid(spark, d):
+    long = measure.long_form(measure.language_ladder(table(spark, d, "documents"))).where("tier <> 'human'")
+    return charts.case_grid(long.select("doc_id", "tier_idx", (F.col("got") == F.col("truth")).alias("correct")), "doc_id", "tier_idx", "correct")
+
+
+def weekly_ranks(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    counts = table(spark, d, "events").groupBy(F.date_trunc("week", "ts").alias("week"), "event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("week").orderBy(F.desc("n"), "event_type")))
+
+
+RANKS = "ranks AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY n DESC, event_type) AS rank FROM (SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n FROM events GROUP BY ALL))"
+
+
+@registered(f"WITH {RANKS} SELECT event_type, min(rank) AS best, max(rank) AS worst, max(rank) - min(rank) AS moved FROM ranks GROUP BY 1")
+def rank_moves(spark, d):
+    return charts.rank_moves(weekly_ranks(spark, d), "event_type", "rank")
+
+
+@registered(f"WITH {RANKS} SELECT event_type, min(rank) AS best, max(rank) AS worst, max(rank) - min(rank) AS moved FROM ranks GROUP BY 1 ORDER BY moved DESC, best, event_type LIMIT 1")
+def largest_move(spark, d):
+    return charts.largest_move(charts.rank_moves(weekly_ranks(spark, d), "event_type", "rank"))
+
+
+@registered("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) * 0.08::DOUBLE AS room FROM events)
+SELECT event_type, greatest(0, least(15, floor((value - (lo - room)) / (hi - lo + 2 * room) * 16)))::BIGINT AS bin, count(*) AS n FROM events, e GROUP BY ALL""")
+def population_bins(spark, d):
+    return charts.populations(table(spark, d, "events"), "event_type", "value")
+
+
+@registered("SELECT max(lo) AS low, min(hi) AS high FROM (SELECT l_linestatus, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1) HAVING count(*) = 2 AND max(lo) <= min(hi)")
+def population_overlap(spark, d):
+    return charts.overlap(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice")
+
+
+@registered("SELECT l_returnflag, greatest(0, least(115, floor((l_quantity - 0::DOUBLE) / (51::DOUBLE - 0::DOUBLE) * 116)))::BIGINT AS bin, count(*) AS n, count(*) FILTER (l_quantity <= 24) AS within FROM lineitem GROUP BY ALL")
+def strata_within(spark, d):
+    return charts.strata(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", 24.0, 0.0, 51.0)
+
+
+@registered("""WITH s AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS value FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(value) OVER (PARTITION BY l_returnflag) AS total FROM s)
+SELECT l_returnflag, l_linestatus, round(value, 6) AS value, round(total, 6) AS total, round(value / (SELECT max(total) FROM t), 6) AS share FROM t""")
+def stacked_share(spark, d):
+    return rounded(charts.stacked(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity"), "value", "total", "share")
+
+
+@registered("SELECT i, min(j) FILTER (NOT (j / 73::DOUBLE <= 1 - (i / 46::DOUBLE) * (i / 46::DOUBLE))) AS j FROM (SELECT unnest(range(47)) AS i), (SELECT unnest(range(74)) AS j) GROUP BY i")
+def decision_frontier(spark, d):
+    return charts.frontier(spark.range(1).select(F.lit(1).alias("one")), lambda x, y: y <= 1 - x * x)
+
+
+EXTENT = """ends AS (SELECT least(min(o_totalprice), 0) AS lo, greatest(max(o_totalprice), 0) AS hi FROM orders),
+extent AS (SELECT CASE WHEN lo < 0 THEN lo - (hi - lo) * 0.08::DOUBLE ELSE 0 END AS low, hi + (hi - lo) * 0.08::DOUBLE AS high FROM ends)"""
+
+
+@registered(f"WITH {EXTENT} SELECT round(low, 6) AS low, round(high, 6) AS high FROM extent")
+def axis_extent(spark, d):
+    return rounded(charts.extent(table(spark, d, "orders"), "o_totalprice"), "low", "high")
+
+
+@registered(f"""WITH {EXTENT}, t AS (SELECT low, high, m * 10::DOUBLE ** floor(log10((high - low) / 5)) AS step, p FROM extent, (VALUES (1::DOUBLE, 0), (2, 0), (5, 0), (10, 0), (2.5, 1)) v(m, p)),
+c AS (SELECT *, floor(high / step + 1e-9) - ceil(low / step - 1e-9) + 1 AS n FROM t), s AS (SELECT * FROM c ORDER BY abs(n - 5) + p, step DESC LIMIT 1)
+SELECT round(i * step, 6) AS tick FROM (SELECT step, unnest(range(ceil(low / step - 1e-9)::BIGINT, floor(high / step + 1e-9)::BIGINT + 1)) AS i FROM s)""")
+def axis_ticks(spark, d):
+    return rounded(charts.ticks(charts.extent(table(spark, d, "orders"), "o_totalprice")), "tick")
+
+
+@registered("SELECT event_type, round(greatest(0, least(100, avg(value) * 100::DOUBLE / 80)), 6) AS length FROM events GROUP BY 1")
+def bars(spark, d):
+    means = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
+    return means.select("event_type", F.round(charts.bar(F.col("m"), F.lit(80.0)), 6).alias("length"))
+
+
+@registered("SELECT c_custkey, round(c_acctbal / (SELECT greatest(1, max(abs(c_acctbal))) FROM customer), 6) AS place FROM customer")
+def opposed_places(spark, d):
+    return charts.opposed(table(spark, d, "customer"), "c_acctbal").select("c_custkey", F.round("place", 6).alias("place"))
+
+
+@registered("SELECT p_size, round(log10(p_size), 6) AS x, round(min(p_retailprice), 6) AS low, round(max(p_retailprice), 6) AS high, round(avg(p_retailprice), 6) AS mid, round((SELECT max(p_retailprice) * 1.05::DOUBLE FROM part), 6) AS \"end\" FROM part GROUP BY p_size")
+def ribbons(spark, d):
+    return rounded(charts.ribbon(table(spark, d, "part"), "p_size", "p_retailprice", log=True), "x", "low", "high", "mid", "end")
+
+
+@registered("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice > 30000 THEN l_extendedprice - greatest(l_quantity * 500, 30000) ELSE 0 END, 6) AS overdue FROM lineitem")
+def overdue_bars(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(charts.overdue(F.col("l_quantity") * 500, F.col("l_extendedprice"), F.lit(30000.0)), 6).alias("overdue"))
+
+
+@registered("SELECT s_suppkey, round(greatest(0, least(9000, s_acctbal)), 6) AS low, round(greatest(0, least(9000, s_acctbal + 1000)), 6) AS high FROM supplier")
+def clipped_bands(spark, d):
+    low, high = charts.clipped(F.col("s_acctbal"), F.col("s_acctbal") + 1000, F.lit(0.0), F.lit(9000.0))
+    return table(spark, d, "supplier").select("s_suppkey", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@registered("SELECT day, n FROM (SELECT *, lag(n) OVER (ORDER BY day) AS b FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1)) WHERE b IS NULL OR b <> n")
+def staircase(spark, d):
+    days = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
+    return charts.staircase(days, "day", "n")
+
+
+@registered("""WITH v AS (SELECT event_type, date_trunc('day', ts) AS day, CASE WHEN count(*) >= 60 THEN count(*) END AS n FROM events GROUP BY ALL),
+g AS (SELECT *, count(*) FILTER (n IS NULL) OVER (PARTITION BY event_type ORDER BY day) AS gap FROM v)
+SELECT event_type, day, n, dense_rank() OVER (PARTITION BY event_type ORDER BY gap) AS stretch FROM g WHERE n IS NOT NULL""")
+def unbroken_stretches(spark, d):
+    days = table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("c"))
+    return charts.islands(days.select("event_type", "day", F.when(F.col("c") >= 60, F.col("c")).alias("n")), "event_type", "day", "n")
+
+
+@registered("""SELECT quality, part, total, CASE WHEN total = 0 THEN '—' WHEN part = total THEN '100 %' WHEN part = 0 THEN '0 %' ELSE greatest(1, least(99, floor(100::DOUBLE * part / total + 0.5)))::INT || ' %' END AS share
+FROM (SELECT quality, count(*) FILTER (toxic = 1) AS part, count(*) AS total FROM labels GROUP BY 1)""")
+def share_written(spark, d):
+    counts = table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 1).alias("part"), F.count("*").alias("total"))
+    return counts.withColumn("share", stats.share_written(F.col("part"), F.col("total")))
+
+
+# metadata and updates
+
+UPDATES = [("humanAccuracy", 1.0), ("volume", 5.0), ("budget", 250.0), ("unknown", 1.0), ("humanSeconds", float("nan"))]
+
+
+@registered(f"WITH {o.BOUNDS_SQL}, u AS {o.values([u for u in UPDATES if u[1] == u[1]], 'key, value')} SELECT key, least(hi, greatest(lo, value)) AS value FROM u JOIN bounds USING (key)")
+def clamp_assumptions(spark, d):
+    return given.clamped(spark.createDataFrame(UPDATES, "key string, value double"))
+
+
+CHANGES = [(1, "en", "human"), (2, "de", "nobody"), (3, "xx", "rules"), (4, "en", "small")]
+
+
+@registered(f"WITH r AS {o.values([(f, 'large') for f in LANGUAGES], 'field, tier')}, c AS {o.values([c for c in CHANGES if c[1] in LANGUAGES and c[2] in TIERS], 'seq, field, t')}, l AS (SELECT field, max_by(t, seq) AS t FROM c GROUP BY 1) SELECT field, coalesce(t, tier) AS tier FROM r LEFT JOIN l USING (field)")
+def routing_update(spark, d):
+    own = spark.createDataFrame([(f, "large") for f in LANGUAGES], "field string, tier string")
+    return routing.updated(own, spark.createDataFrame(CHANGES, "seq int, field string, tier string"), dimension(spark, "field", LANGUAGES), dimension(spark, "tier", TIERS))
+
+
+@registered(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, provenance, coalesce(n, 0) AS n FROM kinds LEFT JOIN (SELECT provenance, count(*) AS n FROM inventory GROUP BY 1) USING (provenance)")
+def provenance_counts(spark, d):
+    return inventory.counts(inventory.inventory(spark))
+
+
+@registered(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, seq, provenance, name, what FROM inventory JOIN kinds USING (provenance)")
+def provenance_list(spark, d):
+    return inventory.listed(inventory.inventory(spark))
+
+
+@registered("SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def missing_keys(spark, d):
+    users, known = table(spark, d, "events").select(F.col("user_id").alias("key")), table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return inventory.missing(users, known, "key")
+
+
+@registered("SELECT c_nationkey AS key FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def stale_rows(spark, d):
+    return inventory.stale(table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, d, "customer").select(F.col("c_nationkey").alias("key")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
