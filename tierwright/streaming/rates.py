@@ -13,6 +13,7 @@ def windowed_rates(events: DataFrame, threshold: float, window: str = "1 day", l
 
     Events later than ``late`` behind the newest are dropped by a stream, as the watermark says.
     """
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks know no timestamps without a time zone
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     counts = marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count_if(F.col("value") > threshold).alias("k"), F.count("*").alias("all"))
-    return counts.select(F.col("w.start").alias("start"), "event_type", *stats.rate(F.col("k"), F.col("all")))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", *stats.rate(F.col("k"), F.col("all")))
