@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 total.update(met)
                 if label:
                     toxic.update(met)
-        yield pd.DataFrame([(f, k, toxic[f]) for f, k in total.items()], columns=["feature", "n", "n1"])
+        if total:
+            yield pd.DataFrame([(f, k, toxic[f]) for f, k in total.items()], columns=["feature", "n", "n1"])
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     if not size["n1"] or size["n1"] == size["n"]:
