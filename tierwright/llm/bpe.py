@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words whose codes a Python worker remembers; beyond that it starts anew (speed only, never results).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of texts whose new words are merged side by side.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 NONE = np.iinfo(np.int64).max
 #: Unicode white space, as the pattern's regular expression engine has it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
     has no tokens. Whole texts of any length are encoded. Other columns are not looked at. ``vocabulary`` names a file
     that every executor has.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(vocabulary)
@@ -256,14 +256,15 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
             for code, back in bpe.encode_batch(b["text"]):
                 rows.append((len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 if with_ids:
-                    ids.append(np.frombuffer(code, "<u4").astype(np.int64))
+                    ids.append(np.frombuffer(code, "<u4").astype(np.int32))
                     decoded.append(back)
             out[["n_tokens", "ids_sha256", "decoded_sha256"]] = pd.DataFrame(rows, out.index, range(3)) if rows else None
             if with_ids:
                 out["ids"], out["decoded"] = pd.Series(ids, out.index, object), pd.Series(decoded, out.index, object)
             yield out
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+    return common.in_small_batches(texts).mapInPandas(run, schema)
 
 
 def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -20,6 +20,8 @@ from . import common
 
 #: Texts (not copies) and their bytes that a bucket holds before it is split.
 CAPACITY, CAPACITY_BYTES = 20_000, 32 << 20
+#: Bytes of different texts that a task holds before it passes them on.
+HELD_BYTES = 16 << 20
 #: Longest prefix, in bits: bounds the directory at 65,536 slots, whatever the input.
 MAX_DEPTH = 16
 #: Fewest bits the directory starts with, so that owners share the work evenly on small inputs too.
@@ -71,23 +73,33 @@ def prefix(key: Column, bits: int) -> Column:
 
 
 def combined(batches: Iterator[pd.DataFrame], depth: int, slots: np.ndarray) -> Iterator[pd.DataFrame]:
-    """The entries of a task: the copies of a text within a batch become one entry, under the bucket of its key."""
+    """The entries of a task, with the bucket of each key: copies become one entry while at most HELD_BYTES are held."""
+    entries: dict[tuple[int, str], list] = {}
+    held = 0
+
+    def passed_on() -> pd.DataFrame:
+        keys = np.array([k for k, _ in entries], np.int64)
+        return pd.DataFrame({
+            "bucket": slots[(keys.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)],
+            "key": keys,
+            "doc": np.array([e[0] for e in entries.values()], np.int64),
+            "n": np.array([e[1] for e in entries.values()], np.int64),
+            "text": pd.Series([t for _, t in entries], dtype=object),
+        })
+
     for b in batches:
-        entries: dict[tuple[int, str], list] = {}
         for key, doc, text in zip(b["key"].to_numpy(), b["doc"].to_numpy(), b["text"]):
             e = entries.get((key, text))
             if e is None:
                 entries[key, text] = [doc, 1]
+                held += len(text)
             else:
                 e[0], e[1] = min(e[0], doc), e[1] + 1
-        keys = np.array([k for k, _ in entries], np.int64)
-        yield pd.DataFrame({
-            "bucket": slots[(keys.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if len(keys) else keys,
-            "key": keys,
-            "doc": np.array([e[0] for e in entries.values()], np.int64),
-            "n": np.array([e[1] for e in entries.values()], np.int64),
-            "text": pd.Series([t for _, t in entries], dtype=object),
-        })
+        if held > HELD_BYTES:
+            yield passed_on()
+            entries, held = {}, 0
+    if entries:
+        yield passed_on()
 
 
 def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +134,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     ``keep`` is the smallest doc_id of the text (``common.NO_ID`` is least of all and stands for null), n the number
     of its documents.
     """
-    entries = keyed(docs)
+    entries = keyed(common.in_small_batches(docs))
     # copies count once: a text's key meets itself here, in rows of a few bytes
     distinct = entries.select("key", F.length("text").cast("long").alias("bytes")).groupBy("key").agg(F.max("bytes").alias("bytes"))
     cells = distinct.groupBy(prefix(F.col("key"), MAX_DEPTH).alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

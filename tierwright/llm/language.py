@@ -160,7 +160,7 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     source = docs["source"].cast("string") if "source" in docs.columns else none
     of_docs = docs.select(docs["doc_id"].cast("string").alias("doc_id"), none.alias("page_id"), docs["text"].cast("string").alias("text"), none.alias("html"), none.alias("url"), source.alias("host"))
     of_pages = pages.select(none.alias("doc_id"), pages["page_id"].cast("string").alias("page_id"), none.alias("text"), common.text_of(pages, "html").alias("html"), common.text_of(pages, "url").alias("url"), none.alias("host"))
-    names, log_p = fit(docs)
+    names, log_p = fit(common.in_small_batches(docs))
     found = evidence(of_docs.unionByName(of_pages), names, log_p)
     return fuse(found, names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("page_id", F.col("page_id").cast("long"))
 

@@ -29,7 +29,7 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
 #: Words that announce personal data.
 CUES = ("tel", "tel:", "phone", "phone:", "call", "fax", "fax:", "mobile", "mobile:", "card", "card:", "visa", "ip", "ip:", "host", "mail", "mail:", "email", "email:")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 STEPS, RATE, L2 = 200, 0.15, 0.003
 
 
@@ -360,7 +360,8 @@ def find(docs: DataFrame, with_spans: bool = True) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"])
             yield out
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInPandas(
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+    return common.in_small_batches(texts).mapInPandas(
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 

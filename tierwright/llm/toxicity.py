@@ -31,7 +31,7 @@ SENTENCE = 0.5
 PIECE = re.compile(r"[^\W\d_]+|[.!?\n]")
 BREAKS = frozenset(".!?\n")
 #: Words whose weights a task remembers; beyond that it starts anew (speed only).
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def features_of(word: str) -> list[str]:
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     Null labels, ids and texts are left out; of several labels of one id the highest holds. Without rows, or with one
     class only, the model gives every sentence the same small score.
     """
-    spark = docs.sparkSession
+    spark = common.in_small_batches(docs).sparkSession
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     given = given.where(~common.held_out(F.col("doc_id"), FOLDS))
     n = given.count()
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
             b[["score", "n_sentences", "n_offending", "offending"]] = pd.DataFrame(out, b.index, range(4)) if out else None
             yield b
 
-    return docs.select(*kept, common.text_of(docs).alias("_text")).mapInPandas(run, f"{schema}, score double, n_sentences long, n_offending long, offending string")
+    return common.in_small_batches(docs).select(*kept, common.text_of(docs).alias("_text")).mapInPandas(run, f"{schema}, score double, n_sentences long, n_offending long, offending string")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

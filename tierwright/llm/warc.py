@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     Every attempt of a task writes files of its own names, and only a finished attempt's captures are kept, so lost
     and repeated attempts leave files that nothing refers to.
     """
-    rows = pages.select(common.key_of(pages, "page_id").alias("page"), common.text_of(pages, "url").alias("url"), common.text_of(pages, "html").alias("html"))
+    rows = common.in_small_batches(pages).select(common.key_of(pages, "page_id").alias("page"), common.text_of(pages, "url").alias("url"), common.text_of(pages, "html").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= LEAST_BYTES)
     first = rows.where("long").groupBy(F.col("digest").alias("of")).agg(F.min("page").alias("first_page"), F.min_by("url", F.struct("page", "url")).alias("first_url"))
     decided = rows.join(first, rows["long"] & (rows["digest"] == first["of"]), "left").select("page", "url", "html", "digest", "first_page", "first_url")
