@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     Null labels, ids and texts are left out; of several labels of one id the highest holds. Without rows, or with one
     class only, the model gives every sentence the same small score.
     """
-    spark = common.in_small_batches(docs).sparkSession
+    docs = common.in_small_batches(docs)
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     given = given.where(~common.held_out(F.col("doc_id"), FOLDS))
     n = given.count()
@@ -167,7 +167,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pd.DataFrame(out, columns=["label", "n", "at", "ids"])
 
     met = sample.mapInPandas(instances, "label int, n int, at array<int>, ids array<int>").collect()
-    spark.catalog.clearCache()
     return fit_noisy_or([(r["label"], r["n"], r["at"], r["ids"]) for r in met], features)
 
 
