@@ -339,6 +339,28 @@ def test_seating_is_within_bounds():
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
 
 
+def test_rare_contexts_decide_and_predictions_sum_to_one(spark):
+    rng = np.random.default_rng(8)
+    words = [f"r{i}" for i in range(1_500)]
+    rows = [(i, " ".join(f"{w} after{w}" for w in rng.choice(words, 60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = docs.where(common.held_out(F.col("doc_id"), pitman_yor.FOLDS))
+    model = pitman_yor.whole_model(docs.join(out, "doc_id", "left_anti"))
+    kept = range(pitman_yor.BURN_IN, pitman_yor.SWEEPS)
+    predicted = {r["key"]: 10 ** r["log_p"] for r in model.predicted.collect()}
+    contexts, root = model.contexts.collect(), model.words.collect()
+    assert len(contexts) > 2_500  # more than any 1,000 classes
+    for u in contexts[:40]:
+        before = np.full(len(root), u["before"], np.int64).view(np.uint64)
+        keys = pitman_yor.pair_key(before, np.array([w["after"] for w in root], np.int64).view(np.uint64)).view(np.int64).tolist()
+        p = [predicted.get(k, np.mean([u[f"a_{s}"] * w[f"p_{s}"] for s in kept])) for k, w in zip(keys, root)]
+        new = np.mean([u[f"a_{s}"] * f for s, f in zip(kept, model.fresh)])
+        assert sum(p) + new == pytest.approx(1, abs=1e-6)
+    found = pitman_yor.score(docs).where("held_out").toPandas()
+    # a word of some 10 in 15,000 is told by the word before it: half of the tokens are nearly sure
+    assert found["score"].sum() > 0.7 * found["base_score"].sum()
+
+
 # 7
 
 

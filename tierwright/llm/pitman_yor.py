@@ -1,31 +1,32 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Three levels share statistical strength. The base is uniform over the vocabulary. The root restaurant seats words
-without context: the ``CLASSES`` commonest tokens as dishes of their own and all other words as one dish "rare", with a
-restaurant of its own over the rare words. Each of these classes, as the token before, has a context restaurant whose
-parent is the root. A Gibbs sampler reseats the customers of the restaurants in turn, and predictive
-probabilities are averaged over its samples.
-
-All counts come from grouped aggregation over the whole training texts. What the sampler sees is bounded by the
-number of classes, not by the corpus: class pairs, and how many rare words have which count.
+Three levels share statistical strength. The base is uniform over the vocabulary. The root restaurant seats all words
+without context, each as a dish of its own. Every training token, as the token before, has a context restaurant whose
+parent is the root. A Gibbs sampler reseats the customers of the restaurants in turn, and predictive probabilities are
+averaged over its samples.
+
+All counts, those of (context, word) pairs too, come from grouped aggregation over the whole training texts. Context
+restaurants are seated in Spark tasks, row by row of the pair table; the totals of contexts and the counts of tables
+that the root receives are grouped sums. A pair met once has one table whatever is drawn, so only the others are
+reseated. Words and pairs go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .jaccard_join import STEP, mixed, word_hashes
 
 FOLDS = 5
-#: Tokens with a context restaurant of their own.
-CLASSES = 1_000
 #: Words whose counts go to every task; the counts of all others meet their tokens in a join.
 COMMON = 150_000
 SWEEPS, BURN_IN, SEED = 12, 4, 11
@@ -33,12 +34,11 @@ SWEEPS, BURN_IN, SEED = 12, 4, 11
 END = " "
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 300_000
-#: Counts up to this are told apart in the rare restaurant; above, within a hundredth of a natural logarithm.
-APART = 1_000
-
-
-def count_bin(c: F.Column) -> F.Column:
-    return F.when(c <= APART, c).otherwise(F.floor(F.log(c.cast("double")) * 100) + APART).cast("long")
+#: Tokens whose pairs a counting task holds before it passes them on, and pairs whose predictions go to every task; the
+#: predictions of all others meet their tokens in a join.
+HELD_TOKENS, COMMON_PAIRS = 2_000_000, 1_000_000
+#: END among the hashes of words, and rows that a task's output holds at a time.
+END_KEY, ROWS_OUT = np.uint64(0), 100_000
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -59,25 +59,43 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def class_pairs(train: DataFrame, classes: dict[str, int]) -> DataFrame:
-    """before, after and c of neighbouring classes; a text begins after END."""
-    rare, end = len(classes), classes[END]
-    size = rare + 1
+def followers(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every token's token before and of itself, and the tokens of each text; a text begins after END."""
+    raw = [t.encode("utf-8", "replace").lower() for t in texts]
+    h, begins = word_hashes(b" ".join(raw))
+    last = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in raw]))
+    after = np.insert(h, last, END_KEY)
+    return np.append(END_KEY, after[:-1]), after, np.diff(last, prepend=0) + 1
+
+
+def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before + STEP) + after)
+
+
+def pair_counts(train: DataFrame) -> DataFrame:
+    """before, after and c of all neighbouring tokens of whole texts, by their hashes; copies meet within a task."""
+
+    def tallied(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        before, after = (np.concatenate(x) for x in zip(*held))
+        _, at, n = np.unique(pair_key(before, after), return_index=True, return_counts=True)
+        before, after = before[at].view(np.int64), after[at].view(np.int64)
+        for k in range(0, len(n), ROWS_OUT):
+            part = slice(k, k + ROWS_OUT)
+            yield pd.DataFrame({"before": before[part], "after": after[part], "c": n[part]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size * size, np.int64)
+        held, size = [], 0
         for b in batches:
-            ids = [end]
-            for text in b["text"]:
-                ids += [classes.get(w, rare) for w in common.words_of(text)]
-                ids.append(end)
-            at = np.array(ids)
-            total += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
-        pair = np.flatnonzero(total)
-        if len(pair):
-            yield pd.DataFrame({"before": pair // size, "after": pair % size, "c": total[pair]})
+            before, after, _ = followers(b["text"])
+            held.append((before, after))
+            size += len(after)
+            if size > HELD_TOKENS:
+                yield from tallied(held)
+                held, size = [], 0
+        if held:
+            yield from tallied(held)
 
-    return train.select("text").mapInPandas(run, "before int, after int, c long").groupBy("before", "after").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInPandas(run, "before long, after long, c long").groupBy("before", "after").agg(F.sum("c").alias("c"))
 
 
 def seat(c: np.ndarray, p: np.ndarray, theta: np.ndarray, d: float, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -112,7 +130,7 @@ def strength(customers: np.ndarray, tables: np.ndarray, d: float, rng: np.random
 
 @dataclass
 class Model:
-    """Class predictions, and the rare restaurant's by bins of the count (bin 0: words never seen)."""
+    """A model that one process holds: class predictions, and the rare restaurant's by bins of the count (bin 0: words never seen)."""
 
     classes: dict[str, int]
     log_pair: np.ndarray
@@ -127,7 +145,7 @@ def discount(n1: int, n2: int) -> float:
 
 
 def sample(classes: dict[str, int], pairs: pd.DataFrame, bins: pd.DataFrame, vocabulary: int, tokens: int) -> Model:
-    """Gibbs sampling of the seating, and predictive probabilities averaged over the samples after burn-in.
+    """Gibbs sampling of the seating in one process, for small vocabularies; ``fit`` does it in Spark tasks.
 
     pairs: before, after, c. bins: bin, words, c (mean count of the bin's words) of the rare words.
     """
@@ -183,18 +201,133 @@ def sample(classes: dict[str, int], pairs: pd.DataFrame, bins: pd.DataFrame, voc
     )
 
 
-def fit(train: DataFrame) -> tuple[DataFrame, Model, pd.DataFrame]:
-    """The stored counts of all training words, the model, and the commonest words with their counts."""
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after eight steps up."""
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - sum(np.log(x + k) for k in range(8))
+
+
+def shared_strength(contexts: DataFrame, d: float, rng: np.random.Generator) -> float:
+    """``strength`` of all context restaurants (n, tables), whose terms are summed in tasks."""
+    grid = np.geomspace(0.1, 1000, 25)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(grid))
+        for b in batches:
+            n, t, m = (b[x].to_numpy(float) for x in ("n", "tables", "m"))
+            for i, th in enumerate(grid):
+                total[i] += (m * (t * np.log(d) + log_gamma(th / d + t) - log_gamma(th / d + 0 * t) - log_gamma(th + n) + log_gamma(th + 0 * n))).sum()
+        yield pd.DataFrame({"i": range(len(grid)), "score": total})
+
+    groups = contexts.groupBy("n", "tables").agg(F.count("*").alias("m"))
+    sums = {r["i"]: r["score"] for r in groups.mapInPandas(run, "i int, score double").groupBy("i").agg(F.sum("score").alias("score")).collect()}
+    score = np.array([sums.get(i, 0.0) for i in range(len(grid))]) - np.log(grid)
+    w = np.exp(score - score.max())
+    return float(rng.choice(grid, p=w / w.sum()))
+
+
+def reseated(rows: DataFrame, sweep: int, d: float, schema: str) -> DataFrame:
+    """``rows`` (c, t, p, theta, others and what else the schema has) after their customers were seated anew."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([SEED, sweep, part])
+        for b in batches:
+            c, others = b["c"].to_numpy(np.int64), b["others"].to_numpy(float)
+            b["t"] = seat(c, b["p"].to_numpy(float), b["theta"].to_numpy(float), d, others, rng)
+            yield b[names]
+
+    return rows.mapInPandas(run, schema)
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table (key, n, ...): a small one is broadcast, and of others the part with the greatest n."""
+    if table.limit(COMMON + 1).count() <= COMMON:
+        return rows.join(F.broadcast(table.drop("n")), key, how)
+    cut = table.select("n").orderBy(F.desc("n")).limit(COMMON).agg(F.min("n")).first()[0]
+    hot, cold = table.where(F.col("n") > cut).drop("n"), table.where(F.col("n") <= cut).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
+@dataclass
+class Fitted:
+    """Stored tables of the whole model, by hashes.
+
+    predicted: key, c and log_p of each training pair. contexts: before, n and, of each kept sample, a_k: what the context
+    leaves to the root. words: after, n and, of each kept sample, p_k: the root's prediction. fresh: p_k of a new word.
+    """
+
+    predicted: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    fresh: list[float]
+
+
+def whole_model(train: DataFrame) -> Fitted:
+    """Gibbs sampling of the seating of all pairs, and predictions averaged over the samples after burn-in."""
+    rng, kept = np.random.default_rng(SEED), range(BURN_IN, SWEEPS)
+    pairs = common.stored(pair_counts(train), "pair-counts")
+    once = F.sum((F.col("c") == 1).cast("long")).alias("ones")
+    contexts = common.stored(pairs.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("tables"), once), "contexts")
+    words = common.stored(pairs.groupBy("after").agg(F.sum("c").alias("n"), F.count("*").alias("c"), once).withColumn("t", F.lit(1).cast("long")), "words")
+    found = pairs.agg(*(F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (1, 2))).first()
+    d, d_root, theta, theta_root = discount(found["n1"], found["n2"]), 0.5, 1.0, 1.0
+    base = 1 / (words.count() + 1)
+    p_root, all_t = F.lit(base), words.count()
+    thetas, fresh, state = {}, [], pairs.where("c > 1").select("before", "after", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("b"))
+    for sweep in range(SWEEPS):
+        # what the last sample predicts is added up as its rows meet their contexts' sizes
+        last = (F.col("c") - d * F.col("t")) / (theta + F.col("size")) if sweep - 1 in kept else F.lit(0.0)
+        rows = met(state, contexts.select("before", "n", F.col("n").alias("size"), "tables"), "before")
+        rows = met(rows, words.select("after", "n", p_root.alias("p")), "after")
+        rows = rows.select("before", "after", "c", (F.col("b") + last).alias("b"), "p", F.lit(theta).alias("theta"), (F.col("tables") - F.col("t")).alias("others"))
+        state = common.stored(reseated(rows, sweep, d, "before long, after long, c long, t long, b double"), f"seats-{sweep}")
+        sent = state.groupBy("before").agg(F.sum("t").alias("more"))
+        tables = (F.col("ones") + F.coalesce("more", F.lit(0))).alias("tables")
+        kept_a = [f"a_{k}" for k in kept if k < sweep]
+        contexts = common.stored(contexts.drop("tables").join(sent, "before", "left").select("before", "n", "ones", tables, *kept_a), f"contexts-{sweep}")
+        theta = shared_strength(contexts, d, rng)
+        if sweep in kept:
+            thetas[sweep] = theta
+            contexts = contexts.withColumn(f"a_{sweep}", (theta + d * F.col("tables")) / (theta + F.col("n")))
+        arrived = state.groupBy("after").agg(F.sum("t").alias("more"))
+        kept_p = [f"p_{k}" for k in kept if k < sweep]
+        root = words.drop("c").join(arrived, "after", "left").select("after", "n", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), (F.lit(all_t) - F.col("t")).alias("others"), F.lit(base).alias("p"), F.lit(theta_root).alias("theta"), *kept_p)
+        words = common.stored(reseated(root, SWEEPS + sweep, d_root, ", ".join(["after long, n long, ones long, c long, t long", *(f"{x} double" for x in kept_p)])), f"words-{sweep}")
+        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+        all_c, all_t = total["c"], total["t"]
+        theta_root = strength(np.array([all_c]), np.array([all_t]), d_root, rng)
+        new = (theta_root + d_root * all_t) * base / (theta_root + all_c)
+        p_root = (F.col("c") - d_root * F.col("t")) / (theta_root + all_c) + new
+        if sweep in kept:
+            fresh.append(new)
+            words = words.withColumn(f"p_{sweep}", p_root)
+    contexts, words = common.stored(contexts, "context-samples"), common.stored(words, "word-samples")
+    of_last = F.col("b") + (F.col("c") - d * F.col("t")) / (theta + F.col("n_before"))
+    of_one = sum((F.lit(1 - d) / (th + F.col("n_before")) for th in thetas.values()), F.lit(0.0))
+    each = state.select("before", "after", "c", "t", "b").unionByName(pairs.where("c = 1").select("before", "after", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("b")))
+    each = met(each, contexts.select("before", "n", F.col("n").alias("n_before"), *(f"a_{k}" for k in kept)), "before")
+    each = met(each, words.select("after", "n", *(f"p_{k}" for k in kept)), "after")
+    p = sum((F.col(f"a_{k}") * F.col(f"p_{k}") for k in kept), F.lit(0.0)) + F.when(F.col("c") > 1, of_last).otherwise(of_one)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            key = pair_key(b["before"].to_numpy(np.int64).view(np.uint64), b["after"].to_numpy(np.int64).view(np.uint64))
+            yield pd.DataFrame({"key": key.view(np.int64), "c": b["c"], "log_p": b["log_p"]})
+
+    log_p = F.log10(p / len(kept)).alias("log_p")
+    predicted = each.select("before", "after", "c", log_p).mapInPandas(keyed, "key long, c long, log_p double")
+    return Fitted(common.stored(predicted, "predictions"), contexts, words, fresh)
+
+
+def fit(train: DataFrame) -> tuple[DataFrame, Fitted, pd.DataFrame, int, int]:
+    """The stored counts of all training words, the model, the commonest words with their counts, and how many words and tokens."""
     counts = common.stored(word_counts(train), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(COMMON).toArrow().to_pandas()
-    leading = [w for w in top["word"][:CLASSES] if w != END]
-    classes = {w: i for i, w in enumerate([END, *leading])}
-    pairs = class_pairs(train, classes).toArrow().to_pandas()
-    own = train.sparkSession.createDataFrame([(w,) for w in classes], "word string")
-    rare = counts.join(F.broadcast(own), "word", "left_anti")
-    bins = rare.groupBy(count_bin(F.col("c")).alias("bin")).agg(F.count("*").alias("words"), F.avg("c").alias("c")).orderBy("bin").toArrow().to_pandas()
-    return counts, sample(classes, pairs, bins, total["v"], total["n"]), top
+    return counts, whole_model(train), top, total["v"], total["n"]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -204,45 +337,57 @@ def score(docs: DataFrame) -> DataFrame:
     Without training tokens all words are unknown and the model is uniform. Other columns are not looked at.
     """
     rows = common.in_small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"), common.held_out(docs["doc_id"], FOLDS).alias("held_out"))
-    counts, model, top = fit(rows.where(~F.col("held_out")))
-    n, v = model.tokens, model.vocabulary
+    counts, model, top, v, n = fit(rows.where(~F.col("held_out")))
     floor = float(n + 0.5 * (v + 1))
-    known = top["c"].to_numpy()
-    bins = np.where(known <= APART, known, np.floor(np.log(np.maximum(known, 1)) * 100) + APART).astype(np.int64)
-    rare_log = dict(zip(model.rare_bins.tolist(), model.rare_log.tolist()))
-    class_of = np.array([model.classes.get(w, len(model.classes)) for w in top["word"]], np.int64)
-    rare_of = np.array([0.0 if k < len(model.classes) else rare_log[b] for k, b in zip(class_of.tolist(), bins.tolist())])
-    shared = docs.sparkSession.sparkContext.broadcast((top["word"].tolist(), known, class_of, rare_of, model.log_pair.astype(np.float32), model.classes[END]))
+    best = model.predicted.orderBy(F.desc("c"), "key").limit(COMMON_PAIRS).select("key", "log_p").toArrow().to_pandas().sort_values("key")
+    shared = docs.sparkSession.sparkContext.broadcast((top["word"].tolist(), top["c"].to_numpy(), best["key"].to_numpy(np.int64), best["log_p"].to_numpy(float)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, c, cls, rare, log_pair, end = shared.value
+        words, c, keys, log_p = shared.value
         number = {w: i for i, w in enumerate(words)}
-        base, other = np.log10((c + 0.5) / floor), len(log_pair) - 1
+        base = np.log10((c + 0.5) / floor)
         end_base = base[number[END]] if END in number else np.log10(0.5 / floor)
         get = number.get
         for b in batches:
+            before, after, sizes = followers(b["text"])
+            of = np.repeat(np.arange(len(b)), sizes)
+            key = pair_key(before, after).view(np.int64)
+            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            known = np.bincount(of[hit], log_p[at[hit]], len(b)) if hit.any() else np.zeros(len(b))
             out = []
-            for uid, doc, text in zip(b["uid"].to_numpy(), b["doc_id"], b["text"]):
+            for uid, doc, text, of_pairs in zip(b["uid"].to_numpy(), b["doc_id"], b["text"], known.tolist()):
                 tokens = common.words_of(text)
                 at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
                 seen = at[at >= 0]
-                path = np.full(len(at) + 2, end)
-                path[1:-1] = np.where(at >= 0, cls[at], other) if len(cls) else other
-                out.append((uid, doc, None, 1, len(at) + 1, len(seen) + (END in number), base[seen].sum() + end_base, log_pair[path[:-1], path[1:]].sum(dtype=float) + rare[seen].sum()))
+                out.append((uid, doc, None, 1, len(at) + 1, len(seen) + (END in number), base[seen].sum() + end_base, of_pairs))
                 if len(seen) < len(at):
                     left = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
                     out += [(uid, None, w, k, 0, 0, 0.0, 0.0) for w, k in left.items()]
-            yield pd.DataFrame(out, columns=["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "model"]).astype({"doc_id": "Int64"})
-
-    # a row's number joins what its task says of common words with what the join finds of the others
-    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    parts = common.stored(numbered.mapInPandas(run, "uid long, doc_id long, word string, k long, n_tokens long, n_known long, base double, model double"), "scored-parts")
+            frame = pd.DataFrame(out, columns=["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "model"]).astype({"doc_id": "Int64"})
+            yield frame.assign(**{x: pd.array([None] * len(frame), "Int64") for x in ("key", "before", "after")})
+            miss = np.flatnonzero(~hit)
+            out_of_training = b["held_out"].to_numpy(bool)
+            for k in range(0, len(miss), ROWS_OUT):
+                m = miss[k : k + ROWS_OUT]
+                seen_all = ~out_of_training[of[m]]  # a training text's pairs are all in the table
+                side = lambda x, m=m, seen_all=seen_all: pd.arrays.IntegerArray(x[m].view(np.int64).copy(), seen_all.copy())
+                part = pd.DataFrame({"uid": b["uid"].to_numpy()[of[m]], "doc_id": pd.array([None] * len(m), "Int64"), "word": None, "k": 1, "n_tokens": 0, "n_known": 0, "base": 0.0, "model": 0.0})
+                yield part.assign(key=pd.array(key[m], "Int64"), before=side(before), after=side(after))
+
+    # a row's number joins what its task says of common words and pairs with what the joins find of the others
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "held_out")
+    parts = common.stored(numbered.mapInPandas(run, "uid long, doc_id long, word string, k long, n_tokens long, n_known long, base double, model double, key long, before long, after long"), "scored-parts")
     others = parts.where("word IS NOT NULL").select("uid", "word", "k").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    f = docs.sparkSession.createDataFrame(pd.DataFrame({"bin": model.rare_bins, "f": model.rare_log}))  # some thousand bins at most
-    met = others.withColumn("bin", count_bin(c)).join(F.broadcast(f), "bin")
-    tail = met.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known_2"), F.sum(F.col("k") * F.log10((c + 0.5) / floor)).alias("base_2"), F.sum(F.col("k") * F.col("f")).alias("model_2"))
-    whole = parts.where("word IS NULL").join(tail, "uid", "left").select(
+    tail = others.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known_2"), F.sum(F.col("k") * F.log10((c + 0.5) / floor)).alias("base_2"))
+    tokens = common.stored(parts.where("key IS NOT NULL").select("uid", "key", "before", "after").join(model.predicted.select("key", "log_p"), "key", "left").select("uid", "before", "after", "log_p"), "rare-tokens")
+    kept = range(BURN_IN, SWEEPS)
+    unseen = met(tokens.where("log_p IS NULL").drop("log_p"), model.contexts.select("before", "n", *(f"a_{k}" for k in kept)), "before", "left")
+    unseen = met(unseen, model.words.select("after", "n", *(f"p_{k}" for k in kept)), "after", "left")
+    p = sum((F.coalesce(f"a_{k}", F.lit(1.0)) * F.coalesce(f"p_{k}", F.lit(new)) for k, new in zip(kept, model.fresh)), F.lit(0.0)) / len(kept)
+    rare = tokens.where("log_p IS NOT NULL").select("uid", "log_p").unionByName(unseen.select("uid", F.log10(p).alias("log_p"))).groupBy("uid").agg(F.sum("log_p").alias("model_2"))
+    whole = parts.where("word IS NULL AND key IS NULL").join(tail, "uid", "left").join(rare, "uid", "left").select(
         "doc_id",
         common.held_out(F.col("doc_id"), FOLDS).alias("held_out"),
         "n_tokens",
