@@ -259,6 +259,22 @@ def test_jaccard_on_documents_equals_brute_force(documents):
     assert {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.join(documents, 3, 90)).items()} == brute_components(texts, 3, 90)
 
 
+@pytest.mark.parametrize("block", [7, 500])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = near_copies(3, 2, 40, 6)
+    sets = {}
+    for i, x in texts.items():
+        w = x.split()
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+    kinds = {*sets.values()}
+    near = lambda a, b: 100 * len(a & b) >= 90 * len(a | b)
+    want = {i: sum(near(a, b) for b in kinds if b and b != a) if a else 0 for i, a in sets.items()}
+    assert max(want.values()) > 5
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {i: r.links for i, r in by_id(jaccard_join.join(docs, 3, 90)).items()} == want
+
+
 def test_components_of_a_path_and_of_a_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)], "a long, b long")
     found = {r.node: r.component for r in components.components(links).collect()}

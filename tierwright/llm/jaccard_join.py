@@ -27,6 +27,8 @@ COMMON, KNOWN = 24, 400_000
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8), 40.0
 #: Rows of a batch that a task works on at a time, where their sets are large beside their texts.
 TOGETHER = 500
+#: Classes of a component that are compared with as many others in one memory.
+BLOCK = 500
 HEAVY = np.uint64(1 << 63)
 #: Bytes of texts whose words are hashed side by side; words of more than this many bytes are hashed one by one.
 HELD_BYTES, LONG_WORD = 1 << 20, 64
@@ -151,20 +153,29 @@ def first_share(n: int, percent: int) -> int:
     return -(-n * (100 - percent) * 3 // 200) + 2
 
 
+def signature(s: np.ndarray) -> tuple[int, int, int]:
+    """n, s1 and s2, which name a set."""
+    return len(s), int(s.sum(dtype=np.uint64)), int(mixed(s).sum(dtype=np.uint64))
+
+
+def signed(rows: list[tuple[int, int, int]]) -> dict[str, np.ndarray]:
+    t = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
+    return {"n": t[:, 0], "s1": t[:, 1], "s2": t[:, 2]}
+
+
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The stored (doc, n, s1, s2, firsts) of every row; s1 and s2 name the set, firsts are its first elements."""
+    """The stored (doc, x, n, s1, s2, firsts) of every row; s1 and s2 name the set, firsts are its first elements."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for b in batches:
             out, firsts = [], []
             for s in shingler.sets(b["text"]):
-                out.append((len(s), int(s.sum(dtype=np.uint64)), int(mixed(s).sum(dtype=np.uint64))))
+                out.append(signature(s))
                 firsts.append(s[: first_share(len(s), percent)].astype("<u8").tobytes() if len(s) else b"")
-            t = np.array(out, np.uint64).reshape(-1, 3).astype(np.int64)
-            yield pd.DataFrame({"doc": b["doc"], "n": t[:, 0], "s1": t[:, 1], "s2": t[:, 2], "firsts": firsts})
+            yield pd.DataFrame({"doc": b["doc"].to_numpy(), "x": b["x"].to_numpy()} | signed(out) | {"firsts": firsts})
 
-    return common.stored(docs.mapInPandas(name, "doc long, n long, s1 long, s2 long, firsts binary"), "signatures")
+    return common.stored(docs.mapInPandas(name, "doc long, x long, n long, s1 long, s2 long, firsts binary"), "signatures")
 
 
 def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +219,7 @@ def frequent(named: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
                 keep.append(bool(common_ones) and len(s) - common_ones < n - least_overlap(n, percent) + 1)
             yield b.loc[keep, ["doc"]]
 
-    dense = named.select("doc", "n", "firsts").join(classes.select(F.col("class").alias("doc")), "doc", "left_semi").mapInPandas(lacking, "doc long")
+    dense = named.select("doc", "n", "firsts").join(classes.select(F.col("class").alias("doc")).distinct(), "doc", "left_semi").mapInPandas(lacking, "doc long").distinct()
     dense = common.sized(common.stored(dense, "dense-documents"), 500_000)
 
     def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +242,23 @@ def heavy_table(common_ones: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([hashes[by_hash], rank[by_hash]]), df[order].astype(float)
 
 
-def verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def whole_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The stored (doc, set) of the classes that ``wanted`` (doc) names; texts that share an id are told apart by their sets."""
+    chosen = classes.join(common.sized(wanted, 500_000), "doc", "left_semi")
+    holders = common.sized(chosen.select(F.col("class").alias("doc")).distinct(), 500_000)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for b in pieces(batches):
+            sets = [*shingler.sets(b["text"])]
+            yield pd.DataFrame(signed([signature(s) for s in sets]) | {"set": [s.view(np.int64) for s in sets]})
+
+    sets = texts.join(holders, "doc", "left_semi").select("text").mapInPandas(whole, "n long, s1 long, s2 long, set array<long>")
+    own = common.sized(chosen.select("n", "s1", "s2", "doc"), 500_000)
+    return common.stored(sets.join(own, ["n", "s1", "s2"]).select("doc", "set").dropDuplicates(["doc"]), "candidate-sets")
+
+
+def verified(pairs: DataFrame, prefixes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: first by their prefixes, where these rule them out, then whole."""
     of = lambda t, side, *cs: t.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cs))
 
@@ -249,14 +276,7 @@ def verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, words: int
 
     pairs = pairs.join(of(prefixes, "a", "n", "lead"), "a").join(of(prefixes, "b", "n", "lead"), "b")
     pairs = common.stored(pairs.select("a", "b", "n_a", "n_b", "lead_a", "lead_b").mapInPandas(possible, "a long, b long"), "possible-pairs")
-    wanted = common.sized(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), 500_000)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for b in pieces(batches):
-            yield pd.DataFrame({"doc": b["doc"].to_numpy(), "set": [s.view(np.int64) for s in shingler.sets(b["text"])]})
-
-    sets = common.stored(texts.join(wanted, "doc", "left_semi").mapInPandas(whole, "doc long, set array<long>"), "candidate-sets")
+    sets = whole_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), classes, texts, words)
     both = pairs.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b")
     met = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     similar = (F.col("shared") > 0) & (F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent)
@@ -272,20 +292,89 @@ def room(n: str, m: F.Column, percent: int) -> F.Column:
     return F.col(n) - F.ceil((F.col(n) + m) * percent / (100 + percent))
 
 
+def similar_within(sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
+    """How many sets of the other side each set is similar to; without another side (all are left), of all others."""
+    size = np.array([len(s) for s in sets])
+    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(at, kind="stable")
+    by_element, begins = owner[order], np.cumsum(df) - df
+    found, ends = np.zeros(len(sets), np.int64), np.cumsum(size)
+    both = not left.all()
+    for i in np.flatnonzero(left).tolist():
+        mine = at[ends[i] - size[i] : ends[i]]
+        n = df[mine]
+        places = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        overlap = np.bincount(by_element[places], minlength=len(sets))
+        similar = overlap * 100 >= (size[i] + size - overlap) * percent
+        similar &= overlap > 0
+        similar[i] = False
+        if both:
+            similar &= ~left
+            found += similar
+        found[i] += similar.sum()
+    return found
+
+
+def degrees(places: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc and links: how many classes each is similar to, for all classes in components (node, component).
+
+    Similar classes share a component. Its classes are dealt over blocks of some BLOCK, and every two blocks are compared
+    in one task's memory, which returns counts only.
+    """
+    sets = whole_sets(places.select(F.col("node").alias("doc")), classes, texts, words)
+    blocks = places.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = places.join(blocks, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    dealt = members.join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "set")
+    key = ["component", "lo", "hi"]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def links() -> pd.DataFrame:
+            g = pd.concat(held)
+            n = similar_within([np.asarray(s) for s in g["set"]], (g["own"] == g["lo"]).to_numpy(), percent)
+            return pd.DataFrame({"doc": g["doc"].to_numpy(), "links": n})
+
+        for b in batches:
+            for _, part in b.groupby(key, sort=False):
+                if held and tuple(held[-1][key].iloc[-1]) != tuple(part[key].iloc[0]):
+                    yield links()
+                    held.clear()
+                held.append(part)
+        if held:
+            yield links()
+
+    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(count, "doc long, links long")
+    return near.groupBy("doc").agg(F.sum("links").alias("links"))
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and links of every row of ``docs``.
 
     Sets of ``words``-word shingles link when their Jaccard similarity is at least ``percent`` hundredths.
     component_id is the smallest doc_id that links lead to. class_id is the smallest doc_id with an equal set. links is
-    the number of verified links of the class, copies of it apart; it counts those that the components needed.
+    the number of other classes that the class is similar to; copies of it are not counted.
     A text without words, empty or null, has no shingles and is linked with nothing, not even its likes. A null id
-    is an id like others. Rows that share an id but not the text are rows of their own, but only one of their texts is
-    compared with other documents. Other columns are not looked at.
+    is an id like others. Rows that share an id but not the text are rows of their own. Other columns are not looked at.
+    """
+    rows = linked(docs, words, percent)
+    id_of = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
+    return rows.select(id_of("doc").alias("doc_id"), F.col("n").alias("n_shingles"), id_of("component_id").alias("component_id"), id_of("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True) -> DataFrame:
+    """doc, x (the text's hash), n, class, component_id and part of every row, and links where they are to be counted.
+
+    Classes of equal sets have numbers of their own; ids name them in the result only. part is the component's number,
+    null for texts without words.
     """
     spark = common.in_small_batches(docs).sparkSession
-    texts = docs.select(common.key_of(docs).alias("doc"), common.text_of(docs).alias("text"))
+    texts = docs.select(common.key_of(docs).alias("doc"), common.text_of(docs).alias("text"), F.xxhash64(common.text_of(docs)).alias("x"))
     named = signatures(texts, words, percent)
-    classes = common.stored(named.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class")), "classes")
+    classes = named.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"))
+    classes = common.stored(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
     heavy, df_of_rank = heavy_table(frequent(named, classes, texts, words, percent))
     shared = spark.sparkContext.broadcast((heavy, df_of_rank))
 
@@ -293,18 +382,21 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         table, df = shared.value
         shingler, weight = Shingler(words), np.log2(np.maximum(df, 1))
         for b in batches:
-            out = []
-            for doc, s in zip(b["doc"].to_numpy(), shingler.sets(b["text"])):
+            out, names = [], []
+            for s in shingler.sets(b["text"]):
                 keys = keys_under(s, table)
                 if len(keys):
                     l = surplus(keys, df, percent)
                     common_ones = (keys[keys >= HEAVY] ^ HEAVY).astype(np.int64)
                     length = len(keys) - least_overlap(len(keys), percent) + l
-                    out.append((doc, len(keys), l, float(weight[common_ones].sum()) / len(keys), keys[:length].astype("<u8").tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "n", "l", "density", "lead"])
+                    names.append(signature(s))
+                    out.append((l, float(weight[common_ones].sum()) / len(keys), keys[:length].astype("<u8").tobytes()))
+            yield pd.DataFrame(out, columns=["l", "density", "lead"]).assign(**signed(names))
 
-    leads = texts.mapInPandas(lead, "doc long, n long, l int, density double, lead binary")
-    prefixes = common.stored(leads.join(classes.select(F.col("class").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"]), "prefixes")
+    leads = texts.join(common.sized(classes.select(F.col("class").alias("doc")).distinct(), 500_000), "doc", "left_semi")
+    leads = leads.select("text").mapInPandas(lead, "n long, s1 long, s2 long, l int, density double, lead binary")
+    prefixes = leads.join(classes.drop("class"), ["n", "s1", "s2"]).select("doc", "n", "l", "density", "lead").dropDuplicates(["doc"])
+    prefixes = common.stored(prefixes, "prefixes")
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -329,7 +421,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("m"), F.col("h.alone").alias("hub_alone"))
     stars = lists.join(hubs, "key").where((F.col("doc") != F.col("hub")) & similar_sizes("n", "m", percent) & (F.col("alone") <= room("n", F.col("m"), percent)) & (F.col("hub_alone") <= room("m", F.col("n"), percent)))
     stars = stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    near = verified(stars, prefixes, texts, words, percent)
+    near = verified(stars, prefixes, classes, texts, words, percent)
     place = components(near)
 
     apart = lists.join(place.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", "l", "alone", F.coalesce("component", "doc").alias("part"))
@@ -341,17 +433,17 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     enough = (F.col("alone_x") <= room("n_x", F.col("n_y"), percent)) & (F.col("alone_y") <= room("n_y", F.col("n_x"), percent))
     met = x.join(y, "key").where(once & similar_sizes("n_x", "n_y", percent) & enough)
     counted = met.groupBy(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l_x", "l_y")).alias("least"))
-    far = verified(counted.where("met >= least").select("a", "b"), prefixes, texts, words, percent)
+    far = verified(counted.where("met >= least").select("a", "b"), prefixes, classes, texts, words, percent)
 
     links = near.union(far)
-    final = components(links).select(F.col("node").alias("class"), "component")
-    degree = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("links"))
-    of_class = classes.join(final, "class", "left").join(degree, "class", "left")
-    rows = named.select("doc", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    id_of = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
-    return rows.withColumn("class", F.coalesce("class", "doc")).withColumn("component", F.coalesce("component", "class")).select(
-        id_of("doc").alias("doc_id"), F.col("n").alias("n_shingles"), id_of("component").alias("component_id"), id_of("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    final = components(links)
+    of_class = classes.join(final.select(F.col("node").alias("doc"), F.col("component")), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    if count_links:
+        of_class = of_class.join(degrees(final, classes, texts, words, percent), "doc", "left")
+    names = of_class.where("component IS NOT NULL").groupBy("component").agg(F.min("class").alias("name"))
+    of_class = of_class.join(names, "component", "left").withColumn("component_id", F.coalesce("name", "class")).drop("component", "name", "doc")
+    rows = named.select("doc", "x", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
+    return rows.withColumn("class", F.coalesce("class", "doc")).withColumn("component_id", F.coalesce("component_id", "doc"))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
