@@ -275,6 +275,15 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert {i: r.links for i, r in by_id(jaccard_join.join(docs, 3, 90)).items()} == want
 
 
+def test_texts_that_share_an_id_are_compared_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, c + " end"), (None, "quite another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in jaccard_join.distinct_documents(docs).collect()}
+    assert {(5, b), (3, a + " end"), rows[5]} < left and (5, a) not in left
+    assert len(left) == 4 and len(left & {rows[3], rows[4]}) == 1
+
+
 def test_components_of_a_path_and_of_a_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)], "a long, b long")
     found = {r.node: r.component for r in components.components(links).collect()}

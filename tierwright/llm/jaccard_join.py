@@ -447,10 +447,14 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that come first, by doc_id, in their component, with all their columns."""
-    found = join(docs, words, percent)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("drop_key")).distinct()
-    return docs.join(dropped, common.key_of(docs) == dropped["drop_key"], "left_anti")
+    """The rows of ``docs`` that come first in their component, by doc_id and then the text's hash, with all their columns.
+
+    Texts without words are all kept.
+    """
+    found = common.stored(linked(docs, words, percent, count_links=False).where("part IS NOT NULL").select("part", "doc", "x"), "linked")
+    first = found.groupBy("part").agg(F.min(F.struct("doc", "x")).alias("first"))
+    dropped = found.join(first, "part").where(F.struct("doc", "x") != F.col("first")).select(F.col("doc").alias("drop_key"), F.col("x").alias("drop_x")).distinct()
+    return docs.join(dropped, (common.key_of(docs) == dropped["drop_key"]) & (F.xxhash64(common.text_of(docs)) == dropped["drop_x"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
