@@ -506,3 +506,16 @@ def test_proximity_matches(spark):
     assert {r.doc for r in decontaminate.near_occurrences(index, pattern, 0).collect()} == {1}
     assert {r.doc for r in decontaminate.near_occurrences(index, pattern, 1).collect()} == {1, 2}
     assert {r.doc for r in decontaminate.near_occurrences(index, pattern, 6).collect()} == {1, 2, 3}
+
+
+def test_texts_that_share_an_id_are_searched_each(spark):
+    half = [" ".join(LOREM.split()[:5]), " ".join(["x"] * 5 + LOREM.split()[5:10])]
+    whole = " ".join(LOREM.split()[:10])
+    rows = [(None, half[0]), (None, half[1]), (7, half[0]), (7, half[1]), (None, whole), (8, whole), (8, "fine"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, whole)], "item_id long, text string")
+    found = decontaminate.decontaminate(docs, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in found if r.contaminated) == [("8", 10, 10), ("None", 10, 10)]
+    assert len(found) == len(rows) and all(r.n_hit <= r.n_words for r in found)
+    left = sorted(map(repr, (tuple(r) for r in decontaminate.clean_documents(docs, items).collect())))
+    assert left == sorted(map(repr, [r for r in rows if r[1] != whole]))

@@ -42,17 +42,24 @@ def windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
     return each.select(F.xxhash64(F.concat_ws(" ", "terms"), F.size("terms")).alias("win_id"), "terms", F.col("item_id").cast("string").alias("item_id"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def row_key(docs: DataFrame) -> F.Column:
+    """What tells texts apart that share an id, null or not; rows that repeat both the id and the text are one."""
+    return F.xxhash64(common.key_of(docs), docs["text"].cast("string"))
+
+
+def build_index(docs: DataFrame, vocabulary: DataFrame, key: F.Column | None = None) -> DataFrame:
     """The stored postings (term_id, doc, pos) of the vocabulary's terms in whole texts, and each document's end mark.
 
-    ``vocabulary`` has term. A null text holds the end mark only; a null id becomes ``common.NO_ID``.
+    ``vocabulary`` has term. ``doc`` is the key, the id by default; end marks have the id as doc_id. A null text holds
+    the end mark only; a null id becomes ``common.NO_ID``.
     """
     vocabulary = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(END,)], "term string"))
     vocabulary = vocabulary.select("term", F.lower("term").alias("folded"), term_id("term").alias("term_id"))
-    tokens = docs.select(common.key_of(docs).alias("doc"), F.posexplode(F.concat(words_of(docs["text"].cast("string")), F.array(F.lit(END)))).alias("pos", "word"))
+    key = common.key_of(docs) if key is None else key
+    tokens = docs.select(key.alias("doc"), common.key_of(docs).alias("doc_id"), F.posexplode(F.concat(words_of(docs["text"].cast("string")), F.array(F.lit(END)))).alias("pos", "word"))
     # lower() also folds letters outside ASCII, so equality under it only proposes; the term itself decides
     same = (F.lower("word") == F.col("folded")) & ((F.col("word") == F.col("term")) | (common.ascii_lower(F.col("word")) == F.col("term")))
-    postings = tokens.join(common.sized(vocabulary, SMALL), same).select("term_id", "doc", "pos")
+    postings = tokens.join(common.sized(vocabulary, SMALL), same).select("term_id", "doc", "pos", F.when(F.col("word") == END, F.col("doc_id")).alias("doc_id"))
     return common.stored(postings.sortWithinPartitions("term_id", "doc", "pos"), "postings")
 
 
@@ -122,19 +129,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row for each row of ``docs``.
 
     A null or empty text, or one without words, has no hits; so has every document if there are no items. Rows that
-    share a doc_id are taken as one document: each gets their joint hits. A null id is an id like others. Items with
-    a null id count as items without a name in the list of ids. Other columns are not looked at.
+    share a doc_id, or have none, are documents of their own. Items with a null id count as items without a name in
+    the list of ids. Other columns are not looked at.
     """
+    return judged(docs, items, length).drop("doc")
+
+
+def judged(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """``decontaminate`` with the key of each row as doc."""
     patterns = windows(items, length)
     different = common.stored(patterns.groupBy("win_id").agg(F.first("terms").alias("terms")), "windows")
-    index = build_index(docs, different.select(F.explode("terms").alias("term")).distinct())
+    index = build_index(docs, different.select(F.explode("terms").alias("term")).distinct(), row_key(docs))
     found = common.stored(occurrences(index, different), "occurrences")
     named = found.select("doc", "win_id").distinct().join(patterns.select("win_id", "item_id").distinct(), "win_id").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    ends = index.where(F.col("term_id") == F.xxhash64(F.lit(END))).select("doc", F.col("pos").cast("long").alias("n_words"))
+    ends = index.where(F.col("term_id") == F.xxhash64(F.lit(END))).select("doc", "doc_id", F.col("pos").cast("long").alias("n_words"))
     whole = reduce(lambda a, b: a.join(b, "doc", "left"), [ends, covered_words(found), named])
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return whole.select(
-        F.when(F.col("doc") != common.NO_ID, F.col("doc")).alias("doc_id"),
+        "doc",
+        F.when(F.col("doc_id") != common.NO_ID, F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
@@ -145,8 +158,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    hit = decontaminate(docs, items).where("contaminated").select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("hit_key")).distinct()
-    return docs.join(hit, common.key_of(docs) == hit["hit_key"], "left_anti")
+    hit = judged(docs, items, WINDOW).where("contaminated").select(F.col("doc").alias("hit_key")).distinct()
+    return docs.join(hit, row_key(docs) == hit["hit_key"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
