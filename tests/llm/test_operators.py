@@ -519,3 +519,21 @@ def test_texts_that_share_an_id_are_searched_each(spark):
     assert len(found) == len(rows) and all(r.n_hit <= r.n_words for r in found)
     left = sorted(map(repr, (tuple(r) for r in decontaminate.clean_documents(docs, items).collect())))
     assert left == sorted(map(repr, [r for r in rows if r[1] != whole]))
+
+
+def test_near_matches_are_returned_for_whole_tables(spark):
+    w = LOREM.split()[:10]
+    moved = [*w[:4], "inserted", *w[4:]]
+    rows = [(1, " ".join(w)), (2, " ".join(moved)), (3, " ".join(w[:9])), (4, None), (None, " ".join(moved)), (5, " ".join([*w[:3], *"a b c d e f".split(), *w[3:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "never there"), (3, " ".join(w))], "item_id long, text string")
+    found = sorted((str(r.doc_id), r.n_near, r.near_items) for r in decontaminate.near_matches(docs, items).collect())
+    assert found == [("1", 1, "1,3"), ("2", 1, "1,3"), ("3", 0, ""), ("4", 0, ""), ("5", 0, ""), ("None", 1, "1,3")]
+    exact = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, items).collect()}
+    assert exact[1] == 10 and exact[2] == 0
+
+
+def test_near_matches_are_a_query():
+    from tierwright.llm import queries
+
+    assert queries.queries()["op10_near_matches"] is decontaminate.near_query

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
+#: Words by which a term may stand off its place in a proximity match.
+SLOP = 2
 #: The lists of this many rarest terms are intersected one after the other, the others together.
 RAREST = 3
 #: Rows up to which a side is broadcast, after a count.
@@ -156,6 +158,26 @@ def judged(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     )
 
 
+def near_matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_near and near_items, one row for each row of ``docs``: proximity matches, exact ones among them.
+
+    n_near is the number of different windows of items all of whose terms stand within ``slop`` words of their places;
+    near_items are those items' ids as text, sorted and divided by commas. Rows and ids are taken as in ``decontaminate``.
+    """
+    patterns = windows(items, length)
+    different = common.stored(patterns.groupBy("win_id").agg(F.first("terms").alias("terms")), "windows")
+    index = build_index(docs, different.select(F.explode("terms").alias("term")).distinct(), row_key(docs))
+    found = common.stored(near_occurrences(index, different, slop).select("doc", "win_id").distinct(), "near-occurrences")
+    named = found.join(patterns.select("win_id", "item_id").distinct(), "win_id").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    ends = index.where(F.col("term_id") == F.xxhash64(F.lit(END))).select("doc", "doc_id")
+    whole = ends.join(found.groupBy("doc").agg(F.count("*").alias("n_near")), "doc", "left").join(named, "doc", "left")
+    return whole.select(
+        F.when(F.col("doc_id") != common.NO_ID, F.col("doc_id")).alias("doc_id"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.concat_ws(",", F.coalesce("item_ids", F.array().cast("array<string>"))).alias("near_items"),
+    )
+
+
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
     hit = judged(docs, items, WINDOW).where("contaminated").select(F.col("doc").alias("hit_key")).distinct()
@@ -166,6 +188,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_language": language.query,
         "op10_decontaminate": decontaminate.query,
+        "op10_near_matches": decontaminate.near_query,
     }
 
 
