@@ -212,3 +212,12 @@ def test_empty_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert measure.language_profile(empty).count() == 0
     assert one(failures.top_shapes(failures.collect(measure.extraction(corpus.records(spark, 0)).withColumn("tier_idx", F.lit(0)).withColumn("tier", F.lit("rules"))), 3).agg(F.count("*").alias("n"))).n == 0
+
+
+def test_mean_pool_all_pools_every_row(spark, tmp_path):
+    from tierwright import queries
+
+    rows = [(0, [1.0, 0.0], 3), (1, [0.0, 1.0], 3), (3, [0.0, 1.0], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.label, r.place): r.x for r in queries.queries()["mean_pool_all"](spark, str(tmp_path)).collect()}
+    assert got == {(3, 0): 0.707107, (3, 1): 0.707107, (4, 0): 0.0, (4, 1): 1.0}

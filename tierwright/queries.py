@@ -79,6 +79,11 @@ def mean_pool(spark, d):
     return vectors.mean_pool(rows, "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
+@registered(f"WITH {o.ALL_CENTRES} SELECT name AS label, place, round(x, 6) AS x FROM (SELECT name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
+def mean_pool_all(spark, d):
+    return vectors.mean_pool(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
 @registered(f"WITH {o.CLASSED} SELECT vec_id, split, label, got FROM classed")
 def centroid_classifier(spark, d):
     return measure.centroid_classes(table(spark, d, "embeddings"))
