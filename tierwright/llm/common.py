@@ -73,9 +73,32 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where a count proves that it has at most ``rows`` rows; as it is beyond."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of strings, binaries and arrays up to which a table is broadcast.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint where counts prove that it has at most ``rows`` rows and ``most`` bytes of values of
+    no fixed width; as it is beyond."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    width = sum((F.coalesce(wide[t](c) if t in wide else F.size(c) * 8, F.lit(0)) for c, t in df.dtypes if t in wide or t.startswith("array")), F.lit(0))
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most else df
+
+
+def commonest(df: DataFrame, column: str, rows: int) -> Column:
+    """The condition that holds for the rows of the greatest values (1 or more) of ``column``: ``rows`` of them at most.
+
+    The cut lies between two classes of values, some 1,000 in all, so no order over all rows is needed.
+    """
+    of = F.floor(F.log2(F.col(column)) * 16)
+    cut, total = None, 0
+    for r in sorted(df.groupBy(of.alias("class")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        total += r["n"]
+        if total > rows:
+            break
+        cut = r["class"]
+    return F.lit(False) if cut is None else of >= cut
 
 
 def words_of(text: str) -> list[str]:

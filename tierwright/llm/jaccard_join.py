@@ -4,22 +4,26 @@ Documents are sets of word shingles under one global order: shingles that many d
 similar sets must share l of the first n - T + l elements (T: the least overlap, n: the size), for every l; each
 document takes the l that an estimate of its candidate cost favours, so costly documents get longer prefixes and need
 more shared prefix elements. Equal sets are one class from the outset. Within a posting list, the documents first meet
-only the list's densest member; pairs are enumerated afterwards, and only between components that this left apart, so
-that a group of near copies costs a multiple of its size, not its square, and no link between components is lost.
+the list's likely origins, by which most lists become one component. What is left outside a list's largest part is met
+with the list where it is little. A longer list is taken apart by what sets its documents apart from its origin: two of
+them that are not near it are similar only if they share some of these elements, by prefixes again, and most of such
+elements are one document's own. No link between components is lost, and no group's pairs are enumerated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, merged
 
 #: Shingles whose prefix postings number at least this many are put last in the order; of them the commonest KNOWN.
 COMMON, KNOWN = 24, 400_000
@@ -27,9 +31,11 @@ COMMON, KNOWN = 24, 400_000
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8), 40.0
 #: Rows of a batch that a task works on at a time, where their sets are large beside their texts.
 TOGETHER = 500
-#: Classes of a component that are compared with as many others in one memory.
-BLOCK = 500
+#: Documents outside a list's main part up to which each is met with the whole list, and those of a group that are sent
+#: one copy of the set that the group is compared with.
+FEW, SALTED = 32, 64
 HEAVY = np.uint64(1 << 63)
+NOTHING = np.zeros(1, np.uint64)
 #: Bytes of texts whose words are hashed side by side; words of more than this many bytes are hashed one by one.
 HELD_BYTES, LONG_WORD = 1 << 20, 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +213,8 @@ def frequent(named: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
             yield tallied([np.frombuffer(b"".join(b["firsts"]), "<u8")])
 
     first = common.stored(summed(named.select("firsts").mapInPandas(count_firsts, "shingle long, df long")), "first-counts")
-    shared = named.sparkSession.sparkContext.broadcast(np.sort(first.orderBy(F.desc("df"), "shingle").limit(KNOWN).select("shingle").toArrow().to_pandas()["shingle"].to_numpy(np.int64).view(np.uint64)))
+    known = first.where(common.commonest(first, "df", KNOWN)).select("shingle").toArrow().to_pandas()["shingle"]
+    shared = named.sparkSession.sparkContext.broadcast(np.sort(known.to_numpy(np.int64).view(np.uint64)))
 
     def lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -228,7 +235,8 @@ def frequent(named: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
             yield tallied([*shingler.sets(b["text"])])
 
     second = summed(texts.join(dense, "doc", "left_semi").select("text").mapInPandas(count_all, "shingle long, df long"))
-    return first.unionByName(second).groupBy("shingle").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(KNOWN)
+    both = common.stored(first.unionByName(second).groupBy("shingle").agg(F.max("df").alias("df")), "counts")
+    return both.where(common.commonest(both, "df", KNOWN))
 
 
 def heavy_table(common_ones: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +285,12 @@ def verified(pairs: DataFrame, prefixes: DataFrame, classes: DataFrame, texts: D
     pairs = pairs.join(of(prefixes, "a", "n", "lead"), "a").join(of(prefixes, "b", "n", "lead"), "b")
     pairs = common.stored(pairs.select("a", "b", "n_a", "n_b", "lead_a", "lead_b").mapInPandas(possible, "a long, b long"), "possible-pairs")
     sets = whole_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), classes, texts, words)
-    both = pairs.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b")
+    return similar_pairs(pairs, sets, percent)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stored pairs (a, b) whose whole sets are similar."""
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     similar = (F.col("shared") > 0) & (F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent)
     return common.stored(met.where(similar).select("a", "b"), "links")
@@ -292,62 +305,94 @@ def room(n: str, m: F.Column, percent: int) -> F.Column:
     return F.col(n) - F.ceil((F.col(n) + m) * percent / (100 + percent))
 
 
-def similar_within(sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
-    """How many sets of the other side each set is similar to; without another side (all are left), of all others."""
-    size = np.array([len(s) for s in sets])
-    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(at, kind="stable")
-    by_element, begins = owner[order], np.cumsum(df) - df
-    found, ends = np.zeros(len(sets), np.int64), np.cumsum(size)
-    both = not left.all()
-    for i in np.flatnonzero(left).tolist():
-        mine = at[ends[i] - size[i] : ends[i]]
-        n = df[mine]
-        places = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        overlap = np.bincount(by_element[places], minlength=len(sets))
-        similar = overlap * 100 >= (size[i] + size - overlap) * percent
-        similar &= overlap > 0
-        similar[i] = False
-        if both:
-            similar &= ~left
-            found += similar
-        found[i] += similar.sum()
-    return found
-
-
-def degrees(places: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc and links: how many classes each is similar to, for all classes in components (node, component).
+def star_pairs(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents of each list with its hubs (key, hub, m, hub_alone), where they may be similar."""
+    possible = similar_sizes("n", "m", percent) & (F.col("alone") <= room("n", F.col("m"), percent)) & (F.col("hub_alone") <= room("m", F.col("n"), percent))
+    return lists.join(hubs, "key").where((F.col("doc") != F.col("hub")) & possible).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
-    Similar classes share a component. Its classes are dealt over blocks of some BLOCK, and every two blocks are compared
-    in one task's memory, which returns counts only.
-    """
-    sets = whole_sets(places.select(F.col("node").alias("doc")), classes, texts, words)
-    blocks = places.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = places.join(blocks, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    dealt = members.join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "set")
-    key = ["component", "lo", "hi"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+def apart_lists(lists: DataFrame, place: DataFrame) -> DataFrame:
+    """The stored lists that components (node, component) leave in several parts: with part, main (the largest) and outside,
+    the number of postings that are not in main."""
+    apart = lists.join(place.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", "l", "alone", "singles", "density", F.coalesce("component", "doc").alias("part"))
+    parts = apart.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("members", "part")).alias("main"), (F.sum("members") - F.max("members")).alias("outside"))
+    return common.stored(apart.join(parts.where("parts > 1").drop("parts"), "key"), "open-lists")
+
 
-        def links() -> pd.DataFrame:
-            g = pd.concat(held)
-            n = similar_within([np.asarray(s) for s in g["set"]], (g["own"] == g["lo"]).to_numpy(), percent)
-            return pd.DataFrame({"doc": g["doc"].to_numpy(), "links": n})
+def differing(members: DataFrame, sets: DataFrame, heavy: Broadcast, percent: int) -> DataFrame:
+    """The stored (group, doc, n, d, key, pos) of what sets the members (group, doc, ref) of groups apart from a set ref.
+
+    d is the number of elements that only one of the two sets holds. Of these come first those that the document adds,
+    the rare ones before the common ones, and then those that it lacks. Two documents of a group that are similar share
+    all but so many of them as ``most_apart`` says, so those further back are not kept. A document equal to ref has a
+    row without key.
+    """
+    salts = members.groupBy("ref").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    refs = sets.join(salts, sets["doc"] == salts["ref"]).select("ref", "salts", F.col("set").alias("of_ref"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    own = members.join(sets, "doc").join(common.sized(salts, 500_000), "ref").withColumn("salt", F.pmod(F.xxhash64("doc"), "salts").cast("int")).drop("salts")
+    both = own.join(refs.drop("salts"), ["ref", "salt"]).select("group", "doc", "set", "of_ref")
 
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, _ = heavy.value
         for b in batches:
-            for _, part in b.groupby(key, sort=False):
-                if held and tuple(held[-1][key].iloc[-1]) != tuple(part[key].iloc[0]):
-                    yield links()
-                    held.clear()
-                held.append(part)
-        if held:
-            yield links()
+            out, keys = [], []
+            for group, doc, x, h in zip(b["group"].tolist(), b["doc"].tolist(), b["set"], b["of_ref"]):
+                x, h = np.asarray(x, np.int64).view(np.uint64), np.asarray(h, np.int64).view(np.uint64)
+                added, lacks = keys_under(np.setdiff1d(x, h, True), table), keys_under(np.setdiff1d(h, x, True), table)
+                lead = np.concatenate([added, lacks])[: (100 - percent) * len(x) // percent + 1]
+                out.append((group, doc, len(x), len(added) + len(lacks)))
+                keys.append(lead if len(lead) else NOTHING)
+            if out:
+                times = np.array([len(k) for k in keys])
+                table_of = np.repeat(np.array(out, np.int64), times, 0)
+                pos = np.arange(len(table_of)) - np.repeat(np.cumsum(times) - times, times)
+                key = pd.arrays.IntegerArray(np.concatenate(keys).view(np.int64), np.repeat([k is NOTHING for k in keys], times))
+                yield pd.DataFrame(table_of, columns=["group", "doc", "n", "d"]).assign(key=key, pos=pos.astype(np.int32))
+
+    return common.stored(both.mapInPandas(apart, "group long, doc long, n long, d long, key long, pos int"), "differences")
+
+
+def most_apart(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    """Elements that only one of two similar sets of n and m elements may hold."""
+    return F.floor((n + m) * (100 - percent) / (100 + percent))
+
+
+def met_apart(x: DataFrame, y: DataFrame, percent: int, once: F.Column) -> DataFrame:
+    """Pairs (a, b) of x with y (rows of ``differing`` with part and main) that may be similar though both do not lie near ref.
+
+    Of what sets two such documents apart from ref, they share ``least`` elements, the first of them where enough others
+    still follow on both sides. Most elements that documents add are theirs alone, and those stand first, so that of a
+    group's pairs only few meet.
+    """
+    name = lambda t, s: t.where("key IS NOT NULL").select("group", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "d", "pos", "part", "main")))
+    c = F.col
+    least = F.ceil((c("d_x") + c("d_y") - most_apart(c("n_x"), c("n_y"), percent)) / 2)
+    enough = (least >= 1) & (F.least(c("d_x") - c("pos_x"), c("d_y") - c("pos_y")) >= least) & (c("pos_x") + c("pos_y") <= most_apart(c("n_x"), c("n_y"), percent))
+    met = name(x, "x").join(name(y, "y"), ["group", "key"]).where(once & enough & similar_sizes("n_x", "n_y", percent))
+    return met.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+
+
+def degrees(places: DataFrame, prefixes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, heavy: Broadcast) -> DataFrame:
+    """doc and links: how many classes each is similar to, for all classes in components (node, component).
 
-    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(count, "doc long, links long")
-    return near.groupBy("doc").agg(F.sum("links").alias("links"))
+    Similar classes share a component. d and n of a class against one set of the component tell v = d - n (100 - percent) /
+    (100 + percent); two classes with v + v' <= 0 are similar whatever they share, and are counted by a running sum over
+    the values of v. Others have to share elements that set them apart; they are met by these and compared.
+    """
+    densest = places.join(prefixes.select(F.col("doc").alias("node"), "density"), "node").groupBy("component").agg(F.max_by("node", F.struct("density", "node")).alias("ref"))
+    members = places.join(densest, "component").select(F.col("component").alias("group"), F.col("node").alias("doc"), "ref")
+    sets = whole_sets(places.select(F.col("node").alias("doc")), classes, texts, words)
+    apart = differing(members, sets, heavy, percent).withColumns({"part": F.col("group"), "main": F.col("group")})
+    v = (F.col("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("v")
+    each = apart.where("pos = 0").select("group", "doc", v)
+    cells = each.groupBy("group", "v").agg(F.count("*").alias("m"))
+    # a question for -v stands after the values that equal it
+    events = cells.select("group", F.col("v").alias("at"), F.lit(0).alias("asks"), "m", "v").unionByName(cells.select("group", (-F.col("v")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("m"), "v"))
+    below = events.withColumn("near", F.sum("m").over(Window.partitionBy("group").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))).where("asks = 1")
+    near = each.join(below.select("group", "v", "near"), ["group", "v"]).select("doc", (F.col("near") - F.when(F.col("v") <= 0, 1).otherwise(0)).alias("links"))
+    pairs = similar_pairs(met_apart(apart, apart, percent, F.col("doc_x") < F.col("doc_y")), sets, percent)
+    found = pairs.select(F.col("a").alias("doc"), F.lit(1).cast("long").alias("links")).unionByName(pairs.select(F.col("b").alias("doc"), F.lit(1).cast("long").alias("links")))
+    return near.unionByName(found).groupBy("doc").agg(F.sum("links").alias("links"))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -417,29 +462,46 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
 
     # The first hub has least of its own, so it is the likely origin of the list's near copies.
     origin, dense = F.struct("singles", (-F.col("density")).alias("d"), "doc"), F.struct((-F.col("density")).alias("d"), "doc")
-    hubs = lists.groupBy("key").agg(F.min_by(F.struct("doc", "n", "alone"), origin).alias("h1"), F.min_by(F.struct("doc", "n", "alone"), dense).alias("h2"))
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("m"), F.col("h.alone").alias("hub_alone"))
-    stars = lists.join(hubs, "key").where((F.col("doc") != F.col("hub")) & similar_sizes("n", "m", percent) & (F.col("alone") <= room("n", F.col("m"), percent)) & (F.col("hub_alone") <= room("m", F.col("n"), percent)))
-    stars = stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+    hubs = lists.groupBy("key").agg(F.min_by(F.struct("doc", "n", "alone"), origin).alias("first"), F.min_by(F.struct("doc", "n", "alone"), dense).alias("densest"))
+    hubs = common.stored(hubs, "hubs")
+    as_hub = lambda t, h: t.select("key", F.col(f"{h}.doc").alias("hub"), F.col(f"{h}.n").alias("m"), F.col(f"{h}.alone").alias("hub_alone"))
+    stars = star_pairs(lists, as_hub(hubs, "densest").unionByName(as_hub(hubs.where("first <> densest"), "first")), percent)
     near = verified(stars, prefixes, classes, texts, words, percent)
     place = components(near)
-
-    apart = lists.join(place.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", "l", "alone", F.coalesce("component", "doc").alias("part"))
-    parts = apart.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("members", "part")).alias("main")).where("parts > 1")
-    open_lists = common.stored(apart.join(parts.select("key", "main"), "key"), "open-lists")
-    x = open_lists.where("part <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in ("doc", "n", "l", "alone", "part")))
-    y = open_lists.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in ("doc", "n", "l", "alone", "part")))
+    open_lists, far = apart_lists(lists, place), []
+    long = open_lists.where(F.col("outside") > FEW)
+    if count := long.where("part <> main").select("doc").distinct().count():
+        # a second star in each long list, from what lies nearest to its origin outside the main part
+        second = long.where("part <> main").groupBy("key").agg(F.min_by(F.struct("doc", "n", "alone"), origin).alias("first"))
+        more = verified(star_pairs(long, as_hub(second, "first"), percent), prefixes, classes, texts, words, percent)
+        far.append(more)
+        if more.count() * 16 > count:
+            place, far = merged(place, more), []
+            open_lists = apart_lists(lists, place)
+            long = open_lists.where(F.col("outside") > FEW)
+    few = open_lists.where(F.col("outside") <= FEW)
+    side = lambda t, s: t.select("key", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "l", "alone", "part")))
+    x, y = side(few.where("part <> main"), "x").drop("main"), side(few, "y")
     once = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("main")) | (F.col("doc_x") < F.col("doc_y")))
     enough = (F.col("alone_x") <= room("n_x", F.col("n_y"), percent)) & (F.col("alone_y") <= room("n_y", F.col("n_x"), percent))
     met = x.join(y, "key").where(once & similar_sizes("n_x", "n_y", percent) & enough)
     counted = met.groupBy(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l_x", "l_y")).alias("least"))
-    far = verified(counted.where("met >= least").select("a", "b"), prefixes, classes, texts, words, percent)
-
-    links = near.union(far)
-    final = components(links)
+    far.append(verified(counted.where("met >= least").select("a", "b"), prefixes, classes, texts, words, percent))
+
+    # A list with much outside its main part is a group around its densest document, with which all of it was compared.
+    of_hub = long.join(hubs.select("key", F.col("densest.doc").alias("ref")), "key").select(F.col("ref").alias("group"), "doc", "ref", "part").distinct()
+    of_hub = common.stored(of_hub.unionByName(of_hub.select("group", F.col("ref").alias("doc"), "ref").distinct().join(place.select(F.col("node").alias("doc"), "component"), "doc", "left").select("group", "doc", "ref", F.coalesce("component", "doc").alias("part"))).distinct(), "groups")
+    if of_hub.limit(1).count():
+        sets = whole_sets(of_hub.select("doc").distinct(), classes, texts, words)
+        apart = differing(of_hub.select("group", "doc", "ref"), sets, shared, percent).join(of_hub.select("group", "doc", "part"), ["group", "doc"])
+        main = of_hub.where("doc = ref").select("group", F.col("part").alias("main"))
+        apart = common.stored(apart.join(common.sized(main, 500_000), "group"), "differences-of-parts")
+        once = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("main_y")) | (F.col("doc_x") < F.col("doc_y")))
+        far.append(similar_pairs(met_apart(apart.where("part <> main"), apart, percent, once), sets, percent))
+    final = merged(place, reduce(DataFrame.union, far))
     of_class = classes.join(final.select(F.col("node").alias("doc"), F.col("component")), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
     if count_links:
-        of_class = of_class.join(degrees(final, classes, texts, words, percent), "doc", "left")
+        of_class = of_class.join(degrees(final, prefixes, classes, texts, words, percent, shared), "doc", "left")
     names = of_class.where("component IS NOT NULL").groupBy("component").agg(F.min("class").alias("name"))
     of_class = of_class.join(names, "component", "left").withColumn("component_id", F.coalesce("name", "class")).drop("component", "name", "doc")
     rows = named.select("doc", "x", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
