@@ -1,7 +1,11 @@
 """Unit cases, golden numbers and invariants of the tiered-processing engine."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +225,39 @@ def test_mean_pool_all_pools_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.label, r.place): r.x for r in queries.queries()["mean_pool_all"](spark, str(tmp_path)).collect()}
     assert got == {(3, 0): 0.707107, (3, 1): 0.707107, (4, 0): 0.0, (4, 1): 1.0}
+
+
+def test_freeze_replaces_a_table_that_reads_its_own_path(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    assert files.freeze_if_changed(spark.range(3), path)
+    assert not files.freeze_if_changed(spark.range(3), path)
+    assert files.freeze_if_changed(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+    files.freeze(spark.range(1), f"file://{tmp_path}/rows", "json")
+    assert spark.read.json(f"file://{tmp_path}/rows").count() == 1
+
+
+@pytest.mark.parametrize("gains,regressions", [(0, 0), (3, 0), (5, 9), (40, 60), (700, 640), (30_000, 31_000), (5_000_000, 4_998_000)])
+def test_paired_p_equals_the_binomial_tail(spark, gains, regressions):
+    d, least = gains + regressions, min(gains, regressions)
+    got = spark.range(1).select(stats.paired_p(F.lit(gains), F.lit(regressions)).alias("p")).first()["p"]
+    if not d:
+        assert got is None
+    else:
+        i = np.arange(max(0, least - 200_000), least + 1)
+        logs = math.lgamma(d + 1) - np.array([math.lgamma(x + 1) + math.lgamma(d - x + 1) for x in i.tolist()]) - d * math.log(2)
+        assert got == pytest.approx(min(1.0, 2 * float(np.exp(logs).sum())), rel=1e-5)
+
+
+def test_a_staircase_without_series_refuses_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(charts, "ONE_LINE", 5)
+    with pytest.raises(ValueError):
+        charts.staircase(spark.range(6).selectExpr("id", "id AS y"), "id", "y")
+    rows = spark.range(6).selectExpr("id", "id % 2 AS s", "id div 4 AS y")
+    assert charts.staircase(rows, "id", "y", "s").count() == 4
+
+
+def test_the_entry_keeps_its_queries_when_a_module_cannot_be_imported(tmp_path):
+    code = "import sys\nsys.modules['public_tokenizers'] = None\nimport __spark_entry__ as e\nassert 'optimal_routing' in e.queries() and 'pipeline' not in e.queries()\nassert set(e.oracle_sql()) <= set(e.queries())"
+    root = Path(__file__).resolve().parent.parent
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0

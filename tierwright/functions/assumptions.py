@@ -51,6 +51,7 @@ def accuracy_of(tier: Column, measured: Column) -> Column:
 
 
 def latency_of(tier: Column, measured: Column) -> Column:
+    """Milliseconds an item, or seconds a thousand; the human tier's are assumed."""
     return F.when(tier == "human", F.col("humanSeconds") * 1000.0).otherwise(measured)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a step function without a series may have.
+ONE_LINE = 1_000_000
+
 
 def extent(rows: DataFrame, value: str) -> DataFrame:
     """low and high of an axis: the values and 0, with 8 % room above, and below only if some are negative."""
@@ -56,18 +57,23 @@ def bar(value: Column, cap: Column) -> Column:
 def stacked(rows: DataFrame, row: str, part: str, value: str) -> DataFrame:
     """row, part, value, and its share of the largest row's total."""
     sums = rows.groupBy(row, part).agg(F.sum(value).alias("value"))
-    totals = sums.groupBy(row).agg(F.sum("value").alias("total"))
-    most = totals.agg(F.max("total")).scalar()
-    return sums.join(totals, row).select(row, part, "value", "total", F.try_divide(F.col("value"), most).alias("share"))
+    totals = sums.withColumn("total", F.sum("value").over(Window.partitionBy(row)))
+    # the sums are as few as rows and parts, so their maximum is taken over them and not over a second pass
+    most = F.max("total").over(Window.partitionBy(F.lit(1)))
+    return totals.withColumn("most", most).select(row, part, "value", "total", F.try_divide(F.col("value"), F.col("most")).alias("share"))
 
 
-def case_grid(rows: DataFrame, case: str, version: str, value: str) -> DataFrame:
-    """``rows`` with state: what each case's result (true, false or null) is beside the version before."""
+def case_grid(rows: DataFrame, case: str, version: str, value: str, unstable: str | None = None) -> DataFrame:
+    """``rows`` with state: what each case's result (true, false or null) is beside the version before.
+
+    A cell that ``unstable`` marks is so whatever its result.
+    """
     before = F.lag(value).over(Window.partitionBy(case).orderBy(version))
     known = F.row_number().over(Window.partitionBy(case).orderBy(version)) > 1
     v = F.col(value)
     state = (
-        F.when(v.isNull(), "empty")
+        F.when(F.coalesce(F.col(unstable), F.lit(False)) if unstable else F.lit(False), "unstable")
+        .when(v.isNull(), "empty")
         .when(known & before.isNotNull() & v & ~before, "repaired")
         .when(known & before.isNotNull() & ~v & before, "broken")
         .when(v, "ok").otherwise("ko")
@@ -140,11 +146,27 @@ def overdue(start: Column, end: Column, due: Column) -> Column:
     return F.when(end > due, end - F.greatest(start, due)).otherwise(F.lit(0.0))
 
 
-def staircase(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """The rows where y changes along x: the corners of a step function."""
-    before = F.lag(y).over(Window.orderBy(x))
+def staircase(rows: DataFrame, x: str, y: str, *series: str) -> DataFrame:
+    """The rows where y changes along x: the corners of the step function of each series.
+
+    Without a series all rows are one line in one task; more than ``ONE_LINE`` of them are refused.
+    """
+    if not series and rows.count() > ONE_LINE:
+        raise ValueError(f"name the series of more than {ONE_LINE} rows")
+    before = F.lag(y).over(Window.partitionBy(*series).orderBy(x))
     return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(y))).drop("before")
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def histogram(rows: DataFrame, value: str, width: float, threshold: float, fixed: Column) -> DataFrame:
+    """bin, low, n, fixed and beyond: equal bins from 0, how many rows of each have the fixed part, and whether the bin
+    begins at or beyond the threshold."""
+    binned = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"), F.count_if(fixed).alias("fixed"))
+    return binned.select("bin", (F.col("bin") * width).alias("low"), "n", "fixed", (F.col("bin") * width >= threshold).alias("beyond"))
+
+
+def curves(rows: DataFrame, x: str, first: str, second: str) -> DataFrame:
+    """x, series, value and place of one or two series on the axis that they share: ``extent`` of all their values."""
+    long = rows.select(x, F.stack(F.lit(2), F.lit(first), F.col(first).cast("double"), F.lit(second), F.col(second).cast("double")).alias("series", "value")).where("value IS NOT NULL")
+    ends = extent(long, "value").agg(F.struct(F.max("low").alias("low"), F.max("high").alias("high"))).scalar()
+    placed = long.withColumn("e", ends)
+    return placed.select(x, "series", "value", scaled(F.col("value"), F.col("e.low"), F.col("e.high")).alias("place"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +47,27 @@ def distinguishable(a: str, b: str) -> Column:
     return (F.col(f"{a}.high") < F.col(f"{b}.low")) | (F.col(f"{b}.high") < F.col(f"{a}.low"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series eight steps further up, for x of 1 or more."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return reduce(lambda s, k: s - F.log(x + k), range(8), series)
+
+
 def paired_p(gains: Column, regressions: Column) -> Column:
-    """The exact two-sided binomial p of discordant pairs; null without any."""
-    d, least = gains + regressions, F.least(gains, regressions)
+    """The two-sided binomial p of discordant pairs; null without any.
+
+    Terms that lie more than ten times sqrt(d) before the last one, of d pairs, are below 1e-80 of it and left out, so
+    the row's sequence grows with the root of the pairs only.
+    """
+    d, least = (gains + regressions).cast("double"), F.least(gains, regressions).cast("bigint")
+    begin = F.greatest(F.lit(0).cast("bigint"), least - 50 - F.ceil(10 * F.sqrt(d)))
+    b = begin.cast("double")
+    first = F.when(begin > 0, log_gamma(d + 1) - log_gamma(b + 1) - log_gamma(d - b + 1)).otherwise(0.0) - d * math.log(2)
     # C(d, i) / 2**d, each from the one before, in logarithms so that many pairs do not overflow
     logs = F.aggregate(
-        F.when(least > 0, F.sequence(F.lit(1).cast("bigint"), least.cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
-        F.struct((-d * F.log(F.lit(2.0))).alias("at"), F.exp(-d * F.log(F.lit(2.0))).alias("sum")),
+        F.when(least > begin, F.sequence(begin + 1, least)).otherwise(F.array().cast("array<bigint>")),
+        F.struct(first.alias("at"), F.exp(first).alias("sum")),
         lambda s, i: F.struct((s["at"] + F.log((d - i + 1) / i)).alias("at"), (s["sum"] + F.exp(s["at"] + F.log((d - i + 1) / i))).alias("sum")),
         lambda s: s["sum"],
     )

@@ -88,6 +88,16 @@ def text_shape(text: Column) -> Column:
     return F.regexp_replace(text, r"[A-Z][a-zà-ÿ]+|\d+", "·")
 
 
+def citation(cite: Column, says: Column) -> Column:
+    """How a source is cited on screen: the reference, then what it says."""
+    return F.concat_ws(" — ", cite, says)
+
+
+def provenance(cite: Column, source: Column, retrieved: Column) -> Column:
+    """The line that lets a reader go and check."""
+    return F.concat_ws(" · ", cite, source, F.concat(F.lit("retrieved "), retrieved))
+
+
 def parsed_number(text: Column) -> Column:
     """A typed number: spaces dropped, a comma as the point."""
     return F.try_to_number(F.translate(text, ", ", "."), F.lit("S999999999999D999999")).cast("double")

@@ -19,8 +19,10 @@ STOP_WORDS = {"en": ("the", "and", "of", "that", "with"), "de": ("der", "und", "
 JUNK, SMALL_SHARE, LARGE_SHARE = r"[*#%&$]{3}", 0.03, 0.01
 
 
-def words_of(c: Column) -> Column:
-    return F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-zà-ÿ]+")
+def stop_words_of(c: Column) -> Column:
+    """The text's words that are a stop word of any language, each time they occur, found in one pass."""
+    any_of = "|".join(w for words in STOP_WORDS.values() for w in words)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?<![a-zà-ÿ])({any_of})(?![a-zà-ÿ])"), 1)
 
 
 def most_hits(words: Column, number: int) -> Column:
@@ -35,7 +37,7 @@ def most_hits(words: Column, number: int) -> Column:
 
 def language_ladder(documents: DataFrame) -> DataFrame:
     """doc_id, truth and each machine tier's answer to "which language", from whole texts."""
-    rows = documents.select("doc_id", F.col("lang").alias("truth"), words_of(F.col("text")).alias("w"))
+    rows = documents.select("doc_id", F.col("lang").alias("truth"), stop_words_of(F.col("text")).alias("w"))
     first = reduce(lambda c, lang: c.when(F.array_contains("w", STOP_WORDS[lang][0]), lang), LANGUAGES, F.when(F.lit(False), "")).otherwise("")
     return rows.select("doc_id", "truth", first.alias("rules"), most_hits(F.col("w"), 2).alias("small"), most_hits(F.col("w"), 5).alias("large"))
 
@@ -95,6 +97,11 @@ def scored(rows: DataFrame, scorer: Callable[[list[str]], list[str]], column: st
     return rows.mapInPandas(run, schema)
 
 
+def split_of(number: str) -> Column:
+    """The fold of a numbered row: even numbers are for training."""
+    return F.when(F.col(number) % 2 == 0, "training").otherwise("heldout")
+
+
 def centroid_classes(embeddings: DataFrame) -> DataFrame:
     """vec_id, split, label and the label whose mean vector, over the even vec_ids, is nearest.
 
@@ -102,8 +109,7 @@ def centroid_classes(embeddings: DataFrame) -> DataFrame:
     """
     from tierwright.functions import vectors
 
-    split = F.when(F.col("vec_id") % 2 == 0, "training").otherwise("heldout")
-    rows = embeddings.select("vec_id", split.alias("split"), "label", "embedding")
+    rows = embeddings.select("vec_id", split_of("vec_id").alias("split"), "label", "embedding")
     centres = vectors.mean_pool(rows.where("split = 'training'"), "label", "embedding")
     references = centres.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("name"), "centre"))).alias("r")).scalar()
     return rows.withColumn("references", references).select("vec_id", "split", "label", vectors.nearest(F.col("embedding"), F.col("references")).alias("got"))

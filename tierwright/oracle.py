@@ -240,6 +240,10 @@ ALL_CENTRES = """
 places AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL),
 norms AS (SELECT label, sqrt(sum(x * x)) AS norm FROM places GROUP BY label),
 centres AS (SELECT label AS name, list(x / norm ORDER BY place) AS centre FROM places JOIN norms USING (label) GROUP BY label)"""
+SPLIT_CENTRES = """
+places AS (SELECT split, label, place, avg(x) AS x FROM (SELECT CASE vec_id % 2 WHEN 0 THEN 'training' ELSE 'heldout' END AS split, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL),
+norms AS (SELECT split, label, sqrt(sum(x * x)) AS norm FROM places GROUP BY ALL),
+centres AS (SELECT split, label AS name, list(x / norm ORDER BY place) AS centre FROM places JOIN norms USING (split, label) GROUP BY ALL)"""
 CLASSED = f"""{CENTRES},
 scores AS (SELECT vec_id, CASE vec_id % 2 WHEN 0 THEN 'training' ELSE 'heldout' END AS split, label, name, list_dot_product(embedding::DOUBLE[], centre) AS s FROM embeddings, centres),
 classed AS (SELECT vec_id, split, label, name AS got FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS rn FROM scores) WHERE rn = 1)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierwright.functions import assumptions as given
 from tierwright.functions import stats
-from tierwright.operators import baselines, failures, routing
+from tierwright.operators import baselines, routing
 from tierwright.sources.tables import TIERS
 
 
@@ -18,6 +18,22 @@ def pivoted(profile: DataFrame, scenario: DataFrame) -> DataFrame:
     return shown.groupBy("field_idx", "field").pivot("tier", list(TIERS)).agg(F.max("shown"))
 
 
+def matrix(profile: DataFrame, scenario: DataFrame, own: DataFrame, n_fields: int) -> DataFrame:
+    """field_idx, field, tier_idx, tier, accuracy, seconds, chosen and optimum of every cell.
+
+    seconds is what a thousand items take; chosen marks the tiers of ``own`` (field_idx, tier), optimum the best ones.
+    """
+    best = routing.optimum(profile, scenario, n_fields).select(F.posexplode("tiers").alias("field_idx", "best_idx"))
+    mine = own.select("field_idx", F.col("tier").alias("own_tier"))
+    human = scenario.select(F.struct("humanAccuracy", "humanSeconds")).scalar()
+    cells = profile.withColumn("h", human).withColumns({c: F.col(f"h.{c}") for c in ("humanAccuracy", "humanSeconds")})
+    joined = cells.join(F.broadcast(best), "field_idx", "left").join(F.broadcast(mine), "field_idx", "left")
+    return joined.select(
+        "field_idx", "field", "tier_idx", "tier", given.accuracy_of(F.col("tier"), F.col("accuracy")).alias("accuracy"), given.latency_of(F.col("tier"), F.col("latency")).alias("seconds"),
+        F.coalesce(F.col("tier") == F.col("own_tier"), F.lit(False)).alias("chosen"), F.coalesce(F.col("tier_idx") == F.col("best_idx"), F.lit(False)).alias("optimum"),
+    )
+
+
 def state(profile: DataFrame, scenario: DataFrame, own: DataFrame, fields: tuple[str, ...]) -> dict[str, DataFrame]:
     """Everything that a screen recomputes when a cell or an assumption changes.
 
@@ -68,10 +84,6 @@ def shadow_block(profile: DataFrame, scenario: DataFrame, fields: tuple[str, ...
     return step, routing.changed(step, fields)
 
 
-def gallery_block(wrong: DataFrame, shapes: int = 6, examples: int = 5) -> tuple[DataFrame, DataFrame]:
-    return failures.top_shapes(wrong, shapes), failures.gallery(wrong, examples)
-
-
 def baselines_block(measured: DataFrame, truths: DataFrame, label: str, order: str) -> DataFrame:
     return baselines.verdicts(measured, baselines.majority(truths, label, order))
 

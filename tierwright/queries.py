@@ -13,7 +13,7 @@ from tierwright.functions import charts, stats, text, vectors
 from tierwright.operators import baselines, failures, inventory, measure, routing, sensitivity
 from tierwright.plans import state
 from tierwright.sources import corpus
-from tierwright.sources.tables import FIELDS, LANGUAGES, TIERS, dimension, frozen_classification, frozen_extraction, table
+from tierwright.sources.tables import FIELDS, FROZEN_LOAD, LANGUAGES, TIERS, dimension, frozen_classification, frozen_extraction, frozen_load_time, table
 from tierwright.streaming import rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def mean_pool(spark, d):
     return vectors.mean_pool(rows, "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
+@registered(f"WITH {o.SPLIT_CENTRES} SELECT split, name AS label, place, round(x, 6) AS x FROM (SELECT split, name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
+def mean_pool_splits(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("key", F.struct(measure.split_of("vec_id").alias("split"), "label"))
+    return vectors.mean_pool(rows, "key", "embedding").select("key.*", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
 @registered(f"WITH {o.ALL_CENTRES} SELECT name AS label, place, round(x, 6) AS x FROM (SELECT name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
 def mean_pool_all(spark, d):
     return vectors.mean_pool(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
@@ -177,6 +183,58 @@ def undecided_assumptions(spark, d):
 # the published profile
 
 
+def frozen_own(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, "large") for i in range(len(FIELDS))], "field_idx int, tier string")
+
+
+@registered(o.changed_sql(o.FROZEN, FIELDS))
+def frozen_changed(spark, d):
+    return state.shadow_block(frozen_extraction(spark), given.as_row(spark), FIELDS)[1]
+
+
+@registered(f"""WITH {o.FROZEN}, {o.GIVEN}, {o.assigned(5)}, b AS ({' UNION ALL '.join(f'SELECT {i} AS field_idx, t{i} AS best_idx FROM best' for i in range(5))})
+SELECT field_idx, field, tier_idx, tier, round(CASE tier WHEN 'human' THEN humanAccuracy ELSE accuracy END, 6) AS accuracy, round(CASE tier WHEN 'human' THEN humanSeconds * 1000::DOUBLE ELSE latency END, 6) AS seconds,
+  tier = 'large' AS chosen, tier_idx = best_idx AS optimum FROM profile JOIN b USING (field_idx), given""")
+def frozen_matrix(spark, d):
+    return rounded(state.matrix(frozen_extraction(spark), given.as_row(spark), frozen_own(spark), len(FIELDS)), "accuracy", "seconds")
+
+
+def frozen_state(spark: SparkSession) -> dict[str, DataFrame]:
+    return state.state(frozen_extraction(spark), given.as_row(spark), frozen_own(spark), FIELDS)
+
+
+@registered(f"WITH {o.GIVEN} SELECT generate_subscripts({o.PRICES}, 1) - 1 AS tier_idx, round(unnest({o.PRICES}), 6) AS price FROM given")
+def tier_prices(spark, d):
+    return rounded(frozen_state(spark)["prices"], "price")
+
+
+@registered(f"WITH {o.BOUNDS_SQL} SELECT * FROM bounds")
+def assumption_bounds(spark, d):
+    return frozen_state(spark)["bounds"]
+
+
+@registered(f"WITH {o.FROZEN} SELECT field_idx, field, {', '.join(f'''round(max(CASE tier WHEN 'human' THEN 0.85::DOUBLE ELSE accuracy END) FILTER (tier = '{t}'), 6) AS {t}''' for t in TIERS)} FROM profile GROUP BY ALL")
+def frozen_pivot(spark, d):
+    return rounded(frozen_state(spark)["accuracy"], *TIERS)
+
+
+@registered(f"WITH {o.FROZEN}, {o.GIVEN} SELECT tier, round(sum(CASE tier WHEN 'human' THEN humanSeconds * 1000::DOUBLE ELSE latency END * volume / 1000), 6) AS seconds FROM profile, given GROUP BY tier")
+def frozen_seconds(spark, d):
+    return rounded(routing.uniform(routing.evaluated(frozen_extraction(spark), given.as_row(spark), len(FIELDS))).select("tier", "seconds"), "seconds")
+
+
+@registered(f"SELECT * FROM {o.values([*FROZEN_LOAD.items()], 'tier, ms')}")
+def frozen_load_times(spark, d):
+    return frozen_load_time(spark)
+
+
+@registered(f"""SELECT assumption, CASE reason WHEN 'tier priced out' THEN 'no effect while the tier it governs is out of the budget; measure it before the budget rises or the volume falls'
+WHEN 'genuinely insensitive' THEN printf('decides nothing from %.2f to %.2f; not worth measuring here', lo, hi) ELSE printf('decides the routing outside %.2f to %.2f; worth measuring', stable_from, stable_to) END AS advice
+FROM ({o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5)})""")
+def assumption_advice(spark, d):
+    return sensitivity.bands(frozen_extraction(spark), frozen_classification(spark), 5).select("assumption", sensitivity.advice().alias("advice"))
+
+
 @registered(o.routing_sql(o.FROZEN, 5))
 def frozen_routing(spark, d):
     return rounded(state.routing_block(frozen_extraction(spark), given.as_row(spark), 5), "accuracy", "cost")
@@ -236,6 +294,15 @@ def windowed_rates(spark, d):
     return rounded(rates.windowed_rates(table(spark, d, "events"), 50.0), "rate", "low", "high", "precision")
 
 
+WRITTEN = "CASE WHEN reportable THEN printf('%.1f %% [%.0f–%.0f], n=%d', rate * 100, low * 100, high * 100, n) ELSE printf('— (n=%d, too few to quote)', n) END AS written"
+
+
+@registered(f"SELECT user_id, {WRITTEN} FROM (SELECT user_id, {o.rate('k', 'm')} FROM (SELECT user_id, count(*) FILTER (value > 50) AS k, count(*) AS m FROM events GROUP BY 1))")
+def written_rates(spark, d):
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("k"), F.count("*").alias("all"))
+    return rounded(counts.select("user_id", *stats.rate(F.col("k"), F.col("all"))), "rate", "low", "high", "precision").select("user_id", stats.written_rate().alias("written"))
+
+
 @registered(f"WITH {o.BY_TYPE} SELECT a.event_type AS first, b.event_type AS second, a.high < b.low OR b.high < a.low AS apart FROM by_type a JOIN by_type b ON a.event_type < b.event_type")
 def pairwise_distinguishable(spark, d):
     a, b = by_type(spark, d).alias("a"), by_type(spark, d).alias("b")
@@ -335,6 +402,34 @@ def failure_gallery(spark, d):
     return failures.gallery(wrong_answers(spark), 6).drop("tier_idx", "field_idx")
 
 
+def ladder_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The wrong answers of the three machine tiers of the language ladder, over all documents."""
+    documents = table(spark, d, "documents")
+    long = measure.long_form(measure.language_ladder(documents)).where("tier <> 'human'").join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    fields = F.array(*map(F.lit, LANGUAGES))
+    return failures.collect(long.select("tier_idx", "tier", (F.array_position(fields, F.col("truth")) - 1).cast("int").alias("field_idx"), F.col("truth").alias("field"), F.col("doc_id").alias("id"), "text", F.col("truth").alias("expected"), "got"))
+
+
+LADDER_FAILED = f"""{o.LADDER}, {o.LONG}, failed AS (SELECT *, {o.MODE} AS mode FROM (SELECT tier_idx, tier, {o.FIELD_IDX} AS field_idx, truth AS field, doc_id AS id,
+  substr(replace(coalesce(text, ''), chr(10), ' ⏎ '), 1, 120) AS text, truth AS expected, got FROM long JOIN documents USING (doc_id) WHERE tier <> 'human') WHERE NOT {o.CORRECT})"""
+
+
+@registered(f"WITH {LADDER_FAILED} SELECT tier, field, mode, count(*) AS n FROM failed GROUP BY ALL")
+def ladder_failure_shape(spark, d):
+    return failures.shape(ladder_failures(spark, d)).drop("first")
+
+
+@registered(f"WITH {LADDER_FAILED} SELECT tier, field, id, text, expected, got, mode FROM (SELECT *, row_number() OVER (PARTITION BY tier, field ORDER BY id) AS rn FROM failed) WHERE rn = 1 ORDER BY tier_idx, field_idx, id LIMIT 9")
+def ladder_gallery(spark, d):
+    return failures.gallery(ladder_failures(spark, d), 9).drop("tier_idx", "field_idx")
+
+
+@registered("SELECT page_id, url || ' — ' || regexp_extract(html, '<title>([^<]*)', 1) AS citation, url || ' · ' || regexp_extract(url, '//([^/]+)', 1) || ' · retrieved ' || page_id AS provenance FROM pages")
+def cited_pages(spark, d):
+    title, host = F.regexp_extract("html", "<title>([^<]*)", 1), F.regexp_extract("url", "//([^/]+)", 1)
+    return table(spark, d, "pages").select("page_id", text.citation(F.col("url"), title).alias("citation"), text.provenance(F.col("url"), host, F.col("page_id").cast("string")).alias("provenance"))
+
+
 @registered("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS declared, regexp_extract(url, '//[^/]+/([a-z][a-z])/', 1) AS segment, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) = regexp_extract(url, '//[^/]+/([a-z][a-z])/', 1) AS same FROM pages")
 def page_lang_check(spark, d):
     declared, segment = F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.regexp_extract("url", "//[^/]+/([a-z][a-z])/", 1)
@@ -351,6 +446,15 @@ def case_grid(spark, d):
     return charts.case_grid(long.select("doc_id", "tier_idx", (F.col("got") == F.col("truth")).alias("correct")), "doc_id", "tier_idx", "correct")
 
 
+@registered("""WITH w AS (SELECT user_id, date_trunc('week', ts) AS week, avg(value) > 50 AS v, min(value > 50) <> max(value > 50) AND count(*) < 4 AS unstable FROM events GROUP BY ALL),
+b AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY week) AS before FROM w)
+SELECT user_id, week, CASE WHEN unstable THEN 'unstable' WHEN v AND NOT before THEN 'repaired' WHEN NOT v AND before THEN 'broken' WHEN v THEN 'ok' ELSE 'ko' END AS state FROM b""")
+def unstable_cases(spark, d):
+    above = F.col("value") > 50
+    weeks = table(spark, d, "events").groupBy("user_id", F.date_trunc("week", "ts").alias("week")).agg((F.avg("value") > 50).alias("v"), ((F.min(above) != F.max(above)) & (F.count("*") < 4)).alias("unstable"))
+    return charts.case_grid(weeks, "user_id", "week", "v", "unstable").select("user_id", "week", "state")
+
+
 def weekly_ranks(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -393,6 +497,20 @@ def stacked_share(spark, d):
     return rounded(charts.stacked(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity"), "value", "total", "share")
 
 
+@registered("SELECT floor(o_totalprice / 25000)::BIGINT AS bin, floor(o_totalprice / 25000) * 25000::DOUBLE AS low, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS fixed, floor(o_totalprice / 25000) * 25000 >= 200000 AS beyond FROM orders GROUP BY 1, 2, 5")
+def price_histogram(spark, d):
+    return charts.histogram(table(spark, d, "orders"), "o_totalprice", 25_000.0, 200_000.0, F.col("o_orderstatus") == "F")
+
+
+@registered("""WITH days AS (SELECT date_trunc('day', ts) AS day, avg(value) AS mean, max(value) AS top FROM events GROUP BY 1),
+l AS (SELECT day, 'mean' AS series, mean AS value FROM days UNION ALL SELECT day, 'top', top FROM days), e AS (SELECT least(0, min(value)) AS lo, greatest(0, max(value)) AS hi FROM l),
+x AS (SELECT CASE WHEN lo < 0 THEN lo - (hi - lo) * 0.08::DOUBLE ELSE 0 END AS low, hi + (hi - lo) * 0.08::DOUBLE AS high FROM e)
+SELECT day, series, round(value, 6) AS value, round(greatest(0, least(1, (value - low) / (high - low))), 6) AS place FROM l, x""")
+def daily_curves(spark, d):
+    days = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("mean"), F.max("value").alias("top"))
+    return rounded(charts.curves(days, "day", "mean", "top"), "value", "place")
+
+
 @registered("SELECT i, min(j) FILTER (NOT (j / 73::DOUBLE <= 1 - (i / 46::DOUBLE) * (i / 46::DOUBLE))) AS j FROM (SELECT unnest(range(47)) AS i), (SELECT unnest(range(74)) AS j) GROUP BY i")
 def decision_frontier(spark, d):
     return charts.frontier(spark.range(1).select(F.lit(1).alias("one")), lambda x, y: y <= 1 - x * x)
@@ -498,6 +616,12 @@ def missing_keys(spark, d):
     return inventory.missing(users, known, "key")
 
 
+@registered("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def unanswered_keys(spark, d):
+    answered = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
+    return inventory.missing(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), answered, "key")
+
+
 @registered("SELECT c_nationkey AS key FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 def stale_rows(spark, d):
     return inventory.stale(table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, d, "customer").select(F.col("c_nationkey").alias("key")))

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def freeze(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Replaces what is at the path by the table, as JSON or Parquet."""
-    getattr(df.write.mode("overwrite"), kind)(path)
+    """Replaces what is at the path by the table, as JSON or Parquet.
+
+    The table may read the path itself: it is written beside it first, and what was there goes when that is complete.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    getattr(df.write, kind)(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old = hadoop.Path(beside), hadoop.Path(path)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old):
+        files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} is complete, but could not be moved to {path}")
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -23,10 +35,7 @@ def freeze_if_changed(df: DataFrame, path: str) -> bool:
         old = spark.read.parquet(path)
         if old.schema.simpleString() == df.schema.simpleString() and not df.exceptAll(old).limit(1).count() and not old.exceptAll(df).limit(1).count():
             return False
-        old_rows = df.withColumn("_", F.lit(0)).drop("_")
-        old_rows.write.mode("overwrite").parquet(path)
-        return True
-    df.write.parquet(path)
+    freeze(df, path, "parquet")
     return True
 
 
