@@ -12,7 +12,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +31,12 @@ LEAST_BYTES = 100
 BLOCK, ARCHIVE_BYTES = 500, 256 << 20
 #: Resolved responses, blocks and directories that a searching task remembers.
 REMEMBERED, OPEN_BLOCKS = 20_000, 8
+#: Repeated payloads up to which their first captures go to every task.
+REPEATED = 300_000
 LEVEL = 3
-CAPTURE = "key string, page long, url string, file string, offset long, length long"
+CAPTURE = "key string, page long, digest string, url string, file string, offset long, length long"
+#: The order of the index; a search names the first of these columns, one or more, and a row of its own all of them.
+ORDER = ("key", "page", "digest", "file", "offset")
 #: Pages have no capture time.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -84,6 +88,11 @@ def page_of(urn: str) -> int:
     return int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
+def referred(headers: dict[str, str]) -> tuple[str, int, str]:
+    """Key, page and payload digest of the response that a revisit refers to."""
+    return surt(headers["WARC-Refers-To-Target-URI"]), page_of(headers["WARC-Refers-To"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
+
+
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
@@ -96,8 +105,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     rows = common.in_small_batches(pages).select(common.key_of(pages, "page_id").alias("page"), common.text_of(pages, "url").alias("url"), common.text_of(pages, "html").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= LEAST_BYTES)
-    first = rows.where("long").groupBy(F.col("digest").alias("of")).agg(F.min("page").alias("first_page"), F.min_by("url", F.struct("page", "url")).alias("first_url"))
-    decided = rows.join(first, rows["long"] & (rows["digest"] == first["of"]), "left").select("page", "url", "html", "digest", "first_page", "first_url")
+    first = rows.where("long").groupBy(F.col("digest").alias("of")).agg(F.min("page").alias("first_page"), F.min_by("url", F.struct("page", "url")).alias("first_url"), F.count("*").alias("met"))
+    # only payloads met twice need a decision; html is not shuffled while these are few
+    repeated = common.sized(common.stored(first.where("met > 1").drop("met"), "repeated-payloads"), REPEATED)
+    decided = rows.join(repeated, rows["long"] & (rows["digest"] == repeated["of"]), "left").select("page", "url", "html", "digest", "first_page", "first_url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = opened(folder)
@@ -115,9 +126,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     to = None if pd.isna(first_page) or int(first_page) == page else int(first_page)
                     raw = record(page, url, html.encode("utf-8", "replace"), digest, to, first_url or "")
                     sink.write(raw)
-                    out.append((surt(header_value(url)), page, url, name, at, len(raw)))
+                    out.append((surt(header_value(url)), page, digest, url, name, at, len(raw)))
                     at += len(raw)
-                yield pd.DataFrame(out, columns=["key", "page", "url", "file", "offset", "length"])
+                yield pd.DataFrame(out, columns=["key", "page", "digest", "url", "file", "offset", "length"])
         finally:
             if sink:
                 sink.close()
@@ -130,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
     """Writes the sorted index shards with their directories and returns the stored shards: first key and files."""
     tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = captures.repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page")
+    in_order = captures.repartitionByRange(tasks, *ORDER).sortWithinPartitions(*ORDER)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = opened(folder)
@@ -141,12 +152,12 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             nonlocal at
             raw = packed("\n".join(json.dumps(x, ensure_ascii=False) for x in lines).encode())
             sink.write(raw)
-            directory.append([*lines[0][:2], at, len(raw)])
+            directory.append([*lines[0][: len(ORDER)], at, len(raw)])
             at += len(raw)
             lines.clear()
 
         for b in batches:
-            for row in zip(b["key"], b["page"].tolist(), b["file"], b["offset"].tolist(), b["length"].tolist()):
+            for row in zip(b["key"], b["page"].tolist(), b["digest"], b["file"], b["offset"].tolist(), b["length"].tolist()):
                 sink = sink or files.open_output_stream(f"{base}/{name}.blocks", compression=None)
                 lines.append(row)
                 if len(lines) == BLOCK:
@@ -157,9 +168,9 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             sink.close()
             with files.open_output_stream(f"{base}/{name}.directory", compression=None) as f:
                 f.write(packed(json.dumps(directory).encode()))
-            yield pd.DataFrame([(directory[0][0], directory[0][1], name)], columns=["key", "page", "name"])
+            yield pd.DataFrame([(*directory[0][: len(ORDER)], name)], columns=[*ORDER, "name"])
 
-    return common.stored(in_order.mapInPandas(write, "key string, page long, name string"), "index-shards")
+    return common.stored(in_order.mapInPandas(write, "key string, page long, digest string, file string, offset long, name string"), "index-shards")
 
 
 @dataclass
@@ -168,12 +179,12 @@ class Index:
 
     archives: str
     folder: str
-    firsts: list[tuple[str, int]]
+    firsts: list[tuple[str, int, str, str, int]]
     names: list[str]
 
 
 class Searcher:
-    """Finds captures by key and page with binary searches and range reads; lives in a task."""
+    """Finds captures by the first columns of the index's order with binary searches and range reads; lives in a task."""
 
     def __init__(self, index: Index):
         self.index = index
@@ -202,28 +213,25 @@ class Searcher:
     def _directory(self, name: str) -> list:
         def load() -> list:
             with self.files.open_input_stream(f"{self.base}/{name}.directory", compression=None) as f:
-                return [((k, p), at, n) for k, p, at, n in json.loads(zlib.decompress(f.read(), 31))]
+                return [(tuple(d[: len(ORDER)]), *d[len(ORDER) :]) for d in json.loads(zlib.decompress(f.read(), 31))]
 
         return self._cached(self.directories, name, load, 4)
 
-    def captures(self, key: str, page: int | None = None) -> Iterator[tuple[int, str, int, int]]:
-        """(page, file, offset, length) of the captures of a key, or of that and a page, in the order of pages."""
-        want = (key, common.NO_ID - 1 if page is None else page)
-        shard = max(0, bisect_right(self.index.firsts, want) - 1)
+    def captures(self, *want: str | int) -> Iterator[tuple[int, str, int, int]]:
+        """(page, file, offset, length) of the captures that begin with the wanted values of ``ORDER``, in that order."""
+        begin = lambda line: tuple(line[: len(want)])
+        shard = max(0, bisect_left(self.index.firsts, want, key=begin) - 1)
         while shard < len(self.index.names):
             directory = self._directory(self.index.names[shard])
-            block = max(0, bisect_right(directory, want, key=lambda d: d[0]) - 1)
+            block = max(0, bisect_left(directory, want, key=lambda d: begin(d[0])) - 1)
             while block < len(directory):
                 _, at, length = directory[block]
                 path = f"{self.base}/{self.index.names[shard]}.blocks"
                 lines = self._cached(self.blocks, (path, at), lambda: [json.loads(x) for x in zlib.decompress(self._range(self.files, path, at, length), 31).decode().split("\n")], OPEN_BLOCKS)
-                line = bisect_right(lines, want, key=lambda x: (x[0], x[1]))
-                if line and (lines[line - 1][0], lines[line - 1][1]) == want:
-                    line -= 1
-                for k, p, file, offset, n in lines[line:]:
-                    if k != key or page is not None and p != page:
+                for line in lines[bisect_left(lines, want, key=begin) :]:
+                    if begin(line) != want:
                         return
-                    yield p, file, offset, n
+                    yield line[1], *line[3:]
                 block += 1
             shard += 1
 
@@ -237,8 +245,8 @@ def build(pages: DataFrame) -> tuple[DataFrame, Index]:
     spark = pages.sparkSession
     archives, folder = common.new_folder(spark, "warc"), common.new_folder(spark, "warc-index")
     captures = write_archives(pages, archives)
-    shards = sorted((tuple(r) for r in build_index(captures, folder).collect()), key=lambda r: r[:2])  # one row a shard
-    return captures, Index(archives, folder, [(k, p) for k, p, _ in shards], [n for *_, n in shards])
+    shards = sorted(tuple(r) for r in build_index(captures, folder).collect())  # one row a shard
+    return captures, Index(archives, folder, [r[:-1] for r in shards], [r[-1] for r in shards])
 
 
 def look_up(urls: DataFrame, index: Index, column: str = "url") -> DataFrame:
@@ -252,8 +260,7 @@ def look_up(urls: DataFrame, index: Index, column: str = "url") -> DataFrame:
                 for capture in searcher.captures(surt(header_value(url))):
                     headers, payload = searcher.read(capture)
                     if headers["WARC-Type"] == "revisit":
-                        to = next(searcher.captures(surt(headers["WARC-Refers-To-Target-URI"]), page_of(headers["WARC-Refers-To"])))
-                        payload = searcher.read(to)[1]
+                        payload = searcher.read(next(searcher.captures(*referred(headers))))[1]
                     out.append((None if capture[0] == common.NO_ID else capture[0], url, payload.decode(), headers["WARC-Type"]))
             yield pd.DataFrame(out, columns=["page_id", "url", "html", "record_type"]).astype({"page_id": "Int64"})
 
@@ -267,26 +274,26 @@ def read_back(captures: DataFrame, index: Index) -> DataFrame:
     searched in the index, too, and its payload's size and digest are taken from the response found there.
     """
     tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = captures.select("key", "page").repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page")
+    wanted = captures.select(*ORDER).repartitionByRange(tasks, *ORDER).sortWithinPartitions(*ORDER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         searcher, follower = Searcher(index), Searcher(index)
-        met: OrderedDict[tuple[str, int], tuple[int, str]] = OrderedDict()
+        met: OrderedDict[tuple[str, int, str], tuple[int, str]] = OrderedDict()
 
-        def response(url: str, page: int) -> tuple[int, str]:
-            payload = follower.read(next(follower.captures(surt(url), page)))[1]
+        def response(*to: str | int) -> tuple[int, str]:
+            payload = follower.read(next(follower.captures(*to)))[1]
             return len(payload), hashlib.sha256(payload).hexdigest()
 
         for b in batches:
             out = []
-            for key, page in zip(b["key"], b["page"].tolist()):
-                headers, payload = searcher.read(next(searcher.captures(key, page)))
+            for place in zip(*(b[c].tolist() for c in ORDER)):
+                headers, payload = searcher.read(next(searcher.captures(*place)))
                 if headers["WARC-Type"] == "revisit":
-                    to = headers["WARC-Refers-To-Target-URI"], page_of(headers["WARC-Refers-To"])
+                    to = referred(headers)
                     size, digest = Searcher._cached(met, to, lambda: response(*to), REMEMBERED)
-                    out.append((page, size, digest, "revisit", to[1]))
+                    out.append((place[1], size, digest, "revisit", to[1]))
                 else:
-                    out.append((page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None))
+                    out.append((place[1], len(payload), hashlib.sha256(payload).hexdigest(), "response", None))
             yield pd.DataFrame(out, columns=["page", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"refers_to": "Int64"})
 
     return wanted.mapInPandas(run, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -296,7 +303,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, as read back, for every row of ``pages``.
 
     A null html is an empty payload, a null url an empty one. A null page_id is smaller than all others. Rows that
-    share page_id and url have a record each, but what is read back is that of the first. Of equal payloads of at
+    share page_id and url have a record each, and each reads its own back. Of equal payloads of at
     least ``LEAST_BYTES``, every row with the smallest page_id is a response. Other columns are not looked at.
     """
     captures, index = build(pages)
