@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled texts that the trigram model is fitted on at most (about), and languages it has at most.
-FIT_ROWS, LANGUAGES = 20_000, 64
+#: Labelled texts that the trigram model is fitted on at most (about), and the commonest languages that are told apart;
+#: the texts of all others are one class, OTHER.
+FIT_ROWS, LANGUAGES, OTHER = 20_000, 64, "other"
 SLOTS = 1 << 14
 #: Trigrams depend on each other: a text counts as so many at most, in the proportions of the whole text.
 TRUST = 60.0
@@ -59,10 +60,14 @@ def host_parts(url: str) -> tuple[str, str, str]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages and their log probabilities (SLOTS, languages) from labelled texts outside the held-out fold."""
     given = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~common.held_out(F.col("doc_id"), FOLDS))
-    by_lang = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in by_lang)
-    share = min(1.0, FIT_ROWS / max(1, sum(r["n"] for r in by_lang)))
-    sample = given.where(F.col("lang").isin(names) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    by_lang = common.stored(given.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    names = sorted(r["lang"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("languages")).first()
+    share = min(1.0, FIT_ROWS / max(1, total["n"]))
+    sample = given.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    if total["languages"] > LANGUAGES:
+        sample = sample.withColumn("lang", F.when(F.col("lang").isin(names), F.col("lang")).otherwise(OTHER))
+        names = sorted({*names, OTHER})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -130,9 +135,12 @@ def fuse(found: DataFrame, names: list[str]) -> DataFrame:
     suffixes, by_suffix = likelihood("suffix")
     hosts = found.where("host <> ''").groupBy("host", "domain").agg(*sums)
     domains = hosts.where("domain <> ''").groupBy("domain").agg(*(F.sum(f"s_{c}").alias(f"d_{c}") for c in p))
-    joined = found.join(declared, found["declared"] == declared["of_declared"], "left").join(suffixes, found["suffix"] == suffixes["of_suffix"], "left")
+    said = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit(" "), F.coalesce(F.col("doc_id"), F.col("page_id"))))
+    # rows that say nothing get keys of their own that match nothing, so that they do not meet in one task
+    found = found.select("*", *(said(c).alias(f"by_{c}") for c in ("declared", "suffix", "host")))
+    joined = found.join(declared, found["by_declared"] == declared["of_declared"], "left").join(suffixes, found["by_suffix"] == suffixes["of_suffix"], "left")
     prior_of_host = hosts.join(domains, "domain", "left").select(F.col("host").alias("of_host"), *(f"s_{c}" for c in p), *(f"d_{c}" for c in p))
-    joined = joined.join(prior_of_host, joined["host"] == prior_of_host["of_host"], "left")
+    joined = joined.join(prior_of_host, joined["by_host"] == prior_of_host["of_host"], "left")
     own = lambda c, level: F.greatest(F.coalesce(F.col(f"{level}_{c}") - F.col(c), F.lit(0.0)), F.lit(0.0))
 
     def smoothed(level: str, above: list[Column]) -> list[Column]:
@@ -154,7 +162,8 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     A document has a doc_id, its source stands for its host, and it has no markup and no address; a page has a
     page_id, and the text is what its markup shows. Null and empty texts have no text evidence, so the other kinds
     decide. The model is fitted on the documents' lang outside the held-out fold (crc32 of the id, remainder 1 of 3).
-    Rows may repeat, ids may be null. Without labelled documents the language is "und".
+    Rows may repeat, ids may be null. Without labelled documents the language is "und". Beyond the ``LANGUAGES``
+    commonest labelled languages, all others are one, ``OTHER``.
     """
     none = F.lit(None).cast("string")
     source = docs["source"].cast("string") if "source" in docs.columns else none
