@@ -21,6 +21,8 @@ from . import common
 
 #: Labelled documents that the fit uses at most (about: they are chosen by a hash of the id).
 FIT_ROWS = 20_000
+#: Characters of their texts that the fit uses at most (about): beyond, fewer documents are chosen.
+FIT_CHARS = 200_000_000
 #: Features kept, by chi-square; each is in at least LEAST_DF labelled documents.
 FEATURES, LEAST_DF = 4_000, 8
 BEGINNINGS = (4, 5)
@@ -116,7 +118,7 @@ def fit_noisy_or(rows: list[tuple[int, int, list[int], list[int]]], features: li
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from about ``rows`` of the labelled documents outside the held-out fold (all, if there are fewer).
 
-    Null labels, ids and texts are left out; of several labels of one id the highest holds. Without rows, or with one
+    Fewer are taken where their texts have more than ``FIT_CHARS`` characters. Null labels, ids and texts are left out; of several labels of one id the highest holds. Without rows, or with one
     class only, the model gives every sentence the same small score.
     """
     docs = common.in_small_batches(docs)
@@ -125,8 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     n = given.count()
     share = min(1.0, rows / max(1, n))
     given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.sized(given, rows * 2), "doc_id").select("text", "label")
-    sample = common.stored(sample, "toxic-sample")
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.sized(given, rows * 2), "doc_id")
+    sample = common.stored(sample.withColumn("by", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))).select("text", "label", "by"), "toxic-sample")
+    chars = sample.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if chars > FIT_CHARS:
+        sample = sample.where(F.col("by") < int(FIT_CHARS / chars * 1_000_000))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, toxic = Counter(), Counter()
@@ -196,7 +201,11 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the located sentences of every row of ``docs``."""
+    """doc_id, held_out, score, predicted and the located sentences of every row of ``docs``.
+
+    A null or empty text is one sentence without words, with the score of the bias. Rows may repeat and ids be null (never
+    held out); each row is scored by itself. Other columns are not looked at.
+    """
     found = score(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return found.select("doc_id", common.held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_sentences", "n_offending", "offending")
 
