@@ -259,9 +259,10 @@ def test_jaccard_on_documents_equals_brute_force(documents):
     assert {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.join(documents, 3, 90)).items()} == brute_components(texts, 3, 90)
 
 
-@pytest.mark.parametrize("block", [7, 500])
-def test_links_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize("few, salted", [(0, 7), (32, 64)])
+def test_links_equal_brute_force(spark, monkeypatch, few, salted):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "SALTED", salted)
     texts = near_copies(3, 2, 40, 6)
     sets = {}
     for i, x in texts.items():
@@ -275,6 +276,34 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert {i: r.links for i, r in by_id(jaccard_join.join(docs, 3, 90)).items()} == want
 
 
+@pytest.mark.parametrize("percent, edits", [(90, 7), (80, 12), (90, 20)])
+def test_long_lists_are_taken_apart_without_losing_links(spark, monkeypatch, percent, edits):
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    texts = near_copies(11, 3, 60, edits)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.join(docs, 3, percent)).items()}
+    assert got == brute_components(texts, 3, percent)
+
+
+def test_a_group_below_the_threshold_is_not_enumerated(spark, monkeypatch):
+    """A thousand texts, each three words off one origin: any two share most of their words and none are similar."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 1_000):
+        w = list(base)
+        for k in rng.choice(120, 4, False):
+            w[k] = f"new{i}of{k}"
+        texts[i] = " ".join(w)
+    met = []
+    pairs = jaccard_join.similar_pairs
+    monkeypatch.setattr(jaccard_join, "similar_pairs", lambda p, *a: met.append(p.count()) or pairs(p, *a))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = by_id(jaccard_join.join(docs, 3, 90))
+    assert {r.component_id for r in got.values()} == set(texts) and {r.links for r in got.values()} == {0}
+    assert sum(met) < 20 * len(texts)
+
+
 def test_texts_that_share_an_id_are_compared_each(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
     rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, c + " end"), (None, "quite another text of its own")]
@@ -314,6 +343,14 @@ def test_warc_round_trip_and_lookup(spark):
     assert sorted((r.page_id, r.html, r.record_type) for r in warc.look_up(urls, index).collect()) == [(5, big, "revisit"), (11, big + "ü", "response")]
 
 
+def test_pages_that_share_id_and_url_read_their_own_record(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rows = [(1, "http://a.org/x", f"<p>{'y' * n}</p>") for n in (200, 300, 20, 300)] + [(None, f"{s}://a.org/x", s * 60) for s in ("http", "https", "https")] + [(4, None, "y" * 500)] * 9
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type) for r in warc.archived_pages(pages).collect())
+    assert got == sorted((p or -1, len(h), hashlib.sha256(h.encode()).hexdigest(), "response") for p, _, h in rows)
+
+
 def test_index_search_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 3)
     pages = spark.createDataFrame([(i, f"http://h{i % 4}.example.com/p", f"page {i}") for i in range(60)], "page_id long, url string, html string")
