@@ -202,6 +202,47 @@ def test_viterbi_finds_the_best_path_and_skipping_changes_nothing():
     assert quick.spans(texts) == slow.spans(texts)
 
 
+def test_a_long_line_is_decoded_in_blocks_as_a_whole(monkeypatch):
+    field = pii.train(pii.labelled_table())
+    rng = np.random.default_rng(3)
+    words = ["the", "call", "555-0199", "+1", "anna@mail", "of", "4111", "1111", "card", "10.0.0.1", "Name,"]
+    line = " ".join(rng.choice(words, 500))
+    whole = pii.Decoder(field).spans([line])
+    for cells in (1, 7, 64):
+        monkeypatch.setattr(pii, "CELLS", cells)
+        assert pii.Decoder(field).spans([line]) == whole and whole[0]
+
+
+def test_found_spans_that_overlap_base_spans_are_left_out():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        spans = lambda n: [(0, int(a), int(a) + int(rng.integers(1, 6))) for a in rng.integers(0, 60, n)]
+        found, base = spans(8), spans(8)
+        assert pii.apart_from(found, base) == [s for s in found if not any(s[1] < y and x < s[2] for _, x, y in base)]
+
+
+def test_pii_query_equals_plain_patterns_on_documents(documents):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def right(kind, x):
+        digits = re.sub("[^0-9]", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+            return 16 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    got, texts = by_id(pii.find(documents)), {r.doc_id: r.text or "" for r in documents.collect()}
+    assert got.keys() == texts.keys()
+    for i, x in texts.items():
+        base = [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, x) if right(k, m[0])]
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [got[i][f"n_{k}"] for k in plain] == [sum(b[0] == k for b in base) for k in plain]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert {*written} <= {*got[i].spans.split(",")}
+
+
 # 4
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ TOKEN = re.compile(r"\S+")
 #: Words that announce personal data.
 CUES = ("tel", "tel:", "phone", "phone:", "call", "fax", "fax:", "mobile", "mobile:", "card", "card:", "visa", "ip", "ip:", "host", "mail", "mail:", "email", "email:")
 REMEMBERED = 200_000
+#: Tokens whose scores are held at a time; longer lines are decoded in blocks of so many.
+CELLS = 200_000
 STEPS, RATE, L2 = 200, 0.15, 0.003
 
 
@@ -150,10 +153,12 @@ START = np.array([-np.inf if t[0] == "I" else 0.0 for t in TAGS])
 
 def emissions(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
     """Scores (rows, places, tags) from feature numbers (rows, places, families); -1 is a feature never met."""
-    own = np.where(feats[..., None] >= 0, weights[:, np.maximum(feats, 0)], 0).sum(3)
-    out = own[1].copy()
-    out[:, 1:] += own[0][:, :-1]
-    out[:, :-1] += own[2][:, 1:]
+    out = np.zeros((*feats.shape[:2], weights.shape[2]))
+    for family in range(feats.shape[2]):
+        at = feats[..., family]
+        known = (at >= 0)[..., None]
+        for side, to, of in ((1, slice(None), slice(None)), (0, slice(1, None), slice(None, -1)), (2, slice(None, -1), slice(1, None))):
+            out[:, to] += (weights[side][np.maximum(at, 0)] * known)[:, of]
     return out
 
 
@@ -223,6 +228,31 @@ def viterbi(e: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return tags
 
 
+def best_of_line(weights: np.ndarray, moves: np.ndarray, feats: np.ndarray, block: int) -> np.ndarray:
+    """The best tags of one line of any length from its feature numbers (places, families).
+
+    Scores of ``block`` places are there at a time; the path's scores are carried over, so that the tags are those of
+    ``viterbi`` over the whole line.
+    """
+    n, k = len(feats), moves.shape[0]
+    back, best = np.zeros((n, k), np.int8), None
+    for begin in range(0, n, block):
+        low = max(0, begin - 1)
+        e = emissions(weights, feats[None, low : begin + block + 1])[0][begin - low :][:block]
+        for p, own in enumerate(e, begin):
+            if best is None:
+                best = START + own
+                continue
+            to = best[:, None] + moves
+            back[p] = to.argmax(0)
+            best = to.max(0) + own
+    tags = np.zeros(n, np.int64)
+    tags[-1] = best.argmax()
+    for p in range(n - 1, 0, -1):
+        tags[p - 1] = back[p, tags[p]]
+    return tags
+
+
 def outside_wins(field: Field) -> bool:
     """Whether no line of plain tokens can have a better labelling than "outside" throughout.
 
@@ -304,7 +334,7 @@ class Decoder:
         begin = 0
         while begin < len(work):
             end = begin + 1
-            while end < len(work) and end - begin < 4096 and len(work[end][2]) <= 2 * len(work[begin][2]) + 8:
+            while end < len(work) and (end - begin + 1) * len(work[end][2]) <= CELLS and len(work[end][2]) <= 2 * len(work[begin][2]) + 8:
                 end += 1
             self._decode(work[begin:end], texts, out)
             begin = end
@@ -312,15 +342,19 @@ class Decoder:
 
     def _decode(self, part: list[tuple[int, int, list[int]]], texts: list[str], out: list) -> None:
         length = np.array([len(g) for _, _, g in part])
-        table = np.array(self.rows)
-        feats = np.full((len(part), length.max(), 5), -1)
-        for r, (_, _, groups) in enumerate(part):
-            feats[r, : len(groups)] = table[groups]
-        tags = viterbi(emissions(self.field.weights, feats), length, self.field.moves)
+        table = np.array(self.rows, np.int32)
+        if length[0] > CELLS:
+            tags = best_of_line(self.field.weights, self.field.moves, table[part[0][2]], CELLS)[None]
+        else:
+            feats = np.full((len(part), length.max(), 5), -1)
+            for r, (_, _, groups) in enumerate(part):
+                feats[r, : len(groups)] = table[groups]
+            tags = viterbi(emissions(self.field.weights, feats), length, self.field.moves)
         for r in np.flatnonzero((tags > 0).any(1)):
             i, at, groups = part[r]
             stop = texts[i].find("\n", at)
-            places = [m.span() for m in TOKEN.finditer(texts[i], at, len(texts[i]) if stop < 0 else stop)]
+            marked = tags[r] > 0
+            places = {p: m.span() for p, m in enumerate(TOKEN.finditer(texts[i], at, len(texts[i]) if stop < 0 else stop)) if marked[p]}
             p = 0
             while p < len(groups):
                 t, q = int(tags[r, p]), p + 1
@@ -337,6 +371,18 @@ class Decoder:
                 p = q
 
 
+def apart_from(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of ``found`` that overlap none of ``base``."""
+    begins, ends = [], []
+    for _, x, y in sorted(base, key=lambda s: s[1]):
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            begins.append(x)
+            ends.append(y)
+    return [s for s in found if (i := bisect_right(ends, s[1])) == len(ends) or begins[i] >= s[2]]
+
+
 def find(docs: DataFrame, with_spans: bool = True) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of every row of ``docs``.
 
@@ -352,7 +398,7 @@ def find(docs: DataFrame, with_spans: bool = True) -> DataFrame:
             texts, rows = b["text"].tolist(), []
             for text, found in zip(texts, decoder.spans(texts)):
                 base = base_spans(text)
-                added = [s for s in found if not any(s[1] < y and x < s[2] for _, x, y in base)]
+                added = apart_from(found, base)
                 write = lambda spans: ",".join(f"{KINDS[k]}:{x}:{y}" for k, x, y in sorted(spans))
                 counts = [sum(s[0] == k for s in base) for k in range(4)]
                 rows.append((*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(base + added), len(added)))
