@@ -144,6 +144,22 @@ def test_owner_keeps_colliding_texts_apart():
     assert rows == [(0, 7, 0, 4, 2, "x"), (0, 7, 1, 3, 2, "y"), (1, 9, 0, 1, 1, "z")]
 
 
+def test_directory_doubles_and_rows_are_answered_through_it(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 5)
+    texts = {i: f"text  {i % 90}" if i % 2 else f"text {i % 90}" for i in range(300)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    rows = exact_dedup.keyed(docs)
+    index, directory, depth = exact_dedup.build_index(docs, rows)
+    assert depth >= 4 and directory.count() == 1 << depth and index.count() == 90
+    assert 10 < index.select("bucket").distinct().count() <= directory.select("bucket").distinct().count()
+    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 5
+    got = by_id(exact_dedup.deduplicate(docs))
+    for i in texts:
+        group = [j for j in texts if j % 90 == i % 90]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(group), len(group), i == min(group))
+    assert sorted(r.doc_id for r in exact_dedup.unique_documents(docs).collect()) == [*range(90)]
+
+
 def test_exact_dedup_is_right_on_odd_rows(odd):
     found = exact_dedup.deduplicate(odd)
     rows = by_id(found.where("doc_id IS NOT NULL"))

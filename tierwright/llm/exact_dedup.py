@@ -1,10 +1,11 @@
 """Exact deduplication with an extendible-hash index kept on shared files.
 
 Each different text gets an entry under a 64-bit key. The directory maps a prefix of the key to a bucket; it starts
-with one slot and doubles while an overfull bucket has to be split. Owner tasks take whole buckets, that is, ranges of
+with two slots and doubles while an overfull bucket has to be split. Owner tasks take whole buckets, that is, ranges of
 the key: they read a bucket's entries in key order, chain the entries that share a key, and compare their bytes, so
-that texts whose keys collide stay apart. The finished index, one row for each different text, is a table in the
-shared folder, laid out by bucket.
+that texts whose keys collide stay apart. Only texts whose key is met more than once have to be compared, so only these
+travel. The directory and the index, one row for each different text in a folder for each bucket, are tables in the
+shared folder; a document finds its bucket through the directory and its entry in the bucket.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Texts (not copies) and their bytes that a bucket holds before it is split.
-CAPACITY, CAPACITY_BYTES = 20_000, 32 << 20
+#: Texts (not copies) and their bytes that a bucket holds before it is split. Beyond BUCKETS buckets' worth of bytes the
+#: capacities grow with the input, so that the directory stays of bounded size; owners read buckets as streams, of any size.
+CAPACITY, CAPACITY_BYTES, BUCKETS = 4_000, 8 << 20, 1 << 15
+#: Rows of keys up to which they go to every task.
+SMALL = 500_000
 #: Bytes of different texts that a task holds before it passes them on.
 HELD_BYTES = 16 << 20
-#: Longest prefix, in bits: bounds the directory at 65,536 slots, whatever the input.
-MAX_DEPTH = 16
-#: Fewest bits the directory starts with, so that owners share the work evenly on small inputs too.
-MIN_DEPTH = 10
+#: Longest prefix, in bits, that the directory can be asked for, and that with which it starts.
+MAX_DEPTH, MIN_DEPTH = 20, 1
 
 
 def normalised(text: Column) -> Column:
@@ -33,12 +35,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def build_directory(cells: list[tuple[int, int, int]], depth: int = MIN_DEPTH, capacity: int = CAPACITY, capacity_bytes: int = CAPACITY_BYTES, max_depth: int = MAX_DEPTH) -> tuple[int, np.ndarray]:
+def build_directory(cells: list[tuple[int, int, int]], depth: int = MIN_DEPTH, capacity: int = CAPACITY, capacity_bytes: int = CAPACITY_BYTES, max_depth: int = 16) -> tuple[int, np.ndarray]:
     """The global depth and, for each of its 2**depth slots, the number of its bucket.
 
     cells: (first ``max_depth`` bits of the key, texts, bytes). A bucket over a capacity is split by its next bit; where
-    it already uses all bits of the directory, the directory doubles first. Buckets at ``max_depth`` are left as
-    they are: owners read them as a stream, so their size is not bounded by memory.
+    it already uses all bits of the directory, the directory doubles first. A bucket at ``max_depth`` holds a few texts
+    of more than its capacity in bytes and cannot be split to any use.
     """
     texts, size = np.zeros(1 << max_depth, np.int64), np.zeros(1 << max_depth, np.int64)
     for cell, n, b in cells:
@@ -128,31 +130,57 @@ def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield frame(close())
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index: bucket, key, chain (place among the texts of the key), text_sha256, keep and n.
+def keyed(docs: DataFrame) -> DataFrame:
+    """The stored doc, raw (of the text as it is), key, text_sha256 and bytes (of the normalised text) of every row."""
+    text = normalised(docs["text"])
+    rows = docs.select(common.key_of(docs).alias("doc"), F.xxhash64(common.text_of(docs)).alias("raw"), text.alias("text"))
+    return common.stored(rows.select("doc", "raw", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("bytes")), "keyed-rows")
+
 
-    ``keep`` is the smallest doc_id of the text (``common.NO_ID`` is least of all and stands for null), n the number
-    of its documents.
+def build_index(docs: DataFrame, rows: DataFrame, capacity: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The stored index and directory (slot, bucket) of ``rows``, which are ``keyed(docs)``, and the directory's depth.
+
+    The index has bucket, key, chain (place among the texts of the key), text_sha256, keep and n. ``keep`` is the
+    smallest doc_id of the text (``common.NO_ID`` is least of all and stands for null), n the number of its documents.
     """
-    entries = keyed(common.in_small_batches(docs))
+    spark = docs.sparkSession
     # copies count once: a text's key meets itself here, in rows of a few bytes
-    distinct = entries.select("key", F.length("text").cast("long").alias("bytes")).groupBy("key").agg(F.max("bytes").alias("bytes"))
-    cells = distinct.groupBy(prefix(F.col("key"), MAX_DEPTH).alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    depth, slots = build_directory([tuple(r) for r in cells.collect()])  # at most 2**MAX_DEPTH rows
+    met = common.stored(rows.groupBy("key").agg(F.max("bytes").alias("bytes"), F.count("*").alias("times")), "keys")
+    whole = met.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    capacity, capacity_bytes = max(capacity or CAPACITY, whole["n"] // BUCKETS), max(CAPACITY_BYTES, whole["bytes"] // BUCKETS)
+    # enough bits for buckets half as full, and three more for those that chance fills
+    bits = min(MAX_DEPTH, max(MIN_DEPTH, (2 * whole["n"] // capacity).bit_length(), (2 * whole["bytes"] // capacity_bytes).bit_length()) + 3)
+    cells = met.groupBy(prefix(F.col("key"), bits).alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 2**MAX_DEPTH rows
+    depth, slots = build_directory([tuple(r) for r in cells], capacity=capacity, capacity_bytes=capacity_bytes, max_depth=bits)
+    directory = common.stored(spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(slots), dtype=np.int32), "bucket": slots.astype(np.int32)})), "hash-directory")
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from combined(batches, depth, slots)
 
-    local = entries.select("key", "doc", "text").mapInPandas(combine, "bucket int, key long, doc long, n long, text string")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = met.where("times > 1").select("key")
+    raw = common.stored(rows.join(common.sized(repeated, SMALL), "key", "left_semi").select("raw").distinct(), "repeated-texts")
+    plain = common.in_small_batches(docs).select(common.key_of(docs).alias("doc"), docs["text"].alias("text"), F.xxhash64(common.text_of(docs)).alias("raw"))
+    again = plain.join(common.sized(raw, SMALL), "raw", "left_semi")
+    again = again.select("doc", normalised(again["text"]).alias("text")).withColumn("key", F.xxhash64("text")).join(common.sized(repeated, SMALL), "key", "left_semi")
+    local = again.select("key", "doc", "text").mapInPandas(combine, "bucket int, key long, doc long, n long, text string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = local.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
-    index = in_order.mapInPandas(owned, "bucket int, key long, chain int, keep long, n long, text string")
-    return common.stored(index.select("bucket", "key", "chain", F.sha2("text", 256).alias("text_sha256"), "keep", "n"), "hash-index")
+    of_repeated = in_order.mapInPandas(owned, "bucket int, key long, chain int, keep long, n long, text string").select("bucket", "key", "chain", F.sha2("text", 256).alias("text_sha256"), "keep", "n")
+    once = rows.join(met.where("times = 1").select("key"), "key", "left_semi").withColumn("slot", prefix(F.col("key"), depth)).join(F.broadcast(directory), "slot")
+    of_once = once.select("bucket", "key", F.lit(0).alias("chain"), "text_sha256", F.col("doc").alias("keep"), F.lit(1).cast("long").alias("n"))
+    path = common.new_folder(spark, "hash-index")
+    index = of_repeated.unionByName(of_once)
+    index.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(path)
+    return spark.read.schema(index.schema).parquet(path), directory, depth
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = normalised(docs["text"])
-    return docs.select(common.key_of(docs).alias("doc"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+def answered(docs: DataFrame) -> DataFrame:
+    """doc, raw, text_sha256, keep and n of every row, each found through the directory in its bucket of the index."""
+    rows = keyed(docs)
+    index, directory, depth = build_index(docs, rows)
+    placed = rows.withColumn("slot", prefix(F.col("key"), depth)).join(F.broadcast(directory), "slot").select("doc", "raw", "bucket", "key", "text_sha256")
+    entries = index.select("bucket", "key", "text_sha256", "keep", "n")
+    return placed.join(entries, ["bucket", "key", "text_sha256"]).select("doc", "raw", "text_sha256", "keep", "n")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -162,16 +190,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     row stays, with keep_id null. Rows that repeat both text and the smallest id are all kept here, since nothing
     tells them apart; ``unique_documents`` leaves one of them. Other columns are not looked at.
     """
-    index = build_index(docs).select("key", "text_sha256", "keep", "n")
-    rows = keyed(docs).select("doc", "key", F.sha2("text", 256).alias("text_sha256"))
     id_of = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
-    return rows.join(index, ["key", "text_sha256"]).select(
-        id_of("doc").alias("doc_id"),
-        id_of("keep").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("doc") == F.col("keep")).alias("kept"),
-        "text_sha256",
-    )
+    return answered(docs).select(id_of("doc").alias("doc_id"), id_of("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc") == F.col("keep")).alias("kept"), "text_sha256")
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
@@ -179,14 +199,15 @@ def unique_documents(docs: DataFrame) -> DataFrame:
 
     Of rows that also share that id, one stays.
     """
-    kept = deduplicate(docs).where("kept").select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("keep_key"), F.col("text_sha256").alias("keep_sha")).groupBy("keep_key", "keep_sha").agg(F.count("*").alias("rows_of_id"))
+    kept = answered(docs).where(F.col("doc") == F.col("keep")).groupBy("doc", "text_sha256", "raw").agg(F.count("*").alias("rows"))
+    kept = kept.groupBy("doc", "text_sha256").agg(F.min(F.struct("raw", "rows")).alias("first")).select(F.col("doc").alias("keep_key"), F.col("first.raw").alias("keep_raw"), F.col("first.rows").alias("rows_of_id"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc = F.coalesce(plain[names[docs.columns.index("doc_id")]].cast("long"), F.lit(common.NO_ID))
-    same = F.sha2(normalised(plain[names[docs.columns.index("text")]]), 256)
-    stay = plain.join(kept, (doc == kept["keep_key"]) & (same == kept["keep_sha"]))
+    raw = F.xxhash64(common.text_of(plain, names[docs.columns.index("text")]))
+    stay = plain.join(kept, (doc == kept["keep_key"]) & (raw == kept["keep_raw"]))
     once = stay.where("rows_of_id = 1").select(*names)
-    repeated = stay.where("rows_of_id > 1").dropDuplicates(["keep_key", "keep_sha"]).select(*names)
+    repeated = stay.where("rows_of_id > 1").dropDuplicates(["keep_key", "keep_raw"]).select(*names)
     return once.unionByName(repeated).toDF(*docs.columns)
 
 
