@@ -448,15 +448,17 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
             times = b["lead"].map(len).to_numpy() // 8
             keys = np.frombuffer(b"".join(b["lead"]), "<u8").view(np.int64)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"key": keys, "place": place.astype(np.int32), "length": np.repeat(times, times).astype(np.int32)} | {c: np.repeat(b[c].to_numpy(), times) for c in ("doc", "n", "l", "density")})
+            yield pd.DataFrame({"key": keys, "doc": np.repeat(b["doc"].to_numpy(), times), "place": place.astype(np.int32)})
 
-    postings = prefixes.mapInPandas(post, "key long, place int, length int, doc long, n long, l int, density double")
+    # most postings are alone under their key and go no further, so they travel without their document's other columns
+    postings = prefixes.select("doc", "lead").mapInPandas(post, "key long, doc long, place int")
     shared_keys = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    met = postings.join(shared_keys, "key").join(prefixes.select("doc", "n", "l", "density", (F.octet_length("lead") / 8).cast("int").alias("length")), "doc")
     # Elements of a prefix that no other prefix has: ``alone`` stand before a posting, and the two documents that meet
     # there both lack all of the other's.
     of_doc = Window.partitionBy("doc")
     met_before = F.row_number().over(of_doc.orderBy("place")) - 1
-    lists = postings.join(shared_keys, "key").withColumn("alone", F.col("place") - met_before).withColumn("singles", F.col("length") - F.count("*").over(of_doc))
+    lists = met.withColumn("alone", F.col("place") - met_before).withColumn("singles", F.col("length") - F.count("*").over(of_doc))
     least = F.ceil(F.col("n") * percent / 100)
     lists = common.stored(lists.where(F.col("alone") <= room("n", least, percent)).select("key", "doc", "n", "l", "alone", "singles", "density"), "posting-lists")
 
