@@ -439,42 +439,70 @@ def test_base_scores_and_held_out_perplexity(documents):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_predictive_probabilities_sum_to_one():
-    import pandas as pd
-
-    pairs = pd.DataFrame([(0, 1, 5), (1, 2, 3), (1, 0, 2), (2, 0, 4), (0, 2, 1)], columns=["before", "after", "c"])
-    bins = pd.DataFrame([(1, 6, 1.0), (3, 2, 3.0)], columns=["bin", "words", "c"])
-    classes = {" ": 0, "the": 1}
-    m = pitman_yor.sample(classes, pairs, bins, vocabulary=10, tokens=30)
-    assert np.allclose((10**m.log_pair).sum(1), 1)
-    unseen = 10 + 1 - len(classes) - 8
-    assert 10 ** m.rare_log[0] * unseen + (10 ** m.rare_log[1:] * bins["words"]).sum() == pytest.approx(1, abs=0.02)
-
-
 def test_seating_is_within_bounds():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 100_000])
     t = pitman_yor.seat(c, np.full(5, 0.1), np.full(5, 1.0), 0.5, np.zeros(5, np.int64), rng)
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
-
-
-def test_rare_contexts_decide_and_predictions_sum_to_one(spark):
+    c, t = c[2:], t[2:]
+    sizes = pitman_yor.spread(c, t, 0.5, rng)
+    for _ in range(5):
+        t, sizes = pitman_yor.reseated(c, t, sizes, np.full(3, 2.0), 0.5, rng)
+        assert len(sizes) == t.sum() and sizes.min() >= 1
+        assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == c.tolist()
+
+
+@pytest.mark.parametrize("new, d", [(0.3, 0.5), (2.0, 0.8)])
+def test_gibbs_seating_has_the_exact_distribution(new, d):
+    """Of four customers of a dish, by enumeration of all ways to sit: new**tables times (1 - d)(2 - d)... of each table."""
+    def ways(left, tables):
+        if not left:
+            yield tables
+            return
+        yield from ways(left - 1, [*tables, 1])
+        for i in range(len(tables)):
+            yield from ways(left - 1, [*tables[:i], tables[i] + 1, *tables[i + 1 :]])
+
+    exact = np.zeros(5)
+    for tables in ways(4, []):
+        exact[len(tables)] += new ** len(tables) * np.prod([np.prod([k - d for k in range(1, n)]) for n in tables])
+    rng, c = np.random.default_rng(1), np.full(40_000, 4)
+    t, sizes = np.ones(len(c), np.int64), np.full(len(c), 4)
+    for _ in range(6):
+        t, sizes = pitman_yor.reseated(c, t, sizes, np.full(len(c), new), d, rng)
+    assert np.allclose(np.bincount(t, minlength=5) / len(c), exact / exact.sum(), atol=0.012)
+
+
+@pytest.mark.parametrize("hot", [5_000, 400])
+def test_all_contexts_decide_and_predictions_sum_to_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(pitman_yor, "HOT", hot)
+    monkeypatch.setattr(pitman_yor, "COMMON_PAIRS", 500)
     rng = np.random.default_rng(8)
     words = [f"r{i}" for i in range(1_500)]
-    rows = [(i, " ".join(f"{w} after{w}" for w in rng.choice(words, 60))) for i in range(300)]
+    rows = [(i, " ".join(f"{w} after{w}" for w in rng.choice(words, 60)) + f" only{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = docs.where(common.held_out(F.col("doc_id"), pitman_yor.FOLDS))
-    model = pitman_yor.whole_model(docs.join(out, "doc_id", "left_anti"))
-    kept = range(pitman_yor.BURN_IN, pitman_yor.SWEEPS)
-    predicted = {r["key"]: 10 ** r["log_p"] for r in model.predicted.collect()}
-    contexts, root = model.contexts.collect(), model.words.collect()
-    assert len(contexts) > 2_500  # more than any 1,000 classes
-    for u in contexts[:40]:
-        before = np.full(len(root), u["before"], np.int64).view(np.uint64)
-        keys = pitman_yor.pair_key(before, np.array([w["after"] for w in root], np.int64).view(np.uint64)).view(np.int64).tolist()
-        p = [predicted.get(k, np.mean([u[f"a_{s}"] * w[f"p_{s}"] for s in kept])) for k, w in zip(keys, root)]
-        new = np.mean([u[f"a_{s}"] * f for s, f in zip(kept, model.fresh)])
-        assert sum(p) + new == pytest.approx(1, abs=1e-6)
+    model, counts = pitman_yor.fit(docs.join(out, "doc_id", "left_anti"))
+    assert model.tail == (hot == 400) and counts.count() > 2_800  # each a context, more than any 1,000 classes
+    kept, rest = range(len(model.a)), model.rest.collect()
+    assert len(kept) == pitman_yor.ROUNDS - pitman_yor.BURN_IN > 1
+    by_context = np.zeros((len(kept), len(model.words.n)))  # what the pairs of numbered words and the others add, by round's mean
+    got = np.zeros(len(model.words.n))
+    for r in model.pairs.collect():
+        u, _ = pitman_yor.numbers(pitman_yor.array_of(r["x"], "<u8"))
+        if r["kind"] == pitman_yor.PAIRS:
+            np.add.at(got, u, pitman_yor.array_of(r["b"], "<f4").astype(float))
+        else:
+            np.add.at(got, u, sum((1 - model.d) / (th + model.words.n[u]) for th in model.thetas))
+    for r in model.others.collect():
+        u = model.words.of(np.array([r["before"]]).view(np.uint64))[0]
+        if u >= 0:
+            got[u] += sum((1 - model.d) / (th + model.words.n[u]) for th in model.thetas) if r["c"] == 1 else r["b"]
+    for k in kept:
+        root = model.p[k].sum() + sum(r[f"p_{k}"] for r in rest) + model.fresh[k]
+        assert root == pytest.approx(1, abs=1e-6)
+        by_context[k] = model.a[k] * root
+    assert np.allclose((got + by_context.sum(0)) / len(kept), 1, atol=1e-5)
     found = pitman_yor.score(docs).where("held_out").toPandas()
     # a word of some 10 in 15,000 is told by the word before it: half of the tokens are nearly sure
     assert found["score"].sum() > 0.7 * found["base_score"].sum()

@@ -2,61 +2,50 @@
 
 Three levels share statistical strength. The base is uniform over the vocabulary. The root restaurant seats all words
 without context, each as a dish of its own. Every training token, as the token before, has a context restaurant whose
-parent is the root. A Gibbs sampler reseats the customers of the restaurants in turn, and predictive probabilities are
-averaged over its samples.
-
-All counts, those of (context, word) pairs too, come from grouped aggregation over the whole training texts. Context
-restaurants are seated in Spark tasks, row by row of the pair table; the totals of contexts and the counts of tables
-that the root receives are grouped sums. A pair met once has one table whatever is drawn, so only the others are
-reseated. Words and pairs go by 64-bit hashes.
+parent is the root. A Gibbs sampler takes customers from their tables and seats them anew, and predictive probabilities
+are averaged over its samples.
+
+Words go by 64-bit hashes; the HOT commonest ones that are met twice have numbers too. Pairs of numbered words are kept
+in shards by their mixed numbers, as arrays of one row for each shard: tasks count, seat and look up whole arrays. The
+tables that contexts hold and send to the root are summed by slices of the numbers. A pair met once has one table
+whatever is drawn, and so has all of a word met once; they follow from the words' counts. Words beyond the numbered ones
+that are met twice, and their pairs, are rows that are joined.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from math import lgamma
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .jaccard_join import STEP, mixed, word_hashes
 
 FOLDS = 5
-#: Words whose counts go to every task; the counts of all others meet their tokens in a join.
-COMMON = 150_000
-SWEEPS, BURN_IN, SEED = 12, 4, 11
-#: The end of a text as a token; no word can hold white space.
-END = " "
-#: Distinct words that a counting task holds before it passes them on.
-HELD = 300_000
-#: Tokens whose pairs a counting task holds before it passes them on, and pairs whose predictions go to every task; the
-#: predictions of all others meet their tokens in a join.
-HELD_TOKENS, COMMON_PAIRS = 2_000_000, 1_000_000
-#: END among the hashes of words, and rows that a task's output holds at a time.
-END_KEY, ROWS_OUT = np.uint64(0), 100_000
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """word and c of every token, END too, of whole texts; copies meet within a task before they are sent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[str] = Counter()
-        for b in batches:
-            held[END] += len(b)
-            for text in b["text"]:
-                held.update(common.words_of(text))
-                if len(held) > HELD:
-                    yield pd.DataFrame({"word": list(held), "c": list(held.values())})
-                    held.clear()
-        if held:
-            yield pd.DataFrame({"word": list(held), "c": list(held.values())})
-
-    return train.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+#: Words that have numbers (at most 2**BITS), and pairs whose predictions go to every task (the commonest ones).
+HOT, BITS, COMMON_PAIRS = 2_000_000, 21, 2_000_000
+#: Rounds of the sampler between sums over all restaurants, those at the begin that are not kept, sweeps of a round, and
+#: customers of a dish that a sweep seats anew at most, drawn at random.
+ROUNDS, BURN_IN, SWEEPS, RESEATED, SEED = 3, 1, 2, 8, 11
+#: Tokens that a task works on at a time, and numbers of words in a slice.
+HELD_TOKENS, SLICE = 1_500_000, 1 << 16
+#: Shards for each shuffle partition.
+SHARDS = 4
+#: END, the end of a text as a token, among the hashes of words.
+END_KEY = np.uint64(0)
+BLOCKS = "kind int, at long, x binary, y binary, z binary, sizes binary, b binary"
+#: Kinds of blocks: pairs of numbered words, other pairs, sums by slice, and classes of counts.
+PAIRS, OTHERS, SUMS, CLASSES = range(4)
+#: Numbers of pairs are spread over 2 * BITS bits by an odd factor, which can be undone.
+MASK = np.uint64((1 << 2 * BITS) - 1)
+FACTOR = np.uint64(0x9E3779B97F4A7C15 & int(MASK) | 1)
+BACK = np.uint64(pow(int(FACTOR), -1, 1 << 2 * BITS))
 
 
 def followers(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,30 +61,179 @@ def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mixed(mixed(before + STEP) + after)
 
 
-def pair_counts(train: DataFrame) -> DataFrame:
-    """before, after and c of all neighbouring tokens of whole texts, by their hashes; copies meet within a task."""
+def planes(a: np.ndarray) -> bytes:
+    """The array's bytes, the first of all elements before the second of all: what is alike stands together."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+
+
+def array_of(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(dtype).ravel()
+
+
+def numbered(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of pairs of word numbers."""
+    return ((u.astype(np.uint64) << np.uint64(BITS)) | w.astype(np.uint64)) * FACTOR & MASK
+
+
+def numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = keys * BACK & MASK
+    return (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def cuts(keys: np.ndarray, shards: int, bits: int = 2 * BITS) -> np.ndarray:
+    """Where the shards of sorted keys begin, and the end."""
+    bounds = [-(-(s << bits) // shards) for s in range(1, shards)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]])
+
+
+def summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys, c = keys[order], c[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def block(kind: int, at: int, *parts: bytes) -> tuple:
+    return (kind, at, *parts, *[b""] * (5 - len(parts)))
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "at", "x", "y", "z", "sizes", "b"])
+
+
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
+    """Token hashes, tokens of each text, and the texts' rows without the text, some HELD_TOKENS tokens at a time."""
+    held, size = [], 0
+    for b in batches:
+        _, after, sizes = followers(b["text"])
+        held.append((after, sizes, b.drop(columns="text")))
+        size += len(after)
+        if size > HELD_TOKENS:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pd.concat([h[2] for h in held], ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pd.concat([h[2] for h in held], ignore_index=True)
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """word (its hash) and n of every token, END too, of whole texts; copies meet within a task before they are sent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for after, _, _ in chunks(batches):
+            words, n = np.unique(after, return_counts=True)
+            yield pd.DataFrame({"word": words.view(np.int64), "n": n})
+
+    return train.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Words:
+    """The numbered words: hashes in order, and counts."""
+
+    hashes: np.ndarray
+    n: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers; -1 for words without one."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def of_tokens(self, tokens: np.ndarray) -> np.ndarray:
+        different, at = np.unique(tokens, return_inverse=True)
+        return self.of(different)[at]
+
+
+class Sums:
+    """Sums over the numbered words in a task, which are sent by slices."""
+
+    def __init__(self, words: int, kinds: int):
+        self.totals = np.zeros((kinds, words), np.int64)
+
+    def add(self, kind: int, at: np.ndarray, x: np.ndarray) -> None:
+        np.add.at(self.totals[kind], at, x)
+
+    def blocks(self) -> Iterator[tuple]:
+        for begin in range(0, self.totals.shape[1], SLICE):
+            part = self.totals[:, begin : begin + SLICE]
+            at = np.flatnonzero(part.any(0))
+            if len(at):
+                yield block(SUMS, begin // SLICE, planes(at.astype("<u2")), planes(part[:, at].astype("<u4").ravel()))
 
-    def tallied(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        before, after = (np.concatenate(x) for x in zip(*held))
-        _, at, n = np.unique(pair_key(before, after), return_index=True, return_counts=True)
-        before, after = before[at].view(np.int64), after[at].view(np.int64)
-        for k in range(0, len(n), ROWS_OUT):
-            part = slice(k, k + ROWS_OUT)
-            yield pd.DataFrame({"before": before[part], "after": after[part], "c": n[part]})
+
+def total_sums(blocks: DataFrame, words: int, kinds: int) -> np.ndarray:
+    """The sums of all tasks (kinds, words), at most HOT of each."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x, y in zip(b["at"].tolist(), b["x"], b["y"]):
+                place = array_of(x, "<u2")
+                of.setdefault(at, np.zeros((kinds, SLICE), np.int64))[:, place] += array_of(y, "<u4").reshape(kinds, -1)
+        yield frame([block(SUMS, at, total.tobytes()) for at, total in of.items()])
+
+    out = np.zeros((kinds, -(-words // SLICE) * SLICE), np.int64)
+    for r in blocks.where(F.col("kind") == SUMS).select("at", "x", "y").repartition(tasks, "at").mapInPandas(run, BLOCKS).select("at", "x").collect():
+        out[:, r["at"] * SLICE : (r["at"] + 1) * SLICE] = np.frombuffer(r["x"], np.int64).reshape(kinds, SLICE)
+    return out[:, :words]
+
+
+def pair_blocks(train: DataFrame, words, shards: int) -> DataFrame:
+    """The stored blocks of pairs by shard, with the sums over pairs met twice and classes of their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        for after, _, _ in chunks(batches):
+            w = words.value.of_tokens(after)
+            before = np.append(END_KEY, after[:-1])
+            u = np.append(words.value.of(np.array([END_KEY])), w[:-1])
+            both = (u >= 0) & (w >= 0)
+            keys, c = np.unique(numbered(u[both], w[both]), return_counts=True)
+            at = cuts(keys, shards)
+            yield frame([block(PAIRS, s, planes(keys[i:j]), planes(c[i:j].astype("<u4"))) for s, (i, j) in enumerate(zip(at, at[1:])) if j > i])
+            before, after = before[~both], after[~both]
+            keys, first, c = np.unique(pair_key(before, after), return_index=True, return_counts=True)
+            at = cuts(keys, shards, 64)
+            yield frame([block(OTHERS, s, planes(before[first[i:j]]), planes(after[first[i:j]]), planes(c[i:j].astype("<u4"))) for s, (i, j) in enumerate(zip(at, at[1:])) if j > i])
+
+    def merged(kind: int, at: int, parts: list[tuple], sums: Sums, classes: np.ndarray) -> tuple:
+        if kind == PAIRS:
+            keys, c = summed(np.concatenate([array_of(x, "<u8") for x, _, _ in parts]), np.concatenate([array_of(y, "<u4") for _, y, _ in parts]).astype(np.int64))
+            twice = c > 1
+            u, w = numbers(keys[twice])
+            for kind_of, place, x in ((0, u, c[twice]), (1, u, np.ones(len(u), np.int64)), (2, w, c[twice])):
+                sums.add(kind_of, place, x)
+            np.add.at(classes, count_class(c), 1)
+            return block(PAIRS, at, planes(keys[twice]), planes(c[twice].astype("<u4")), planes(keys[~twice]))
+        before, after, c = (np.concatenate([array_of(p[i], t) for p in parts]) for i, t in enumerate(("<u8", "<u8", "<u4")))
+        keys, total = summed(pair_key(before, after), c.astype(np.int64))
+        _, first = np.unique(pair_key(before, after), return_index=True)
+        np.add.at(classes[1024:], np.minimum(total, 3), 1)
+        return block(OTHERS, at, planes(before[first]), planes(after[first]), planes(total.astype("<u4")))
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, classes, now, parts = Sums(len(words.value.n), 3), np.zeros(1028, np.int64), None, []
         for b in batches:
-            before, after, _ = followers(b["text"])
-            held.append((before, after))
-            size += len(after)
-            if size > HELD_TOKENS:
-                yield from tallied(held)
-                held, size = [], 0
-        if held:
-            yield from tallied(held)
+            for kind, at, *part in zip(b["kind"].tolist(), b["at"].tolist(), b["x"], b["y"], b["z"]):
+                if parts and (kind, at) != now:
+                    yield frame([merged(*now, parts, sums, classes)])
+                    parts = []
+                now = kind, at
+                parts.append(part)
+        if parts:
+            yield frame([merged(*now, parts, sums, classes)])
+        yield frame([*sums.blocks(), block(CLASSES, 0, classes.tobytes())])
 
-    return train.select("text").mapInPandas(run, "before long, after long, c long").groupBy("before", "after").agg(F.sum("c").alias("c"))
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = train.select("text").mapInPandas(run, BLOCKS)
+    return common.stored(found.repartition(tasks, "at").sortWithinPartitions("kind", "at").mapInPandas(reduce, BLOCKS), "pair-blocks")
+
+
+def count_class(c: np.ndarray) -> np.ndarray:
+    return np.minimum((16 * np.log2(c)).astype(np.int64), 1023)
 
 
 def seat(c: np.ndarray, p: np.ndarray, theta: np.ndarray, d: float, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -115,219 +253,496 @@ def seat(c: np.ndarray, p: np.ndarray, theta: np.ndarray, d: float, others: np.n
     return t
 
 
-def strength(customers: np.ndarray, tables: np.ndarray, d: float, rng: np.random.Generator) -> float:
-    """A draw of theta from its posterior on a grid, given customers and tables of restaurants that share it."""
-    from math import lgamma
+def spread(c: np.ndarray, t: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Customers of the t tables of each dish, one dish after the other, to begin with: shares by gamma draws."""
+    share = rng.gamma(1 - d, size=int(t.sum())) + 1e-12
+    of = np.repeat(np.arange(len(t)), t)
+    free = (c - t)[of]
+    sizes = 1 + np.floor(free * share / np.bincount(of, share, len(t))[of]).astype(np.int64)
+    missing = c - np.bincount(of, sizes, len(t)).astype(np.int64)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(t) - t, t)
+    sizes += missing[of] // t[of] + (place < missing[of] % t[of])
+    return sizes
 
+
+def reseated(c: np.ndarray, t: np.ndarray, sizes: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and their customers after one sweep over dishes of 2 and more customers.
+
+    Of each dish, up to RESEATED customers, drawn at random, get up one after the other and sit down anew: at a new table
+    with weight ``new``, (theta + d * tables of the restaurant) * parent's probability, or at one of n customers with n - d.
+    The restaurant's tables are those at the sweep's begin.
+    """
+    t = t.copy()
+    room = np.minimum(c, t + RESEATED)
+    begin = np.cumsum(room) - room
+    place = lambda: np.repeat(begin, t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+    flat = np.zeros(int(room.sum()), np.int64)
+    flat[place()] = sizes
+    on = np.arange(len(c))
+    for k in range(RESEATED):
+        on = on[c[on] > k]
+        if not len(on):
+            break
+        total = np.cumsum(flat)
+        at = np.searchsorted(total, total[begin[on]] - flat[begin[on]] + (rng.random(len(on)) * c[on]).astype(np.int64), "right")
+        flat[at] -= 1
+        empty = flat[at] == 0
+        gone, hole = on[empty], at[empty]
+        last = begin[gone] + t[gone] - 1
+        moved = flat[last]
+        flat[last] = 0
+        flat[hole] = np.where(last == hole, 0, moved)
+        t[gone] -= 1
+        left = c[on] - 1
+        opens = rng.random(len(on)) * (new[on] + left - d * t[on]) < new[on]
+        o = on[opens]
+        flat[begin[o] + t[o]] = 1
+        t[o] += 1
+        rest, total = on[~opens], np.cumsum(flat)
+        while len(rest):
+            # a customer's table comes by its size, and is taken with (size - d) / size
+            at = np.searchsorted(total, total[begin[rest]] - flat[begin[rest]] + (rng.random(len(rest)) * (c[rest] - 1)).astype(np.int64), "right")
+            sits = rng.random(len(rest)) * flat[at] >= d
+            flat[at[sits]] += 1
+            rest = rest[~sits]  # their own tables are as they were when the sums were made
+    return t, flat[place()]
+
+
+def strength(customers: np.ndarray, tables: np.ndarray, times: np.ndarray, d: float, rng: np.random.Generator) -> float:
+    """A draw of theta from its posterior on a grid, given customers and tables of restaurants that share it."""
     grid = np.geomspace(0.1, 1000, 25)
-    score = []
-    for th in grid:
-        some = [(c, t) for c, t in zip(customers.tolist(), tables.tolist()) if c]
-        score.append(sum(t * np.log(d) + lgamma(th / d + t) - lgamma(th / d) - lgamma(th + c) + lgamma(th) for c, t in some) - np.log(th))
-    w = np.exp(np.array(score) - max(score))
+    cells, at = np.unique(np.stack([customers, tables]).astype(np.int64), axis=1, return_inverse=True)
+    m = np.bincount(at.ravel(), times)
+    c, t = cells.astype(float)
+    score = np.array([(m * (t * np.log(d) + log_gamma(th / d + t) - lgamma(th / d) - log_gamma(th + c) + lgamma(th))).sum() - np.log(th) for th in grid])
+    w = np.exp(score - score.max())
     return float(rng.choice(grid, p=w / w.sum()))
 
 
-@dataclass
-class Model:
-    """A model that one process holds: class predictions, and the rare restaurant's by bins of the count (bin 0: words never seen)."""
-
-    classes: dict[str, int]
-    log_pair: np.ndarray
-    rare_bins: np.ndarray
-    rare_log: np.ndarray
-    vocabulary: int
-    tokens: int
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after eight steps up."""
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - sum(np.log(x + k) for k in range(8))
 
 
 def discount(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
 
 
-def sample(classes: dict[str, int], pairs: pd.DataFrame, bins: pd.DataFrame, vocabulary: int, tokens: int) -> Model:
-    """Gibbs sampling of the seating in one process, for small vocabularies; ``fit`` does it in Spark tasks.
 
-    pairs: before, after, c. bins: bin, words, c (mean count of the bin's words) of the rare words.
+
+@dataclass
+class Level:
+    """What restaurants are seated with in a round: tables of each numbered context, the root's probability of each
+    numbered word, and the contexts' strength."""
+
+    tables: np.ndarray
+    p: np.ndarray
+    theta: float
+    d: float
+
+
+@dataclass
+class Fitted:
+    """The whole model.
+
+    a and p (kept rounds, numbered words): what each context leaves to the root, and the root's predictions. once and
+    fresh: the root's prediction of a word met once, and of a new one, by round. rest: word, n, a_k and p_k of the words
+    without a number. pairs: blocks with the sums b of what the rounds predict of pairs met twice, and the keys of others.
+    others: before, after and b of the pairs without numbers.
     """
-    rng, size = np.random.default_rng(SEED), len(classes) + 1
-    u, w, c = (pairs[x].to_numpy(np.int64) for x in ("before", "after", "c"))
-    base = np.full(size, 1 / (vocabulary + 1))
-    base[-1] = max(1, vocabulary + 1 - len(classes)) / (vocabulary + 1)
-    d_pair, d_root = discount(int((c == 1).sum()), int((c == 2).sum())), 0.5
-    theta, theta_root = 1.0, 1.0
-    guests = np.bincount(u, c, size)
-    t, root_t = np.minimum(c, 1), np.ones(size, np.int64)
-    p_root = base.copy()
-
-    words, count = bins["words"].to_numpy(np.int64), np.maximum(1, np.rint(bins["c"].to_numpy())).astype(np.int64)
-    single = dict(zip(count.tolist(), words.tolist()))
-    d_rare, theta_rare = discount(single.get(1, 0), single.get(2, 0)), 1.0
-    rare_guests, rare_dishes = float((words * count).sum()), max(1, vocabulary + 1 - len(classes))
-    copies = 16
-    rare_t = np.ones(len(count))
-
-    pair_sum, rare_sum, new_sum, kept = np.zeros((size, size)), np.zeros(len(count)), 0.0, 0
-    for sweep in range(SWEEPS):
-        tables = np.bincount(u, t, size)
-        t = seat(c, p_root[w], np.full(len(c), theta), d_pair, tables[u] - t, rng)
-        tables = np.bincount(u, t, size)
-        theta = strength(guests, tables, d_pair, rng)
-        root_c = np.bincount(w, t, size).astype(np.int64)
-        root_t = seat(root_c, base, np.full(size, theta_root), d_root, root_t.sum() - root_t, rng)
-        theta_root = strength(np.array([root_c.sum()]), np.array([root_t.sum()]), d_root, rng)
-        all_c, all_t = root_c.sum(), root_t.sum()
-        p_root = (np.maximum(root_c - d_root * root_t, 0) + (theta_root + d_root * all_t) * base) / (theta_root + all_c)
-
-        if len(count):
-            total = (words * rare_t).sum()
-            many = np.repeat(count, copies)
-            drawn = seat(many, np.full(len(many), 1 / rare_dishes), np.full(len(many), theta_rare), d_rare, np.full(len(many), total), rng)
-            rare_t = drawn.reshape(-1, copies).mean(1)
-            total = (words * rare_t).sum()
-            theta_rare = strength(np.array([rare_guests]), np.array([total]), d_rare, rng)
-        else:
-            total = 0.0
-        if sweep >= BURN_IN:
-            kept += 1
-            p = ((theta + d_pair * tables) / (theta + guests))[:, None] * p_root
-            p[u, w] += (c - d_pair * t) / (theta + guests)[u]
-            pair_sum += p
-            new = (theta_rare + d_rare * total) / (theta_rare + rare_guests) / rare_dishes
-            rare_sum += new + (count - d_rare * rare_t) / (theta_rare + rare_guests)
-            new_sum += new
-    return Model(
-        classes, np.log10(pair_sum / kept).astype(np.float64),
-        np.append(0, bins["bin"].to_numpy(np.int64)), np.log10(np.append(new_sum, rare_sum) / kept), vocabulary, tokens,
-    )
 
+    words: Words
+    total: int
+    vocabulary: int
+    tail: bool
+    d: float
+    pairs: DataFrame
+    classes: np.ndarray
+    others: DataFrame
+    rest: DataFrame
+    thetas: list[float] = field(default_factory=list)
+    once: list[float] = field(default_factory=list)
+    fresh: list[float] = field(default_factory=list)
+    a: list[np.ndarray] = field(default_factory=list)
+    p: list[np.ndarray] = field(default_factory=list)
+
+
+def one_round(c: np.ndarray, t: np.ndarray | None, sizes: np.ndarray | None, tables: np.ndarray, p: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables, their customers, and the sum of tables over the sweeps; a first seating where there is none."""
+    if t is None:
+        t = seat(c, p, np.full(len(c), theta), d, np.maximum(tables - 1, 0), rng)
+        sizes = spread(c, t, d, rng)
+    met = np.zeros(len(c), np.int64)
+    for _ in range(SWEEPS):
+        t, sizes = reseated(c, t, sizes, (theta + d * tables) * p, d, rng)
+        met += t
+    return t, sizes, met
+
+
+def seated_blocks(pairs: DataFrame, words, level, turn: int) -> DataFrame:
+    """The stored blocks after a round, with the sums over contexts (tables, tables of all sweeps) and words (tables)."""
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after eight steps up."""
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - sum(np.log(x + k) for k in range(8))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n = level.value, words.value.n
+        sums = Sums(len(n), 3)
+        for batch in batches:
+            out = []
+            for at, x, y, z, held, b in zip(batch["at"].tolist(), batch["x"], batch["y"], batch["z"], batch["sizes"], batch["b"]):
+                rng = np.random.default_rng([SEED, turn, at])
+                u, w = numbers(array_of(x, "<u8"))
+                c = array_of(y, "<u4").astype(np.int64)
+                before = (None, None) if not turn else (array_of(z, "<u4").astype(np.int64), array_of(held, "<u4").astype(np.int64))
+                t, sizes, met = one_round(c, *before, now.tables[u], now.p[w], now.theta, now.d, rng)
+                predicted = array_of(b, "<f4").astype(float) if turn > BURN_IN else np.zeros(len(c))
+                if turn >= BURN_IN:
+                    predicted = predicted + (c - now.d * met / SWEEPS) / (now.theta + n[u])
+                for kind, place, v in ((0, u, t), (1, u, met), (2, w, t)):
+                    sums.add(kind, place, v)
+                out.append(block(PAIRS, at, x, y, planes(t.astype("<u4")), planes(sizes.astype("<u4")), planes(predicted.astype("<f4"))))
+            yield frame(out)
+        yield frame([*sums.blocks()])
+
+    return common.stored(pairs.mapInPandas(run, BLOCKS), f"seats-{turn}")
+
+
+def seated_rows(rows: DataFrame, words, level, turn: int) -> DataFrame:
+    """The stored rows (before, after, c, t, sizes, b, met) after a round; rows have tables of contexts and p of words
+    that have no number."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, hot = level.value, words.value
+        rng = np.random.default_rng([SEED, turn, 1 << 20, TaskContext.get().partitionId()])
+        for batch in batches:
+            if not len(batch):
+                continue
+            c = batch["c"].to_numpy(np.int64)
+            u, w = (hot.of(batch[x].to_numpy(np.int64).view(np.uint64)) for x in ("before", "after"))
+            of = lambda at, table, own: np.where(at >= 0, table[np.maximum(at, 0)] if len(table) else 0.0, own.to_numpy(float))
+            n = of(u, hot.n, batch["n"])
+            before = (None, None) if not turn else (batch["t"].to_numpy(np.int64), np.concatenate([array_of(x, "<u4") for x in batch["sizes"]]).astype(np.int64))
+            t, sizes, met = one_round(c, *before, of(u, now.tables, batch["tables"]), of(w, now.p, batch["p"]), now.theta, now.d, rng)
+            b = batch["b"].to_numpy(float) + ((c - now.d * met / SWEEPS) / (now.theta + n) if turn >= BURN_IN else 0)
+            ends = np.cumsum(t)
+            yield batch[["before", "after", "c"]].assign(t=t, sizes=[planes(sizes[e - k : e].astype("<u4")) for e, k in zip(ends.tolist(), t.tolist())], b=b, met=met)
+
+    return common.stored(rows.mapInPandas(run, "before long, after long, c long, t long, sizes binary, b double, met long"), f"seated-rows-{turn}")
+
+
+def root_tables(c: np.ndarray, base: float, theta: float, d: float, tables: float, rng: np.random.Generator) -> np.ndarray:
+    """The root's tables of dishes with c customers: a first seating, and sweeps over it."""
+    t = np.minimum(c, 1)
+    more = c > 1
+    if more.any():
+        many, p = c[more], np.full(int(more.sum()), base)
+        t[more] = one_round(many, None, None, np.full(len(many), tables), p, theta, d, rng)[0]
+    return t
 
-def shared_strength(contexts: DataFrame, d: float, rng: np.random.Generator) -> float:
-    """``strength`` of all context restaurants (n, tables), whose terms are summed in tasks."""
-    grid = np.geomspace(0.1, 1000, 25)
+
+def root_rows(rows: DataFrame, base: float, theta: float, d: float, tables: float, turn: int) -> DataFrame:
+    """The stored words without number (word, n, tables, c and what else they have) with the root's tables t."""
+    columns = [x for x in rows.columns if x != "t"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(grid))
+        rng = np.random.default_rng([SEED, turn, 2 << 20, TaskContext.get().partitionId()])
         for b in batches:
-            n, t, m = (b[x].to_numpy(float) for x in ("n", "tables", "m"))
-            for i, th in enumerate(grid):
-                total[i] += (m * (t * np.log(d) + log_gamma(th / d + t) - log_gamma(th / d + 0 * t) - log_gamma(th + n) + log_gamma(th + 0 * n))).sum()
-        yield pd.DataFrame({"i": range(len(grid)), "score": total})
-
-    groups = contexts.groupBy("n", "tables").agg(F.count("*").alias("m"))
-    sums = {r["i"]: r["score"] for r in groups.mapInPandas(run, "i int, score double").groupBy("i").agg(F.sum("score").alias("score")).collect()}
-    score = np.array([sums.get(i, 0.0) for i in range(len(grid))]) - np.log(grid)
-    w = np.exp(score - score.max())
-    return float(rng.choice(grid, p=w / w.sum()))
+            yield b[columns].assign(t=root_tables(b["c"].to_numpy(np.int64), base, theta, d, tables, rng))
 
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
+    return common.stored(rows.mapInPandas(run, f"{schema}, t long"), f"root-{turn}")
 
-def reseated(rows: DataFrame, sweep: int, d: float, schema: str) -> DataFrame:
-    """``rows`` (c, t, p, theta, others and what else the schema has) after their customers were seated anew."""
-    names = [x.split()[0] for x in schema.split(", ")]
+
+def added(total: np.ndarray, words: Words, sums: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> np.ndarray:
+    """``total`` of the numbered words with the sums (word, x) of rows; of these at most HOT have a number."""
+    rows = kept(sums).toArrow().to_pandas()
+    at = words.of(rows["word"].to_numpy(np.int64).view(np.uint64))
+    out = total.copy()
+    np.add.at(out, at, rows["x"].to_numpy(np.int64))
+    return out
+
+
+def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
+    """The model of the training texts, and the stored counts of all their words."""
+    spark, rng = train.sparkSession, np.random.default_rng(SEED)
+    counts = common.stored(word_counts(train), "word-counts")
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    twice = counts.where("n > 1")
+    is_hot = (F.col("n") > 1) & common.commonest(twice, "n", HOT)
+    found = counts.where(is_hot).toArrow().to_pandas()
+    hashes = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    words = Words(hashes[order], found["n"].to_numpy(np.int64)[order])
+    tail = twice.where(~is_hot)
+    has_tail = whole["v"] - whole["once"] > len(words.n)
+    shared = spark.sparkContext.broadcast(words)
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = pair_blocks(train, shared, shards)
+    classes = np.sum([np.frombuffer(r["x"], np.int64) for r in blocks.where(F.col("kind") == CLASSES).select("x").collect()] or [np.zeros(1028, np.int64)], 0)  # one row a task
+    d, d_root, theta, theta_root = discount(int(classes[0] + classes[1025]), int(classes[16] + classes[1026])), 0.5, 1.0, 1.0
+    with_sums = total_sums(blocks, len(words.n), 3)
+    others = other_pairs(blocks)
+    v, n = whole["v"], words.n
+    base = 1 / (v + 1)
+    state = blocks.where(F.col("kind") == PAIRS)
+    rows = common.stored(others.where("c > 1").select("before", "after", "c", F.lit(0).cast("long").alias("t"), F.lit(b"").alias("sizes"), F.lit(0.0).alias("b")), "other-pairs") if has_tail else None
+
+    def numbered_only(sums: DataFrame) -> DataFrame:
+        return sums.join(tail.select("word"), "word", "left_anti")
+
+    def by(side: str, x: Column) -> DataFrame:
+        return rows.groupBy(F.col(side).alias("word")).agg(F.sum(x).alias("x"))
+
+    def joined(t: DataFrame, side: str, x: Column, name: str) -> DataFrame:
+        return t.join(by(side, x).withColumnRenamed("x", name), "word", "left")
+
+    ones_u, ones_w = n - with_sums[0], n - with_sums[2]
+    tables = ones_u + with_sums[1]
+    if has_tail:
+        one = F.lit(1).cast("long")
+        lone = lambda side: (F.col("n") - F.coalesce(f"c_{side}", F.lit(0)))
+        ones_u, ones_w = added(ones_u, words, by("before", -F.col("c")), numbered_only), added(ones_w, words, by("after", -F.col("c")), numbered_only)
+        tables = added(added(tables, words, by("before", -F.col("c")), numbered_only), words, by("before", one), numbered_only)
+        rest = joined(joined(joined(tail, "before", F.col("c"), "c_b"), "after", F.col("c"), "c_a"), "before", one, "k")
+        rest = common.stored(rest.select("word", "n", lone("b").alias("ones_b"), lone("a").alias("ones_a"), (lone("b") + F.coalesce("k", F.lit(0))).alias("tables"), (F.col("n") / F.lit(float(whole["n"]))).alias("p")), "words-without-number")
+    p, all_t = n / max(1, whole["n"]), float(v)
+    out = Fitted(words, whole["n"], v, has_tail, d, state, classes, others, counts)
+    a_names: list[str] = []
+    for turn in range(ROUNDS):
+        level = spark.sparkContext.broadcast(Level(tables.astype(float), p.astype(float), theta, d))
+        state = seated_blocks(state.where(F.col("kind") == PAIRS), shared, level, turn)
+        sat, over, root = total_sums(state, len(n), 3)
+        tables, mean, c = ones_u + sat, ones_u + over / SWEEPS, ones_w + root
+        tail_c = tail_t = 0
+        if has_tail:
+            u = rest.select(F.col("word").alias("before"), "n", "tables")
+            w = rest.select(F.col("word").alias("after"), "p")
+            rows = seated_rows(rows.join(u, "before", "left").join(w, "after", "left"), shared, level, turn)
+            tables, c = added(tables, words, by("before", F.col("t")), numbered_only), added(c, words, by("after", F.col("t")), numbered_only)
+            mean = added(mean * SWEEPS, words, by("before", F.col("met")), numbered_only) / SWEEPS
+            rest = joined(joined(joined(rest.drop("tables", "c", "t"), "before", F.col("t"), "s"), "before", F.col("met"), "m"), "after", F.col("t"), "r")
+            more = [((F.lit(theta) + d * (F.col("ones_b") + F.coalesce("m", F.lit(0)) / SWEEPS)) / (F.lit(theta) + F.col("n"))).alias(f"a_{len(out.a)}")] if turn >= BURN_IN else []
+            rest = rest.select("word", "n", "ones_b", "ones_a", *a_names, *more, (F.col("ones_b") + F.coalesce("s", F.lit(0))).alias("tables"), (F.col("ones_a") + F.coalesce("r", F.lit(0))).alias("c"))
+            rest = root_rows(rest, base, theta_root, d_root, all_t, turn)
+            sums = rest.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
+            tail_c, tail_t = sums["c"], sums["t"]
+        t = root_tables(c, base, theta_root, d_root, all_t, rng)
+        all_c, all_t = float(c.sum() + tail_c + whole["once"]), float(t.sum() + tail_t + whole["once"])
+        fresh = (theta_root + d_root * all_t) / (theta_root + all_c) * base
+        p = (c - d_root * t) / (theta_root + all_c) + fresh
+        if has_tail:
+            name = [f"p_{len(out.p)}"] if turn >= BURN_IN else []
+            rest = rest.withColumn("p", (F.col("c") - d_root * F.col("t")) / (theta_root + all_c) + fresh)
+            rest = rest.withColumns({x: F.col("p") for x in name})
+            a_names += [f"a_{len(out.a)}", *name] if name else []
+        if turn >= BURN_IN:
+            out.thetas.append(theta)
+            out.once.append((1 - d_root) / (theta_root + all_c) + fresh)
+            out.fresh.append(fresh)
+            out.a.append((theta + d * mean) / (theta + n))
+            out.p.append(p)
+        cells = [(n, tables, np.ones(len(n))), (np.ones(1), np.ones(1), np.full(1, whole["once"]))]
+        if has_tail:
+            # few kinds of restaurants: no such word is met more often than the rarest with a number
+            kinds = rest.groupBy("n", "tables").agg(F.count("*").alias("m")).toArrow().to_pandas()
+            cells.append(tuple(kinds[x].to_numpy(float) for x in ("n", "tables", "m")))
+        theta = strength(*(np.concatenate([x[i] for x in cells]) for i in range(3)), d, rng)
+        theta_root = strength(np.array([all_c]), np.array([all_t]), np.ones(1), d_root, rng)
+    out.pairs = state.where(F.col("kind") == PAIRS).select("kind", "at", "x", "y", "b").unionByName(blocks.where(F.col("kind") == PAIRS).select(F.lit(PAIRS + 10).alias("kind"), "at", F.col("z").alias("x"), F.lit(b"").alias("y"), F.lit(b"").alias("b")))
+    of_pairs = others.select("before", "after", "c")
+    out.others = of_pairs.where("c = 1").withColumn("b", F.lit(None).cast("double")) if not has_tail else of_pairs.where("c = 1").withColumn("b", F.lit(None).cast("double")).unionByName(rows.select("before", "after", "c", "b"))
+    columns = [x for k in range(len(out.a)) for x in (f"a_{k}", f"p_{k}")]
+    constant = {x: (lambda k: (out.thetas[k] + d) / (out.thetas[k] + 1) if x[0] == "a" else out.once[k])(int(x[2:])) for x in columns}
+    singles = counts.where("n = 1").select("word", "n", *(F.lit(float(constant[x])).alias(x) for x in columns))
+    out.rest = singles.unionByName(rest.select("word", "n", *columns)) if has_tail else singles
+    return out, counts
+
+
+def other_pairs(blocks: DataFrame) -> DataFrame:
+    """before, after and c of the pairs without numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([SEED, sweep, part])
         for b in batches:
-            c, others = b["c"].to_numpy(np.int64), b["others"].to_numpy(float)
-            b["t"] = seat(c, b["p"].to_numpy(float), b["theta"].to_numpy(float), d, others, rng)
-            yield b[names]
+            for x, y, z in zip(b["x"], b["y"], b["z"]):
+                yield pd.DataFrame({"before": array_of(x, "<u8").view(np.int64), "after": array_of(y, "<u8").view(np.int64), "c": array_of(z, "<u4").astype(np.int64)})
 
-    return rows.mapInPandas(run, schema)
+    return blocks.where(F.col("kind") == OTHERS).select("x", "y", "z").mapInPandas(run, "before long, after long, c long")
 
 
-def met(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table (key, n, ...): a small one is broadcast, and of others the part with the greatest n."""
-    if table.limit(COMMON + 1).count() <= COMMON:
-        return rows.join(F.broadcast(table.drop("n")), key, how)
-    cut = table.select("n").orderBy(F.desc("n")).limit(COMMON).agg(F.min("n")).first()[0]
-    hot, cold = table.where(F.col("n") > cut).drop("n"), table.where(F.col("n") <= cut).drop("n")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+PARTS = "kind int, at long, chunk long, pos int, doc_id long, n_tokens long, n_known long, base double, model double, x binary, y binary, z binary"
+ROW, ASKED, APART = range(3)
 
 
 @dataclass
-class Fitted:
-    """Stored tables of the whole model, by hashes.
-
-    predicted: key, c and log_p of each training pair. contexts: before, n and, of each kept sample, a_k: what the context
-    leaves to the root. words: after, n and, of each kept sample, p_k: the root's prediction. fresh: p_k of a new word.
-    """
+class Scorer:
+    """What tasks score with: the model's arrays, and the commonest pairs' keys and predictions."""
+
+    words: Words
+    base: np.ndarray
+    keys: np.ndarray
+    b: np.ndarray
+    a: np.ndarray
+    p: np.ndarray
+    thetas: np.ndarray
+    once: np.ndarray
+    d: float
+    tail: bool
+
+
+def common_pairs(model: Fitted) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and predictions of the commonest pairs, at most COMMON_PAIRS."""
+    total, least = 0, 1024
+    for k in range(1023, 15, -1):
+        total += int(model.classes[k])
+        if total > COMMON_PAIRS:
+            break
+        least = k
 
-    predicted: DataFrame
-    contexts: DataFrame
-    words: DataFrame
-    fresh: list[float]
-
-
-def whole_model(train: DataFrame) -> Fitted:
-    """Gibbs sampling of the seating of all pairs, and predictions averaged over the samples after burn-in."""
-    rng, kept = np.random.default_rng(SEED), range(BURN_IN, SWEEPS)
-    pairs = common.stored(pair_counts(train), "pair-counts")
-    once = F.sum((F.col("c") == 1).cast("long")).alias("ones")
-    contexts = common.stored(pairs.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("tables"), once), "contexts")
-    words = common.stored(pairs.groupBy("after").agg(F.sum("c").alias("n"), F.count("*").alias("c"), once).withColumn("t", F.lit(1).cast("long")), "words")
-    found = pairs.agg(*(F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (1, 2))).first()
-    d, d_root, theta, theta_root = discount(found["n1"], found["n2"]), 0.5, 1.0, 1.0
-    base = 1 / (words.count() + 1)
-    p_root, all_t = F.lit(base), words.count()
-    thetas, fresh, state = {}, [], pairs.where("c > 1").select("before", "after", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("b"))
-    for sweep in range(SWEEPS):
-        # what the last sample predicts is added up as its rows meet their contexts' sizes
-        last = (F.col("c") - d * F.col("t")) / (theta + F.col("size")) if sweep - 1 in kept else F.lit(0.0)
-        rows = met(state, contexts.select("before", "n", F.col("n").alias("size"), "tables"), "before")
-        rows = met(rows, words.select("after", "n", p_root.alias("p")), "after")
-        rows = rows.select("before", "after", "c", (F.col("b") + last).alias("b"), "p", F.lit(theta).alias("theta"), (F.col("tables") - F.col("t")).alias("others"))
-        state = common.stored(reseated(rows, sweep, d, "before long, after long, c long, t long, b double"), f"seats-{sweep}")
-        sent = state.groupBy("before").agg(F.sum("t").alias("more"))
-        tables = (F.col("ones") + F.coalesce("more", F.lit(0))).alias("tables")
-        kept_a = [f"a_{k}" for k in kept if k < sweep]
-        contexts = common.stored(contexts.drop("tables").join(sent, "before", "left").select("before", "n", "ones", tables, *kept_a), f"contexts-{sweep}")
-        theta = shared_strength(contexts, d, rng)
-        if sweep in kept:
-            thetas[sweep] = theta
-            contexts = contexts.withColumn(f"a_{sweep}", (theta + d * F.col("tables")) / (theta + F.col("n")))
-        arrived = state.groupBy("after").agg(F.sum("t").alias("more"))
-        kept_p = [f"p_{k}" for k in kept if k < sweep]
-        root = words.drop("c").join(arrived, "after", "left").select("after", "n", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), (F.lit(all_t) - F.col("t")).alias("others"), F.lit(base).alias("p"), F.lit(theta_root).alias("theta"), *kept_p)
-        words = common.stored(reseated(root, SWEEPS + sweep, d_root, ", ".join(["after long, n long, ones long, c long, t long", *(f"{x} double" for x in kept_p)])), f"words-{sweep}")
-        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-        all_c, all_t = total["c"], total["t"]
-        theta_root = strength(np.array([all_c]), np.array([all_t]), d_root, rng)
-        new = (theta_root + d_root * all_t) * base / (theta_root + all_c)
-        p_root = (F.col("c") - d_root * F.col("t")) / (theta_root + all_c) + new
-        if sweep in kept:
-            fresh.append(new)
-            words = words.withColumn(f"p_{sweep}", p_root)
-    contexts, words = common.stored(contexts, "context-samples"), common.stored(words, "word-samples")
-    of_last = F.col("b") + (F.col("c") - d * F.col("t")) / (theta + F.col("n_before"))
-    of_one = sum((F.lit(1 - d) / (th + F.col("n_before")) for th in thetas.values()), F.lit(0.0))
-    each = state.select("before", "after", "c", "t", "b").unionByName(pairs.where("c = 1").select("before", "after", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("b")))
-    each = met(each, contexts.select("before", "n", F.col("n").alias("n_before"), *(f"a_{k}" for k in kept)), "before")
-    each = met(each, words.select("after", "n", *(f"p_{k}" for k in kept)), "after")
-    p = sum((F.col(f"a_{k}") * F.col(f"p_{k}") for k in kept), F.lit(0.0)) + F.when(F.col("c") > 1, of_last).otherwise(of_one)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = pair_key(b["before"].to_numpy(np.int64).view(np.uint64), b["after"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"key": key.view(np.int64), "c": b["c"], "log_p": b["log_p"]})
+            for x, y, z in zip(b["x"], b["y"], b["b"]):
+                often = count_class(array_of(y, "<u4").astype(np.int64)) >= least
+                yield pd.DataFrame({"key": array_of(x, "<u8")[often].view(np.int64), "b": array_of(z, "<f4")[often]})
 
-    log_p = F.log10(p / len(kept)).alias("log_p")
-    predicted = each.select("before", "after", "c", log_p).mapInPandas(keyed, "key long, c long, log_p double")
-    return Fitted(common.stored(predicted, "predictions"), contexts, words, fresh)
+    found = model.pairs.where(F.col("kind") == PAIRS).mapInPandas(run, "key long, b float").toArrow().to_pandas().sort_values("key")
+    return found["key"].to_numpy(np.int64).view(np.uint64), found["b"].to_numpy(np.float32)
 
 
-def fit(train: DataFrame) -> tuple[DataFrame, Fitted, pd.DataFrame, int, int]:
-    """The stored counts of all training words, the model, the commonest words with their counts, and how many words and tokens."""
-    counts = common.stored(word_counts(train), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(COMMON).toArrow().to_pandas()
-    return counts, whole_model(train), top, total["v"], total["n"]
+def scored_parts(rows: DataFrame, scorer, shards: int, floor: float) -> DataFrame:
+    """The stored parts: rows with what a task knows by itself, pairs that are asked for by shard, and tokens apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, number = scorer.value, 0
+        part = TaskContext.get().partitionId() << 32
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        blank = (None, None, None, None, None, None)
+        for after, sizes, texts in chunks(batches):
+            chunk, number = part + number, number + 1
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            w = m.words.of_tokens(after)
+            before = np.append(END_KEY, after[:-1])
+            u = np.append(m.words.of(np.array([END_KEY])), w[:-1])
+            hot_w = w >= 0
+            both = (u >= 0) & hot_w
+            trained = ~texts["held_out"].to_numpy(bool)
+            score, known = np.zeros(len(after)), hot_w.copy()
+            base = np.where(hot_w, m.base[np.maximum(w, 0)] if len(m.base) else 0.0, 0.0)
+            at = np.flatnonzero(both)
+            keys = numbered(u[at], w[at])
+            order = np.argsort(keys)
+            at, keys = at[order], keys[order]
+            place = np.minimum(np.searchsorted(m.keys, keys), max(0, len(m.keys) - 1))
+            hit = m.keys[place] == keys if len(m.keys) else np.zeros(len(keys), bool)
+            i = at[hit]
+            score[i] = np.log10(((m.a[:, u[i]] * m.p[:, w[i]]).sum(0) + m.b[place[hit]]) / len(m.a))
+            apart = np.flatnonzero(~both)
+            if not m.tail:
+                # all pairs of a training text were met, and one without numbers has a word met once
+                own = apart[trained[of[apart]]]
+                a = np.where(u[own] >= 0, m.a[:, np.maximum(u[own], 0)] if m.a.shape[1] else 1.0, ((m.thetas + m.d) / (m.thetas + 1))[:, None])
+                p = np.where(w[own] >= 0, m.p[:, np.maximum(w[own], 0)] if m.p.shape[1] else 1.0, m.once[:, None])
+                n = np.where(u[own] >= 0, m.words.n[np.maximum(u[own], 0)] if len(m.words.n) else 1, 1)
+                score[own] = np.log10((a * p + (1 - m.d) / (m.thetas[:, None] + n)).mean(0))
+                once = own[w[own] < 0]
+                known[once], base[once] = True, np.log10(1.5 / floor)
+                apart = apart[~trained[of[apart]]]
+            sums = [np.bincount(of, x, len(sizes)) for x in (known, base, score)]
+            out = pd.DataFrame({"kind": ROW, "at": 0, "chunk": chunk, "pos": np.arange(len(sizes)), "doc_id": texts["doc_id"], "n_tokens": sizes, "n_known": sums[0].astype(np.int64), "base": sums[1], "model": sums[2]})
+            yield out.assign(x=None, y=None, z=None)[names]
+            keys, asked = keys[~hit], of[at[~hit]].astype("<u4")
+            ends = cuts(keys, shards)
+            yield pd.DataFrame([(ASKED, s, chunk, *blank, planes(keys[i:j]), planes(asked[i:j]), None) for s, (i, j) in enumerate(zip(ends, ends[1:])) if j > i], columns=names)
+            if len(apart):
+                yield pd.DataFrame([(APART, 0, chunk, *blank, planes(before[apart]), planes(after[apart]), planes(of[apart].astype("<u4")))], columns=names)
+
+    return common.stored(rows.mapInPandas(run, PARTS), "scored-parts")
+
+
+def answered(model: Fitted, parts: DataFrame, scorer) -> DataFrame:
+    """chunk, pos and the model's log probability of the pairs that were asked for, by shards and then by chunks."""
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ask = parts.where(F.col("kind") == ASKED).select(F.lit(20).alias("kind"), "at", "chunk", "x", "y", F.lit(b"").alias("b"))
+    known = model.pairs.withColumn("chunk", F.lit(0).cast("long")).select("kind", "at", "chunk", "x", "y", "b")
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, shard, empty = scorer.value, None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for kind, at, chunk, x, y, b in zip(batch["kind"].tolist(), batch["at"].tolist(), batch["chunk"].tolist(), batch["x"], batch["y"], batch["b"]):
+                if at != shard:
+                    shard, twice, of_twice, once = at, empty, np.zeros(0), empty
+                keys = array_of(x, "<u8")
+                if kind == PAIRS:
+                    twice, of_twice = keys, array_of(b, "<f4").astype(float)
+                elif kind == PAIRS + 10:
+                    once = keys
+                else:
+                    u, w = numbers(keys)
+                    total = (m.a[:, u] * m.p[:, w]).sum(0)
+                    for table, values in ((twice, of_twice), (once, None)):
+                        if len(table):
+                            place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                            hit = table[place] == keys
+                            total[hit] += values[place[hit]] if values is not None else ((1 - m.d) / (m.thetas[:, None] + m.words.n[u[hit]])).sum(0)
+                    pos, of = np.unique(array_of(y, "<u4"), return_inverse=True)
+                    out.append((chunk, planes(pos), np.bincount(of, np.log10(total / len(m.a)), len(pos)).tobytes()))
+            yield pd.DataFrame(out, columns=["chunk", "x", "y"])
+
+    found = known.unionByName(ask).repartition(tasks, "at").sortWithinPartitions("at", "kind").mapInPandas(resolve, "chunk long, x binary, y binary")
+
+    def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, np.zeros(0)
+
+        def rows() -> pd.DataFrame:
+            pos = np.flatnonzero(total)
+            return pd.DataFrame({"chunk": now, "pos": pos.astype(np.int32), "model": total[pos]})
+
+        for b in batches:
+            for chunk, x, y in zip(b["chunk"].tolist(), b["x"], b["y"]):
+                if chunk != now:
+                    if now is not None:
+                        yield rows()
+                    now, total = chunk, np.zeros(0)
+                pos = array_of(x, "<u4")
+                if len(pos) and pos[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(pos[-1]) + 1 - len(total)))
+                total[pos] += np.frombuffer(y, float)
+        if now is not None:
+            yield rows()
+
+    return found.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInPandas(collected, "chunk long, pos int, model double")
+
+
+def apart(model: Fitted, parts: DataFrame, scorer, floor: float) -> DataFrame:
+    """chunk, pos, n_known, base and model of the tokens whose pair has no numbers, each joined with what is known."""
+    k = range(len(model.a))
+    columns = [x for i in k for x in (f"a{i}", f"p{i}")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = scorer.value
+        for b in batches:
+            for chunk, x, y, z in zip(b["chunk"].tolist(), b["x"], b["y"], b["z"]):
+                before, after = array_of(x, "<u8"), array_of(y, "<u8")
+                u, w = m.words.of(before), m.words.of(after)
+                of = lambda at, table: pd.array(np.where(at >= 0, table[np.maximum(at, 0)] if len(table) else 0.0, np.nan), "Float64")
+                values = {f"a{i}": of(u, m.a[i]) for i in k} | {f"p{i}": of(w, m.p[i]) for i in k} | {"nu": of(u, m.words.n)}
+                for c in values:
+                    values[c][np.isnan(values[c].to_numpy(float, na_value=np.nan))] = pd.NA
+                yield pd.DataFrame({"chunk": chunk, "pos": array_of(z, "<u4").astype(np.int32), "before": before.view(np.int64), "after": after.view(np.int64)} | values)
+
+    schema = "chunk long, pos int, before long, after long, " + ", ".join(f"{c} double" for c in (*(f"a{i}" for i in k), *(f"p{i}" for i in k), "nu"))
+    rows = parts.where(F.col("kind") == APART).select("chunk", "x", "y", "z").mapInPandas(run, schema)
+    # words with a number get keys that match nothing and do not meet in one task
+    alone = F.xxhash64("chunk", "pos", "before", "after")
+    rows = rows.withColumns({"key_u": F.when(F.col("nu").isNull(), F.col("before")).otherwise(alone), "key_w": F.when(F.col("p0").isNull(), F.col("after")).otherwise(alone)})
+    of = lambda side: model.rest.select(F.col("word").alias(f"key_{side}"), F.col("n").alias(f"n_{side}"), *(F.col(f"{c}_{i}").alias(f"{c}_{i}_{side}") for i in k for c in "ap"))
+    met = rows.join(of("u"), "key_u", "left").join(of("w"), "key_w", "left").join(model.others.select("before", "after", "c", "b"), ["before", "after"], "left")
+    n = F.coalesce("nu", "n_u", F.lit(0.0))
+    a = [F.coalesce(f"a{i}", f"a_{i}_u", F.lit(1.0)) for i in k]
+    p = [F.coalesce(f"p{i}", f"p_{i}_w", F.lit(model.fresh[i])) for i in k]
+    once = [F.lit(1 - model.d) / (F.lit(th) + n) for th in model.thetas]
+    total = sum((x * y for x, y in zip(a, p)), F.lit(0.0)) + F.when(F.col("c") == 1, sum(once, F.lit(0.0))).otherwise(F.coalesce("b", F.lit(0.0)))
+    c = F.when(F.col("p0").isNull(), F.coalesce("n_w", F.lit(0)))
+    return met.groupBy("chunk", "pos").agg(F.sum(F.coalesce((c > 0).cast("long"), F.lit(0))).alias("n_known"), F.sum(F.coalesce(F.log10((c + 0.5) / floor), F.lit(0.0))).alias("base"), F.sum(F.log10(total / len(model.a))).alias("model"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -336,67 +751,23 @@ def score(docs: DataFrame) -> DataFrame:
     A null or empty text is its end only. Rows may repeat; each is scored by itself. A null id counts as training.
     Without training tokens all words are unknown and the model is uniform. Other columns are not looked at.
     """
+    spark = docs.sparkSession
     rows = common.in_small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"), common.held_out(docs["doc_id"], FOLDS).alias("held_out"))
-    counts, model, top, v, n = fit(rows.where(~F.col("held_out")))
-    floor = float(n + 0.5 * (v + 1))
-    best = model.predicted.orderBy(F.desc("c"), "key").limit(COMMON_PAIRS).select("key", "log_p").toArrow().to_pandas().sort_values("key")
-    shared = docs.sparkSession.sparkContext.broadcast((top["word"].tolist(), top["c"].to_numpy(), best["key"].to_numpy(np.int64), best["log_p"].to_numpy(float)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, c, keys, log_p = shared.value
-        number = {w: i for i, w in enumerate(words)}
-        base = np.log10((c + 0.5) / floor)
-        end_base = base[number[END]] if END in number else np.log10(0.5 / floor)
-        get = number.get
-        for b in batches:
-            before, after, sizes = followers(b["text"])
-            of = np.repeat(np.arange(len(b)), sizes)
-            key = pair_key(before, after).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            known = np.bincount(of[hit], log_p[at[hit]], len(b)) if hit.any() else np.zeros(len(b))
-            out = []
-            for uid, doc, text, of_pairs in zip(b["uid"].to_numpy(), b["doc_id"], b["text"], known.tolist()):
-                tokens = common.words_of(text)
-                at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-                seen = at[at >= 0]
-                out.append((uid, doc, None, 1, len(at) + 1, len(seen) + (END in number), base[seen].sum() + end_base, of_pairs))
-                if len(seen) < len(at):
-                    left = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
-                    out += [(uid, None, w, k, 0, 0, 0.0, 0.0) for w, k in left.items()]
-            frame = pd.DataFrame(out, columns=["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "model"]).astype({"doc_id": "Int64"})
-            yield frame.assign(**{x: pd.array([None] * len(frame), "Int64") for x in ("key", "before", "after")})
-            miss = np.flatnonzero(~hit)
-            out_of_training = b["held_out"].to_numpy(bool)
-            for k in range(0, len(miss), ROWS_OUT):
-                m = miss[k : k + ROWS_OUT]
-                seen_all = ~out_of_training[of[m]]  # a training text's pairs are all in the table
-                side = lambda x, m=m, seen_all=seen_all: pd.arrays.IntegerArray(x[m].view(np.int64).copy(), seen_all.copy())
-                part = pd.DataFrame({"uid": b["uid"].to_numpy()[of[m]], "doc_id": pd.array([None] * len(m), "Int64"), "word": None, "k": 1, "n_tokens": 0, "n_known": 0, "base": 0.0, "model": 0.0})
-                yield part.assign(key=pd.array(key[m], "Int64"), before=side(before), after=side(after))
-
-    # a row's number joins what its task says of common words and pairs with what the joins find of the others
-    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "held_out")
-    parts = common.stored(numbered.mapInPandas(run, "uid long, doc_id long, word string, k long, n_tokens long, n_known long, base double, model double, key long, before long, after long"), "scored-parts")
-    others = parts.where("word IS NOT NULL").select("uid", "word", "k").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = others.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known_2"), F.sum(F.col("k") * F.log10((c + 0.5) / floor)).alias("base_2"))
-    tokens = common.stored(parts.where("key IS NOT NULL").select("uid", "key", "before", "after").join(model.predicted.select("key", "log_p"), "key", "left").select("uid", "before", "after", "log_p"), "rare-tokens")
-    kept = range(BURN_IN, SWEEPS)
-    unseen = met(tokens.where("log_p IS NULL").drop("log_p"), model.contexts.select("before", "n", *(f"a_{k}" for k in kept)), "before", "left")
-    unseen = met(unseen, model.words.select("after", "n", *(f"p_{k}" for k in kept)), "after", "left")
-    p = sum((F.coalesce(f"a_{k}", F.lit(1.0)) * F.coalesce(f"p_{k}", F.lit(new)) for k, new in zip(kept, model.fresh)), F.lit(0.0)) / len(kept)
-    rare = tokens.where("log_p IS NOT NULL").select("uid", "log_p").unionByName(unseen.select("uid", F.log10(p).alias("log_p"))).groupBy("uid").agg(F.sum("log_p").alias("model_2"))
-    whole = parts.where("word IS NULL AND key IS NULL").join(tail, "uid", "left").join(rare, "uid", "left").select(
-        "doc_id",
-        common.held_out(F.col("doc_id"), FOLDS).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known_2", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_2", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("model_2", F.lit(0.0))).alias("score"),
-    )
-    return whole.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    model, _ = fit(rows.where(~F.col("held_out")))
+    floor = float(model.total + 0.5 * (model.vocabulary + 1))
+    keys, b = common_pairs(model)
+    scorer = spark.sparkContext.broadcast(Scorer(model.words, np.log10((model.words.n + 0.5) / floor), keys, b, np.array(model.a, np.float32), np.array(model.p, np.float32), np.array(model.thetas), np.array(model.once), model.d, model.tail))
+    parts = scored_parts(rows, scorer, SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions")), floor)
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    columns = ["chunk", "pos", "doc_id", "n_tokens", "n_known", "base", "model"]
+    of_pairs = answered(model, parts, scorer).select("chunk", "pos", none("long", "doc_id"), none("long", "n_tokens"), none("long", "n_known"), none("double", "base"), "model")
+    of_others = apart(model, parts, scorer, floor).select("chunk", "pos", none("long", "doc_id"), none("long", "n_tokens"), "n_known", "base", "model")
+    whole = parts.where(F.col("kind") == ROW).select(*columns).unionByName(of_pairs).unionByName(of_others)
+    whole = whole.groupBy("chunk", "pos").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "model")))
+    return whole.select(
+        "doc_id", common.held_out(F.col("doc_id"), FOLDS).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
