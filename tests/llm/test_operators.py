@@ -119,6 +119,53 @@ def test_cotraining_learns(spark, documents):
     assert (good.to_numpy()[:, None] > bad.to_numpy()).mean() > 0.9
 
 
+def test_views_and_pseudo_labels_equal_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    n, slots = 300, 40
+    words = [np.unique(rng.integers(0, slots, 8)).astype("<u2") for _ in range(n)]
+    bins, y, weight = rng.integers(0, cotraining.BINS, n), rng.integers(0, 2, n), rng.choice([0.5, 1.0], n)
+    rows = spark.createDataFrame([(int(b), w.tobytes(), int(t), float(x), None) for b, w, t, x in zip(bins, words, y, weight)], "t_a int, words binary, y int, weight double, label int").repartition(3)
+    view, odds = cotraining.View(["t_a"]), cotraining.WordView()
+    view.fit(rows)
+    odds.fit(rows)
+    count = np.ones((2, cotraining.BINS))
+    np.add.at(count, (y, bins), weight)
+    p = count / count.sum(1, keepdims=True)
+    assert np.allclose(view.weights[0], np.log(p[1] / p[0]))
+    of_words = np.full((2, cotraining.SLOTS), 0.5)
+    for w, t, x in zip(words, y, weight):
+        of_words[t, w] += x
+    q = of_words / of_words.sum(1, keepdims=True)
+    assert np.allclose(odds.weights, np.log(q[1] / q[0]))
+    score = view.prior + view.weights[0][bins]
+    label = cotraining.pseudo_labels(rows, view.score(), 0.3, 0.5, view.prior - 10)
+    got = rows.select("t_a", view.score().alias("s"), label.alias("l")).collect()
+    low, high = np.sort(score)[[int(np.ceil(0.15 * n)) - 1, int(np.ceil(0.85 * n)) - 1]]
+    assert low < high and {r.l for r in got if r.s >= high} == {1} and {r.l for r in got if r.s < high} == {None}
+    few = cotraining.pseudo_labels(rows, view.score(), 0.3, 0.5, view.prior)
+    assert all((r.l == 1) <= (r.s >= view.prior + cotraining.CONFIDENT) for r in rows.select(view.score().alias("s"), few.alias("l")).collect())
+
+
+def test_rounds_teach_the_text_view_what_the_metadata_knows(spark):
+    rng = np.random.default_rng(7)
+    docs, marks = [], []
+    for i in range(3_000):
+        good = int(rng.integers(0, 2))
+        own = [f"{'good' if good else 'bad'}{k}" for k in rng.integers(0, 1_500, 3)]
+        docs.append((i, " ".join([*own, *(f"w{k}" for k in rng.integers(0, 300, 12))]), f"s{good}{rng.integers(0, 3)}"))
+        if i < 300 or i % 5 == 1:
+            marks.append((i, good))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, quality int")
+
+    def right(rounds):
+        found = by_id(cotraining.classify(d, l, rounds))
+        out = [i for i, _ in marks if i >= 300 and found[i].held_out]
+        return np.mean([(found[i].text_score > 0) == dict(marks)[i] for i in out]), np.mean([found[i].predicted == dict(marks)[i] for i in out])
+
+    (text_before, _), (text_after, both) = right(0), right(3)
+    assert text_after > text_before + 0.02 and both > 0.98
+
+
 def test_calibration():
     a, b, c = cotraining.calibrated([(2.0, 0.0, 1, 90), (2.0, 0.0, 0, 10), (-2.0, 0.0, 1, 10), (-2.0, 0.0, 0, 90)])
     assert 1 / (1 + np.exp(-(2 * a + c))) == pytest.approx(0.9, abs=0.02) and b == pytest.approx(0)
