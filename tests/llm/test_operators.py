@@ -486,6 +486,16 @@ def test_base_scores_and_held_out_perplexity(documents):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(2)
+    for top, n in ((1 << 42, 5), (1 << 63, 400), (100, 0), (1 << 42, 1), (10_000, 300)):
+        keys = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        assert pitman_yor.unpacked(pitman_yor.packed(keys)).tolist() == keys.tolist()
+    u, w = rng.integers(0, 1 << 21, 500), rng.integers(0, 1 << 21, 500)
+    got = pitman_yor.numbers(pitman_yor.numbered(u, w))
+    assert (got[0] == u).all() and (got[1] == w).all()
+
+
 def test_seating_is_within_bounds():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 100_000])
@@ -536,7 +546,7 @@ def test_all_contexts_decide_and_predictions_sum_to_one(spark, monkeypatch, hot)
     by_context = np.zeros((len(kept), len(model.words.n)))  # what the pairs of numbered words and the others add, by round's mean
     got = np.zeros(len(model.words.n))
     for r in model.pairs.collect():
-        u, _ = pitman_yor.numbers(pitman_yor.array_of(r["x"], "<u8"))
+        u, _ = pitman_yor.numbers(pitman_yor.unpacked(r["x"]))
         if r["kind"] == pitman_yor.PAIRS:
             np.add.at(got, u, pitman_yor.array_of(r["b"], "<f4").astype(float))
         else:

@@ -55,7 +55,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, key: F.Column | None = N
     ``vocabulary`` has term. ``doc`` is the key, the id by default; end marks have the id as doc_id. A null text holds
     the end mark only; a null id becomes ``common.NO_ID``.
     """
-    vocabulary = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(END,)], "term string"))
+    vocabulary = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(END).alias("term")))
     vocabulary = vocabulary.select("term", F.lower("term").alias("folded"), term_id("term").alias("term_id"))
     key = common.key_of(docs) if key is None else key
     tokens = docs.select(key.alias("doc"), common.key_of(docs).alias("doc_id"), F.posexplode(F.concat(words_of(docs["text"].cast("string")), F.array(F.lit(END)))).alias("pos", "word"))

@@ -71,6 +71,20 @@ def array_of(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(dtype).ravel()
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys by their steps, in four bytes each where these suffice."""
+    steps = np.diff(keys, prepend=keys[:1])
+    small = not len(steps) or int(steps.max()) < 1 << 32
+    return (b"\x04" if small else b"\x08") + keys[:1].astype("<u8").tobytes() + planes(steps.astype("<u4" if small else "<u8"))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    steps = array_of(data[9:], f"<u{data[0]}").astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(data[1:9], "<u8")[0]
+
+
 def numbered(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The key of pairs of word numbers."""
     return ((u.astype(np.uint64) << np.uint64(BITS)) | w.astype(np.uint64)) * FACTOR & MASK
@@ -193,7 +207,7 @@ def pair_blocks(train: DataFrame, words, shards: int) -> DataFrame:
             both = (u >= 0) & (w >= 0)
             keys, c = np.unique(numbered(u[both], w[both]), return_counts=True)
             at = cuts(keys, shards)
-            yield frame([block(PAIRS, s, planes(keys[i:j]), planes(c[i:j].astype("<u4"))) for s, (i, j) in enumerate(zip(at, at[1:])) if j > i])
+            yield frame([block(PAIRS, s, packed(keys[i:j]), planes(c[i:j].astype("<u4"))) for s, (i, j) in enumerate(zip(at, at[1:])) if j > i])
             before, after = before[~both], after[~both]
             keys, first, c = np.unique(pair_key(before, after), return_index=True, return_counts=True)
             at = cuts(keys, shards, 64)
@@ -201,13 +215,13 @@ def pair_blocks(train: DataFrame, words, shards: int) -> DataFrame:
 
     def merged(kind: int, at: int, parts: list[tuple], sums: Sums, classes: np.ndarray) -> tuple:
         if kind == PAIRS:
-            keys, c = summed(np.concatenate([array_of(x, "<u8") for x, _, _ in parts]), np.concatenate([array_of(y, "<u4") for _, y, _ in parts]).astype(np.int64))
+            keys, c = summed(np.concatenate([unpacked(x) for x, _, _ in parts]), np.concatenate([array_of(y, "<u4") for _, y, _ in parts]).astype(np.int64))
             twice = c > 1
             u, w = numbers(keys[twice])
             for kind_of, place, x in ((0, u, c[twice]), (1, u, np.ones(len(u), np.int64)), (2, w, c[twice])):
                 sums.add(kind_of, place, x)
             np.add.at(classes, count_class(c), 1)
-            return block(PAIRS, at, planes(keys[twice]), planes(c[twice].astype("<u4")), planes(keys[~twice]))
+            return block(PAIRS, at, packed(keys[twice]), planes(c[twice].astype("<u4")), packed(keys[~twice]))
         before, after, c = (np.concatenate([array_of(p[i], t) for p in parts]) for i, t in enumerate(("<u8", "<u8", "<u4")))
         keys, total = summed(pair_key(before, after), c.astype(np.int64))
         _, first = np.unique(pair_key(before, after), return_index=True)
@@ -390,7 +404,7 @@ def seated_blocks(pairs: DataFrame, words, level, turn: int) -> DataFrame:
             out = []
             for at, x, y, z, held, b in zip(batch["at"].tolist(), batch["x"], batch["y"], batch["z"], batch["sizes"], batch["b"]):
                 rng = np.random.default_rng([SEED, turn, at])
-                u, w = numbers(array_of(x, "<u8"))
+                u, w = numbers(unpacked(x))
                 c = array_of(y, "<u4").astype(np.int64)
                 before = (None, None) if not turn else (array_of(z, "<u4").astype(np.int64), array_of(held, "<u4").astype(np.int64))
                 t, sizes, met = one_round(c, *before, now.tables[u], now.p[w], now.theta, now.d, rng)
@@ -509,7 +523,9 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
     a_names: list[str] = []
     for turn in range(ROUNDS):
         level = spark.sparkContext.broadcast(Level(tables.astype(float), p.astype(float), theta, d))
-        state = seated_blocks(state.where(F.col("kind") == PAIRS), shared, level, turn)
+        last, state = state, seated_blocks(state.where(F.col("kind") == PAIRS), shared, level, turn)
+        if turn:
+            common.removed(last)
         sat, over, root = total_sums(state, len(n), 3)
         tables, mean, c = ones_u + sat, ones_u + over / SWEEPS, ones_w + root
         tail_c = tail_t = 0
@@ -601,7 +617,7 @@ def common_pairs(model: Fitted) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for x, y, z in zip(b["x"], b["y"], b["b"]):
                 often = count_class(array_of(y, "<u4").astype(np.int64)) >= least
-                yield pd.DataFrame({"key": array_of(x, "<u8")[often].view(np.int64), "b": array_of(z, "<f4")[often]})
+                yield pd.DataFrame({"key": unpacked(x)[often].view(np.int64), "b": array_of(z, "<f4")[often]})
 
     found = model.pairs.where(F.col("kind") == PAIRS).mapInPandas(run, "key long, b float").toArrow().to_pandas().sort_values("key")
     return found["key"].to_numpy(np.int64).view(np.uint64), found["b"].to_numpy(np.float32)
@@ -650,7 +666,7 @@ def scored_parts(rows: DataFrame, scorer, shards: int, floor: float) -> DataFram
             yield out.assign(x=None, y=None, z=None)[names]
             keys, asked = keys[~hit], of[at[~hit]].astype("<u4")
             ends = cuts(keys, shards)
-            yield pd.DataFrame([(ASKED, s, chunk, *blank, planes(keys[i:j]), planes(asked[i:j]), None) for s, (i, j) in enumerate(zip(ends, ends[1:])) if j > i], columns=names)
+            yield pd.DataFrame([(ASKED, s, chunk, *blank, packed(keys[i:j]), planes(asked[i:j]), None) for s, (i, j) in enumerate(zip(ends, ends[1:])) if j > i], columns=names)
             if len(apart):
                 yield pd.DataFrame([(APART, 0, chunk, *blank, planes(before[apart]), planes(after[apart]), planes(of[apart].astype("<u4")))], columns=names)
 
@@ -670,7 +686,7 @@ def answered(model: Fitted, parts: DataFrame, scorer) -> DataFrame:
             for kind, at, chunk, x, y, b in zip(batch["kind"].tolist(), batch["at"].tolist(), batch["chunk"].tolist(), batch["x"], batch["y"], batch["b"]):
                 if at != shard:
                     shard, twice, of_twice, once = at, empty, np.zeros(0), empty
-                keys = array_of(x, "<u8")
+                keys = unpacked(x)
                 if kind == PAIRS:
                     twice, of_twice = keys, array_of(b, "<f4").astype(float)
                 elif kind == PAIRS + 10:
