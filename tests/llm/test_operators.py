@@ -111,6 +111,40 @@ def test_pipeline_stages_keep_columns_on_odd_rows(odd, clashing, labels, spark):
 # 1
 
 
+def test_pipeline_equals_plain_stages(spark, documents):
+    import corpus_pipeline
+
+    kept = {name: None for name, _ in corpus_pipeline.STAGES}
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, SF), f"test-{name}")
+        kept[name] = docs
+    assert set(kept["toxicity"].columns) == set(documents.columns) == set(kept["decontaminate"].columns)
+    texts = {r.doc_id: r.text or "" for r in kept["toxicity"].collect()}
+    harmless = toxicity.detect(documents, common.table(spark, SF, "labels")).where("predicted = 0")
+    assert set(texts) == {r.doc_id for r in harmless.collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
+    texts = {i: texts[i] for i in first.values()}
+    assert {r.doc_id for r in kept["exact_dedup"].collect()} == set(texts)
+    near = brute_components(texts, 5, 80)
+    texts = {i: x for i, x in texts.items() if near[i][1] == i}
+    assert {r.doc_id for r in kept["jaccard_join"].collect()} == set(texts)
+
+    def words(x):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in x))
+
+    windows = set()
+    for row in common.table(spark, SF, "benchmark").collect():
+        w = words(row.text or "")
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+    texts = {i: x for i, x in texts.items() if not hit(words(x))}
+    assert {r.doc_id for r in kept["decontaminate"].collect()} == set(texts)
+    assert {r.doc_id for r in kept["bpe"].collect()} == set(texts) == {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+
+
 def test_cotraining_learns(spark, documents):
     labels = common.table(spark, SF, "labels")
     found = cotraining.classify(documents, labels).join(labels, "doc_id").toPandas()

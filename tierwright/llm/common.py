@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +65,16 @@ def removed(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark drop what finished jobs have left on the executors, broadcast tables and shuffle files.
+
+    Spark does so when the driver collects its garbage, which a driver with little to do may put off for a whole chain
+    of jobs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

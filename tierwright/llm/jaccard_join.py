@@ -36,6 +36,8 @@ TOGETHER = 500
 FEW, SALTED = 32, 64
 HEAVY = np.uint64(1 << 63)
 NOTHING = np.zeros(1, np.uint64)
+#: Signatures of sets that a task remembers.
+SEEN = 200_000
 #: Bytes of texts whose words are hashed side by side; words of more than this many bytes are hashed one by one.
 HELD_BYTES, LONG_WORD = 1 << 20, 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -425,23 +427,28 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, df = shared.value
-        shingler, weight = Shingler(words), np.log2(np.maximum(df, 1))
+        shingler, weight, met = Shingler(words), np.log2(np.maximum(df, 1)), set()
         for b in batches:
             out, names = [], []
             for s in shingler.sets(b["text"]):
+                if not len(s) or (named_as := signature(s)) in met:
+                    continue  # one of a task's equal sets is enough
+                if len(met) > SEEN:
+                    met.clear()
+                met.add(named_as)
                 keys = keys_under(s, table)
                 if len(keys):
                     l = surplus(keys, df, percent)
                     common_ones = (keys[keys >= HEAVY] ^ HEAVY).astype(np.int64)
                     length = len(keys) - least_overlap(len(keys), percent) + l
-                    names.append(signature(s))
+                    names.append(named_as)
                     out.append((l, float(weight[common_ones].sum()) / len(keys), keys[:length].astype("<u8").tobytes()))
             yield pd.DataFrame(out, columns=["l", "density", "lead"]).assign(**signed(names))
 
-    leads = texts.join(common.sized(classes.select(F.col("class").alias("doc")).distinct(), 500_000), "doc", "left_semi")
-    leads = leads.select("text").mapInPandas(lead, "n long, s1 long, s2 long, l int, density double, lead binary")
+    leads = texts.select("text").mapInPandas(lead, "n long, s1 long, s2 long, l int, density double, lead binary")
     prefixes = leads.join(classes.drop("class"), ["n", "s1", "s2"]).select("doc", "n", "l", "density", "lead").dropDuplicates(["doc"])
     prefixes = common.stored(prefixes, "prefixes")
+    common.tidied(spark)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -470,6 +477,7 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
     stars = star_pairs(lists, as_hub(hubs, "densest").unionByName(as_hub(hubs.where("first <> densest"), "first")), percent)
     near = verified(stars, prefixes, classes, texts, words, percent)
     place = components(near)
+    common.tidied(spark)
     open_lists, far = apart_lists(lists, place), []
     long = open_lists.where(F.col("outside") > FEW)
     if count := long.where("part <> main").select("doc").distinct().count():
@@ -500,6 +508,7 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
         apart = common.stored(apart.join(common.sized(main, 500_000), "group"), "differences-of-parts")
         once = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("main_y")) | (F.col("doc_x") < F.col("doc_y")))
         far.append(similar_pairs(met_apart(apart.where("part <> main"), apart, percent, once), sets, percent))
+    common.tidied(spark)
     final = merged(place, reduce(DataFrame.union, far))
     of_class = classes.join(final.select(F.col("node").alias("doc"), F.col("component")), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
     if count_links:
@@ -523,3 +532,21 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (sh) GROUP BY ALL),
+l AS (SELECT a, b, k = na.n AND k = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, min(b) AS class_id FROM l WHERE same GROUP BY 1),
+t AS (SELECT l.a, count(DISTINCT k.class_id) AS links FROM l JOIN k ON k.a = l.b WHERE NOT same GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(links, 0) AS links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id LEFT JOIN t ON t.a = d.doc_id
+"""

@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.SQL,
+        "op4_jaccard_join": jaccard_join.SQL,
         "op5_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
