@@ -325,9 +325,10 @@ def reseated(c: np.ndarray, t: np.ndarray, sizes: np.ndarray, new: np.ndarray, d
 def strength(customers: np.ndarray, tables: np.ndarray, times: np.ndarray, d: float, rng: np.random.Generator) -> float:
     """A draw of theta from its posterior on a grid, given customers and tables of restaurants that share it."""
     grid = np.geomspace(0.1, 1000, 25)
-    cells, at = np.unique(np.stack([customers, tables]).astype(np.int64), axis=1, return_inverse=True)
-    m = np.bincount(at.ravel(), times)
-    c, t = cells.astype(float)
+    key, order = customers.astype(np.int64), np.lexsort((tables, customers))
+    key, t = key[order], tables.astype(np.int64)[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])))
+    m, c, t = np.add.reduceat(times[order], first), key[first].astype(float), t[first].astype(float)
     score = np.array([(m * (t * np.log(d) + log_gamma(th / d + t) - lgamma(th / d) - log_gamma(th + c) + lgamma(th))).sum() - np.log(th) for th in grid])
     w = np.exp(score - score.max())
     return float(rng.choice(grid, p=w / w.sum()))
@@ -446,10 +447,10 @@ def seated_rows(rows: DataFrame, words, level, turn: int) -> DataFrame:
 def root_tables(c: np.ndarray, base: float, theta: float, d: float, tables: float, rng: np.random.Generator) -> np.ndarray:
     """The root's tables of dishes with c customers: a first seating, and sweeps over it."""
     t = np.minimum(c, 1)
-    more = c > 1
-    if more.any():
-        many, p = c[more], np.full(int(more.sum()), base)
-        t[more] = one_round(many, None, None, np.full(len(many), tables), p, theta, d, rng)[0]
+    more = np.flatnonzero(c > 1)
+    for begin in range(0, len(more), SLICE):  # dishes do not look at each other, so some are seated at a time
+        part = more[begin : begin + SLICE]
+        t[part] = one_round(c[part], None, None, np.full(len(part), tables), np.full(len(part), base), theta, d, rng)[0]
     return t
 
 
@@ -482,15 +483,17 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     twice = counts.where("n > 1")
     is_hot = (F.col("n") > 1) & common.commonest(twice, "n", HOT)
-    found = counts.where(is_hot).toArrow().to_pandas()
-    hashes = found["word"].to_numpy(np.int64).view(np.uint64)
+    found = counts.where(is_hot).toArrow()
+    hashes = found["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    words = Words(hashes[order], found["n"].to_numpy(np.int64)[order])
+    words = Words(hashes[order], found["n"].to_numpy().astype(np.int64)[order])
+    del found, hashes, order
     tail = twice.where(~is_hot)
     has_tail = whole["v"] - whole["once"] > len(words.n)
     shared = spark.sparkContext.broadcast(words)
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = pair_blocks(train, shared, shards)
+    common.tidied(spark)
     classes = np.sum([np.frombuffer(r["x"], np.int64) for r in blocks.where(F.col("kind") == CLASSES).select("x").collect()] or [np.zeros(1028, np.int64)], 0)  # one row a task
     d, d_root, theta, theta_root = discount(int(classes[0] + classes[1025]), int(classes[16] + classes[1026])), 0.5, 1.0, 1.0
     with_sums = total_sums(blocks, len(words.n), 3)
@@ -522,6 +525,8 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
     out = Fitted(words, whole["n"], v, has_tail, d, state, classes, others, counts)
     a_names: list[str] = []
     for turn in range(ROUNDS):
+        if turn:
+            level.unpersist()
         level = spark.sparkContext.broadcast(Level(tables.astype(float), p.astype(float), theta, d))
         last, state = state, seated_blocks(state.where(F.col("kind") == PAIRS), shared, level, turn)
         if turn:
@@ -554,8 +559,8 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
             out.thetas.append(theta)
             out.once.append((1 - d_root) / (theta_root + all_c) + fresh)
             out.fresh.append(fresh)
-            out.a.append((theta + d * mean) / (theta + n))
-            out.p.append(p)
+            out.a.append(((theta + d * mean) / (theta + n)).astype(np.float32))
+            out.p.append(p.astype(np.float32))
         cells = [(n, tables, np.ones(len(n))), (np.ones(1), np.ones(1), np.full(1, whole["once"]))]
         if has_tail:
             # few kinds of restaurants: no such word is met more often than the rarest with a number
@@ -619,8 +624,10 @@ def common_pairs(model: Fitted) -> tuple[np.ndarray, np.ndarray]:
                 often = count_class(array_of(y, "<u4").astype(np.int64)) >= least
                 yield pd.DataFrame({"key": unpacked(x)[often].view(np.int64), "b": array_of(z, "<f4")[often]})
 
-    found = model.pairs.where(F.col("kind") == PAIRS).mapInPandas(run, "key long, b float").toArrow().to_pandas().sort_values("key")
-    return found["key"].to_numpy(np.int64).view(np.uint64), found["b"].to_numpy(np.float32)
+    found = model.pairs.where(F.col("kind") == PAIRS).mapInPandas(run, "key long, b float").toArrow()
+    keys, b = found["key"].to_numpy(), found["b"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order].view(np.uint64), b[order]
 
 
 def scored_parts(rows: DataFrame, scorer, shards: int, floor: float) -> DataFrame:
@@ -772,7 +779,8 @@ def score(docs: DataFrame) -> DataFrame:
     model, _ = fit(rows.where(~F.col("held_out")))
     floor = float(model.total + 0.5 * (model.vocabulary + 1))
     keys, b = common_pairs(model)
-    scorer = spark.sparkContext.broadcast(Scorer(model.words, np.log10((model.words.n + 0.5) / floor), keys, b, np.array(model.a, np.float32), np.array(model.p, np.float32), np.array(model.thetas), np.array(model.once), model.d, model.tail))
+    common.tidied(spark)
+    scorer = spark.sparkContext.broadcast(Scorer(model.words, np.log10((model.words.n + 0.5) / floor), keys, b, np.array(model.a), np.array(model.p), np.array(model.thetas), np.array(model.once), model.d, model.tail))
     parts = scored_parts(rows, scorer, SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions")), floor)
     none = lambda t, c: F.lit(None).cast(t).alias(c)
     columns = ["chunk", "pos", "doc_id", "n_tokens", "n_known", "base", "model"]
