@@ -34,7 +34,7 @@ HOT, BITS, COMMON_PAIRS = 2_000_000, 21, 2_000_000
 #: customers of a dish that a sweep seats anew at most, drawn at random.
 ROUNDS, BURN_IN, SWEEPS, RESEATED, SEED = 3, 1, 2, 8, 11
 #: Tokens that a task works on at a time, and numbers of words in a slice.
-HELD_TOKENS, SLICE = 1_500_000, 1 << 16
+HELD_TOKENS, SLICE = 1_500_000, 1 << 14
 #: Shards for each shuffle partition.
 SHARDS = 4
 #: END, the end of a text as a token, among the hashes of words.
