@@ -261,3 +261,18 @@ def test_the_entry_keeps_its_queries_when_a_module_cannot_be_imported(tmp_path):
     code = "import sys\nsys.modules['public_tokenizers'] = None\nimport __spark_entry__ as e\nassert 'optimal_routing' in e.queries() and 'pipeline' not in e.queries()\nassert set(e.oracle_sql()) <= set(e.queries())"
     root = Path(__file__).resolve().parent.parent
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
+def test_timed_latencies_reach_the_profile(spark):
+    documents = t.table(spark, "/root/testdata/sf0.001", "documents")
+    latencies = measure.timed(documents)
+    assert {r["tier"] for r in latencies.collect()} == {"rules", "small", "large"} and latencies.where("latency <= 0").count() == 0
+    rows = measure.language_profile(documents, latencies).collect()
+    assert {r["tier"] for r in rows if r["latency"] > 0} == {"rules", "small", "large"} and all(r["latency"] == 0 for r in rows if r["tier"] == "human")
+
+
+def test_described_labels_are_references(spark):
+    labels = spark.createDataFrame([("a", "xx"), ("b", "xyyy")], "name string, description string")
+    embed = lambda texts: [[float(x.count("x")), float(x.count("y"))] for x in texts]
+    got = {r["name"]: r["centre"] for r in measure.described(labels, embed, "x").collect()}
+    assert got["a"] == [1.0, 0.0] and got["b"] == pytest.approx([2 / 13**0.5, 3 / 13**0.5])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -64,11 +65,30 @@ def profile(long: DataFrame, by_field: bool = True) -> DataFrame:
     return long.groupBy(*keys).agg((right.cast("double") / F.count("*")).alias("accuracy"), F.count("*").alias("items"))
 
 
-def language_profile(documents: DataFrame) -> DataFrame:
-    """The measured profile of the language ladder with the order of its fields."""
+def timed(documents: DataFrame) -> DataFrame:
+    """tier and latency: wall-clock milliseconds an item of each machine tier, run by itself over all documents.
+
+    The human tier's latency is assumed, not measured.
+    """
+    n, rows = max(1, documents.count()), []
+    for tier in TIERS[:-1]:
+        began = time.perf_counter()
+        language_ladder(documents).select("doc_id", tier).write.format("noop").mode("overwrite").save()
+        rows.append((tier, (time.perf_counter() - began) * 1000 / n))
+    return documents.sparkSession.createDataFrame(rows, "tier string, latency double")
+
+
+def language_profile(documents: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """The measured profile of the language ladder with the order of its fields.
+
+    latencies (tier, latency) is what ``timed`` has found; without it latencies are 0, so that a profile is repeatable.
+    """
     fields = dimension(documents.sparkSession, "field", LANGUAGES)
     measured = profile(long_form(language_ladder(documents))).join(F.broadcast(fields), "field")
-    return measured.select("tier_idx", "tier", "field_idx", "field", "accuracy", F.lit(0.0).alias("latency"), "items")
+    if latencies is not None:
+        measured = measured.join(F.broadcast(latencies), "tier", "left")
+    latency = F.lit(0.0) if latencies is None else F.coalesce("latency", F.lit(0.0))
+    return measured.select("tier_idx", "tier", "field_idx", "field", "accuracy", latency.alias("latency"), "items")
 
 
 def quality_profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,6 +117,21 @@ def scored(rows: DataFrame, scorer: Callable[[list[str]], list[str]], column: st
     return rows.mapInPandas(run, schema)
 
 
+def described(labels: DataFrame, embed: Callable[[list[str]], list[list[float]]], prefix: str = "") -> DataFrame:
+    """name and centre (a unit vector) of each label (name, description): reference vectors that need no examples.
+
+    The plug for embedding models, which are not at hand here; some models want a prefix before a description.
+    """
+    from tierwright.functions import vectors
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "v": embed([prefix + x for x in b["description"]])})
+
+    found = labels.select("name", "description").mapInPandas(run, "name string, v array<double>")
+    return found.select("name", vectors.unit(F.col("v")).alias("centre"))
+
+
 def split_of(number: str) -> Column:
     """The fold of a numbered row: even numbers are for training."""
     return F.when(F.col(number) % 2 == 0, "training").otherwise("heldout")
