@@ -265,7 +265,3 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
     return common.in_small_batches(texts).mapInPandas(run, schema)
-
-
-def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return encode(docs, vocabulary).select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")

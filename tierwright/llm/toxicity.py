@@ -107,7 +107,7 @@ def fit_noisy_or(rows: list[tuple[int, int, list[int], list[int]]], features: li
         p = -np.expm1(-s)
         # d loss / d s of -y log(1 - exp(-s)) + (1 - y) s
         down = weight * np.where(y > 0, -np.exp(-s) / np.maximum(p, 1e-12), 1.0)
-        by_sentence = np.repeat(down, counts) / (1 + np.exp(-z))
+        by_sentence = np.repeat(down, counts) / (1 + np.exp(-np.maximum(z, -500)))
         g = np.append(np.bincount(feature, by_sentence[sentence], len(features)), by_sentence.sum())
         g[:-1] += L2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
