@@ -610,6 +610,12 @@ def provenance_list(spark, d):
     return inventory.listed(inventory.inventory(spark))
 
 
+@registered("SELECT p_partkey, round(p_retailprice, 2) AS price, replace(printf('%.2f', p_retailprice), '.', ',') AS typed FROM part")
+def typed_prices(spark, d):
+    typed = F.replace(F.format_string("%.2f", F.col("p_retailprice")), F.lit("."), F.lit(","))
+    return table(spark, d, "part").select("p_partkey", F.round(text.parsed_number(typed), 2).alias("price"), typed.alias("typed"))
+
+
 @registered("SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
 def missing_keys(spark, d):
     users, known = table(spark, d, "events").select(F.col("user_id").alias("key")), table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
