@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, cotraining, decontaminate, exact_dedup, jaccard_join, language, pii, pitman_yor, toxicity, warc
+from . import bpe, common, cotraining, decontaminate, exact_dedup, jaccard_join, language, periodic_runs, pii, pitman_yor, ranked_search, source_mix, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -29,6 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": language.query,
         "op10_decontaminate": decontaminate.query,
         "op10_near_matches": decontaminate.near_query,
+        "op11_source_mix": source_mix.query,
+        "op12_ranked_search": ranked_search.query,
+        "op13_periodic_runs": periodic_runs.query,
     }
 
 
@@ -38,4 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": jaccard_join.SQL,
         "op5_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_source_mix": source_mix.SQL,
+        "op12_ranked_search": ranked_search.SQL,
     }
