@@ -263,5 +263,6 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
                 out["ids"], out["decoded"] = pd.Series(ids, out.index, object), pd.Series(decoded, out.index, object)
             yield out
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return common.in_small_batches(texts).mapInPandas(run, schema)
+    # pandas would make floats of ids among which one is null
+    texts = docs.select(common.key_of(docs).alias("doc_id"), common.text_of(docs).alias("text"))
+    return common.in_small_batches(texts).mapInPandas(run, schema).withColumn("doc_id", common.id_of())

@@ -84,6 +84,11 @@ def key_of(df: DataFrame, column: str = "doc_id") -> Column:
     return F.coalesce(df[column].cast("long"), F.lit(NO_ID))
 
 
+def id_of(column: str = "doc_id") -> Column:
+    """What ``key_of`` stands for: the id, or null."""
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """True where crc32 of the id as text leaves the remainder 1; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 1, F.lit(False))

@@ -60,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """The word with its letters and digits by kind and runs of a kind as one sign, at most 12 signs."""
-    kinds = ("9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:200])
+    kinds = ("9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     out: list[str] = []
     for c in kinds:
         if not out or out[-1] != c:
@@ -72,8 +72,8 @@ def shape(word: str) -> str:
 
 def features(word: str) -> tuple[str, ...]:
     """One value of each feature family: bias, shape, whether digits or signs are there, digit count, and cue word."""
-    s, digits = shape(word), re.sub("[^0-9]", "", word[:200])
-    has = ("9" if digits else "") + ("@" if "@" in word else "") + ("." if "." in word[:-1] else "") + ("a" if re.search(r"[^\W\d_]", word[:200]) else "")
+    s, digits = shape(word), re.sub("[^0-9]", "", word)
+    has = ("9" if digits else "") + ("@" if "@" in word else "") + ("." if "." in word[:-1] else "") + ("a" if re.search(r"[^\W\d_]", word) else "")
     low = word.lower().rstrip(".,;!?")
     check = "luhn" if 16 <= len(digits) <= 19 and luhn(digits) else ""
     return "bias", f"shape {s}", f"has {has}", f"digits {len(digits) if len(digits) < 20 else 20}{check}" if digits else "no digits", f"cue {low}" if low in CUES else "no cue"
@@ -119,6 +119,8 @@ def labelled_table() -> list[tuple[list[str], list[str]]]:
             span("phone", ["+1", *local]),
             span("phone", local),
             span("phone", [f"{number(200, 999)}-{number(200, 999)}-{number(0, 10**4):04d}"]),
+            span("phone", [f"0{number(10, 100)}", f"{number(1000, 10**4)}", f"{number(0, 10**4):04d}"]),
+            span("phone", [f"00{number(30, 60)}", f"{number(20, 100)}", f"{number(10**6, 10**7)}"]),
             [(str(number(1900, 2030)), "O")],
             [(f"{number(1, 99)}.{number(0, 99)}", "O"), ("EUR", "O")],
             [(f"1{number(0, 10**9):09d}{number(0, 10**5):05d}", "O")],
@@ -406,10 +408,10 @@ def find(docs: DataFrame, with_spans: bool = True) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"])
             yield out
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return common.in_small_batches(texts).mapInPandas(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    )
+    # pandas would make floats of ids among which one is null
+    texts = docs.select(common.key_of(docs).alias("doc_id"), common.text_of(docs).alias("text"))
+    found = common.in_small_batches(texts).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.withColumn("doc_id", common.id_of())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -775,7 +775,7 @@ def score(docs: DataFrame) -> DataFrame:
     Without training tokens all words are unknown and the model is uniform. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = common.in_small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"), common.held_out(docs["doc_id"], FOLDS).alias("held_out"))
+    rows = common.in_small_batches(docs).select(common.key_of(docs).alias("doc_id"), common.text_of(docs).alias("text"), common.held_out(docs["doc_id"], FOLDS).alias("held_out"))
     model, _ = fit(rows.where(~F.col("held_out")))
     floor = float(model.total + 0.5 * (model.vocabulary + 1))
     keys, b = common_pairs(model)
@@ -787,7 +787,7 @@ def score(docs: DataFrame) -> DataFrame:
     of_pairs = answered(model, parts, scorer).select("chunk", "pos", none("long", "doc_id"), none("long", "n_tokens"), none("long", "n_known"), none("double", "base"), "model")
     of_others = apart(model, parts, scorer, floor).select("chunk", "pos", none("long", "doc_id"), none("long", "n_tokens"), "n_known", "base", "model")
     whole = parts.where(F.col("kind") == ROW).select(*columns).unionByName(of_pairs).unionByName(of_others)
-    whole = whole.groupBy("chunk", "pos").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "model")))
+    whole = whole.groupBy("chunk", "pos").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "model"))).withColumn("doc_id", common.id_of())
     return whole.select(
         "doc_id", common.held_out(F.col("doc_id"), FOLDS).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"),

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,25 +180,27 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
     """The given columns of every row, score, n_sentences, n_offending and offending.
 
     ``offending`` has begin:end (code points) of each sentence whose own score is at least ``SENTENCE``. A null or
-    empty text is one sentence without words. Rows may repeat; each is scored by itself, whole.
+    empty text is one sentence without words. Rows may repeat; each is scored by itself, whole. The given columns are
+    passed on as they are, whatever their types and nulls.
     """
     kept = [docs[c] for c in columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     cut = float(np.log(SENTENCE / (1 - SENTENCE)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             out = []
-            for text in b.pop("_text"):
+            for text in b.column(b.num_columns - 1).to_pylist():
                 z = scorer.sentences(text)
                 bad = np.flatnonzero(z >= cut)
                 spans = sentence_spans(text) if len(bad) else []
-                out.append((noisy_or(z), len(z), len(bad), ",".join(f"{spans[i][0]}:{spans[i][1]}" for i in bad if i < len(spans))))
-            b[["score", "n_sentences", "n_offending", "offending"]] = pd.DataFrame(out, b.index, range(4)) if out else None
-            yield b
+                out.append((float(noisy_or(z)), len(z), len(bad), ",".join(f"{spans[i][0]}:{spans[i][1]}" for i in bad if i < len(spans))))
+            found = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.float64(), pa.int64(), pa.int64(), pa.string()))]
+            # the other columns stay as they came
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], [*b.schema.names[:-1], "score", "n_sentences", "n_offending", "offending"])
 
-    return common.in_small_batches(docs).select(*kept, common.text_of(docs).alias("_text")).mapInPandas(run, f"{schema}, score double, n_sentences long, n_offending long, offending string")
+    return common.in_small_batches(docs).select(*kept, common.text_of(docs).alias("_text")).mapInArrow(run, f"{schema}, score double, n_sentences long, n_offending long, offending string")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
