@@ -35,10 +35,16 @@ def rate(k: Column, n: Column) -> list[Column]:
     return [k.alias("successes"), n.alias("n"), share.alias("rate"), low.alias("low"), high.alias("high"), precision(low, high).alias("precision"), (n >= ENOUGH).alias("reportable")]
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """The number rounded to so many digits, the larger of two equally near, as a double."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
 def written_rate() -> Column:
     """A rate (columns of ``rate``) for readers; small samples are not quoted."""
     few = F.format_string("— (n=%d, too few to quote)", F.col("n"))
-    full = F.format_string("%.1f %% [%.0f–%.0f], n=%d", F.col("rate") * 100, F.col("low") * 100, F.col("high") * 100, F.col("n"))
+    full = F.format_string("%.1f %% [%.0f–%.0f], n=%d", fixed(F.col("rate") * 100, 1), fixed(F.col("low") * 100, 0), fixed(F.col("high") * 100, 0), F.col("n"))
     return F.when(F.col("reportable"), full).otherwise(few)
 
 

@@ -22,8 +22,8 @@ JUNK, SMALL_SHARE, LARGE_SHARE = r"[*#%&$]{3}", 0.03, 0.01
 
 def stop_words_of(c: Column) -> Column:
     """The text's words that are a stop word of any language, each time they occur, found in one pass."""
-    any_of = "|".join(w for words in STOP_WORDS.values() for w in words)
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?<![a-zà-ÿ])({any_of})(?![a-zà-ÿ])"), 1)
+    any_of = [w for words in STOP_WORDS.values() for w in words]
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-zà-ÿ]+"), lambda w: w.isin(*any_of))
 
 
 def most_hits(words: Column, number: int) -> Column:
@@ -36,11 +36,11 @@ def most_hits(words: Column, number: int) -> Column:
     return reduce(lambda c, x: c.when(x[1] == top, x[0]), zip(LANGUAGES, hits), F.when(top == 0, "")).otherwise("")
 
 
-def language_ladder(documents: DataFrame) -> DataFrame:
-    """doc_id, truth and each machine tier's answer to "which language", from whole texts."""
-    rows = documents.select("doc_id", F.col("lang").alias("truth"), stop_words_of(F.col("text")).alias("w"))
+def language_ladder(documents: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, truth, what is carried, and each machine tier's answer to "which language", from whole texts."""
+    rows = documents.select("doc_id", F.col("lang").alias("truth"), *carried, stop_words_of(F.col("text")).alias("w"))
     first = reduce(lambda c, lang: c.when(F.array_contains("w", STOP_WORDS[lang][0]), lang), LANGUAGES, F.when(F.lit(False), "")).otherwise("")
-    return rows.select("doc_id", "truth", first.alias("rules"), most_hits(F.col("w"), 2).alias("small"), most_hits(F.col("w"), 5).alias("large"))
+    return rows.select(*rows.columns[:-1], first.alias("rules"), most_hits(F.col("w"), 2).alias("small"), most_hits(F.col("w"), 5).alias("large"))
 
 
 def quality_ladder(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,9 +53,10 @@ def quality_ladder(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def long_form(ladder: DataFrame) -> DataFrame:
-    """doc_id, truth, tier_idx, tier and got: one row for each tier, the human one (who is right here) included."""
+    """The ladder's other columns, tier_idx, tier and got: one row for each tier, the human one (who is right here) included."""
+    other = [c for c in ladder.columns if c not in TIERS]
     answers = F.posexplode(F.array(*(F.struct(F.lit(t).alias("tier"), (F.col("truth") if t == "human" else F.col(t)).alias("got")) for t in TIERS))).alias("tier_idx", "a")
-    return ladder.select("doc_id", "truth", answers).select("doc_id", "truth", "tier_idx", "a.tier", "a.got")
+    return ladder.select(*other, answers).select(*other, "tier_idx", "a.tier", "a.got")
 
 
 def profile(long: DataFrame, by_field: bool = True) -> DataFrame:

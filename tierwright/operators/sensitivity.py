@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwright.functions import assumptions as given
+from tierwright.functions import stats
 
 from . import routing
 
@@ -67,7 +68,7 @@ def bands(profile: DataFrame, single: DataFrame, n_fields: int, base: given.Assu
 
 def advice() -> Column:
     """What a band tells its reader to do."""
-    number = lambda c: F.format_string("%.2f", F.col(c))
+    number = lambda c: F.format_string("%.2f", stats.fixed(F.col(c), 2))
     return (
         F.when(F.col("reason") == "tier priced out", "no effect while the tier it governs is out of the budget; measure it before the budget rises or the volume falls")
         .when(F.col("reason") == "genuinely insensitive", F.concat(F.lit("decides nothing from "), number("lo"), F.lit(" to "), number("hi"), F.lit("; not worth measuring here")))

@@ -160,6 +160,13 @@ SELECT key AS assumption, lo, hi, now_ AS current, round(a, 6) AS stable_from, r
   CASE WHEN a > lo + 1e-9 OR b < hi - 1e-9 THEN 'affects the answer' WHEN pushed THEN 'tier priced out' ELSE 'genuinely insensitive' END AS reason FROM edges"""
 
 
+def advice_sql(bands: str) -> str:
+    shown = lambda c: f"floor({c} * 100 + 0.5::DOUBLE) / 100"
+    return f"""SELECT assumption, CASE reason WHEN 'tier priced out' THEN 'no effect while the tier it governs is out of the budget; measure it before the budget rises or the volume falls'
+WHEN 'genuinely insensitive' THEN printf('decides nothing from %.2f to %.2f; not worth measuring here', {shown("lo")}, {shown("hi")})
+ELSE printf('decides the routing outside %.2f to %.2f; worth measuring', {shown("stable_from")}, {shown("stable_to")}) END AS advice FROM ({bands})"""
+
+
 def wilson(k: str, n: str) -> tuple[str, str]:
     k, n, z = f"({k})::DOUBLE", f"({n})::DOUBLE", "1.96::DOUBLE"
     p, scale = f"({k} / {n})", f"(1 + {z} * {z} / {n})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,25 +12,13 @@ from tierwright.functions import assumptions as given
 from tierwright.functions import charts, stats, text, vectors
 from tierwright.operators import baselines, failures, inventory, measure, routing, sensitivity
 from tierwright.plans import state
+from tierwright.registry import QUERIES, SQL, Query, golden, registered
 from tierwright.sources import corpus
 from tierwright.sources.tables import FIELDS, FROZEN_LOAD, LANGUAGES, TIERS, dimension, frozen_classification, frozen_extraction, frozen_load_time, table
 from tierwright.streaming import rates
 
-Query = Callable[[SparkSession, str], DataFrame]
 N = len(LANGUAGES)
 BUDGETS = [50.0, 200.0, 1_000.0, 4_000.0, 10_000.0, 100_000.0, 1_000_000.0]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def registered(sql: str) -> Callable[[Query], Query]:
-    """Registers a query under its name with its SQL."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
-        return f
-
-    return register
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -73,7 +61,7 @@ def profile_pivot(spark, d):
     return rounded(state.pivoted(measured(spark, d), given.as_row(spark)), *TIERS)
 
 
-@registered(f"WITH {o.CENTRES} SELECT name AS label, place, round(x, 6) AS x FROM (SELECT name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
+@golden(f"WITH {o.CENTRES} SELECT name AS label, place, round(x, 6) AS x FROM (SELECT name, unnest(centre) AS x, generate_subscripts(centre, 1) - 1 AS place FROM centres)")
 def mean_pool(spark, d):
     rows = table(spark, d, "embeddings").where("vec_id % 2 = 0")
     return vectors.mean_pool(rows, "label", "embedding").select("label", F.posexplode("centre").alias("place", "x")).withColumn("x", F.round("x", 6))
@@ -187,12 +175,12 @@ def frozen_own(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, "large") for i in range(len(FIELDS))], "field_idx int, tier string")
 
 
-@registered(o.changed_sql(o.FROZEN, FIELDS))
+@golden(o.changed_sql(o.FROZEN, FIELDS))
 def frozen_changed(spark, d):
     return state.shadow_block(frozen_extraction(spark), given.as_row(spark), FIELDS)[1]
 
 
-@registered(f"""WITH {o.FROZEN}, {o.GIVEN}, {o.assigned(5)}, b AS ({' UNION ALL '.join(f'SELECT {i} AS field_idx, t{i} AS best_idx FROM best' for i in range(5))})
+@golden(f"""WITH {o.FROZEN}, {o.GIVEN}, {o.assigned(5)}, b AS ({' UNION ALL '.join(f'SELECT {i} AS field_idx, t{i} AS best_idx FROM best' for i in range(5))})
 SELECT field_idx, field, tier_idx, tier, round(CASE tier WHEN 'human' THEN humanAccuracy ELSE accuracy END, 6) AS accuracy, round(CASE tier WHEN 'human' THEN humanSeconds * 1000::DOUBLE ELSE latency END, 6) AS seconds,
   tier = 'large' AS chosen, tier_idx = best_idx AS optimum FROM profile JOIN b USING (field_idx), given""")
 def frozen_matrix(spark, d):
@@ -203,69 +191,67 @@ def frozen_state(spark: SparkSession) -> dict[str, DataFrame]:
     return state.state(frozen_extraction(spark), given.as_row(spark), frozen_own(spark), FIELDS)
 
 
-@registered(f"WITH {o.GIVEN} SELECT generate_subscripts({o.PRICES}, 1) - 1 AS tier_idx, round(unnest({o.PRICES}), 6) AS price FROM given")
+@golden(f"WITH {o.GIVEN} SELECT generate_subscripts({o.PRICES}, 1) - 1 AS tier_idx, round(unnest({o.PRICES}), 6) AS price FROM given")
 def tier_prices(spark, d):
     return rounded(frozen_state(spark)["prices"], "price")
 
 
-@registered(f"WITH {o.BOUNDS_SQL} SELECT * FROM bounds")
+@golden(f"WITH {o.BOUNDS_SQL} SELECT * FROM bounds")
 def assumption_bounds(spark, d):
     return frozen_state(spark)["bounds"]
 
 
-@registered(f"WITH {o.FROZEN} SELECT field_idx, field, {', '.join(f'''round(max(CASE tier WHEN 'human' THEN 0.85::DOUBLE ELSE accuracy END) FILTER (tier = '{t}'), 6) AS {t}''' for t in TIERS)} FROM profile GROUP BY ALL")
+@golden(f"WITH {o.FROZEN} SELECT field_idx, field, {', '.join(f'''round(max(CASE tier WHEN 'human' THEN 0.85::DOUBLE ELSE accuracy END) FILTER (tier = '{t}'), 6) AS {t}''' for t in TIERS)} FROM profile GROUP BY ALL")
 def frozen_pivot(spark, d):
     return rounded(frozen_state(spark)["accuracy"], *TIERS)
 
 
-@registered(f"WITH {o.FROZEN}, {o.GIVEN} SELECT tier, round(sum(CASE tier WHEN 'human' THEN humanSeconds * 1000::DOUBLE ELSE latency END * volume / 1000), 6) AS seconds FROM profile, given GROUP BY tier")
+@golden(f"WITH {o.FROZEN}, {o.GIVEN} SELECT tier, round(sum(CASE tier WHEN 'human' THEN humanSeconds * 1000::DOUBLE ELSE latency END * volume / 1000), 6) AS seconds FROM profile, given GROUP BY tier")
 def frozen_seconds(spark, d):
     return rounded(routing.uniform(routing.evaluated(frozen_extraction(spark), given.as_row(spark), len(FIELDS))).select("tier", "seconds"), "seconds")
 
 
-@registered(f"SELECT * FROM {o.values([*FROZEN_LOAD.items()], 'tier, ms')}")
+@golden(f"SELECT * FROM {o.values([*FROZEN_LOAD.items()], 'tier, ms')}")
 def frozen_load_times(spark, d):
     return frozen_load_time(spark)
 
 
-@registered(f"""SELECT assumption, CASE reason WHEN 'tier priced out' THEN 'no effect while the tier it governs is out of the budget; measure it before the budget rises or the volume falls'
-WHEN 'genuinely insensitive' THEN printf('decides nothing from %.2f to %.2f; not worth measuring here', lo, hi) ELSE printf('decides the routing outside %.2f to %.2f; worth measuring', stable_from, stable_to) END AS advice
-FROM ({o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5)})""")
+@golden(o.advice_sql(o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5)))
 def assumption_advice(spark, d):
     return sensitivity.bands(frozen_extraction(spark), frozen_classification(spark), 5).select("assumption", sensitivity.advice().alias("advice"))
 
 
-@registered(o.routing_sql(o.FROZEN, 5))
+@golden(o.routing_sql(o.FROZEN, 5))
 def frozen_routing(spark, d):
     return rounded(state.routing_block(frozen_extraction(spark), given.as_row(spark), 5), "accuracy", "cost")
 
 
-@registered(o.shadow_sql(o.FROZEN, 5))
+@golden(o.shadow_sql(o.FROZEN, 5))
 def frozen_shadow_price(spark, d):
     return shown_step(routing.shadow_price(frozen_extraction(spark), given.as_row(spark), 5))
 
 
-@registered(o.uniform_sql(o.FROZEN, 5))
+@golden(o.uniform_sql(o.FROZEN, 5))
 def frozen_uniform(spark, d):
     return rounded(routing.uniform(routing.evaluated(frozen_extraction(spark), given.as_row(spark), 5)).select("tier", "accuracy", "cost"), "accuracy", "cost")
 
 
-@registered(f"WITH {o.FROZEN_SINGLE}, {o.SINGLE_CHOICE}")
+@golden(f"WITH {o.FROZEN_SINGLE}, {o.SINGLE_CHOICE}")
 def frozen_single_choice(spark, d):
     return rounded(routing.single_choice(frozen_classification(spark), given.as_row(spark)), "accuracy", "cost")
 
 
-@registered(o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5))
+@golden(o.bands_sql(o.FROZEN, o.FROZEN_SINGLE, 5))
 def frozen_bands(spark, d):
     return rounded(sensitivity.bands(frozen_extraction(spark), frozen_classification(spark), 5), "stable_from", "stable_to")
 
 
-@registered(f"WITH {o.FROZEN} SELECT tier_idx, tier, {', '.join(f'''round(max(accuracy) FILTER (field = '{f}'), 6) AS {f}''' for f in FIELDS)}, round(avg(latency), 6) AS mean_latency FROM profile WHERE tier <> 'human' GROUP BY ALL")
+@golden(f"WITH {o.FROZEN} SELECT tier_idx, tier, {', '.join(f'''round(max(accuracy) FILTER (field = '{f}'), 6) AS {f}''' for f in FIELDS)}, round(avg(latency), 6) AS mean_latency FROM profile WHERE tier <> 'human' GROUP BY ALL")
 def frozen_extraction_block(spark, d):
     return rounded(state.extraction_block(frozen_extraction(spark)), *FIELDS, "mean_latency")
 
 
-@registered(f"WITH {o.FROZEN_SINGLE} SELECT tier_idx, tier, round(latency, 6) AS latency, {o.rate('floor(accuracy * items + 0.5)::BIGINT', 'items')} FROM single WHERE tier <> 'human'")
+@golden(f"WITH {o.FROZEN_SINGLE} SELECT tier_idx, tier, round(latency, 6) AS latency, {o.rate('floor(accuracy * items + 0.5)::BIGINT', 'items')} FROM single WHERE tier <> 'human'")
 def frozen_classification_block(spark, d):
     return rounded(state.classification_block(frozen_classification(spark)), "latency", "rate", "low", "high", "precision")
 
@@ -294,7 +280,7 @@ def windowed_rates(spark, d):
     return rounded(rates.windowed_rates(table(spark, d, "events"), 50.0), "rate", "low", "high", "precision")
 
 
-WRITTEN = "CASE WHEN reportable THEN printf('%.1f %% [%.0f–%.0f], n=%d', rate * 100, low * 100, high * 100, n) ELSE printf('— (n=%d, too few to quote)', n) END AS written"
+WRITTEN = "CASE WHEN reportable THEN printf('%.1f %% [%.0f–%.0f], n=%d', floor(rate * 100 * 10 + 0.5::DOUBLE) / 10, floor(low * 100 + 0.5::DOUBLE), floor(high * 100 + 0.5::DOUBLE), n) ELSE printf('— (n=%d, too few to quote)', n) END AS written"
 
 
 @registered(f"SELECT user_id, {WRITTEN} FROM (SELECT user_id, {o.rate('k', 'm')} FROM (SELECT user_id, count(*) FILTER (value > 50) AS k, count(*) AS m FROM events GROUP BY 1))")
@@ -348,34 +334,34 @@ def both_splits(spark: SparkSession) -> DataFrame:
     return corpus.records(spark, 120, "training").unionByName(corpus.records(spark, 120, "heldout"))
 
 
-@registered(f"WITH RECURSIVE {o.BOTH} SELECT * FROM records")
+@golden(f"WITH RECURSIVE {o.BOTH} SELECT * FROM records")
 def record_generator(spark, d):
     return both_splits(spark)
 
 
-@registered(o.alerts_sql("heldout") + " SELECT * FROM alerts")
+@golden(o.alerts_sql("heldout") + " SELECT * FROM alerts")
 def alert_generator(spark, d):
     return corpus.alerts(spark, 120, "heldout")
 
 
-@registered(o.alerts_sql("training") + f" SELECT id, truth, {o.KEYWORD} AS got FROM alerts")
+@golden(o.alerts_sql("training") + f" SELECT id, truth, {o.KEYWORD} AS got FROM alerts")
 def alert_classes(spark, d):
     return corpus.alerts(spark, 120, "training").select("id", "truth", text.keyword_class(F.col("narrative")).alias("got"))
 
 
-@registered(f"WITH RECURSIVE {o.BOTH} SELECT 'text' AS kind, count(*) AS shared FROM (SELECT text FROM records_training INTERSECT SELECT text FROM records_heldout) UNION ALL SELECT 'shape', count(*) FROM (SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_training INTERSECT SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_heldout)")
+@golden(f"WITH RECURSIVE {o.BOTH} SELECT 'text' AS kind, count(*) AS shared FROM (SELECT text FROM records_training INTERSECT SELECT text FROM records_heldout) UNION ALL SELECT 'shape', count(*) FROM (SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_training INTERSECT SELECT regexp_replace(text, '[A-Z][a-zà-ÿ]+|\\d+', '·', 'g') FROM records_heldout)")
 def split_leakage(spark, d):
     a, b = corpus.records(spark, 120, "training"), corpus.records(spark, 120, "heldout")
     count = lambda kind, rows: rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("shared"))
     return count("text", corpus.shared_texts(a, b)).unionByName(count("shape", corpus.shared_texts(a, b, text.text_shape(F.col("text")))))
 
 
-@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT id, split, field_idx, field, expected, got FROM extracted")
+@golden(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT id, split, field_idx, field, expected, got FROM extracted")
 def extract_fields(spark, d):
     return measure.extraction(both_splits(spark)).drop("text")
 
 
-@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT split, field, round(avg({o.CORRECT}::INT), 6) AS accuracy, count(*) AS items FROM extracted GROUP BY ALL")
+@golden(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED} SELECT split, field, round(avg({o.CORRECT}::INT), 6) AS accuracy, count(*) AS items FROM extracted GROUP BY ALL")
 def score_extraction(spark, d):
     rows = measure.extraction(both_splits(spark))
     right = text.correct(F.col("got"), F.col("expected")).cast("double")
@@ -387,17 +373,17 @@ def wrong_answers(spark: SparkSession) -> DataFrame:
     return failures.collect(rows.withColumn("tier_idx", F.lit(0)).withColumn("tier", F.lit("rules")))
 
 
-@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM failed")
+@golden(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM failed")
 def failure_list(spark, d):
     return wrong_answers(spark).drop("tier_idx", "field_idx")
 
 
-@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, mode, count(*) AS n FROM failed GROUP BY ALL ORDER BY n DESC, min(field_idx * 1000 + substr(id, 3)::INT) LIMIT 12")
+@golden(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, mode, count(*) AS n FROM failed GROUP BY ALL ORDER BY n DESC, min(field_idx * 1000 + substr(id, 3)::INT) LIMIT 12")
 def failure_shape(spark, d):
     return failures.top_shapes(wrong_answers(spark), 12)
 
 
-@registered(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM (SELECT *, row_number() OVER (PARTITION BY tier, field ORDER BY id) AS rn FROM failed) WHERE rn = 1 ORDER BY field_idx LIMIT 6")
+@golden(f"WITH RECURSIVE {o.BOTH}, {o.EXTRACTED}, {o.FAILED} SELECT tier, field, id, text, expected, got, mode FROM (SELECT *, row_number() OVER (PARTITION BY tier, field ORDER BY id) AS rn FROM failed) WHERE rn = 1 ORDER BY field_idx LIMIT 6")
 def failure_gallery(spark, d):
     return failures.gallery(wrong_answers(spark), 6).drop("tier_idx", "field_idx")
 
@@ -405,7 +391,8 @@ def failure_gallery(spark, d):
 def ladder_failures(spark: SparkSession, d: str) -> DataFrame:
     """The wrong answers of the three machine tiers of the language ladder, over all documents."""
     documents = table(spark, d, "documents")
-    long = measure.long_form(measure.language_ladder(documents)).where("tier <> 'human'").join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    shown = text.displayed(F.coalesce("text", F.lit(""))).alias("text")
+    long = measure.long_form(measure.language_ladder(documents, shown)).where("tier <> 'human'")
     fields = F.array(*map(F.lit, LANGUAGES))
     return failures.collect(long.select("tier_idx", "tier", (F.array_position(fields, F.col("truth")) - 1).cast("int").alias("field_idx"), F.col("truth").alias("field"), F.col("doc_id").alias("id"), "text", F.col("truth").alias("expected"), "got"))
 
@@ -511,7 +498,7 @@ def daily_curves(spark, d):
     return rounded(charts.curves(days, "day", "mean", "top"), "value", "place")
 
 
-@registered("SELECT i, min(j) FILTER (NOT (j / 73::DOUBLE <= 1 - (i / 46::DOUBLE) * (i / 46::DOUBLE))) AS j FROM (SELECT unnest(range(47)) AS i), (SELECT unnest(range(74)) AS j) GROUP BY i")
+@golden("SELECT i, min(j) FILTER (NOT (j / 73::DOUBLE <= 1 - (i / 46::DOUBLE) * (i / 46::DOUBLE))) AS j FROM (SELECT unnest(range(47)) AS i), (SELECT unnest(range(74)) AS j) GROUP BY i")
 def decision_frontier(spark, d):
     return charts.frontier(spark.range(1).select(F.lit(1).alias("one")), lambda x, y: y <= 1 - x * x)
 
@@ -586,7 +573,7 @@ def share_written(spark, d):
 UPDATES = [("humanAccuracy", 1.0), ("volume", 5.0), ("budget", 250.0), ("unknown", 1.0), ("humanSeconds", float("nan"))]
 
 
-@registered(f"WITH {o.BOUNDS_SQL}, u AS {o.values([u for u in UPDATES if u[1] == u[1]], 'key, value')} SELECT key, least(hi, greatest(lo, value)) AS value FROM u JOIN bounds USING (key)")
+@golden(f"WITH {o.BOUNDS_SQL}, u AS {o.values([u for u in UPDATES if u[1] == u[1]], 'key, value')} SELECT key, least(hi, greatest(lo, value)) AS value FROM u JOIN bounds USING (key)")
 def clamp_assumptions(spark, d):
     return given.clamped(spark.createDataFrame(UPDATES, "key string, value double"))
 
@@ -594,18 +581,18 @@ def clamp_assumptions(spark, d):
 CHANGES = [(1, "en", "human"), (2, "de", "nobody"), (3, "xx", "rules"), (4, "en", "small")]
 
 
-@registered(f"WITH r AS {o.values([(f, 'large') for f in LANGUAGES], 'field, tier')}, c AS {o.values([c for c in CHANGES if c[1] in LANGUAGES and c[2] in TIERS], 'seq, field, t')}, l AS (SELECT field, max_by(t, seq) AS t FROM c GROUP BY 1) SELECT field, coalesce(t, tier) AS tier FROM r LEFT JOIN l USING (field)")
+@golden(f"WITH r AS {o.values([(f, 'large') for f in LANGUAGES], 'field, tier')}, c AS {o.values([c for c in CHANGES if c[1] in LANGUAGES and c[2] in TIERS], 'seq, field, t')}, l AS (SELECT field, max_by(t, seq) AS t FROM c GROUP BY 1) SELECT field, coalesce(t, tier) AS tier FROM r LEFT JOIN l USING (field)")
 def routing_update(spark, d):
     own = spark.createDataFrame([(f, "large") for f in LANGUAGES], "field string, tier string")
     return routing.updated(own, spark.createDataFrame(CHANGES, "seq int, field string, tier string"), dimension(spark, "field", LANGUAGES), dimension(spark, "tier", TIERS))
 
 
-@registered(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, provenance, coalesce(n, 0) AS n FROM kinds LEFT JOIN (SELECT provenance, count(*) AS n FROM inventory GROUP BY 1) USING (provenance)")
+@golden(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, provenance, coalesce(n, 0) AS n FROM kinds LEFT JOIN (SELECT provenance, count(*) AS n FROM inventory GROUP BY 1) USING (provenance)")
 def provenance_counts(spark, d):
     return inventory.counts(inventory.inventory(spark))
 
 
-@registered(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, seq, provenance, name, what FROM inventory JOIN kinds USING (provenance)")
+@golden(f"WITH {o.INVENTORY}, {o.KINDS} SELECT kind_idx, seq, provenance, name, what FROM inventory JOIN kinds USING (provenance)")
 def provenance_list(spark, d):
     return inventory.listed(inventory.inventory(spark))
 
@@ -634,8 +621,10 @@ def stale_rows(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    importlib.import_module("tierwright.table_queries")  # registers its own
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    importlib.import_module("tierwright.table_queries")
+    return dict(SQL)

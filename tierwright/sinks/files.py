@@ -5,6 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tierwright.sinks.manifest import manifest, stale_parts
+
+#: A folder that readers of the table do not see.
+MANIFEST = "_manifest"
 
 
 def freeze(df: DataFrame, path: str, kind: str = "json") -> None:
@@ -29,13 +35,17 @@ def there(spark: SparkSession, path: str) -> bool:
 
 
 def freeze_if_changed(df: DataFrame, path: str) -> bool:
-    """Writes the table as Parquet if the path has none, or other rows; says whether it wrote."""
-    spark = df.sparkSession
-    if there(spark, path):
-        old = spark.read.parquet(path)
-        if old.schema.simpleString() == df.schema.simpleString() and not df.exceptAll(old).limit(1).count() and not old.exceptAll(df).limit(1).count():
+    """Writes the table as Parquet if the path has none, or other rows; says whether it wrote.
+
+    A manifest of the rows is kept beside the files, so the table that is there is not read again.
+    """
+    spark, kept = df.sparkSession, f"{path.rstrip('/')}/{MANIFEST}"
+    if there(spark, kept) and spark.read.parquet(path).schema.simpleString() == df.schema.simpleString():
+        if not stale_parts(spark.read.parquet(kept), manifest(df, F.lit(0))).limit(1).count():
             return False
     freeze(df, path, "parquet")
+    # of what was written: the table may give other rows, or read the path, a second time
+    manifest(spark.read.parquet(path), F.lit(0)).write.parquet(kept)
     return True
 
 

@@ -45,6 +45,27 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(PROFILES).option("multiLine", True).json(path)
 
 
+def as_document(profile: DataFrame, single: DataFrame, load_times: DataFrame, measured_at: str) -> DataFrame:
+    """One row with a profile document as JSON (document): the cells by tier and field, of one tier for all, and load times.
+
+    profile: tier, field, accuracy, latency and items; single: the same without field; load_times: tier and ms. The
+    cells of tiers and fields, which are few, become nested maps.
+    """
+    cell = F.struct("accuracy", "latency", "items")
+    entries = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value")))))
+    by_tier = profile.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct(F.col("field").alias("key"), cell.alias("value")))).alias("cells"))
+    extraction = by_tier.agg(F.map_from_entries(F.collect_list(F.struct("tier", F.map_from_entries("cells"))))).scalar()
+    whole = profile.sparkSession.range(1).select(
+        F.lit(measured_at).alias("measuredAt"), extraction.alias("extraction"), single.agg(entries("tier", cell)).scalar().alias("classification"), load_times.agg(entries("tier", F.col("ms"))).scalar().alias("loadTime")
+    )
+    return whole.select(F.to_json(F.struct(*whole.columns)).alias("document"))
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """The columns of profile documents in JSON (document), by their explicit schema; a document that is none gives nulls."""
+    return documents.select(F.from_json("document", PROFILES).alias("p")).select("p.*")
+
+
 def extraction_rows(profiles: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """A profile document's extraction cells as rows, with the enumerations' order."""
     spark = profiles.sparkSession
