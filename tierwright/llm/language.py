@@ -10,26 +10,27 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled texts that the trigram model is fitted on at most (about), and the commonest languages that are told apart;
-#: the texts of all others are one class, OTHER.
-FIT_ROWS, LANGUAGES, OTHER = 20_000, 64, "other"
+#: Labelled texts that the trigram model is fitted on (about, and at most twice as many; each language has at least one).
+FIT_ROWS = 20_000
 SLOTS = 1 << 14
 #: Trigrams depend on each other: a text counts as so many at most, in the proportions of the whole text.
 TRUST = 60.0
 #: Weight of the level above in a host's and a domain's prior, in documents.
 ABOVE = 5.0
 FOLDS = 3
+#: Values of a kind of evidence up to which their table is broadcast, after a count.
+VALUES = 200_000
 SCRIPT = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 MARKUP = re.compile(r"<[^>]*>")
 DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""")
@@ -57,17 +58,40 @@ def host_parts(url: str) -> tuple[str, str, str]:
     return host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and their log probabilities (SLOTS, languages) from labelled texts outside the held-out fold."""
+class Trigrams:
+    """Log probabilities of slots by language, sparse: what each language's slots have above that of a slot never met."""
+
+    def __init__(self, names: list[str], lang: np.ndarray, slot: np.ndarray, n: np.ndarray):
+        """Parallel arrays: the number of times that a language (its place among the names) has a slot."""
+        self.names = names or ["und"]
+        k = len(self.names)
+        total = np.bincount(lang, n, k) + 0.5 * SLOTS
+        self.never = np.log(0.5 / total)
+        order = np.argsort(slot, kind="stable")
+        self.lang, self.above = lang[order].astype(np.int32), (np.log((n[order] + 0.5) / total[lang[order]]) - self.never[lang[order]]).astype(np.float32)
+        self.begins = np.searchsorted(slot[order], np.arange(SLOTS + 1))
+
+    def evidence(self, text: str) -> np.ndarray:
+        """The text's log likelihood by language, the greatest being 0."""
+        slots, times = np.unique(trigrams(text), return_counts=True)
+        size = self.begins[slots + 1] - self.begins[slots]
+        at = np.repeat(self.begins[slots] - np.concatenate(([0], np.cumsum(size)[:-1])) if len(slots) else slots, size) + np.arange(size.sum())
+        at = at.astype(np.int64)
+        n = int(times.sum())
+        ll = (n * self.never + np.bincount(self.lang[at], self.above[at] * np.repeat(times, size), len(self.names))) * min(1.0, TRUST / max(1, n))
+        return ll - ll.max()
+
+
+def fit(docs: DataFrame) -> Trigrams:
+    """The trigrams of all languages among the labelled texts outside the held-out fold; about ``FIT_ROWS`` texts are read."""
     given = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~common.held_out(F.col("doc_id"), FOLDS))
     by_lang = common.stored(given.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    names = sorted(r["lang"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("languages")).first()
-    share = min(1.0, FIT_ROWS / max(1, total["n"]))
-    sample = given.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    if total["languages"] > LANGUAGES:
-        sample = sample.withColumn("lang", F.when(F.col("lang").isin(names), F.col("lang")).otherwise(OTHER))
-        names = sorted({*names, OTHER})
+    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # of each language as many as of any other, as far as it has them, so that rare ones are learned too
+    least = max(1, FIT_ROWS // max(1, by_lang.count()))
+    share = F.greatest(F.lit(min(1.0, FIT_ROWS / max(1, total)) / 2), F.least(F.lit(1.0), F.lit(float(least)) / F.col("n"))) if total > FIT_ROWS else F.lit(1.0)
+    chosen = given.join(common.sized(by_lang.select("lang", share.alias("share")), VALUES), "lang")
+    sample = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -78,82 +102,100 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "slot": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
-    sums = sample.select("text", "lang").mapInPandas(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
-    counts = np.full((SLOTS, max(1, len(names))), 0.5)
-    for r in sums:  # at most SLOTS for each language
-        counts[r["slot"], names.index(r["lang"])] += r["n"]
-    return names or ["und"], np.log(counts / counts.sum(0))
+    names = sorted(r["lang"] for r in by_lang.select("lang").collect())
+    sums = sample.select("text", "lang").mapInPandas(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    place = {x: i for i, x in enumerate(names)}
+    lang = np.array([place[x] for x in sums["lang"].to_pylist()], np.int64)
+    return Trigrams(names, lang, sums["slot"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(float))
 
 
-def evidence(items: DataFrame, names: list[str], log_p: np.ndarray) -> DataFrame:
-    """The stored id columns of items (doc_id, page_id, text, html, url, host), text evidence and address parts."""
-    shared = items.sparkSession.sparkContext.broadcast(log_p.astype(np.float32))
+def softmax(scores: np.ndarray) -> np.ndarray:
+    """By row."""
+    powers = np.exp(scores - scores.max(1, keepdims=True))
+    return powers / powers.sum(1, keepdims=True)
+
+
+def evidence(items: DataFrame, model: Trigrams) -> DataFrame:
+    """The stored id columns of items (doc_id, page_id, text, html, url, host), text evidence ll and its posterior p, and address parts."""
+    shared = items.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
         for b in batches:
             out = []
             for text, html, url, host in zip(b["text"], b["html"], b["url"], b["host"]):
                 declared = DECLARED.search(html) if html else None
-                slots = trigrams(visible(html) if html is not None else text or "")
-                ll = table[slots].sum(0) if len(slots) < SLOTS else np.bincount(slots, minlength=SLOTS) @ table
-                ll = ll * min(1.0, TRUST / max(1, len(slots)))
+                ll = shared.value.evidence(visible(html) if html is not None else text or "")
                 full, domain, suffix = host_parts(url or "")
-                out.append(([float(x) for x in ll - ll.max()], declared[1].lower() if declared else "", full or host or "", domain, suffix))
+                out.append((ll, softmax(ll[None])[0], declared[1].lower() if declared else "", full or host or "", domain, suffix))
             ids = b[["doc_id", "page_id"]].reset_index(drop=True)
-            yield pd.concat([ids, pd.DataFrame(out, columns=["ll", "declared", "host", "domain", "suffix"])], axis=1)
+            yield pd.concat([ids, pd.DataFrame(out, columns=["ll", "p", "declared", "host", "domain", "suffix"])], axis=1)
 
-    return common.stored(items.select("doc_id", "page_id", "text", "html", "url", "host").mapInPandas(run, "doc_id string, page_id string, ll array<double>, declared string, host string, domain string, suffix string"), "language-evidence")
+    return common.stored(items.select("doc_id", "page_id", "text", "html", "url", "host").mapInPandas(run, "doc_id string, page_id string, ll array<double>, p array<double>, declared string, host string, domain string, suffix string"), "language-evidence")
 
 
-def softmax(columns: list[Column]) -> list[Column]:
-    top = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    powers = [F.exp(c - top) for c in columns]
-    total = reduce(lambda a, b: a + b, powers)
-    return [p / total for p in powers]
+def summed(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """The keys and s: the sums of an array column, place by place; summed where the rows are read before they meet."""
+    places = rows.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
+    return places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("s"))
 
 
 def fuse(found: DataFrame, names: list[str]) -> DataFrame:
-    """The rows of ``found`` with lang, confidence and text_lang."""
-    k = range(len(names))
-    p = [f"p{i}" for i in k]
-    found = found.select("*", *(c.alias(n) for c, n in zip(softmax([F.col("ll")[i] for i in k]), p)))
-    sums = [F.sum(c).alias(f"s_{c}") for c in p]
-    whole = found.agg(*sums).first()
-    base = np.array([whole[f"s_{c}"] or 0.0 for c in p]) + 1
-    base = base / base.sum()
-
-    def likelihood(column: str) -> tuple[DataFrame, list[Column]]:
-        """P(column's value | language), smoothed; a missing value says nothing. Values are few, or joined by shuffle."""
-        by = found.where(F.col(column) != "").groupBy(column).agg(*sums)
-        given = by.select(F.col(column).alias(f"of_{column}"), *(F.col(f"s_{c}").alias(f"{column}_{c}") for c in p))
-        total = found.where(F.col(column) != "").agg(*sums).first()
-        all_ = [float(total[f"s_{c}"] or 0.0) for c in p]
-        return given, [F.coalesce(F.log((F.col(f"{column}_{c}") + 0.1) / (all_[i] + 1.0)), F.lit(0.0)) for i, c in enumerate(p)]
-
-    declared, by_declared = likelihood("declared")
-    suffixes, by_suffix = likelihood("suffix")
-    hosts = found.where("host <> ''").groupBy("host", "domain").agg(*sums)
-    domains = hosts.where("domain <> ''").groupBy("domain").agg(*(F.sum(f"s_{c}").alias(f"d_{c}") for c in p))
-    said = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit(" "), F.coalesce(F.col("doc_id"), F.col("page_id"))))
-    # rows that say nothing get keys of their own that match nothing, so that they do not meet in one task
-    found = found.select("*", *(said(c).alias(f"by_{c}") for c in ("declared", "suffix", "host")))
-    joined = found.join(declared, found["by_declared"] == declared["of_declared"], "left").join(suffixes, found["by_suffix"] == suffixes["of_suffix"], "left")
-    prior_of_host = hosts.join(domains, "domain", "left").select(F.col("host").alias("of_host"), *(f"s_{c}" for c in p), *(f"d_{c}" for c in p))
-    joined = joined.join(prior_of_host, joined["by_host"] == prior_of_host["of_host"], "left")
-    own = lambda c, level: F.greatest(F.coalesce(F.col(f"{level}_{c}") - F.col(c), F.lit(0.0)), F.lit(0.0))
-
-    def smoothed(level: str, above: list[Column]) -> list[Column]:
-        n = reduce(lambda a, b: a + b, [own(c, level) for c in p])
-        return [(own(c, level) + ABOVE * above[i]) / (n + ABOVE) for i, c in enumerate(p)]
-
-    prior = smoothed("s", smoothed("d", [F.lit(float(x)) for x in base]))
-    final = softmax([F.col("ll")[i] + by_declared[i] + by_suffix[i] + F.log(prior[i]) for i in k])
-    lang_array = F.array(*map(F.lit, names))
-    best = lambda scores: F.element_at(lang_array, F.array_position(F.array(*scores), F.greatest(*scores) if len(names) > 1 else scores[0]).cast("int"))
-    named = joined.select("doc_id", "page_id", "declared", "host", *p, F.array(*final).alias("final"))
-    finals = [F.col("final")[i] for i in k]
-    return named.select("doc_id", "page_id", best(finals).alias("lang"), F.array_max("final").alias("confidence"), best([F.col(c) for c in p]).alias("text_lang"), "declared", "host")
+    """The rows of ``found`` with lang, confidence and text_lang.
+
+    Languages are places of arrays, so the plan is the same for any number of them.
+    """
+    k = len(names)
+    whole = np.zeros(k)
+    for r in found.select(F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():  # a row for each language
+        whole[r["i"]] = r["x"]
+    base = (whole + 1) / (whole + 1).sum()
+
+    def by_value(column: str) -> DataFrame:
+        """The column's values with their summed posteriors."""
+        table = summed(found.where(F.col(column) != ""), "p", column).select(F.col(column).alias(f"of_{column}"), F.col("s").alias(f"s_{column}"))
+        return common.stored(table, f"languages-by-{column}")
+
+    said: dict[str, np.ndarray] = {}
+    joined = found
+    tables = {c: by_value(c) for c in ("declared", "suffix")}
+    for c, table in tables.items():
+        said[c] = np.zeros(k)
+        for r in table.select(F.posexplode(f"s_{c}").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+            said[c][r["i"]] = r["x"]
+    hosts = common.stored(summed(found.where("host <> ''"), "p", "host", "domain"), "languages-by-host")
+    domains = summed(hosts.where("domain <> ''"), "s", "domain").withColumnRenamed("s", "s_domain")
+    tables["host"] = common.stored(hosts.join(domains, "domain", "left").select(F.col("host").alias("of_host"), F.col("s").alias("s_host"), "s_domain"), "host-priors")
+    for c, table in tables.items():
+        # rows that say nothing get keys of their own that match nothing, so that they do not meet in one task
+        nothing = F.concat(F.lit(" "), F.coalesce("doc_id", "page_id", F.lit("")))
+        joined = joined.withColumn("_by", F.when(F.col(c) != "", F.col(c)).otherwise(nothing)).join(common.sized(table, VALUES), F.col("_by") == F.col(f"of_{c}"), "left").drop("_by", f"of_{c}")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            def rows(c: str) -> tuple[np.ndarray, np.ndarray]:
+                """A column of arrays as a matrix, zeros for null, and where it is not null."""
+                column, out = b.column(b.schema.get_field_index(c)), np.zeros((b.num_rows, k))
+                there = column.is_valid().to_numpy(zero_copy_only=False)
+                out[there] = np.asarray(column.drop_null().flatten(), float).reshape(-1, k)
+                return out, there
+
+            ll, p = rows("ll")[0], rows("p")[0]
+            final = ll.copy()
+            for c in said:
+                s, there = rows(f"s_{c}")
+                # P(what is declared | language), smoothed; a missing value says nothing
+                final += np.where(there[:, None], np.log((s + 0.1) / (said[c] + 1.0)), 0.0)
+            prior = np.broadcast_to(base, p.shape)
+            for level in ("s_domain", "s_host"):
+                others = np.maximum(rows(level)[0] - p, 0.0)
+                prior = (others + ABOVE * prior) / (others.sum(1, keepdims=True) + ABOVE)
+            final = softmax(final + np.log(prior))
+            pick = lambda x: pa.array([names[i] for i in x.argmax(1)], pa.string())
+            keep = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "page_id", "declared", "host")]
+            yield pa.RecordBatch.from_arrays([*keep[:2], pick(final), pa.array(final.max(1) if b.num_rows else [], pa.float64()), pick(p), *keep[2:]], ["doc_id", "page_id", "lang", "confidence", "text_lang", "declared", "host"])
+
+    columns = joined.select("doc_id", "page_id", "declared", "host", "ll", "p", "s_declared", "s_suffix", "s_host", "s_domain")
+    return columns.mapInArrow(decide, "doc_id string, page_id string, lang string, confidence double, text_lang string, declared string, host string")
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -162,16 +204,16 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     A document has a doc_id, its source stands for its host, and it has no markup and no address; a page has a
     page_id, and the text is what its markup shows. Null and empty texts have no text evidence, so the other kinds
     decide. The model is fitted on the documents' lang outside the held-out fold (crc32 of the id, remainder 1 of 3).
-    Rows may repeat, ids may be null. Without labelled documents the language is "und". Beyond the ``LANGUAGES``
-    commonest labelled languages, all others are one, ``OTHER``.
+    Rows may repeat, ids may be null. Without labelled documents the language is "und". All labelled languages, however
+    many, are told apart.
     """
     none = F.lit(None).cast("string")
     source = docs["source"].cast("string") if "source" in docs.columns else none
     of_docs = docs.select(docs["doc_id"].cast("string").alias("doc_id"), none.alias("page_id"), docs["text"].cast("string").alias("text"), none.alias("html"), none.alias("url"), source.alias("host"))
     of_pages = pages.select(none.alias("doc_id"), pages["page_id"].cast("string").alias("page_id"), none.alias("text"), common.text_of(pages, "html").alias("html"), common.text_of(pages, "url").alias("url"), none.alias("host"))
-    names, log_p = fit(common.in_small_batches(docs))
-    found = evidence(of_docs.unionByName(of_pages), names, log_p)
-    return fuse(found, names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("page_id", F.col("page_id").cast("long"))
+    model = fit(common.in_small_batches(docs))
+    found = evidence(of_docs.unionByName(of_pages), model)
+    return fuse(found, model.names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
