@@ -34,6 +34,8 @@ TOGETHER = 500
 #: Documents outside a list's main part up to which each is met with the whole list, and those of a group that are sent
 #: one copy of the set that the group is compared with.
 FEW, SALTED = 32, 64
+#: Documents of a group that are asked what most of it hold, and rounds in which variants are taken out of groups.
+ASKED, ROUNDS = 64, 8
 HEAVY = np.uint64(1 << 63)
 NOTHING = np.zeros(1, np.uint64)
 #: Signatures of sets that a task remembers.
@@ -321,8 +323,9 @@ def apart_lists(lists: DataFrame, place: DataFrame) -> DataFrame:
     return common.stored(apart.join(parts.where("parts > 1").drop("parts"), "key"), "open-lists")
 
 
-def differing(members: DataFrame, sets: DataFrame, heavy: Broadcast, percent: int) -> DataFrame:
-    """The stored (group, doc, n, d, key, pos) of what sets the members (group, doc, ref) of groups apart from a set ref.
+def differing(members: DataFrame, refs: DataFrame, sets: DataFrame, heavy: Broadcast, percent: int) -> DataFrame:
+    """The stored (group, doc, n, d, key, pos) of what sets the members (group, doc, ref) of groups apart from the set of ref
+    (refs: ref, of_ref).
 
     d is the number of elements that only one of the two sets holds. Of these come first those that the document adds,
     the rare ones before the common ones, and then those that it lacks. Two documents of a group that are similar share
@@ -330,7 +333,7 @@ def differing(members: DataFrame, sets: DataFrame, heavy: Broadcast, percent: in
     row without key.
     """
     salts = members.groupBy("ref").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    refs = sets.join(salts, sets["doc"] == salts["ref"]).select("ref", "salts", F.col("set").alias("of_ref"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    refs = refs.join(salts, "ref").select("ref", "salts", "of_ref", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     own = members.join(sets, "doc").join(common.sized(salts, 500_000), "ref").withColumn("salt", F.pmod(F.xxhash64("doc"), "salts").cast("int")).drop("salts")
     both = own.join(refs.drop("salts"), ["ref", "salt"]).select("group", "doc", "set", "of_ref")
 
@@ -374,25 +377,94 @@ def met_apart(x: DataFrame, y: DataFrame, percent: int, once: F.Column) -> DataF
     return met.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
 
 
-def degrees(places: DataFrame, prefixes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, heavy: Broadcast) -> DataFrame:
+def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The stored (group, of_ref) of the groups (group, doc): the elements that more than half of their documents hold.
+
+    Of large groups ``ASKED`` documents are asked. A set of no single document is nearer to all of them than any of
+    theirs, which has what is that document's alone.
+    """
+    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("doc"), "doc"))
+    asked = common.stored(members.select("group", "doc", nth.alias("nth")).where(F.col("nth") <= ASKED).drop("nth"), "asked")
+    held = asked.join(sets, "doc").select("group", F.explode("set").alias("element")).groupBy("group", "element").agg(F.count("*").alias("c"))
+    size = asked.groupBy("group").agg(F.count("*").alias("m"))
+    most = held.join(size, "group").where(F.col("c") * 2 > F.col("m")).groupBy("group").agg(F.collect_list("element").alias("of_ref"))
+    return common.stored(size.join(most, "group", "left").select("group", F.coalesce("of_ref", F.array().cast("array<long>")).alias("of_ref")), "consensus")
+
+
+def beyond(n: str, d: str, percent: int) -> F.Column:
+    """v: two documents of a group with v + v' <= 0 are similar, whatever they share."""
+    return F.col(d) * (100 + percent) - F.col(n) * (100 - percent)
+
+
+def variants(places: DataFrame, sets: DataFrame, heavy: Broadcast, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The components (node, component) in groups around consensus sets: the rows of ``differing`` with component, and the
+    sets (group, component, of_ref).
+
+    More than ``FEW`` documents that are far from their group's consensus and share what sets them apart from it, as a
+    variant of a page does, become a group with a consensus of their own, again and again. An element that more than half
+    of a group hold is in its consensus, so a group's variants have less than half of it, and few rounds do.
+    """
+    members = places.select(F.col("component").alias("group"), F.col("node").alias("doc"), "component")
+    whole, refs = [], []
+    for _ in range(ROUNDS):
+        ref = consensus(members.select("group", "doc"), sets)
+        refs.append(ref.join(members.select("group", "component").distinct(), "group"))
+        apart = differing(members.select("group", "doc", F.col("group").alias("ref")), ref.withColumnRenamed("group", "ref"), sets, heavy, percent).join(members, ["group", "doc"])
+        far = apart.where("key IS NOT NULL").where(beyond("n", "d", percent) > 0)
+        hot = far.groupBy("group", "key").agg(F.count("*").alias("df")).where(F.col("df") > FEW)
+        # of the elements that many share each document goes by the one that most share
+        moved = far.join(common.sized(hot, 500_000), ["group", "key"]).groupBy("group", "doc", "component").agg(F.max_by("key", F.struct("df", "key")).alias("by"))
+        moved = common.stored(moved.select(F.xxhash64("group", "by").alias("to"), "group", "doc", "component"), "variants")
+        whole.append(apart.join(moved.select("group", "doc"), ["group", "doc"], "left_anti"))
+        members = moved.select(F.col("to").alias("group"), "doc", "component")
+        if not moved.limit(1).count():
+            break
+    else:
+        ref = consensus(members.select("group", "doc"), sets)
+        refs.append(ref.join(members.select("group", "component").distinct(), "group"))
+        whole.append(differing(members.select("group", "doc", F.col("group").alias("ref")), ref.withColumnRenamed("group", "ref"), sets, heavy, percent).join(members, ["group", "doc"]))
+    return common.stored(reduce(DataFrame.unionByName, whole), "apart"), common.stored(reduce(DataFrame.unionByName, refs), "references")
+
+
+def across(own: DataFrame, refs: DataFrame, sets: DataFrame, heavy: Broadcast, percent: int) -> DataFrame:
+    """The rows of ``differing`` of documents against the sets of other groups of their component, the groups with smaller
+    names; of groups so far apart that no two of their documents can be similar, none."""
+    size = own.where("pos = 0").groupBy("group", "component").agg(F.max("d").alias("radius"), F.max("n").alias("n"))
+    several = size.groupBy("component").agg(F.count("*").alias("groups")).where("groups > 1").select("component")
+    each = size.join(several, "component").join(refs.select("group", "of_ref"), "group")
+    of = lambda s: each.select("component", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "radius", "n", "of_ref")))
+    between = F.size("of_ref_x") + F.size("of_ref_y") - 2 * F.size(F.array_intersect("of_ref_x", "of_ref_y"))
+    near = of("x").join(of("y"), "component").where(F.col("group_x") < F.col("group_y"))
+    near = near.where(between <= F.col("radius_x") + F.col("radius_y") + most_apart(F.col("n_x"), F.col("n_y"), percent)).select(F.col("group_x").alias("ref"), F.col("group_y").alias("group"))
+    pairs = common.stored(own.where("pos = 0").select("group", "doc").join(near, "group").select(F.col("ref").alias("group"), "doc", "ref"), "across")
+    return differing(pairs, refs.select(F.col("group").alias("ref"), "of_ref"), sets, heavy, percent)
+
+
+def degrees(places: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, heavy: Broadcast) -> DataFrame:
     """doc and links: how many classes each is similar to, for all classes in components (node, component).
 
-    Similar classes share a component. d and n of a class against one set of the component tell v = d - n (100 - percent) /
-    (100 + percent); two classes with v + v' <= 0 are similar whatever they share, and are counted by a running sum over
-    the values of v. Others have to share elements that set them apart; they are met by these and compared.
+    Similar classes share a component. Two of them are looked at against one set, the consensus of a group that one of
+    them, at least, belongs to. Two with v + v' <= 0 (``beyond``) are similar whatever they share, and are counted by a
+    running sum over the values of v. Others have to share elements that set them apart; they are met by these and
+    compared. What many documents of a group share does not set them apart, so few pairs meet, whatever the group's size.
     """
-    densest = places.join(prefixes.select(F.col("doc").alias("node"), "density"), "node").groupBy("component").agg(F.max_by("node", F.struct("density", "node")).alias("ref"))
-    members = places.join(densest, "component").select(F.col("component").alias("group"), F.col("node").alias("doc"), "ref")
     sets = whole_sets(places.select(F.col("node").alias("doc")), classes, texts, words)
-    apart = differing(members, sets, heavy, percent).withColumns({"part": F.col("group"), "main": F.col("group")})
-    v = (F.col("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("v")
-    each = apart.where("pos = 0").select("group", "doc", v)
-    cells = each.groupBy("group", "v").agg(F.count("*").alias("m"))
+    own, refs = variants(places, sets, heavy, percent)
+    columns = ["group", "doc", "n", "d", "key", "pos"]
+    apart = own.select(*columns, F.lit(True).alias("part")).unionByName(across(own, refs, sets, heavy, percent).select(*columns, F.lit(False).alias("part")))
+    apart = common.stored(apart.withColumn("main", F.lit(True)), "apart-all")
+    each = apart.where("pos = 0").select("group", "doc", F.col("part").alias("own"), beyond("n", "d", percent).alias("v"))
+    cells = each.groupBy("group", "v").agg(F.count("*").alias("m"), F.count_if("own").alias("m_own"))
     # a question for -v stands after the values that equal it
-    events = cells.select("group", F.col("v").alias("at"), F.lit(0).alias("asks"), "m", "v").unionByName(cells.select("group", (-F.col("v")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("m"), "v"))
-    below = events.withColumn("near", F.sum("m").over(Window.partitionBy("group").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))).where("asks = 1")
-    near = each.join(below.select("group", "v", "near"), ["group", "v"]).select("doc", (F.col("near") - F.when(F.col("v") <= 0, 1).otherwise(0)).alias("links"))
-    pairs = similar_pairs(met_apart(apart, apart, percent, F.col("doc_x") < F.col("doc_y")), sets, percent)
+    none = F.lit(0).cast("long")
+    events = cells.select("group", F.col("v").alias("at"), F.lit(0).alias("asks"), "m", "m_own", "v").unionByName(cells.select("group", (-F.col("v")).alias("at"), F.lit(1).alias("asks"), none.alias("m"), none.alias("m_own"), "v"))
+    so_far = Window.partitionBy("group").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    below = events.select("group", "v", "asks", F.sum("m").over(so_far).alias("near"), F.sum("m_own").over(so_far).alias("near_own")).where("asks = 1").drop("asks")
+    # the group's own count all that was measured against its set, the others count the group's own
+    counted = F.when(F.col("own"), F.col("near") - F.when(F.col("v") <= 0, 1).otherwise(0)).otherwise(F.col("near_own"))
+    near = each.join(below, ["group", "v"]).select("doc", counted.alias("links"))
+    once = ~F.col("part_y") | (F.col("doc_x") < F.col("doc_y"))
+    pairs = similar_pairs(met_apart(apart.where("part"), apart, percent, once), sets, percent)
     found = pairs.select(F.col("a").alias("doc"), F.lit(1).cast("long").alias("links")).unionByName(pairs.select(F.col("b").alias("doc"), F.lit(1).cast("long").alias("links")))
     return near.unionByName(found).groupBy("doc").agg(F.sum("links").alias("links"))
 
@@ -503,7 +575,7 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
     of_hub = common.stored(of_hub.unionByName(of_hub.select("group", F.col("ref").alias("doc"), "ref").distinct().join(place.select(F.col("node").alias("doc"), "component"), "doc", "left").select("group", "doc", "ref", F.coalesce("component", "doc").alias("part"))).distinct(), "groups")
     if of_hub.limit(1).count():
         sets = whole_sets(of_hub.select("doc").distinct(), classes, texts, words)
-        apart = differing(of_hub.select("group", "doc", "ref"), sets, shared, percent).join(of_hub.select("group", "doc", "part"), ["group", "doc"])
+        apart = differing(of_hub.select("group", "doc", "ref"), sets.select(F.col("doc").alias("ref"), F.col("set").alias("of_ref")), sets, shared, percent).join(of_hub.select("group", "doc", "part"), ["group", "doc"])
         main = of_hub.where("doc = ref").select("group", F.col("part").alias("main"))
         apart = common.stored(apart.join(common.sized(main, 500_000), "group"), "differences-of-parts")
         once = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("main_y")) | (F.col("doc_x") < F.col("doc_y")))
@@ -512,7 +584,7 @@ def linked(docs: DataFrame, words: int, percent: int, count_links: bool = True)
     final = merged(place, reduce(DataFrame.union, far))
     of_class = classes.join(final.select(F.col("node").alias("doc"), F.col("component")), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
     if count_links:
-        of_class = of_class.join(degrees(final, prefixes, classes, texts, words, percent, shared), "doc", "left")
+        of_class = of_class.join(degrees(final, classes, texts, words, percent, shared), "doc", "left")
     names = of_class.where("component IS NOT NULL").groupBy("component").agg(F.min("class").alias("name"))
     of_class = of_class.join(names, "component", "left").withColumn("component_id", F.coalesce("name", "class")).drop("component", "name", "doc")
     rows = named.select("doc", "x", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
