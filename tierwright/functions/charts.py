@@ -58,8 +58,7 @@ def stacked(rows: DataFrame, row: str, part: str, value: str) -> DataFrame:
     """row, part, value, and its share of the largest row's total."""
     sums = rows.groupBy(row, part).agg(F.sum(value).alias("value"))
     totals = sums.withColumn("total", F.sum("value").over(Window.partitionBy(row)))
-    # the sums are as few as rows and parts, so their maximum is taken over them and not over a second pass
-    most = F.max("total").over(Window.partitionBy(F.lit(1)))
+    most = sums.groupBy(row).agg(F.sum("value").alias("total")).agg(F.max("total")).scalar()
     return totals.withColumn("most", most).select(row, part, "value", "total", F.try_divide(F.col("value"), F.col("most")).alias("share"))
 
 

@@ -47,7 +47,9 @@ def quality_ladder(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, truth and each machine tier's answer to "is this text good", of the labelled documents."""
     n = F.greatest(F.length("text"), F.lit(1)).cast("double")
     symbols, marks = F.regexp_count("text", F.lit("[*#%&$]")) / n, F.regexp_count("text", F.lit("[*#%&$|!]")) / n
-    scored = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels.select("doc_id", "quality"), "doc_id")
+    # of several labels of one document the highest holds, so that labels repeat no rows
+    one = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scored = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(one, "doc_id")
     good = lambda bad: F.when(bad, 0).otherwise(1)
     return scored.select("doc_id", F.col("quality").alias("truth"), good(F.rlike("text", F.lit(JUNK))).alias("rules"), good(symbols > SMALL_SHARE).alias("small"), good(marks > LARGE_SHARE).alias("large"))
 

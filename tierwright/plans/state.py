@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierwright.functions import assumptions as given
 from tierwright.functions import stats
 from tierwright.operators import baselines, routing
-from tierwright.sources.tables import TIERS
+from tierwright.sources.tables import FIELDS, TIERS
 
 
 def pivoted(profile: DataFrame, scenario: DataFrame) -> DataFrame:
@@ -58,12 +58,11 @@ def state(profile: DataFrame, scenario: DataFrame, own: DataFrame, fields: tuple
     }
 
 
-def extraction_block(profile: DataFrame) -> DataFrame:
-    """tier, each field's accuracy and the mean latency of the machine tiers."""
+def extraction_block(profile: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """tier, each field's accuracy and the mean latency of the machine tiers; ``fields`` are the enumeration's."""
     machine = profile.where("tier <> 'human'")
-    fields = [r["field"] for r in machine.select("field_idx", "field").distinct().orderBy("field_idx").collect()]  # an enumeration
     latency = machine.groupBy("tier").agg(F.avg("latency").alias("mean_latency"))
-    return machine.groupBy("tier_idx", "tier").pivot("field", fields).agg(F.max("accuracy")).join(latency, "tier").orderBy("tier_idx")
+    return machine.groupBy("tier_idx", "tier").pivot("field", [*fields]).agg(F.max("accuracy")).join(latency, "tier").orderBy("tier_idx")
 
 
 def classification_block(profile: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierwright.functions.text import COUNTRIES, MONTHS
+
 # Generator, seeds, pools and templates of the corpora.
 MULTIPLIER, INCREMENT, MODULUS = 1_664_525, 1_013_904_223, 4_294_967_296
 RECORD_SEED, ALERT_SEED, HELDOUT_SHIFT = 20260817, 20260818, 7717
@@ -18,8 +20,6 @@ FIRST_NAMES = ("Amina", "Viktor", "Sofia", "Marcus", "Leila", "Tomas", "Nadia",
 SURNAMES = ("Haddad", "Morozov", "Vasquez", "Lindqvist", "Okonkwo", "Novak", "Ferreira", "Mbeki", "Rossi", "Chen")
 CITIES = ("Paris", "Lyon", "Athens", "Lisbon", "Warsaw", "Milan", "Rotterdam", "Valencia")
 STREETS = ("rue Victor Hugo", "avenue des Fleurs", "Odos Ermou", "Rua da Prata", "ulica Nowy Świat", "via Garibaldi")
-COUNTRIES = ("France", "Greece", "Portugal", "Poland", "Italy", "Netherlands", "Spain", "Germany")
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 PREFIXES, SUFFIXES = ("FR", "GR", "PT", "PL", "IT"), ("K", "M", "T", "X")
 TRAINING = (
     "Client: {name}, born {birth} in {birthCity}, residing at {address}. Identity document {document}, issued in {country}.",

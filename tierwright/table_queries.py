@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierwright import oracle as o
 from tierwright import queries as q
 from tierwright.functions import assumptions as given
+from tierwright.functions import charts
 from tierwright.functions import text as rules
 from tierwright.operators import described, failures, leaks, measure, models, patterns, reports, routing, sensitivity, skyline, timing, updates
 from tierwright.plans import state
@@ -369,3 +370,19 @@ def stale_months(spark, d):
     later = orders.where(F.date_trunc("month", "o_orderdate") < last).withColumn("o_totalprice", june)
     earlier = orders.where(F.month("o_orderdate") == 2).withColumn("o_orderdate", F.col("o_orderdate") - F.expr("INTERVAL 30 YEAR"))
     return manifest.stale_parts(manifest.manifest(orders, month), manifest.manifest(later.unionByName(earlier), month))
+
+
+# a scale by roots, and the extraction block over the measured profile
+
+
+@registered(f"WITH {q.EXTENT} SELECT o_orderkey, round(sqrt(greatest(0, least(1, (o_totalprice - low) / (high - low)))), 6) AS place FROM orders, extent")
+def root_places(spark, d):
+    orders = table(spark, d, "orders")
+    ends = charts.extent(orders, "o_totalprice").select(F.struct("low", "high")).scalar()
+    rows = orders.withColumn("ends", ends)
+    return q.rounded(rows.select("o_orderkey", charts.scaled(F.col("o_totalprice"), F.col("ends.low"), F.col("ends.high"), root=True).alias("place")), "place")
+
+
+@registered(f"WITH {o.MEASURED} SELECT tier_idx, tier, {', '.join(f'round(max(accuracy) FILTER (field = {o.quoted(x)}), 6) AS {x}' for x in LANGUAGES)}, 0::DOUBLE AS mean_latency FROM profile WHERE tier <> 'human' GROUP BY ALL")
+def measured_block(spark, d):
+    return q.rounded(state.extraction_block(q.measured(spark, d), LANGUAGES), *LANGUAGES)
