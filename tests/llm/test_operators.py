@@ -627,7 +627,7 @@ def test_toxicity_on_held_out_documents(spark):
 def test_noisy_or_and_gradient():
     assert toxicity.noisy_or(np.array([0.0, 0.0])) == pytest.approx(0.75)
     assert toxicity.noisy_or(np.array([800.0])) == 1 and toxicity.noisy_or(np.array([-800.0])) == 0
-    model = toxicity.fit_noisy_or([(1, 2, [0], [0]), (0, 2, [1], [1]), (1, 1, [0], [0]), (0, 1, [], [])], ["bad", "fine"])
+    model = toxicity.fit_noisy_or(*map(np.array, ([1, 0, 1, 0], [2, 2, 1, 1], [1, 1, 1, 0], [0, 1, 0], [0, 1, 0])), ["bad", "fine"])
     assert model.weights["bad"] > 0 > model.weights["fine"] and model.bias < 0
 
 

@@ -24,6 +24,8 @@ from . import common
 FIT_ROWS = 20_000
 #: Characters of their texts that the fit uses at most (about): beyond, fewer documents are chosen.
 FIT_CHARS = 200_000_000
+#: Features met in the sentences of these documents that the driver fits on, about; fewer documents are taken beyond.
+FIT_MET = 8_000_000
 #: Features kept, by chi-square; each is in at least LEAST_DF labelled documents.
 FEATURES, LEAST_DF = 4_000, 8
 BEGINNINGS = (4, 5)
@@ -92,13 +94,12 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return [*out, (begin, len(text))] if begin is not None else out
 
 
-def fit_noisy_or(rows: list[tuple[int, int, list[int], list[int]]], features: list[str]) -> Model:
-    """Adam over whole batches. rows: label, number of sentences, and of each feature met its sentence and number."""
-    y = np.array([r[0] for r in rows], float)
-    counts = np.array([r[1] for r in rows])
+def fit_noisy_or(labels: np.ndarray, counts: np.ndarray, met: np.ndarray, at: np.ndarray, feature: np.ndarray, features: list[str]) -> Model:
+    """Adam over whole batches. Of each text its label, the number of its sentences and of the features that it has, and
+    of each of these, text by text, the sentence (from 0 in its text) and the feature's number."""
+    y = labels.astype(float)
     first = np.concatenate([[0], np.cumsum(counts)])
-    sentence = np.concatenate([first[i] + np.array(r[2], np.int64) for i, r in enumerate(rows)])
-    feature = np.concatenate([np.array(r[3], np.int64) for r in rows])
+    sentence = np.repeat(first[:-1], met) + at
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     theta, m, v = np.zeros(len(features) + 1), 0.0, 0.0
     theta[-1] = -4.0
@@ -119,8 +120,9 @@ def fit_noisy_or(rows: list[tuple[int, int, list[int], list[int]]], features: li
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from about ``rows`` of the labelled documents outside the held-out fold (all, if there are fewer).
 
-    Fewer are taken where their texts have more than ``FIT_CHARS`` characters. Null labels, ids and texts are left out; of several labels of one id the highest holds. Without rows, or with one
-    class only, the model gives every sentence the same small score.
+    Fewer are taken where their texts have more than ``FIT_CHARS`` characters or ``FIT_MET`` features. Null labels, ids
+    and texts are left out; of several labels of one id the highest holds. Without rows, or with one class only, the model
+    gives every sentence the same small score.
     """
     docs = common.in_small_batches(docs)
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -169,11 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                         if (i := number.get(f)) is not None:
                             at.append(sentence)
                             ids.append(i)
-                out.append((label, max(1, sentence + open_), at, ids))
-            yield pd.DataFrame(out, columns=["label", "n", "at", "ids"])
-
-    met = sample.mapInPandas(instances, "label int, n int, at array<int>, ids array<int>").collect()
-    return fit_noisy_or([(r["label"], r["n"], r["at"], r["ids"]) for r in met], features)
+                out.append((label, max(1, sentence + open_), len(at), np.array(at, np.int32).tobytes(), np.array(ids, np.int16).tobytes()))
+            yield pd.DataFrame(out, columns=["label", "n", "met", "at", "ids"])
+
+    # numbers of features fit two bytes; they come to the driver as they are, and not as objects
+    found = common.stored(sample.mapInPandas(instances, "label int, n int, met long, at binary, ids binary"), "toxic-instances")
+    total = found.agg(F.sum("met").alias("n")).first()["n"]
+    if total > FIT_MET:
+        found = found.where(F.pmod(F.xxhash64("at", "ids"), F.lit(1_000_000)) < int(FIT_MET / total * 1_000_000))
+    rows = found.toArrow()
+    joined = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
+    return fit_noisy_or(rows["label"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["met"].to_numpy(), joined("at", np.int32), joined("ids", np.int16).astype(np.int64), features)
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
