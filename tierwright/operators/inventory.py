@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierwright.functions.assumptions import KEYS
@@ -20,6 +22,13 @@ def inventory(spark: SparkSession) -> DataFrame:
     return section("measured", MEASURED, 0).unionByName(section("assumed", assumed, len(MEASURED))).unionByName(section("chosen", CHOSEN, len(MEASURED) + len(assumed)))
 
 
+def union(sections: dict[str, DataFrame]) -> DataFrame:
+    """seq, name, provenance and what of the sections' rows (name, what), by kind; seq numbers a section's names by code point."""
+    by_name = Window.partitionBy("provenance").orderBy("name")
+    rows = reduce(DataFrame.unionByName, (df.select("name", F.lit(kind).alias("provenance"), "what") for kind, df in sections.items()))
+    return rows.select((F.row_number().over(by_name) - 1).alias("seq"), "name", "provenance", "what")
+
+
 def counts(rows: DataFrame) -> DataFrame:
     """kind_idx, provenance and n of every kind, those without members too."""
     kinds = rows.sparkSession.createDataFrame([*enumerate(KINDS)], "kind_idx int, provenance string")

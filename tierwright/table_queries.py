@@ -10,7 +10,7 @@ from tierwright import queries as q
 from tierwright.functions import assumptions as given
 from tierwright.functions import charts
 from tierwright.functions import text as rules
-from tierwright.operators import described, failures, leaks, measure, models, patterns, reports, routing, sensitivity, skyline, timing, updates
+from tierwright.operators import described, failures, inventory, leaks, measure, models, patterns, reports, routing, sensitivity, skyline, timing, updates
 from tierwright.plans import state
 from tierwright.registry import registered
 from tierwright.sinks import manifest
@@ -386,3 +386,33 @@ def root_places(spark, d):
 @registered(f"WITH {o.MEASURED} SELECT tier_idx, tier, {', '.join(f'round(max(accuracy) FILTER (field = {o.quoted(x)}), 6) AS {x}' for x in LANGUAGES)}, 0::DOUBLE AS mean_latency FROM profile WHERE tier <> 'human' GROUP BY ALL")
 def measured_block(spark, d):
     return q.rounded(state.extraction_block(q.measured(spark, d), LANGUAGES), *LANGUAGES)
+
+
+# classes by keyword, and an inventory of tables
+
+
+@registered(f"SELECT got, count(*) AS n, sum(len(narrative))::BIGINT AS chars FROM (SELECT narrative, {o.KEYWORD} AS got FROM (SELECT replace(coalesce(text, ''), 'The ', 'Notes of the ') AS narrative FROM conversations)) GROUP BY 1")
+def keyword_turns(spark, d):
+    """The keyword classes of all turns, after a change of words that brings one of the keywords in."""
+    turns = table(spark, d, "conversations").select(F.replace(F.coalesce("text", F.lit("")), F.lit("The "), F.lit("Notes of the ")).alias("narrative"))
+    return turns.select("narrative", rules.keyword_class(F.col("narrative")).alias("got")).groupBy("got").agg(F.count("*").alias("n"), F.sum(F.length("narrative")).alias("chars"))
+
+
+def table_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Three sections of names: suppliers are measured, segments assumed, types of parts chosen."""
+    of = lambda name, column, what: table(spark, d, name).groupBy(F.col(column).alias("name")).agg(F.concat(F.lit(f"{what}: "), F.count("*").cast("string")).alias("what"))
+    return inventory.union({"measured": of("supplier", "s_name", "rows"), "assumed": of("customer", "c_mktsegment", "customers"), "chosen": of("part", "p_type", "parts")})
+
+
+SECTIONS = """sections AS (SELECT 'measured' AS provenance, s_name AS name, 'rows: ' || count(*) AS what FROM supplier GROUP BY ALL UNION ALL SELECT 'assumed', c_mktsegment, 'customers: ' || count(*) FROM customer GROUP BY ALL
+UNION ALL SELECT 'chosen', p_type, 'parts: ' || count(*) FROM part GROUP BY ALL)"""
+
+
+@registered(f"WITH {SECTIONS}, {o.KINDS} SELECT kind_idx, provenance, coalesce(n, 0) AS n FROM kinds LEFT JOIN (SELECT provenance, count(*) AS n FROM sections GROUP BY 1) USING (provenance)")
+def section_counts(spark, d):
+    return inventory.counts(table_sections(spark, d))
+
+
+@registered(f"WITH {SECTIONS}, {o.KINDS} SELECT kind_idx, row_number() OVER (PARTITION BY provenance ORDER BY name) - 1 AS seq, provenance, name, what FROM sections JOIN kinds USING (provenance)")
+def section_list(spark, d):
+    return inventory.listed(table_sections(spark, d))
