@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tierwright.functions import assumptions as given
 from tierwright.functions import charts, stats, text
-from tierwright.operators import failures, inventory, measure, routing, sensitivity
+from tierwright.operators import failures, inventory, measure, routing, sensitivity, timing
 from tierwright.plans import state
 from tierwright.sinks import files
 from tierwright.sources import corpus
@@ -265,7 +265,7 @@ def test_the_entry_keeps_its_queries_when_a_module_cannot_be_imported(tmp_path):
 
 def test_timed_latencies_reach_the_profile(spark):
     documents = t.table(spark, "/root/testdata/sf0.001", "documents")
-    latencies = measure.timed(documents)
+    latencies = timing.latencies(documents, timing.ladder_tiers())
     assert {r["tier"] for r in latencies.collect()} == {"rules", "small", "large"} and latencies.where("latency <= 0").count() == 0
     rows = measure.language_profile(documents, latencies).collect()
     assert {r["tier"] for r in rows if r["latency"] > 0} == {"rules", "small", "large"} and all(r["latency"] == 0 for r in rows if r["tier"] == "human")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -62,29 +61,16 @@ def long_form(ladder: DataFrame) -> DataFrame:
 
 
 def profile(long: DataFrame, by_field: bool = True) -> DataFrame:
-    """tier_idx, tier (and field): accuracy and items. Latency is wall clock, so it belongs to ``timed``, not here."""
+    """tier_idx, tier (and field): accuracy and items. Latency is wall clock, so it belongs to ``timing``, not here."""
     keys = ["tier_idx", "tier"] + [F.col("truth").alias("field")] * by_field
     right = F.sum((F.col("got") == F.col("truth")).cast("bigint"))
     return long.groupBy(*keys).agg((right.cast("double") / F.count("*")).alias("accuracy"), F.count("*").alias("items"))
 
 
-def timed(documents: DataFrame) -> DataFrame:
-    """tier and latency: wall-clock milliseconds an item of each machine tier, run by itself over all documents.
-
-    The human tier's latency is assumed, not measured.
-    """
-    n, rows = max(1, documents.count()), []
-    for tier in TIERS[:-1]:
-        began = time.perf_counter()
-        language_ladder(documents).select("doc_id", tier).write.format("noop").mode("overwrite").save()
-        rows.append((tier, (time.perf_counter() - began) * 1000 / n))
-    return documents.sparkSession.createDataFrame(rows, "tier string, latency double")
-
-
 def language_profile(documents: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
     """The measured profile of the language ladder with the order of its fields.
 
-    latencies (tier, latency) is what ``timed`` has found; without it latencies are 0, so that a profile is repeatable.
+    latencies (tier, latency) is what ``timing.latencies`` has observed; without it latencies are 0, so that a profile is repeatable.
     """
     fields = dimension(documents.sparkSession, "field", LANGUAGES)
     measured = profile(long_form(language_ladder(documents))).join(F.broadcast(fields), "field")
