@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tierwright.functions import stats
+
 # Patterns and lists of the rules.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 COUNTRIES = ("France", "Greece", "Portugal", "Poland", "Italy", "Netherlands", "Spain", "Germany")
@@ -101,3 +103,25 @@ def provenance(cite: Column, source: Column, retrieved: Column) -> Column:
 def parsed_number(text: Column) -> Column:
     """A typed number: spaces dropped, a comma as the point."""
     return F.try_to_number(F.translate(text, ", ", "."), F.lit("S999999999999D999999")).cast("double")
+
+
+def escaped(c: Column) -> Column:
+    """The text as HTML shows it; null as nothing."""
+    c = F.coalesce(c, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def grouped(x: Column) -> Column:
+    """A number without decimals, the larger of two equally near, its thousands by commas."""
+    return F.format_number(F.floor(x + 0.5), 0)
+
+
+def dollars(x: Column) -> Column:
+    return F.concat(F.lit("$"), grouped(x))
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    """A share in percent with so many digits, the larger of two equally near."""
+    return F.concat(F.format_string(f"%.{digits}f", stats.fixed(x * 100, digits)), F.lit(" %"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwright.functions import assumptions as given
-from tierwright.functions import stats
+from tierwright.functions import stats, text
 from tierwright.operators import baselines, routing
 from tierwright.sources.tables import FIELDS, TIERS
 
@@ -65,6 +65,17 @@ def extraction_block(profile: DataFrame, fields: tuple[str, ...] = FIELDS) -> Da
     return machine.groupBy("tier_idx", "tier").pivot("field", [*fields]).agg(F.max("accuracy")).join(latency, "tier").orderBy("tier_idx")
 
 
+def console_lines(profile: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """line_no and line of the extraction report in columns of fixed width: a head, a rule, and a line for each machine tier."""
+    block = extraction_block(profile, fields)
+    cell = lambda c: F.lpad(F.lpad(text.percent(F.col(c)), 7, " "), 10, " ")
+    latency = F.lpad(F.format_string("%.2f", stats.fixed(F.col("mean_latency"), 2)), 7, " ")
+    rows = block.select((F.col("tier_idx") + 2).alias("line_no"), F.concat(F.rpad("tier", 10, " "), *map(cell, fields), F.lit("   "), latency, F.lit(" ms")).alias("line"))
+    head = "tier      " + "".join(f.rjust(10) for f in fields) + "     latency"
+    top = profile.sparkSession.range(2).select(F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 0, head).otherwise("─" * 76).alias("line"))
+    return top.unionByName(rows)
+
+
 def classification_block(profile: DataFrame) -> DataFrame:
     """tier, accuracy and its interval of the machine tiers."""
     k = F.floor(F.col("accuracy") * F.col("items") + 0.5).cast("bigint")

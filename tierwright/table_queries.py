@@ -416,3 +416,25 @@ def section_counts(spark, d):
 @registered(f"WITH {SECTIONS}, {o.KINDS} SELECT kind_idx, row_number() OVER (PARTITION BY provenance ORDER BY name) - 1 AS seq, provenance, name, what FROM sections JOIN kinds USING (provenance)")
 def section_list(spark, d):
     return inventory.listed(table_sections(spark, d))
+
+
+# numbers and reports as they are written
+
+_GROUPED = "format('{:,}', floor(c_acctbal + 0.5::DOUBLE)::BIGINT)"
+
+
+@registered(f"""SELECT c_custkey, {_GROUPED} AS grouped, '$' || {_GROUPED} AS dollars, printf('%.1f %%', floor(c_acctbal / 10000 * 100 * 10 + 0.5::DOUBLE) / 10) AS percent, printf('%.0f %%', floor(c_acctbal / 10000 * 100 + 0.5::DOUBLE)) AS short,
+  replace(replace(replace(replace('<' || c_name || ' & "' || c_mktsegment || '">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM customer""")
+def written_customers(spark, d):
+    x, share = F.col("c_acctbal"), F.col("c_acctbal") / 10_000
+    name = F.concat(F.lit("<"), "c_name", F.lit(' & "'), "c_mktsegment", F.lit('">'))
+    return table(spark, d, "customer").select("c_custkey", rules.grouped(x).alias("grouped"), rules.dollars(x).alias("dollars"), rules.percent(share).alias("percent"), rules.percent(share, 0).alias("short"), rules.escaped(name).alias("escaped"))
+
+
+_CELL = lambda x: f"lpad(lpad(printf('%.1f', floor(max(accuracy) FILTER (field = {o.quoted(x)}) * 100 * 10 + 0.5::DOUBLE) / 10) || ' %', 7, ' '), 10, ' ')"
+
+
+@registered(f"""WITH {o.MEASURED} SELECT 0 AS line_no, {o.quoted('tier      ' + ''.join(x.rjust(10) for x in LANGUAGES) + '     latency')} AS line UNION ALL SELECT 1, {o.quoted('─' * 76)}
+UNION ALL SELECT tier_idx + 2, rpad(tier, 10, ' ') || {' || '.join(map(_CELL, LANGUAGES))} || '   ' || lpad('0.00', 7, ' ') || ' ms' FROM profile WHERE tier <> 'human' GROUP BY tier_idx, tier""")
+def console_report(spark, d):
+    return state.console_lines(q.measured(spark, d), LANGUAGES)
