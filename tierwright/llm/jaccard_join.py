@@ -381,14 +381,19 @@ def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
     """The stored (group, of_ref) of the groups (group, doc): the elements that more than half of their documents hold.
 
     Of large groups ``ASKED`` documents are asked. A set of no single document is nearer to all of them than any of
-    theirs, which has what is that document's alone.
+    theirs, which has what is that document's alone. A group of up to ``FEW`` documents, whose pairs are few whatever the
+    set, has the set of its first document.
     """
+    size = common.stored(members.groupBy("group").agg(F.count("*").alias("m"), F.min("doc").alias("doc")), "group-sizes")
+    of_first = size.where(F.col("m") <= FEW).join(sets, "doc").select("group", F.col("set").alias("of_ref"))
+    large = size.where(F.col("m") > FEW).select("group")
     nth = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("doc"), "doc"))
-    asked = common.stored(members.select("group", "doc", nth.alias("nth")).where(F.col("nth") <= ASKED).drop("nth"), "asked")
+    asked = members.join(common.sized(large, 500_000), "group").select("group", "doc", nth.alias("nth")).where(F.col("nth") <= ASKED).drop("nth")
     held = asked.join(sets, "doc").select("group", F.explode("set").alias("element")).groupBy("group", "element").agg(F.count("*").alias("c"))
-    size = asked.groupBy("group").agg(F.count("*").alias("m"))
-    most = held.join(size, "group").where(F.col("c") * 2 > F.col("m")).groupBy("group").agg(F.collect_list("element").alias("of_ref"))
-    return common.stored(size.join(most, "group", "left").select("group", F.coalesce("of_ref", F.array().cast("array<long>")).alias("of_ref")), "consensus")
+    asked_of = F.least(F.col("m"), F.lit(ASKED))
+    most = held.join(size, "group").where(F.col("c") * 2 > asked_of).groupBy("group").agg(F.collect_list("element").alias("of_ref"))
+    of_most = large.join(most, "group", "left").select("group", F.coalesce("of_ref", F.array().cast("array<long>")).alias("of_ref"))
+    return common.stored(of_first.unionByName(of_most), "consensus")
 
 
 def beyond(n: str, d: str, percent: int) -> F.Column:
