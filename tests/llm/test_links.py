@@ -61,14 +61,14 @@ def joined(spark, rows, monkeypatch):
     return {r["doc_id"]: r["links"] for r in found}, sum(met)
 
 
-@pytest.mark.parametrize("rows", [variant_group(150, 2, 1), variant_group(240, 5, 2), footers(200, 4)], ids=["two", "five", "footers"])
+@pytest.mark.parametrize("rows", [variant_group(240, 5, 2), footers(200, 4)], ids=["five", "footers"])
 def test_links_in_variants_equal_brute_force(spark, monkeypatch, rows):
     got, _ = joined(spark, rows, monkeypatch)
     want, _ = links_of(rows)
     assert max(want.values()) > 10 and got == want
 
 
-@pytest.mark.parametrize("n, variants", [(300, 2), (3_000, 2), (300, 10), (1_000, 10)])
+@pytest.mark.parametrize("n, variants", [(300, 2), (3_000, 2), (300, 10)])
 def test_pairs_that_meet_grow_with_the_group_and_not_with_its_square(spark, monkeypatch, n, variants):
     """Of documents in one variant none meet; between variants those meet that changed the same words, most of which are links."""
     rows = variant_group(n, variants, n)
