@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +104,16 @@ def finding_block(profile: DataFrame, scenario: DataFrame, n_fields: int) -> Dat
     """One row: accuracy, cost, fields carried free by rules, and how many tiers the optimum uses."""
     best = routing.optimum(profile, scenario, n_fields)
     return best.select("accuracy", "cost", F.size(F.filter("tiers", lambda t: t == 0)).alias("free_fields"), F.size(F.array_distinct("tiers")).alias("tiers_used"), "budget_share")
+
+
+def as_json(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """part and body: each part of a state (its rows, and the columns that order them) as a JSON array, in one row each.
+
+    What a screen asks for at once; the parts are of report size.
+    """
+    def one(name: str, rows: DataFrame, order: list[str]) -> DataFrame:
+        cells = F.struct(F.struct(*order).alias("o"), F.struct(*rows.columns).alias("r"))
+        listed = F.transform(F.array_sort(F.collect_list(cells)), lambda c: c["r"])
+        return rows.agg(F.to_json(listed).alias("body")).select(F.lit(name).alias("part"), "body")
+
+    return reduce(DataFrame.unionByName, (one(name, *rows) for name, rows in parts.items()))

@@ -438,3 +438,18 @@ _CELL = lambda x: f"lpad(lpad(printf('%.1f', floor(max(accuracy) FILTER (field =
 UNION ALL SELECT tier_idx + 2, rpad(tier, 10, ' ') || {' || '.join(map(_CELL, LANGUAGES))} || '   ' || lpad('0.00', 7, ' ') || ' ms' FROM profile WHERE tier <> 'human' GROUP BY tier_idx, tier""")
 def console_report(spark, d):
     return state.console_lines(q.measured(spark, d), LANGUAGES)
+
+
+@registered(f"""WITH {o.MEASURED}, {o.GIVEN}, {o.assigned(N)},
+uniform_rows AS (SELECT {o.listed(TIERS)}[t0 + 1] AS tier, round(accuracy, 6) AS accuracy, round(cost, 6) AS cost, t0 FROM rows_ WHERE {' AND '.join(f't0 = t{i}' for i in range(1, N))}),
+price_rows AS (SELECT generate_subscripts({o.PRICES}, 1) - 1 AS tier_idx, round(unnest({o.PRICES}), 6) AS price FROM given)
+SELECT 'uniform' AS part, to_json(list({{'tier': tier, 'accuracy': accuracy, 'cost': cost}} ORDER BY cost, tier))::VARCHAR AS body FROM uniform_rows
+UNION ALL SELECT 'optimum', to_json(list({{'routing': {o.tier_names(N)}, 'accuracy': round(accuracy, 6), 'cost': round(cost, 6)}}))::VARCHAR FROM best
+UNION ALL SELECT 'prices', to_json(list({{'tier_idx': tier_idx, 'price': price}} ORDER BY tier_idx))::VARCHAR FROM price_rows""")
+def state_json(spark, d):
+    """The state over the measured profile as a screen gets it."""
+    own = spark.createDataFrame([(i, "large") for i in range(N)], "field_idx int, tier string")
+    found = state.state(q.measured(spark, d), given.as_row(spark), own, LANGUAGES)
+    best = found["optimum"].select(F.array_join(routing.names(F.col("tiers")), ",").alias("routing"), "accuracy", "cost")
+    uniform = q.rounded(found["uniform"].select("tier", "accuracy", "cost"), "accuracy", "cost")
+    return state.as_json({"uniform": (uniform, ["cost", "tier"]), "optimum": (q.rounded(best, "accuracy", "cost"), ["routing"]), "prices": (q.rounded(found["prices"], "price"), ["tier_idx"])})
