@@ -532,20 +532,18 @@ def test_packed_keys_come_back():
 
 def test_seating_is_within_bounds():
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 100_000])
-    t = pitman_yor.seat(c, np.full(5, 0.1), np.full(5, 1.0), 0.5, np.zeros(5, np.int64), rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
-    c, t = c[2:], t[2:]
-    sizes = pitman_yor.spread(c, t, 0.5, rng)
-    for _ in range(5):
-        t, sizes = pitman_yor.reseated(c, t, sizes, np.full(3, 2.0), 0.5, rng)
-        assert len(sizes) == t.sum() and sizes.min() >= 1
-        assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == c.tolist()
-
-
-@pytest.mark.parametrize("new, d", [(0.3, 0.5), (2.0, 0.8)])
-def test_gibbs_seating_has_the_exact_distribution(new, d):
-    """Of four customers of a dish, by enumeration of all ways to sit: new**tables times (1 - d)(2 - d)... of each table."""
+    c = np.array([0, 1, 2, 50, pitman_yor.COUNTED, pitman_yor.COUNTED + 1, 100_000, 10**9])
+    for p, others in ((0.1, 0), (1e-9, 10**6), (1.0, 0), (0.5, 10**8)):
+        for d in (0.05, 0.5, 0.95):
+            for t in pitman_yor.tables_of(c, np.full(len(c), p), 1.0, d, np.full(len(c), others), rng):
+                assert t[:2].tolist() == [0, 1] and (t <= c).all() and (t[1:] >= 1).all()
+    assert pitman_yor.tables_of(c[:0], c[:0] * 0.5, 1.0, 0.5, c[:0], rng).shape == (pitman_yor.SWEEPS, 0)
+
+
+@pytest.mark.parametrize("theta, p, others, d", [(0.3, 0.4, 2, 0.5), (2.0, 0.9, 0, 0.8)])
+def test_seating_has_the_exact_distribution(theta, p, others, d):
+    """Of four customers of a dish, by enumeration of all ways to sit: a new table has (theta + d * tables) * p, and a seat at
+    a table of k customers k - d."""
     def ways(left, tables):
         if not left:
             yield tables
@@ -556,12 +554,88 @@ def test_gibbs_seating_has_the_exact_distribution(new, d):
 
     exact = np.zeros(5)
     for tables in ways(4, []):
-        exact[len(tables)] += new ** len(tables) * np.prod([np.prod([k - d for k in range(1, n)]) for n in tables])
-    rng, c = np.random.default_rng(1), np.full(40_000, 4)
-    t, sizes = np.ones(len(c), np.int64), np.full(len(c), 4)
-    for _ in range(6):
-        t, sizes = pitman_yor.reseated(c, t, sizes, np.full(len(c), new), d, rng)
-    assert np.allclose(np.bincount(t, minlength=5) / len(c), exact / exact.sum(), atol=0.012)
+        new = np.prod([(theta + d * (others + k)) * p for k in range(len(tables))])
+        exact[len(tables)] += new * np.prod([np.prod([k - d for k in range(1, n)]) for n in tables])
+    rng, size = np.random.default_rng(1), 40_000
+    for t in pitman_yor.tables_of(np.full(size, 4), np.full(size, p), theta, d, np.full(size, others), rng):
+        assert np.allclose(np.bincount(t, minlength=5) / size, exact / exact.sum(), atol=0.012)
+
+
+def ways_by_recursion(c, d, most):
+    out, t = np.full(most + 1, -np.inf), np.arange(1, most + 1)
+    out[0] = 0
+    for k in range(c):
+        out[1:] = np.logaddexp(out[:-1], np.log(np.maximum(k - d * t, 1e-300)) + out[1:])
+        out[0] = -np.inf
+    return out[1:]
+
+
+@pytest.mark.parametrize("d", [0.05, 0.3, 0.5, 0.7, 0.95])
+def test_ways_beyond_the_counted_ones(d):
+    """The corrected saddle point has the ratios of neighbours that the recursion has, and no holes at any size."""
+    for c in (pitman_yor.COUNTED + 1, 3_000):
+        t = np.arange(1.0, 301)
+        got = pitman_yor.saddle_ways(np.full(300, float(c)), t, d)
+        assert np.abs(np.diff(got) - np.diff(ways_by_recursion(c, d, 300))).max() < 0.01
+    assert np.isfinite(pitman_yor.corrections(d)).all()
+
+
+@pytest.mark.parametrize("c, p, theta, others", [(401, 0.01, 5.0, 300), (3_000, 0.001, 50.0, 30_000), (3_000, 0.9, 1.0, 0)])
+def test_dishes_of_many_customers_have_the_exact_distribution(c, p, theta, others, d=0.7):
+    t = np.arange(1, min(c, 1_500) + 1)
+    w = ways_by_recursion(c, d, len(t)) + np.cumsum(np.log(theta / d + others + t - 1)) + t * np.log(d * p)
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    mean = (w * t).sum()
+    sd = np.sqrt((w * (t - mean) ** 2).sum())
+    got = pitman_yor.tables_of(np.full(4_000, c), np.full(4_000, p), theta, d, np.full(4_000, others), np.random.default_rng(4))
+    assert abs(got.mean() - mean) < 4 * sd / np.sqrt(got.size) + 0.004 * mean
+    assert got.std() == pytest.approx(sd, rel=0.05)
+
+
+@pytest.mark.parametrize("hot", [5_000, 30])
+def test_scores_equal_a_plain_model_with_the_same_seating(spark, monkeypatch, hot):
+    """All texts by dictionaries, where the seating is a rule: every pair of three and more customers has two tables."""
+    def seated(c, t, tables, p, theta, d, rng):
+        t = np.minimum(c, 1 + (c > 2))
+        return t, pitman_yor_sweeps * t
+
+    def at_root(c, t, base, theta, d, tables, rng):
+        return np.minimum(c, 1 + (c > 3))
+
+    pitman_yor_sweeps = pitman_yor.SWEEPS
+    for name, value in (("HOT", hot), ("COMMON_PAIRS", 20), ("one_round", seated), ("root_tables", at_root), ("strength", lambda *x: 2.0)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(120)]
+    odds = 1 / np.arange(1, 121)
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 40)), p=odds / odds.sum())) + (f" only{i}" if i % 3 == 0 else "")) for i in range(90)] + [(500, None), (501, "")]
+    texts = {i: [w.decode() for w in (t or "").encode().lower().split()] + [""] for i, t in rows}  # "" is the end
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    c = collections.Counter((u, w) for i, x in texts.items() if not held[i] for u, w in zip(["", *x], x))
+    n, word = collections.Counter(), collections.Counter()
+    tables, customers = collections.Counter(), collections.Counter()
+    for (u, w), k in c.items():
+        n[u] += k
+        word[w] += k
+        tables[u] += 1 + (k > 2)
+        customers[w] += 1 + (k > 2)
+    n1, n2 = (sum(k == x for k in c.values()) for x in (1, 2))
+    d, theta, d_root = min(0.95, max(0.05, n1 / (n1 + 2 * n2))), 2.0, 0.5
+    at = {w: min(k, 1 + (k > 3)) for w, k in customers.items()}
+    whole = theta + sum(customers.values())
+    fresh = (theta + d_root * sum(at.values())) / whole / (len(word) + 1)
+    root = lambda w: (customers[w] - d_root * at[w]) / whole + fresh if w in at else fresh
+
+    def chance(u, w):
+        if not n[u]:
+            return root(w)
+        k = c[u, w]
+        return ((k - d * (1 + (k > 2))) if k else 0) / (theta + n[u]) + (theta + d * tables[u]) / (theta + n[u]) * root(w)
+
+    got = by_id(pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert len(got) == len(rows)
+    for i, x in texts.items():
+        assert got[i].score == pytest.approx(sum(np.log10(chance(u, w)) for u, w in zip(["", *x], x)), rel=1e-5)
 
 
 @pytest.mark.parametrize("hot", [5_000, 400])

@@ -2,8 +2,10 @@
 
 Three levels share statistical strength. The base is uniform over the vocabulary. The root restaurant seats all words
 without context, each as a dish of its own. Every training token, as the token before, has a context restaurant whose
-parent is the root. A Gibbs sampler takes customers from their tables and seats them anew, and predictive probabilities
-are averaged over its samples.
+parent is the root. A Gibbs sampler lets all customers of a dish get up and sit down together: what a seating tells is
+its number of tables, which is drawn from its distribution given the tables of the restaurant's other dishes and the
+parent's probability, with generalised Stirling numbers for the ways to sit. Predictive probabilities are averaged over
+its samples.
 
 Words go by 64-bit hashes; the HOT commonest ones that are met twice have numbers too. Pairs of numbered words are kept
 in shards by their mixed numbers, as arrays of one row for each shard: tasks count, seat and look up whole arrays. The
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import lgamma
 
 import numpy as np
@@ -30,16 +33,18 @@ from .jaccard_join import STEP, mixed, word_hashes
 FOLDS = 5
 #: Words that have numbers (at most 2**BITS), and pairs whose predictions go to every task (the commonest ones).
 HOT, BITS, COMMON_PAIRS = 2_000_000, 21, 2_000_000
-#: Rounds of the sampler between sums over all restaurants, those at the begin that are not kept, sweeps of a round, and
-#: customers of a dish that a sweep seats anew at most, drawn at random.
-ROUNDS, BURN_IN, SWEEPS, RESEATED, SEED = 3, 1, 2, 8, 11
+#: Rounds of the sampler between sums over all restaurants, those at the begin that are not kept, and draws of a round.
+ROUNDS, BURN_IN, SWEEPS, SEED = 3, 1, 2, 11
+#: Customers up to which the ways to sit are counted; beyond, they come from a corrected saddle point. Numbers of tables that a draw
+#: looks at then, cells worked on at a time, and steps to the saddle point.
+COUNTED, CELLS, HELD_CELLS, STEPS = 400, 256, 1 << 20, 12
 #: Tokens that a task works on at a time, and numbers of words in a slice.
 HELD_TOKENS, SLICE = 1_500_000, 1 << 14
 #: Shards for each shuffle partition.
 SHARDS = 4
 #: END, the end of a text as a token, among the hashes of words.
 END_KEY = np.uint64(0)
-BLOCKS = "kind int, at long, x binary, y binary, z binary, sizes binary, b binary"
+BLOCKS = "kind int, at long, x binary, y binary, z binary, b binary"
 #: Kinds of blocks: pairs of numbered words, other pairs, sums by slice, and classes of counts.
 PAIRS, OTHERS, SUMS, CLASSES = range(4)
 #: Numbers of pairs are spread over 2 * BITS bits by an odd factor, which can be undone.
@@ -110,11 +115,11 @@ def summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block(kind: int, at: int, *parts: bytes) -> tuple:
-    return (kind, at, *parts, *[b""] * (5 - len(parts)))
+    return (kind, at, *parts, *[b""] * (4 - len(parts)))
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["kind", "at", "x", "y", "z", "sizes", "b"])
+    return pd.DataFrame(rows, columns=["kind", "at", "x", "y", "z", "b"])
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
@@ -250,76 +255,151 @@ def count_class(c: np.ndarray) -> np.ndarray:
     return np.minimum((16 * np.log2(c)).astype(np.int64), 1023)
 
 
-def seat(c: np.ndarray, p: np.ndarray, theta: np.ndarray, d: float, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables after c customers of a dish came one after the other, given the other dishes' tables.
+@lru_cache(4)
+def counted_ways(d: float) -> np.ndarray:
+    """Logarithms of the weighted ways for c customers to sit at t tables, c and t up to COUNTED: a table of k customers
+    weighs (1 - d)(2 - d)...(k - 1 - d)."""
+    out = np.full((COUNTED + 1, COUNTED + 1), -np.inf)
+    out[0, 0] = 0.0
+    tables = np.arange(1, COUNTED + 1)
+    with np.errstate(invalid="ignore"):
+        for c in range(COUNTED):
+            joins = np.log(np.maximum(c - d * tables, 1e-300)) + out[c, 1:]
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], joins)
+    return out
+
 
-    A customer opens a table with weight (theta + d * tables) * p and joins one with weight n - d * t. The first comes
-    by itself; later ones come in groups of a tenth of those there, with the weights at the group's begin.
+def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithm of y = 1 - x where the saddle point of g(x)**t / x**c lies, g = (1 - y**d) / d: x * g' / g is c / t there.
+
+    Newton's steps from the left in log y come to it.
     """
-    t, n = np.minimum(c, 1), np.minimum(c, 1)
-    on = np.flatnonzero(n < c)
-    while len(on):
-        more = np.minimum(np.maximum(1, n[on] // 10), c[on] - n[on])
-        new = (theta[on] + d * (others[on] + t[on])) * p[on]
-        t[on] += rng.binomial(more, new / (new + np.maximum(n[on] - d * t[on], 1e-9)))
-        n[on] += more
-        on = on[n[on] < c[on]]
-    return t
+    ratio = np.log(c / t)
+    log_y = np.minimum((np.log(d) - ratio) / (1 - d), -1e-9)
+    for _ in range(STEPS):
+        y, power = np.exp(log_y), np.exp(d * log_y)
+        x, g = np.maximum(-np.expm1(log_y), 1e-12), np.maximum(-np.expm1(d * log_y), 1e-12)
+        value = np.log(x) + (d - 1) * log_y + np.log(d) - np.log(g) - ratio
+        log_y = np.minimum(log_y - value / np.minimum(-y / x + (d - 1) + d * power / g, -1e-9), -1e-9)
+    return log_y
 
 
-def spread(c: np.ndarray, t: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Customers of the t tables of each dish, one dish after the other, to begin with: shares by gamma draws."""
-    share = rng.gamma(1 - d, size=int(t.sum())) + 1e-12
-    of = np.repeat(np.arange(len(t)), t)
-    free = (c - t)[of]
-    sizes = 1 + np.floor(free * share / np.bincount(of, share, len(t))[of]).astype(np.int64)
-    missing = c - np.bincount(of, sizes, len(t)).astype(np.int64)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(t) - t, t)
-    sizes += missing[of] // t[of] + (place < missing[of] % t[of])
-    return sizes
+def saddle_coefficient(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The logarithm of the coefficient of x**c in g**t by the saddle point alone."""
+    log_y = saddle(c, t, d)
+    x, g = -np.expm1(log_y), -np.expm1(d * log_y) / d
+    first = x * np.exp((d - 1) * log_y) / g
+    spread = t * (first + (1 - d) * x * x * np.exp((d - 2) * log_y) / g - first * first)
+    return t * np.log(g) - c * np.log(x) - 0.5 * np.log(np.maximum(2 * np.pi * spread, 1e-300))
 
 
-def reseated(c: np.ndarray, t: np.ndarray, sizes: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables and their customers after one sweep over dishes of 2 and more customers.
+def coefficient(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same (of c and t in one dimension) by an integral along y = s * (1 + iu)**2, a parabola around the cut y < 0.
 
-    Of each dish, up to RESEATED customers, drawn at random, get up one after the other and sit down anew: at a new table
-    with weight ``new``, (theta + d * tables of the restaurant) * parent's probability, or at one of n customers with n - d.
-    The restaurant's tables are those at the sweep's begin.
+    Where few tables make g**t nearly constant, the constant, which has no part in the coefficient, is taken off first.
     """
-    t = t.copy()
-    room = np.minimum(c, t + RESEATED)
-    begin = np.cumsum(room) - room
-    place = lambda: np.repeat(begin, t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-    flat = np.zeros(int(room.sum()), np.int64)
-    flat[place()] = sizes
-    on = np.arange(len(c))
-    for k in range(RESEATED):
-        on = on[c[on] > k]
-        if not len(on):
+    s = np.maximum(np.exp(saddle(c, t, d)), 4 / c)
+    end = np.sqrt(45 / ((1 - d) * c * s))
+    u = np.linspace(0, 1, 513) * end[:, None]
+    y = s[:, None] * (1 + 1j * u) ** 2
+    power, rest = t[:, None] * np.log(1 - y**d), -(c[:, None] + 1) * np.log(1 - y)
+    level = (t * s**d < 1)[:, None]
+    top = np.where(level, 0, power[:, :1].real) + rest[:, :1].real
+    value = np.where(level, np.expm1(np.where(level, power, 0)) * np.exp(np.where(level, rest - top, 0)), np.exp(np.where(level, 0, power + rest - top)))
+    along = (value * (1 + 1j * u)).real
+    along[:, 0] /= 2
+    return np.log(along.sum(1) * end / 512 * 2 * s / np.pi) + top[:, 0] - t * np.log(d)
+
+
+#: Steps of the grid on which the saddle point is corrected, in the logarithms of customers and tables, and rows of it.
+GRID, GRID_ROWS = 0.35, 60
+
+
+@lru_cache(4)
+def corrections(d: float) -> np.ndarray:
+    """What the saddle point lacks, on a grid of customers from COUNTED on and tables from 1 on."""
+    c = np.repeat(COUNTED * np.exp(GRID * np.arange(GRID_ROWS)), GRID_ROWS + 20)
+    t = np.minimum(np.tile(np.exp(GRID * np.arange(GRID_ROWS + 20)), GRID_ROWS), 0.9 * c)
+    out = np.concatenate([coefficient(c[i : i + 500], t[i : i + 500], d) - saddle_coefficient(c[i : i + 500], t[i : i + 500], d) for i in range(0, len(c), 500)])
+    return out.reshape(GRID_ROWS, GRID_ROWS + 20)
+
+
+def saddle_ways(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """As ``counted_ways``, less what hangs on c alone, for c from COUNTED on.
+
+    The ways are c! / t! times the coefficient of x**c in g**t: its saddle point, corrected between the grid's points.
+    """
+    t = np.minimum(t, c - 0.5)
+    table = corrections(d)
+    i, j = np.minimum(np.log(c / COUNTED) / GRID, GRID_ROWS - 1.001), np.minimum(np.log(t) / GRID, GRID_ROWS + 18.999)
+    k, m = i.astype(np.int64), j.astype(np.int64)
+    i, j = i - k, j - m
+    more = (1 - i) * ((1 - j) * table[k, m] + j * table[k, m + 1]) + i * ((1 - j) * table[k + 1, m] + j * table[k + 1, m + 1])
+    return saddle_coefficient(c, t, d) + more - log_gamma(t + 1)
+
+
+def drawn(log_weight: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """SWEEPS columns of each row by the exponentials of its weights."""
+    total = np.cumsum(np.exp(log_weight - log_weight.max(1, keepdims=True)), 1)
+    return [(total <= rng.random(len(total))[:, None] * total[:, -1:]).sum(1) for _ in range(SWEEPS)]
+
+
+def tables_of(c: np.ndarray, p: np.ndarray, theta: float, d: float, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """SWEEPS draws of the tables of dishes with c customers, given the tables ``others`` of each restaurant's other dishes.
+
+    t tables have the weight p**t * theta' * (theta' + d) ... (theta' + (t - 1) d) times the ways to sit at them, with
+    theta' = theta + d * others. Up to COUNTED customers the ways are counted; beyond, CELLS equal cells around the
+    weightiest number (all numbers there, where they are no more) have the weights of their middles, by a corrected saddle point.
+    """
+    t = np.tile(np.minimum(c, 1), (SWEEPS, 1))
+    start, log_p = theta / d + others, np.log(d * np.maximum(p, 1e-300))
+    ways, few = counted_ways(d), np.flatnonzero((c > 1) & (c <= COUNTED))
+    few = few[np.argsort(c[few], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(c[few])) + 1, len(few)) if len(few) else []
+    begin = 0
+    for end in ends:
+        k = int(c[few[begin]])
+        step = max(1, HELD_CELLS // k)
+        for at in range(begin, end, step):
+            i = few[at : min(at + step, end)]
+            rising = np.cumsum(np.log(start[i, None] + np.arange(k)) + log_p[i, None], 1)
+            t[:, i] = drawn(rising + ways[k, 1 : k + 1], rng)
+            t[:, i] += 1
+        begin = end
+    many, step = np.flatnonzero(c > COUNTED), HELD_CELLS // CELLS // 4
+    for at in range(0, len(many), step):
+        i = many[at : at + step]
+        t[:, i] = far_tables(c[i].astype(float), start[i], log_p[i], d, rng)
+    return t
+
+
+def far_tables(c: np.ndarray, start: np.ndarray, log_p: np.ndarray, d: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """``tables_of`` dishes of more than COUNTED customers."""
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        wide = lambda x: x if t.ndim == 1 else x[:, None]
+        return saddle_ways(wide(c), t, d) + log_gamma(wide(start) + t) + t * wide(log_p)
+
+    low, high = np.ones(len(c)), c.copy()
+    while (high - low > 0.5).any():  # the weightiest number: the first from which one more table weighs less
+        mid = np.floor((low + high) / 2)
+        rises = (weight(np.minimum(mid + 1, c)) > weight(mid)) & (mid < c)
+        low, high = np.where(rises, mid + 1, low), np.where(rises, high, mid)
+    best = low
+    # how far the weight falls by e**-18 to either side, by doubling
+    top, reach = weight(best), np.full(len(c), 8.0)
+    for _ in range(40):
+        near = np.maximum(weight(np.maximum(best - reach, 1)) * (best - reach > 1) + (top - 99) * (best - reach <= 1), weight(np.minimum(best + reach, c)) * (best + reach < c) + (top - 99) * (best + reach >= c)) > top - 18
+        if not near.any():
             break
-        total = np.cumsum(flat)
-        at = np.searchsorted(total, total[begin[on]] - flat[begin[on]] + (rng.random(len(on)) * c[on]).astype(np.int64), "right")
-        flat[at] -= 1
-        empty = flat[at] == 0
-        gone, hole = on[empty], at[empty]
-        last = begin[gone] + t[gone] - 1
-        moved = flat[last]
-        flat[last] = 0
-        flat[hole] = np.where(last == hole, 0, moved)
-        t[gone] -= 1
-        left = c[on] - 1
-        opens = rng.random(len(on)) * (new[on] + left - d * t[on]) < new[on]
-        o = on[opens]
-        flat[begin[o] + t[o]] = 1
-        t[o] += 1
-        rest, total = on[~opens], np.cumsum(flat)
-        while len(rest):
-            # a customer's table comes by its size, and is taken with (size - d) / size
-            at = np.searchsorted(total, total[begin[rest]] - flat[begin[rest]] + (rng.random(len(rest)) * (c[rest] - 1)).astype(np.int64), "right")
-            sits = rng.random(len(rest)) * flat[at] >= d
-            flat[at[sits]] += 1
-            rest = rest[~sits]  # their own tables are as they were when the sums were made
-    return t, flat[place()]
+        reach = np.where(near, 2 * reach, reach)
+    first, last = np.maximum(best - reach, 1), np.minimum(best + reach, c)
+    step = np.ceil((last - first + 1) / CELLS)
+    cells = first[:, None] + step[:, None] * np.arange(CELLS)
+    inside = cells <= last[:, None]
+    middles = np.minimum(cells + (step[:, None] - 1) / 2, c[:, None])
+    found = drawn(np.where(inside, weight(middles), -np.inf), rng)
+    return [np.minimum(first + step * x + np.floor(rng.random(len(c)) * step), last).astype(np.int64) for x in found]
 
 
 def strength(customers: np.ndarray, tables: np.ndarray, times: np.ndarray, d: float, rng: np.random.Generator) -> float:
@@ -344,8 +424,6 @@ def discount(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
 
 
-
-
 @dataclass
 class Level:
     """What restaurants are seated with in a round: tables of each numbered context, the root's probability of each
@@ -383,16 +461,10 @@ class Fitted:
     p: list[np.ndarray] = field(default_factory=list)
 
 
-def one_round(c: np.ndarray, t: np.ndarray | None, sizes: np.ndarray | None, tables: np.ndarray, p: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables, their customers, and the sum of tables over the sweeps; a first seating where there is none."""
-    if t is None:
-        t = seat(c, p, np.full(len(c), theta), d, np.maximum(tables - 1, 0), rng)
-        sizes = spread(c, t, d, rng)
-    met = np.zeros(len(c), np.int64)
-    for _ in range(SWEEPS):
-        t, sizes = reseated(c, t, sizes, (theta + d * tables) * p, d, rng)
-        met += t
-    return t, sizes, met
+def one_round(c: np.ndarray, t: np.ndarray, tables: np.ndarray, p: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables after a round over dishes that have t of their restaurants' tables, and the sum of tables over its draws."""
+    found = tables_of(c, p, theta, d, np.maximum(tables - t, 0), rng)
+    return found[-1], found.sum(0)
 
 
 def seated_blocks(pairs: DataFrame, words, level, turn: int) -> DataFrame:
@@ -403,18 +475,18 @@ def seated_blocks(pairs: DataFrame, words, level, turn: int) -> DataFrame:
         sums = Sums(len(n), 3)
         for batch in batches:
             out = []
-            for at, x, y, z, held, b in zip(batch["at"].tolist(), batch["x"], batch["y"], batch["z"], batch["sizes"], batch["b"]):
+            for at, x, y, z, b in zip(batch["at"].tolist(), batch["x"], batch["y"], batch["z"], batch["b"]):
                 rng = np.random.default_rng([SEED, turn, at])
                 u, w = numbers(unpacked(x))
                 c = array_of(y, "<u4").astype(np.int64)
-                before = (None, None) if not turn else (array_of(z, "<u4").astype(np.int64), array_of(held, "<u4").astype(np.int64))
-                t, sizes, met = one_round(c, *before, now.tables[u], now.p[w], now.theta, now.d, rng)
+                before = array_of(z, "<u4").astype(np.int64) if turn else np.ones(len(c), np.int64)
+                t, met = one_round(c, before, now.tables[u], now.p[w], now.theta, now.d, rng)
                 predicted = array_of(b, "<f4").astype(float) if turn > BURN_IN else np.zeros(len(c))
                 if turn >= BURN_IN:
                     predicted = predicted + (c - now.d * met / SWEEPS) / (now.theta + n[u])
                 for kind, place, v in ((0, u, t), (1, u, met), (2, w, t)):
                     sums.add(kind, place, v)
-                out.append(block(PAIRS, at, x, y, planes(t.astype("<u4")), planes(sizes.astype("<u4")), planes(predicted.astype("<f4"))))
+                out.append(block(PAIRS, at, x, y, planes(t.astype("<u4")), planes(predicted.astype("<f4"))))
             yield frame(out)
         yield frame([*sums.blocks()])
 
@@ -422,7 +494,7 @@ def seated_blocks(pairs: DataFrame, words, level, turn: int) -> DataFrame:
 
 
 def seated_rows(rows: DataFrame, words, level, turn: int) -> DataFrame:
-    """The stored rows (before, after, c, t, sizes, b, met) after a round; rows have tables of contexts and p of words
+    """The stored rows (before, after, c, t, b, met) after a round; rows have tables of contexts and p of words
     that have no number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,36 +507,33 @@ def seated_rows(rows: DataFrame, words, level, turn: int) -> DataFrame:
             u, w = (hot.of(batch[x].to_numpy(np.int64).view(np.uint64)) for x in ("before", "after"))
             of = lambda at, table, own: np.where(at >= 0, table[np.maximum(at, 0)] if len(table) else 0.0, own.to_numpy(float))
             n = of(u, hot.n, batch["n"])
-            before = (None, None) if not turn else (batch["t"].to_numpy(np.int64), np.concatenate([array_of(x, "<u4") for x in batch["sizes"]]).astype(np.int64))
-            t, sizes, met = one_round(c, *before, of(u, now.tables, batch["tables"]), of(w, now.p, batch["p"]), now.theta, now.d, rng)
+            t, met = one_round(c, batch["t"].to_numpy(np.int64), of(u, now.tables, batch["tables"]), of(w, now.p, batch["p"]), now.theta, now.d, rng)
             b = batch["b"].to_numpy(float) + ((c - now.d * met / SWEEPS) / (now.theta + n) if turn >= BURN_IN else 0)
-            ends = np.cumsum(t)
-            yield batch[["before", "after", "c"]].assign(t=t, sizes=[planes(sizes[e - k : e].astype("<u4")) for e, k in zip(ends.tolist(), t.tolist())], b=b, met=met)
+            yield batch[["before", "after", "c"]].assign(t=t, b=b, met=met)
 
-    return common.stored(rows.mapInPandas(run, "before long, after long, c long, t long, sizes binary, b double, met long"), f"seated-rows-{turn}")
+    return common.stored(rows.mapInPandas(run, "before long, after long, c long, t long, b double, met long"), f"seated-rows-{turn}")
 
 
-def root_tables(c: np.ndarray, base: float, theta: float, d: float, tables: float, rng: np.random.Generator) -> np.ndarray:
-    """The root's tables of dishes with c customers: a first seating, and sweeps over it."""
-    t = np.minimum(c, 1)
-    more = np.flatnonzero(c > 1)
-    for begin in range(0, len(more), SLICE):  # dishes do not look at each other, so some are seated at a time
-        part = more[begin : begin + SLICE]
-        t[part] = one_round(c[part], None, None, np.full(len(part), tables), np.full(len(part), base), theta, d, rng)[0]
-    return t
+def root_tables(c: np.ndarray, t: np.ndarray, base: float, theta: float, d: float, tables: float, rng: np.random.Generator) -> np.ndarray:
+    """The root's tables of dishes with c customers after a round, from t of its ``tables`` before."""
+    out = np.empty(len(c), np.int64)
+    for begin in range(0, len(c), SLICE):  # dishes do not look at each other, so some are seated at a time
+        part = slice(begin, begin + SLICE)
+        size = len(c[part])
+        out[part] = one_round(c[part], t[part], np.full(size, tables), np.full(size, base), theta, d, rng)[0]
+    return out
 
 
 def root_rows(rows: DataFrame, base: float, theta: float, d: float, tables: float, turn: int) -> DataFrame:
-    """The stored words without number (word, n, tables, c and what else they have) with the root's tables t."""
-    columns = [x for x in rows.columns if x != "t"]
+    """The stored words without number (word, n, tables, c and what else they have) with the root's tables t, after a round."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng([SEED, turn, 2 << 20, TaskContext.get().partitionId()])
         for b in batches:
-            yield b[columns].assign(t=root_tables(b["c"].to_numpy(np.int64), base, theta, d, tables, rng))
+            yield b.assign(t=root_tables(b["c"].to_numpy(np.int64), b["t"].to_numpy(np.int64), base, theta, d, tables, rng))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
-    return common.stored(rows.mapInPandas(run, f"{schema}, t long"), f"root-{turn}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return common.stored(rows.mapInPandas(run, schema), f"root-{turn}")
 
 
 def added(total: np.ndarray, words: Words, sums: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> np.ndarray:
@@ -501,7 +570,7 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
     v, n = whole["v"], words.n
     base = 1 / (v + 1)
     state = blocks.where(F.col("kind") == PAIRS)
-    rows = common.stored(others.where("c > 1").select("before", "after", "c", F.lit(0).cast("long").alias("t"), F.lit(b"").alias("sizes"), F.lit(0.0).alias("b")), "other-pairs") if has_tail else None
+    rows = common.stored(others.where("c > 1").select("before", "after", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("b")), "other-pairs") if has_tail else None
 
     def numbered_only(sums: DataFrame) -> DataFrame:
         return sums.join(tail.select("word"), "word", "left_anti")
@@ -520,8 +589,8 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
         ones_u, ones_w = added(ones_u, words, by("before", -F.col("c")), numbered_only), added(ones_w, words, by("after", -F.col("c")), numbered_only)
         tables = added(added(tables, words, by("before", -F.col("c")), numbered_only), words, by("before", one), numbered_only)
         rest = joined(joined(joined(tail, "before", F.col("c"), "c_b"), "after", F.col("c"), "c_a"), "before", one, "k")
-        rest = common.stored(rest.select("word", "n", lone("b").alias("ones_b"), lone("a").alias("ones_a"), (lone("b") + F.coalesce("k", F.lit(0))).alias("tables"), (F.col("n") / F.lit(float(whole["n"]))).alias("p")), "words-without-number")
-    p, all_t = n / max(1, whole["n"]), float(v)
+        rest = common.stored(rest.select("word", "n", lone("b").alias("ones_b"), lone("a").alias("ones_a"), (lone("b") + F.coalesce("k", F.lit(0))).alias("tables"), one.alias("t"), (F.col("n") / F.lit(float(whole["n"]))).alias("p")), "words-without-number")
+    p, t, all_t = n / max(1, whole["n"]), np.ones(len(n), np.int64), float(v)
     out = Fitted(words, whole["n"], v, has_tail, d, state, classes, others, counts)
     a_names: list[str] = []
     for turn in range(ROUNDS):
@@ -540,13 +609,13 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
             rows = seated_rows(rows.join(u, "before", "left").join(w, "after", "left"), shared, level, turn)
             tables, c = added(tables, words, by("before", F.col("t")), numbered_only), added(c, words, by("after", F.col("t")), numbered_only)
             mean = added(mean * SWEEPS, words, by("before", F.col("met")), numbered_only) / SWEEPS
-            rest = joined(joined(joined(rest.drop("tables", "c", "t"), "before", F.col("t"), "s"), "before", F.col("met"), "m"), "after", F.col("t"), "r")
+            rest = joined(joined(joined(rest.drop("tables", "c"), "before", F.col("t"), "s"), "before", F.col("met"), "m"), "after", F.col("t"), "r")
             more = [((F.lit(theta) + d * (F.col("ones_b") + F.coalesce("m", F.lit(0)) / SWEEPS)) / (F.lit(theta) + F.col("n"))).alias(f"a_{len(out.a)}")] if turn >= BURN_IN else []
-            rest = rest.select("word", "n", "ones_b", "ones_a", *a_names, *more, (F.col("ones_b") + F.coalesce("s", F.lit(0))).alias("tables"), (F.col("ones_a") + F.coalesce("r", F.lit(0))).alias("c"))
+            rest = rest.select("word", "n", "t", "ones_b", "ones_a", *a_names, *more, (F.col("ones_b") + F.coalesce("s", F.lit(0))).alias("tables"), (F.col("ones_a") + F.coalesce("r", F.lit(0))).alias("c"))
             rest = root_rows(rest, base, theta_root, d_root, all_t, turn)
             sums = rest.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
             tail_c, tail_t = sums["c"], sums["t"]
-        t = root_tables(c, base, theta_root, d_root, all_t, rng)
+        t = root_tables(c, t, base, theta_root, d_root, all_t, rng)
         all_c, all_t = float(c.sum() + tail_c + whole["once"]), float(t.sum() + tail_t + whole["once"])
         fresh = (theta_root + d_root * all_t) / (theta_root + all_c) * base
         p = (c - d_root * t) / (theta_root + all_c) + fresh
