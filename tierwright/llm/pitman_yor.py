@@ -37,7 +37,7 @@ HOT, BITS, COMMON_PAIRS = 2_000_000, 21, 2_000_000
 ROUNDS, BURN_IN, SWEEPS, SEED = 3, 1, 2, 11
 #: Customers up to which the ways to sit are counted; beyond, they come from a corrected saddle point. Numbers of tables that a draw
 #: looks at then, cells worked on at a time, and steps to the saddle point.
-COUNTED, CELLS, HELD_CELLS, STEPS = 400, 256, 1 << 20, 12
+COUNTED, CELLS, HELD_CELLS, STEPS = 400, 256, 1 << 18, 12
 #: Tokens that a task works on at a time, and numbers of words in a slice.
 HELD_TOKENS, SLICE = 1_500_000, 1 << 14
 #: Shards for each shuffle partition.
@@ -196,8 +196,10 @@ def total_sums(blocks: DataFrame, words: int, kinds: int) -> np.ndarray:
         yield frame([block(SUMS, at, total.tobytes()) for at, total in of.items()])
 
     out = np.zeros((kinds, -(-words // SLICE) * SLICE), np.int64)
-    for r in blocks.where(F.col("kind") == SUMS).select("at", "x", "y").repartition(tasks, "at").mapInPandas(run, BLOCKS).select("at", "x").collect():
+    sums = common.stored(blocks.where(F.col("kind") == SUMS).select("at", "x", "y").repartition(tasks, "at").mapInPandas(run, BLOCKS).select("at", "x"), "sums")
+    for r in sums.toLocalIterator():  # some slices at a time, so that the driver holds the sums once
         out[:, r["at"] * SLICE : (r["at"] + 1) * SLICE] = np.frombuffer(r["x"], np.int64).reshape(kinds, SLICE)
+    common.removed(sums)
     return out[:, :words]
 
 
@@ -320,7 +322,7 @@ def corrections(d: float) -> np.ndarray:
     """What the saddle point lacks, on a grid of customers from COUNTED on and tables from 1 on."""
     c = np.repeat(COUNTED * np.exp(GRID * np.arange(GRID_ROWS)), GRID_ROWS + 20)
     t = np.minimum(np.tile(np.exp(GRID * np.arange(GRID_ROWS + 20)), GRID_ROWS), 0.9 * c)
-    out = np.concatenate([coefficient(c[i : i + 500], t[i : i + 500], d) - saddle_coefficient(c[i : i + 500], t[i : i + 500], d) for i in range(0, len(c), 500)])
+    out = np.concatenate([coefficient(c[i : i + 100], t[i : i + 100], d) - saddle_coefficient(c[i : i + 100], t[i : i + 100], d) for i in range(0, len(c), 100)])
     return out.reshape(GRID_ROWS, GRID_ROWS + 20)
 
 
@@ -414,6 +416,18 @@ def strength(customers: np.ndarray, tables: np.ndarray, times: np.ndarray, d: fl
     return float(rng.choice(grid, p=w / w.sum()))
 
 
+def kinds_of(customers: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (customers, tables) of restaurants and how often each is met, found by slices; some may repeat."""
+    found = []
+    for begin in range(0, len(customers), SLICE):
+        c, t = customers[begin : begin + SLICE], tables[begin : begin + SLICE]
+        order = np.lexsort((t, c))
+        c, t = c[order], t[order]
+        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])))
+        found.append((c[first], t[first], np.diff(np.append(first, len(c)))))
+    return tuple(np.concatenate([x[i] for x in found] or [np.zeros(0)]).astype(float) for i in range(3))
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after eight steps up."""
     y = x + 8
@@ -591,17 +605,19 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
         rest = joined(joined(joined(tail, "before", F.col("c"), "c_b"), "after", F.col("c"), "c_a"), "before", one, "k")
         rest = common.stored(rest.select("word", "n", lone("b").alias("ones_b"), lone("a").alias("ones_a"), (lone("b") + F.coalesce("k", F.lit(0))).alias("tables"), one.alias("t"), (F.col("n") / F.lit(float(whole["n"]))).alias("p")), "words-without-number")
     p, t, all_t = n / max(1, whole["n"]), np.ones(len(n), np.int64), float(v)
+    del with_sums
     out = Fitted(words, whole["n"], v, has_tail, d, state, classes, others, counts)
     a_names: list[str] = []
     for turn in range(ROUNDS):
         if turn:
-            level.unpersist()
+            level.destroy()  # what was made with it is stored
         level = spark.sparkContext.broadcast(Level(tables.astype(float), p.astype(float), theta, d))
         last, state = state, seated_blocks(state.where(F.col("kind") == PAIRS), shared, level, turn)
         if turn:
             common.removed(last)
         sat, over, root = total_sums(state, len(n), 3)
         tables, mean, c = ones_u + sat, ones_u + over / SWEEPS, ones_w + root
+        del sat, over, root
         tail_c = tail_t = 0
         if has_tail:
             u = rest.select(F.col("word").alias("before"), "n", "tables")
@@ -624,13 +640,15 @@ def fit(train: DataFrame) -> tuple[Fitted, DataFrame]:
             rest = rest.withColumn("p", (F.col("c") - d_root * F.col("t")) / (theta_root + all_c) + fresh)
             rest = rest.withColumns({x: F.col("p") for x in name})
             a_names += [f"a_{len(out.a)}", *name] if name else []
+        del c
         if turn >= BURN_IN:
             out.thetas.append(theta)
             out.once.append((1 - d_root) / (theta_root + all_c) + fresh)
             out.fresh.append(fresh)
             out.a.append(((theta + d * mean) / (theta + n)).astype(np.float32))
             out.p.append(p.astype(np.float32))
-        cells = [(n, tables, np.ones(len(n))), (np.ones(1), np.ones(1), np.full(1, whole["once"]))]
+        del mean
+        cells = [kinds_of(n, tables), (np.ones(1), np.ones(1), np.full(1, whole["once"]))]
         if has_tail:
             # few kinds of restaurants: no such word is met more often than the rarest with a number
             kinds = rest.groupBy("n", "tables").agg(F.count("*").alias("m")).toArrow().to_pandas()
