@@ -62,7 +62,18 @@ def stacked(rows: DataFrame, row: str, part: str, value: str) -> DataFrame:
     return totals.withColumn("most", most).select(row, part, "value", "total", F.try_divide(F.col("value"), F.col("most")).alias("share"))
 
 
-def case_grid(rows: DataFrame, case: str, version: str, value: str, unstable: str | None = None) -> DataFrame:
+def mean_above(value: str, bound: int) -> Column:
+    """Whether a group's mean of doubles is above ``bound``, whatever the order its rows come in.
+
+    Doubles are added up as the decimals they are written as, so a mean of exactly ``bound`` is never above it. Groups with
+    values that 12 digits before the point and 16 after do not hold, or that are not finite, have the mean of doubles.
+    """
+    exact = F.col(value).try_cast("decimal(28,16)")
+    above = F.sum(exact) > F.count(value).cast("decimal(20,0)") * bound
+    return F.when(F.count(exact) == F.count(value), above).otherwise(F.avg(value) > bound)
+
+
+def case_grid(rows: DataFrame, case: str, version: str | Column, value: str, unstable: str | None = None) -> DataFrame:
     """``rows`` with state: what each case's result (true, false or null) is beside the version before.
 
     A cell that ``unstable`` marks is so whatever its result.
