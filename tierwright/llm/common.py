@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierwright.session import BATCH_BYTES, BATCH_ROWS, in_small_batches  # noqa: F401 - for the operators
+
 #: Stands for a null id inside joins; results turn it back into null.
 NO_ID = -(2**63)
 
 
-#: Rows of texts that tasks' Python workers get at a time, and bytes of them.
-BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session was told to send Python workers small batches, if it does not so already.
-
-    Texts are long: ten thousand of them, the usual batch, and what is made of them fill a worker's memory.
-    """
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(re.sub(r"\D", "", conf.get(key)) or 0) <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

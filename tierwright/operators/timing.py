@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tierwright.session import in_small_batches
 from tierwright.sources.tables import LANGUAGES
 
 from . import measure
@@ -41,13 +42,15 @@ def ladder_tiers() -> list[Tier]:
     return [Tier(name, f"stop-words-{n}", StopWords(n)) for name, n in (("rules", 1), ("small", 2), ("large", 5))]
 
 
-def timed(rows: DataFrame, tiers: list[Tier], text: Column, observed: Observation) -> DataFrame:
-    """``rows`` with each tier's answer; once they were read by an action, ``observed`` has items, and ns_ and load_ns_ of
-    each tier: the wall-clock time in its calls, and in making its model, summed over all tasks."""
-    names, columns = [t.name for t in tiers], rows.columns
+def timed(rows: DataFrame, tiers: list[Tier], text: Column, observed: Observation, kept: list[str] | None = None) -> DataFrame:
+    """``rows`` (of their columns those ``kept``; all, if None) with each tier's answer; once they were read by an action,
+    ``observed`` has items, and ns_ and load_ns_ of each tier: the wall-clock time in its calls, and in making its model,
+    summed over all tasks."""
+    carried = in_small_batches(rows).select(*(["*"] if kept is None else kept), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    names, columns = [t.name for t in tiers], carried.columns[:-1]
     # a batch's times stand in its first row
     fields = "".join(f", `{n}` string" for n in names) + "".join(f", `_ns_{n}` long, `_load_{n}` long" for n in names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]) + fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,7 +65,7 @@ def timed(rows: DataFrame, tiers: list[Tier], text: Column, observed: Observatio
                     times.append(pa.array([ns if i == 0 else 0 for i in range(len(texts))], pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *answers, *times], [*columns, *names, *(f"_{k}_{n}" for n in names for k in ("ns", "load"))])
 
-    found = rows.select("*", F.lower(F.coalesce(text, F.lit(""))).alias("_text")).mapInArrow(run, schema)
+    found = carried.mapInArrow(run, schema)
     sums = [F.sum(f"_{k}_{n}").alias(f"{k}_{n}") for n in names for k in ("ns", "load")]
     return found.observe(observed, F.count("*").alias("items"), *sums).drop(*(f"_{k}_{n}" for n in names for k in ("ns", "load")))
 
@@ -74,7 +77,7 @@ def measured_in_one_pass(documents: DataFrame, tiers: list[Tier]) -> tuple[DataF
     the way. Load time is summed over workers.
     """
     spark, observed, names = documents.sparkSession, Observation("tiers"), [t.name for t in tiers]
-    answers = timed(documents.select(F.col("lang").alias("field"), "text"), tiers, F.col("text"), observed)
+    answers = timed(documents.select(F.col("lang").alias("field"), "text"), tiers, F.col("text"), observed, kept=["field"])
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("tier_idx"), F.lit(n).alias("tier"), (F.col(n) == F.col("field")).alias("right")) for i, n in enumerate(names)))).alias("c")
     counted = answers.select("field", cells).groupBy("c.tier_idx", "c.tier", "field").agg(F.count_if("c.right").alias("k"), F.count("*").alias("items")).collect()
     seen = observed.get if counted else {}  # nothing is observed where nothing is read
