@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierwright.functions import text
+from tierwright.session import in_small_batches
 from tierwright.sources.tables import FIELDS, LANGUAGES, TIERS, dimension
 
 #: Stop words by language, tried in the order of LANGUAGES: the rules tier looks for the first one only, the small tier
@@ -103,7 +104,7 @@ def scored(rows: DataFrame, scorer: Callable[[list[str]], list[str]], column: st
             b[out] = scorer(b[column].tolist())
             yield b
 
-    return rows.mapInPandas(run, schema)
+    return in_small_batches(rows).mapInPandas(run, schema)
 
 
 def described(labels: DataFrame, embed: Callable[[list[str]], list[list[float]]], prefix: str = "") -> DataFrame:
@@ -117,7 +118,7 @@ def described(labels: DataFrame, embed: Callable[[list[str]], list[list[float]]]
         for b in batches:
             yield pd.DataFrame({"name": b["name"], "v": embed([prefix + x for x in b["description"]])})
 
-    found = labels.select("name", "description").mapInPandas(run, "name string, v array<double>")
+    found = in_small_batches(labels).select("name", "description").mapInPandas(run, "name string, v array<double>")
     return found.select("name", vectors.unit(F.col("v")).alias("centre"))
 
 

@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierwright.session import in_small_batches
+
 #: Words that a model knows, the commonest of its training texts; what it weighs them in: thousandths of a natural logarithm.
 WORDS, SCALE = 2_000, 1000.0
 LETTERS = "a-zà-ÿ"
@@ -115,4 +117,4 @@ def answered(rows: DataFrame, tier: Tier, text: Column) -> DataFrame:
         for batch in batches:
             yield pd.Series(model(batch.tolist()), batch.index, object)
 
-    return rows.withColumn(tier.name, answer(F.lower(F.coalesce(text, F.lit("")))))
+    return in_small_batches(rows).withColumn(tier.name, answer(F.lower(F.coalesce(text, F.lit("")))))
