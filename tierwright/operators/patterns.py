@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns, and bytes of them, that a task is given at a time.
-PATTERNS, BYTES = 200_000, 16 << 20
+from tierwright.session import in_small_batches
+
+#: Patterns, and bytes of them, that a task is given at a time: an automaton takes some 46 bytes for each byte of patterns
+#: that share no beginnings, so about 190 MB.
+PATTERNS, BYTES = 200_000, 4 << 20
 
 
 def numbered(lists: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -28,7 +31,7 @@ def numbered(lists: list[tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def _found(rows: DataFrame, patterns: list[str], text: Column, key: str) -> DataFrame:
-    """key and at: the places, in the list, of all patterns that each text holds, each once, in the list's order."""
+    """key, n, first and last: how many patterns each text holds, and the first and last place in the list among them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, list[int]] = {}  # several lists may have a value
@@ -39,11 +42,12 @@ def _found(rows: DataFrame, patterns: list[str], text: Column, key: str) -> Data
             automaton.add_word(p, at)
         automaton.make_automaton()
         for b in batches:
-            at = [sorted({i for _, found in automaton.iter(t) for i in found}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], [key, "at"])
+            at = [{i for _, found in automaton.iter(t) for i in found} for t in b.column(1).to_pylist()]
+            ends = [pa.array([of(x) if x else None for x in at], pa.int32()) for of in (min, max)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in at], pa.int64()), *ends], [key, "n", "first", "last"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.coalesce(text, F.lit("")).alias("_text")).mapInArrow(search, f"`{key}` {kind}, at array<int>")
+    return in_small_batches(rows).select(key, F.coalesce(text, F.lit("")).alias("_text")).mapInArrow(search, f"`{key}` {kind}, n long, first int, last int")
 
 
 def contained(rows: DataFrame, key: str, text: Column, patterns: DataFrame, at_once: int = PATTERNS) -> DataFrame:
@@ -64,8 +68,7 @@ def contained(rows: DataFrame, key: str, text: Column, patterns: DataFrame, at_o
         # finds are places in the slice's list; the list itself goes with the plan, once
         names = mine.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pattern"))), lambda x: F.struct(x["seq"].alias("seq"), x["pattern"].alias("pattern")))).scalar()
         found = _found(rows, listed, text, key).withColumn("names", names)
-        at = lambda i: F.when(F.size("at") > 0, F.col("names")[F.element_at("at", i)])
-        parts.append(found.select(key, F.size("at").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last")))
+        parts.append(found.select(key, "n", *(F.col("names")[F.col(end)].alias(end) for end in ("first", "last"))))
     if not parts:
         return rows.select(key, F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"))
     if len(parts) == 1:
